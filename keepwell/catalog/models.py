@@ -1 +1,144 @@
+"""Training, comparison and scoring queries. Registered with few, shallow trees; the defaults search in full.
 
+Training starts from the enriched subscriber table. A fourth of it, by
+stratified folds, is the holdout; the rest trains.
+"""
+
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from keepwell.catalog import query
+from keepwell.catalog.features import enriched
+from keepwell.operators import features, scoring
+from keepwell.operators import models as ml
+from keepwell.plans import churn
+from keepwell.plans.dashboards import churn as churn_dashboard
+from keepwell.schemas import SUBSCRIBERS
+from keepwell.session import materialize, scratch_path
+from keepwell.sources import readers, writers
+
+_QUICK = {"maxIter": 5, "maxDepth": 3}
+VERSION = "champion_gbt"
+
+
+@cache
+def _tables(application: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    spark = SparkSession.active()
+    rows = enriched(spark, sf_dir).select(*SUBSCRIBERS.fieldNames())
+    folded = materialize(features.stratified_folds(rows, "churn", "customer_id", 4), "subscribers")
+    return folded.filter("fold > 0").drop("fold"), folded.filter("fold = 0").drop("fold")
+
+
+@cache
+def _run(application: str, sf_dir: str) -> tuple[churn.ChurnRun, str]:
+    spark = SparkSession.active()
+    train, test = _tables(application, sf_dir)
+    path = scratch_path(spark, "champion")
+    run = churn.train_churn(train, test, model_path=path, n=1, folds=2, overrides=_QUICK)
+    return run, path
+
+
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _tables(spark.sparkContext.applicationId, sf_dir)
+
+
+def trained(spark: SparkSession, sf_dir: str) -> tuple[churn.ChurnRun, str]:
+    """One training run per session and data set, shared by the queries that only use its models."""
+    return _run(spark.sparkContext.applicationId, sf_dir)
+
+
+def _coefficients(spark: SparkSession, sf_dir: str, name: str, **search) -> DataFrame:
+    train, test = tables(spark, sf_dir)
+    fitted = ml.train_models(train, names=[name], overrides=_QUICK, **search)
+    return ml.holdout_scores(fitted, test).select("model", "customer_id", "y", F.bround("p", 4).alias("p"))
+
+
+@query("train_logreg")
+def _(spark, sf_dir):
+    return _coefficients(spark, sf_dir, "logreg")
+
+
+@query("train_gbt_a")
+def _(spark, sf_dir):
+    return _coefficients(spark, sf_dir, "gbt_a", n=1, folds=2)
+
+
+@query("train_gbt_b")
+def _(spark, sf_dir):
+    return _coefficients(spark, sf_dir, "gbt_b", n=1, folds=2)
+
+
+@query("train_gbt_c")
+def _(spark, sf_dir):
+    return _coefficients(spark, sf_dir, "gbt_c", n=1, folds=2)
+
+
+@query("cv_search")
+def _(spark, sf_dir):
+    train, _ = tables(spark, sf_dir)
+    rows = ml.training_rows(ml.preprocessing(train).fit(train), train)
+    search = ml.random_search(rows, ml.SPACES["gbt_c"], overrides={"maxIter": 3, "maxDepth": 2})
+    return search.trials.select("candidate", "fold", F.bround("auc", 6).alias("auc"))
+
+
+@query("model_comparison")
+def _(spark, sf_dir):
+    run, _ = trained(spark, sf_dir)
+    areas = [F.bround(c, 6).alias(c) for c in ("roc_auc", "pr_auc")]
+    return run.comparison.select("model", *areas, "class", "precision", "recall", "f1", "support")
+
+
+@query("champion")
+def _(spark, sf_dir):
+    run, _ = trained(spark, sf_dir)
+    best = ml.choose_champion(run.comparison)
+    chosen = run.comparison.select("model", F.bround("roc_auc", 6).alias("roc_auc")).distinct()
+    return chosen.withColumns({"is_best": F.col("model") == best, "is_fixed_choice": F.col("model") == run.champion})
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, path = trained(spark, sf_dir)
+    return ml.score(ml.load_pipeline(path), enriched(spark, sf_dir))
+
+
+@query("batch_score")
+def _(spark, sf_dir):
+    return scoring.with_risk(_scored(spark, sf_dir)).select("customer_id", "churn_probability", "churn_risk_level", "action_required")
+
+
+@query("scored_dashboard")
+def _(spark, sf_dir):
+    run, _ = trained(spark, sf_dir)
+    summary, _ = churn_dashboard(enriched(spark, sf_dir), run.champion_model)
+    return summary
+
+
+@query("score_profile")
+def _(spark, sf_dir):
+    return scoring.customer_profile(_scored(spark, sf_dir))
+
+
+# Scores of the model in memory and of the same model read back.
+@query("model_reload_score")
+def _(spark, sf_dir):
+    run, path = trained(spark, sf_dir)
+    rows = enriched(spark, sf_dir)
+    again = ml.score(ml.load_pipeline(path), rows).select("customer_id", F.col("churn_probability").alias("reloaded"))
+    both = ml.score(run.champion_model, rows).select("customer_id", "churn_probability").join(again, "customer_id")
+    return both.withColumn("same", F.col("churn_probability") == F.col("reloaded"))
+
+
+@query("prediction_log")
+def _(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    writers.append_predictions(scoring.prediction_records(_scored(spark, sf_dir), VERSION), path)
+    return readers.read_table(spark, path)
+
+
+@query("feature_importance")
+def _(spark, sf_dir):
+    run, _ = trained(spark, sf_dir)
+    return ml.feature_importance(spark, run.trained.prepared, run.trained.models[run.champion])

@@ -1 +1,81 @@
+"""Risk and dashboard queries over fixed probabilities."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keepwell.catalog import query
+from keepwell.catalog.features import _ENRICHED, enriched
+from keepwell.catalog.views import predictions, subscribers, with_views
+from keepwell.functions.risk import risk_level_with_intent
+from keepwell.operators import scoring
+
+_RISK = "CASE WHEN churn_probability >= 0.4 THEN 'High' ELSE 'Low' END"
+
+
+def _scored(spark, sf_dir):
+    return enriched(spark, sf_dir).join(predictions(spark, sf_dir), "customer_id")
+
+
+@query("risk_levels", with_views("predictions", f"""
+SELECT customer_id, churn_probability, {_RISK} AS churn_risk_level, churn_probability >= 0.4 AS action_required
+FROM predictions"""))
+def _(spark, sf_dir):
+    return scoring.with_risk(predictions(spark, sf_dir))
+
+
+@query("risk_override", with_views("subscribers feedback predictions", f"""
+SELECT customer_id, churn_probability, feedback_category,
+       CASE WHEN churn_probability >= 0.4 OR feedback_category = 'churn_intent' THEN 'High' ELSE 'Low' END AS risk_level
+FROM ({_ENRICHED}) JOIN predictions USING (customer_id)"""))
+def _(spark, sf_dir):
+    level = risk_level_with_intent(F.col("churn_probability"), F.col("feedback_category"))
+    rows = _scored(spark, sf_dir).select("customer_id", "churn_probability", "feedback_category")
+    return rows.withColumn("risk_level", level)
+
+
+@query("churn_dashboard", with_views("predictions", """
+SELECT count(*) AS total_customers, CAST(round_even(avg(churn_probability) * 100, 2) AS VARCHAR) || '%'
+         AS avg_churn_risk_percentage, count(CASE WHEN churn_probability >= 0.4 THEN 1 END) AS high_risk_customers
+FROM predictions"""))
+def _(spark, sf_dir):
+    return scoring.churn_dashboard(predictions(spark, sf_dir))
+
+
+_PROFILE = f"""state AS state_region, account_length AS tenure_months, customer_service_calls,
+       feedback_category AS top_factor_category, sentiment AS sentiment_flag"""
+
+
+@query("top_risk_profiles", with_views("subscribers feedback predictions", f"""
+SELECT customer_id, churn_probability, {_RISK} AS risk_level, {_PROFILE}
+FROM ({_ENRICHED}) JOIN predictions USING (customer_id) ORDER BY churn_probability DESC, customer_id LIMIT 10"""))
+def _(spark, sf_dir):
+    return scoring.top_risk_profiles(_scored(spark, sf_dir))
+
+
+@query("customer_profiles", with_views("subscribers feedback predictions", f"""
+SELECT customer_id, churn_probability, {_RISK} AS risk_level, {_PROFILE}, CAST(area_code AS VARCHAR) AS area_code,
+       feedback_text, complaint_intensity AS complaint_intensity_score,
+       CAST(round_even(churn_probability * 100, 2) AS VARCHAR) || '%' AS churn_probability_percentage,
+       churn_probability >= 0.4 AS action_required
+FROM ({_ENRICHED}) JOIN predictions USING (customer_id)"""))
+def _(spark, sf_dir):
+    return scoring.customer_profile(_scored(spark, sf_dir))
+
+
+@query("lookup_customers", with_views("subscribers", """
+SELECT customer_id, state, churn FROM subscribers WHERE customer_id IN (SELECT CAST(user_id AS VARCHAR) FROM events)"""))
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    requests = events.select(F.concat(F.lit(" '"), F.col("user_id").cast("string"), F.lit("' ")).alias("customer_id"))
+    return scoring.lookup_customers(subscribers(spark, sf_dir), requests).select("customer_id", "state", "churn")
+
+
+@query("high_risk_customers", with_views("subscribers predictions", """
+SELECT customer_id, state, account_length, customer_service_calls, churn, churn_probability
+FROM subscribers JOIN predictions USING (customer_id) WHERE churn_probability >= 0.4
+ORDER BY churn_probability DESC, customer_id"""))
+def _(spark, sf_dir):
+    records = scoring.prediction_records(predictions(spark, sf_dir), "fixed")
+    high = scoring.high_risk_customers(subscribers(spark, sf_dir), records)
+    return high.select("customer_id", "state", "account_length", "customer_service_calls", "churn", "churn_probability")

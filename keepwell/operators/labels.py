@@ -138,9 +138,8 @@ def label_comments(
     """
     if labeler is None:
         return lexicon_labels(comments)
-    schema = T.StructType(list(comments.schema.fields))
-    for name, kind in _LABEL_TYPES.items():
-        schema = schema.add(name, kind)
+    added = [T.StructField("feedback_category", T.StringType()), T.StructField("sentiment", T.StringType())]
+    schema = T.StructType([*comments.schema.fields, *added, T.StructField("complaint_intensity", T.IntegerType())])
     columns = schema.fieldNames()
 
     def label_batches(batches):
