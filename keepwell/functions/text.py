@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 # Every character that counts as white space in Unicode or as an ASCII separator.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-_SPACE = r"[\s\x1c-\x1f]"
+_SPACE = r"[\s\x1c-\x1f]"  # the same set in a pattern that starts with (?U)
 
 # Interface phrases that get glued to comment texts.
 UI_PHRASES = ("See translation", "Hide translation", "See more", "Edited")
@@ -50,10 +50,15 @@ def is_blank(text: Column) -> Column:
 
 
 def clean_comment(text: Column) -> Column:
-    """Remove interface phrases, then squeeze white space."""
+    """Remove interface phrases, then squeeze white space.
+
+    Few texts have such a phrase; a plain search spares the others the patterns.
+    """
+    marked, removed = F.lit(False), text
     for phrase in UI_PHRASES:
-        text = F.regexp_replace(text, f"(?U){_SPACE}*{phrase}{_SPACE}*", " ")
-    return squeeze(text)
+        marked = marked | F.contains(text, F.lit(phrase))
+        removed = F.regexp_replace(removed, f"(?U){_SPACE}*{phrase}{_SPACE}*", " ")
+    return squeeze(F.when(marked, removed).otherwise(text))
 
 
 def clean_id(value: Column) -> Column:

@@ -33,7 +33,12 @@ def clean_comments(df: DataFrame) -> DataFrame:
 
 
 def drop_blank(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.filter(~tx.is_blank(F.col(column))).withColumn(column, tx.strip(F.col(column)))
+    """Rows with a text, stripped.
+
+    Written as an explode, which evaluates the text once; Spark would evaluate
+    a filter on a computed text below the projection and the text again in it.
+    """
+    return df.withColumn(column, F.explode(F.filter(F.array(tx.strip(F.col(column))), lambda text: text != "")))
 
 
 def pseudonymize(df: DataFrame) -> DataFrame:

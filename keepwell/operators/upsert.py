@@ -26,48 +26,50 @@ def _arrange(rows: DataFrame, target: DataFrame, defaults: Mapping[str, Column])
     )
 
 
-def upsert_update(
-    target: DataFrame,
-    batch: DataFrame,
-    keys: Sequence[str],
-    sequence: Sequence[str],
-    defaults: Mapping[str, Column] | None = None,
+def merge_unique(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Insert the batch, replacing rows that have its keys.
+    """Insert a batch that has every key once, replacing the target's rows with those keys.
 
-    Of several batch rows with one key the last by ``sequence`` counts.
     Columns the batch lacks keep their old value; new rows get ``defaults``.
     """
-    keys = list(keys)
-    latest = keep_last(batch, keys, sequence)
+    keys, defaults = list(keys), defaults or {}
     kept_columns = [c for c in target.columns if c not in batch.columns]
-    untouched = target.join(latest.select(*keys), keys, "left_anti").select(*target.columns)
+    untouched = target.join(batch.select(*keys), keys, "left_anti").select(*target.columns)
     if kept_columns:
         old = target.select(*keys, *kept_columns, F.lit(True).alias("_known"))
-        old = old.join(latest.select(*keys), keys, "left_semi")
-        latest = latest.join(old, keys, "left")
-        for name, value in (defaults or {}).items():
-            if name in kept_columns:
-                fresh = F.when(F.col("_known"), F.col(name)).otherwise(value)
-                latest = latest.withColumn(name, fresh)
-    return untouched.unionByName(_arrange(latest, target, defaults or {}))
+        old = old.join(batch.select(*keys), keys, "left_semi")
+        batch = batch.join(old, keys, "left")
+        for name in kept_columns:
+            if name in defaults:
+                fresh = F.when(F.col("_known"), F.col(name)).otherwise(defaults[name])
+                batch = batch.withColumn(name, fresh)
+    return untouched.unionByName(_arrange(batch, target, defaults))
 
 
-def upsert_ignore_rows(
+def new_rows(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """The rows, of a batch that has every key once, whose keys the target lacks."""
+    keys = list(keys)
+    known = target.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    return _arrange(batch.join(known, keys, "left_anti"), target, defaults or {})
+
+
+def upsert_update(
     target: DataFrame,
     batch: DataFrame,
     keys: Sequence[str],
     sequence: Sequence[str],
     defaults: Mapping[str, Column] | None = None,
+    keep: str = "last",
 ) -> DataFrame:
-    """The batch rows whose keys the target lacks: what an append has to write.
+    """Insert the batch, replacing rows that have its keys.
 
-    Of several batch rows with one key the first by ``sequence`` counts.
+    Of several batch rows with one key the last by ``sequence`` counts, or the first.
     """
-    keys = list(keys)
-    first = keep_first(batch, keys, sequence)
-    known = target.select(*keys).join(first.select(*keys), keys, "left_semi")
-    return _arrange(first.join(known, keys, "left_anti"), target, defaults or {})
+    choose = {"last": keep_last, "first": keep_first}[keep]
+    return merge_unique(target, choose(batch, keys, sequence), keys, defaults)
 
 
 def upsert_ignore(
@@ -77,5 +79,5 @@ def upsert_ignore(
     sequence: Sequence[str],
     defaults: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Insert the batch rows with new keys; leave known keys as they are."""
-    return target.unionByName(upsert_ignore_rows(target, batch, keys, sequence, defaults))
+    """Insert the batch rows with new keys (the first row of each), leave known keys as they are."""
+    return target.unionByName(new_rows(target, keep_first(batch, keys, sequence), keys, defaults))

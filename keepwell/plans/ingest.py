@@ -34,8 +34,9 @@ def label_batch_from_answers(answers: DataFrame, order_id: str, answer: str = "a
 
 
 def update_feedback(feedback: DataFrame, batch: DataFrame, order_id: str) -> DataFrame:
-    """The feedback table with a batch merged in; new rows are created now."""
-    return upsert_update(feedback, batch, FEEDBACK_KEY, [order_id], {"created_at": F.current_timestamp()})
+    """The feedback table with a batch merged in, of repeated rows the first; new rows are created now."""
+    now = {"created_at": F.current_timestamp()}
+    return upsert_update(feedback, batch, FEEDBACK_KEY, [order_id], now, keep="first")
 
 
 def empty_feedback(spark: SparkSession) -> DataFrame:

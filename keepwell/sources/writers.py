@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from keepwell.operators.dedup import keep_first, keep_last
 from keepwell.operators.reputation import daily_counts
 from keepwell.operators.shaping import with_defaults
-from keepwell.operators.upsert import upsert_ignore_rows, upsert_update
+from keepwell.operators.upsert import merge_unique, new_rows
 from keepwell.schemas import COMMENTS, FEEDBACK_EXPORT, SUBSCRIBERS, existing
+from keepwell.session import materialize
 
 JDBC_BATCH = 500
 
@@ -54,17 +56,36 @@ def export_comments(comments: DataFrame, base: str, moment: datetime.datetime |
 
 
 def write_upsert(
-    spark: SparkSession, target_path: str, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str], out_path: str
+    spark: SparkSession,
+    target_path: str,
+    batch: DataFrame,
+    keys: Sequence[str],
+    sequence: Sequence[str],
+    out_path: str,
+    defaults: Mapping[str, Column] | None = None,
+    keep: str = "last",
 ) -> None:
-    """The upserted table, complete, at ``out_path``; then point readers there."""
-    upsert_update(spark.read.parquet(target_path), batch, keys, sequence).write.parquet(out_path)
+    """The upserted table, complete, at ``out_path``; then point readers there.
+
+    The de-duplicated batch is stored first: it is used more than once, and its
+    true size decides whether the target has to be shuffled.
+    """
+    choose = {"last": keep_last, "first": keep_first}[keep]
+    unique = materialize(choose(batch, keys, sequence), "batch")
+    merge_unique(spark.read.parquet(target_path), unique, keys, defaults).write.parquet(out_path)
 
 
 def append_new(
-    spark: SparkSession, target_path: str, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str]
+    spark: SparkSession,
+    target_path: str,
+    batch: DataFrame,
+    keys: Sequence[str],
+    sequence: Sequence[str],
+    defaults: Mapping[str, Column] | None = None,
 ) -> None:
     """Append the batch rows whose keys the table lacks. The table itself isn't rewritten."""
-    upsert_ignore_rows(spark.read.parquet(target_path), batch, keys, sequence).write.mode("append").parquet(target_path)
+    unique = materialize(keep_first(batch, keys, sequence), "batch")
+    new_rows(spark.read.parquet(target_path), unique, keys, defaults).write.mode("append").parquet(target_path)
 
 
 def write_snapshots(feedback: DataFrame, path: str) -> None:
