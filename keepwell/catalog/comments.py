@@ -11,7 +11,7 @@ from keepwell.functions import urls
 from keepwell.operators import comments as cm
 from keepwell.operators import dedup, labels
 from keepwell.operators import links as ln
-from keepwell.plans.ingest import label_batch_from_answers
+from keepwell.plans import ingest
 
 # White space for the twins, whose regular expressions are ASCII by default.
 _S = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -226,7 +226,7 @@ SELECT seq, customer_id, username, raw_text, 'Facebook' AS source,
        {_item('feedback_category', "'service_quality'", 'VARCHAR')}, {_item('sentiment', "'neutral'", 'VARCHAR')},
        {_item('complaint_intensity', '1', 'INTEGER')} FROM ({_RESULT_ROWS})"""))
 def _(spark, sf_dir):
-    rows, _ = label_batch_from_answers(views.label_answers(spark, sf_dir), "seq")
+    rows, _ = ingest.label_batch_from_answers(views.label_answers(spark, sf_dir), "seq")
     return rows
 
 
@@ -293,3 +293,40 @@ def _(spark, sf_dir):
     comments = views.conversation_comments(spark, sf_dir)
     comments = comments.withColumn("raw_text", tx.strip(F.col("text"))).drop("text")
     return labels.label_comments(comments, by_length).drop("raw_text")
+
+
+# --- the whole way from comment boxes to the feedback table ------------------------------------
+
+
+_BODIES = rf"""SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS post_url, role AS username, turn AS seq,
+       (SELECT string_agg(line, ' ' ORDER BY i) FROM (
+          SELECT {_strip('part')} AS line, i
+          FROM (SELECT unnest(string_split(text, chr(10))) AS part,
+                       unnest(range(len(string_split(text, chr(10))))) AS i))
+        WHERE line <> '' AND NOT contains(line, role)) AS text
+FROM conversations WHERE role <> 'system'"""
+
+
+@query("feedback_ingest", f"""
+WITH comments AS (
+  SELECT substring(md5(username), 1, 12) AS customer_id, username, post_url, seq, {_clean('text')} AS raw_text
+  FROM ({_BODIES}) WHERE length(text) >= 3),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_url, customer_id, substring(raw_text, 1, 50) ORDER BY seq)
+                 AS n FROM comments) WHERE n = 1 AND raw_text <> ''),
+batch AS (
+  SELECT * FROM (SELECT * EXCLUDE n, row_number() OVER (PARTITION BY customer_id, raw_text ORDER BY post_url, seq) AS n
+                 FROM firsts) WHERE n = 1)
+SELECT customer_id, username, CASE {_WORDS_SQL} ELSE 'service_quality' END AS feedback_category, 'neutral' AS sentiment,
+       1 AS complaint_intensity, raw_text, 'Facebook' AS source, true AS created FROM batch""")
+def _(spark, sf_dir):
+    boxes = views.comment_boxes(spark, sf_dir)
+    posts = boxes.select(F.col("post_url").alias("url")).distinct().withColumn("post_date", F.lit("Recent Post"))
+    authors = cm.filter_authors(boxes, _BLOCKED)
+    found = ingest.collect_comments(authors, posts, ["seq"])
+    order = F.struct("post_url", "seq").alias("order_id")
+    batch = ingest.label_batch(
+        found.withColumn("order_id", order), "order_id", labeler=None, lexicon=_WORDS
+    )
+    table = ingest.update_feedback(ingest.empty_feedback(spark), batch, "order_id")
+    return table.withColumn("created", F.col("created_at").isNotNull()).drop("created_at")

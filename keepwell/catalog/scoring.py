@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from keepwell.catalog import query
 from keepwell.catalog.features import _ENRICHED, enriched
 from keepwell.catalog.views import predictions, subscribers, with_views
-from keepwell.functions.risk import risk_level_with_intent
 from keepwell.operators import scoring
 
 _RISK = "CASE WHEN churn_probability >= 0.4 THEN 'High' ELSE 'Low' END"
@@ -25,13 +24,13 @@ def _(spark, sf_dir):
 
 
 @query("risk_override", with_views("subscribers feedback predictions", f"""
-SELECT customer_id, churn_probability, feedback_category,
-       CASE WHEN churn_probability >= 0.4 OR feedback_category = 'churn_intent' THEN 'High' ELSE 'Low' END AS risk_level
+SELECT customer_id, state, feedback_text AS raw_text_analyzed, feedback_category AS extracted_category,
+       sentiment AS extracted_sentiment, churn_probability AS ml_churn_probability,
+       CASE WHEN churn_probability >= 0.4 OR feedback_category = 'churn_intent' THEN 'High' ELSE 'Low' END
+         AS final_churn_risk_level
 FROM ({_ENRICHED}) JOIN predictions USING (customer_id)"""))
 def _(spark, sf_dir):
-    level = risk_level_with_intent(F.col("churn_probability"), F.col("feedback_category"))
-    rows = _scored(spark, sf_dir).select("customer_id", "churn_probability", "feedback_category")
-    return rows.withColumn("risk_level", level)
+    return scoring.checked_predictions(_scored(spark, sf_dir))
 
 
 @query("churn_dashboard", with_views("predictions", """
@@ -63,6 +62,49 @@ def _(spark, sf_dir):
     return scoring.customer_profile(_scored(spark, sf_dir))
 
 
+# Null fields are left out of a document; small numbers are written with an exponent.
+_FIELDS = " || ".join(
+    f"coalesce(',\"{name}\":' || {value}, '')"
+    for name, value in {
+        "state_region": "to_json(state)",
+        "tenure_months": "CAST(account_length AS VARCHAR)",
+        "area_code": "to_json(CAST(area_code AS VARCHAR))",
+        "customer_service_calls": "CAST(customer_service_calls AS VARCHAR)",
+        "feedback_text": "to_json(feedback_text)",
+        "top_factor_category": "to_json(feedback_category)",
+        "sentiment_flag": "to_json(sentiment)",
+        "complaint_intensity_score": "CAST(complaint_intensity AS VARCHAR)",
+    }.items()
+)
+_NUMBER = """CASE WHEN churn_probability > 0 AND churn_probability < 0.001
+  THEN CAST(CAST(round(churn_probability * 10000) AS INTEGER) AS VARCHAR) || '.0E-4'
+  ELSE CAST(churn_probability AS VARCHAR) END"""
+
+
+@query("profile_documents", with_views("subscribers feedback predictions", f"""
+SELECT customer_id, '{{"search_mode":"individual_profile_lookup","customer_info":{{"customer_id":' || to_json(customer_id) ||
+  {_FIELDS} || '}},"predictive_analytics":{{"churn_probability":' || {_NUMBER} || ',"churn_probability_percentage":"' ||
+  CAST(round_even(churn_probability * 100, 2) AS VARCHAR) || '%","risk_level":"' || {_RISK} || '","action_required":' ||
+  CAST(churn_probability >= 0.4 AS VARCHAR) || '}}}}' AS document
+FROM ({_ENRICHED}) JOIN predictions USING (customer_id)"""))
+def _(spark, sf_dir):
+    return scoring.profile_documents(_scored(spark, sf_dir))
+
+
+@query("churn_document", with_views("predictions", f"""
+SELECT '{{"search_mode":"global_dashboard_summary","total_customers":' || CAST(count(*) AS VARCHAR) ||
+  ',"avg_churn_risk_percentage":"' || CAST(round_even(avg(churn_probability) * 100, 2) AS VARCHAR) ||
+  '%","high_risk_customers":' || CAST(count(CASE WHEN churn_probability >= 0.4 THEN 1 END) AS VARCHAR) ||
+  ',"top_risk_profiles":[' || (SELECT string_agg('{{"customer_id":"' || customer_id || '","churn_probability":' ||
+      CAST(churn_probability AS VARCHAR) || ',"risk_level":"' || {_RISK} || '","top_factor_category":"unknown",' ||
+      '"state_region":"unknown","tenure_months":0,"customer_service_calls":0,"sentiment_flag":"unknown"}}', ','
+      ORDER BY churn_probability DESC, customer_id)
+    FROM (SELECT * FROM predictions ORDER BY churn_probability DESC, customer_id LIMIT 10)) || ']}}' AS document
+FROM predictions"""))
+def _(spark, sf_dir):
+    return scoring.churn_document(predictions(spark, sf_dir))
+
+
 @query("lookup_customers", with_views("subscribers", """
 SELECT customer_id, state, churn FROM subscribers WHERE customer_id IN (SELECT CAST(user_id AS VARCHAR) FROM events)"""))
 def _(spark, sf_dir):

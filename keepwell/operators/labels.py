@@ -7,7 +7,8 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from keepwell.functions.text import is_blank, strip
+from keepwell.functions.text import strip
+from keepwell.operators.comments import drop_blank
 from keepwell.operators.shaping import ANONYMOUS, with_defaults
 
 if TYPE_CHECKING:
@@ -35,12 +36,12 @@ _LABEL_TYPES = {"feedback_category": "string", "sentiment": "string", "complaint
 def comments_to_label(comments: DataFrame, order_id: str) -> DataFrame:
     """Comments with text, in the shape the label operators take: id, name and text never absent."""
     unknown = F.concat(F.lit("unknown_"), F.col(order_id).cast("string"))
-    named = with_defaults(comments, {"customer_id": unknown, "username": ANONYMOUS})
-    return named.filter(~is_blank(F.col("text"))).select(
+    named = drop_blank(with_defaults(comments, {"customer_id": unknown, "username": ANONYMOUS}))
+    return named.select(
         F.col(order_id),
         F.col("customer_id").cast("string").alias("customer_id"),
         strip(F.col("username")).alias("username"),
-        strip(F.col("text")).alias("raw_text"),
+        F.col("text").alias("raw_text"),
     )
 
 

@@ -19,19 +19,14 @@ def position_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
     into a global position.
     """
     numbered = df.orderBy(*group, *order).withColumn("_id", F.monotonically_increasing_id())
-    stored = materialize(numbered, "ranked")
-    part = F.shiftright("_id", _ROW_BITS)
-    row = F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = (
-        stored.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")  # one row per partition of the sort
-        .withColumn("_at", F.col("_start") + row)
-    )
-    firsts = placed.groupBy(*group).agg(F.min("_at").alias("_first"))
-    return placed.join(F.broadcast(firsts), list(group)).select(*df.columns, (F.col("_at") - F.col("_first")).alias(name))
+    part, row = F.shiftright("_id", _ROW_BITS), F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    stored = materialize(numbered, "ranked").withColumns({"_part": part, "_row": row})
+    pieces = stored.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # at most one row per partition of the sort and one more per group
+    placed = stored.join(F.broadcast(starts), [*group, "_part"])
+    return placed.select(*df.columns, (F.col("_start") + F.col("_row") - F.col("_first")).alias(name))
 
 
 def hashed_position(df: DataFrame, group: str, key: str, buckets_hex: int = 3) -> tuple[DataFrame, Column]:

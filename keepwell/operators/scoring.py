@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keepwell.functions.numbers import percent_text
-from keepwell.functions.risk import DEFAULT_THRESHOLD, at_risk, risk_level
+from keepwell.functions.risk import DEFAULT_THRESHOLD, at_risk, risk_level, risk_level_with_intent
 from keepwell.functions.text import clean_id
 from keepwell.schemas import existing, first_existing
 
@@ -91,6 +91,50 @@ def customer_profile(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) ->
     )
 
 
+def churn_document(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, n: int = 10) -> DataFrame:
+    """The dashboard with its top ``n`` profiles as one JSON text."""
+    ordered = F.struct((-F.col(PROBABILITY)).alias("_down"), "customer_id", F.struct("*").alias("profile"))
+    profiles = top_risk_profiles(scored, threshold, n).agg(F.sort_array(F.collect_list(ordered)).alias("all"))
+    top = profiles.select(F.transform("all", lambda entry: entry["profile"])).scalar()
+    document = F.struct(
+        F.lit("global_dashboard_summary").alias("search_mode"),
+        "total_customers",
+        "avg_churn_risk_percentage",
+        "high_risk_customers",
+        top.alias("top_risk_profiles"),
+    )
+    return churn_dashboard(scored, threshold).select(F.to_json(document).alias("document"))
+
+
+def profile_documents(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """(customer_id, document): the profile of each customer as JSON text."""
+    info = (
+        "customer_id", "state_region", "tenure_months", "area_code", "customer_service_calls", "feedback_text",
+        "top_factor_category", "sentiment_flag", "complaint_intensity_score",
+    )
+    analytics = (PROBABILITY, "churn_probability_percentage", "risk_level", "action_required")
+    document = F.struct(
+        F.lit("individual_profile_lookup").alias("search_mode"),
+        F.struct(*info).alias("customer_info"),
+        F.struct(*analytics).alias("predictive_analytics"),
+    )
+    return customer_profile(scored, threshold).select("customer_id", F.to_json(document).alias("document"))
+
+
+def checked_predictions(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Stored subscribers with their labels and a risk level that also heeds the intent to leave."""
+    p, category = F.col(PROBABILITY), first_existing(scored, ["feedback_category"], UNKNOWN)
+    return scored.select(
+        "customer_id",
+        first_existing(scored, ["state"], UNKNOWN).alias("state"),
+        first_existing(scored, ["feedback_text"], "").alias("raw_text_analyzed"),
+        category.alias("extracted_category"),
+        first_existing(scored, ["sentiment"], UNKNOWN).alias("extracted_sentiment"),
+        stored(p).alias("ml_churn_probability"),
+        risk_level_with_intent(p, category, threshold).alias("final_churn_risk_level"),
+    )
+
+
 def prediction_records(
     scored: DataFrame, model_version: str, threshold: float = DEFAULT_THRESHOLD, at: Column | None = None
 ) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keepwell.operators.comments import drop_blank, extract_comments
-from keepwell.operators.labels import comments_to_label, label_comments, parse_labels
+from keepwell.operators.comments import extract_comments
+from keepwell.operators.labels import LEXICON, comments_to_label, label_comments, lexicon_labels, parse_labels
 from keepwell.operators.links import attach_post_date
 from keepwell.operators.shaping import shape_feedback
 from keepwell.operators.upsert import upsert_update
@@ -21,9 +21,15 @@ def collect_comments(boxes: DataFrame, links: DataFrame, sequence: Sequence[str]
     return comments.withColumn("scraped_at", F.current_timestamp())
 
 
-def label_batch(comments: DataFrame, order_id: str, labeler: Callable | None = None) -> DataFrame:
-    """Feedback rows from comments, labelled by keywords or by a function."""
-    labelled = label_comments(comments_to_label(drop_blank(comments), order_id), labeler)
+def label_batch(
+    comments: DataFrame,
+    order_id: str,
+    labeler: Callable | None = None,
+    lexicon: Mapping[str, Sequence[str]] = LEXICON,
+) -> DataFrame:
+    """Feedback rows from comments, labelled by a function or else by keywords."""
+    rows = comments_to_label(comments, order_id)
+    labelled = label_comments(rows, labeler) if labeler else lexicon_labels(rows, lexicon)
     return shape_feedback(labelled, keep=[order_id])
 
 
