@@ -44,7 +44,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
 def export_feedback_csv(feedback: DataFrame, path: str) -> None:
     """The labelled feedback, with a header, quotes doubled."""
     columns = feedback.select(*existing(feedback, FEEDBACK_EXPORT))
-    columns.write.options(header=True, escape='"').csv(path)
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    columns.write.options(header=True, escape='"', **exact).csv(path)
 
 
 def export_comments(comments: DataFrame, base: str, moment: datetime.datetime | None = None) -> str:
