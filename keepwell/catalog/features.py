@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from keepwell.catalog import query, views
 from keepwell.catalog.views import feedback, subscribers, with_views
-from keepwell.operators import features
+from keepwell.operators import features, models
 from keepwell.operators.quality import data_audit
 from keepwell.schemas import CALL_PERIODS, SUBSCRIBERS
 
@@ -81,6 +82,19 @@ def _(spark, sf_dir):
     return features.feature_matrix(enriched(spark, sf_dir).select(*_COLUMNS), keep=["customer_id"])
 
 
+# The same codes from the stages that models are trained with, fitted on the same rows.
+@query("fitted_features", with_views("subscribers feedback", "SELECT 1").removesuffix("SELECT 1").rstrip() + f""",
+enriched AS ({_ENRICHED})
+SELECT customer_id, {', '.join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FEATURES)}
+FROM (SELECT customer_id, {', '.join(_feature(c) for c in _FEATURES)} FROM enriched e)""")
+def _(spark, sf_dir):
+    rows = enriched(spark, sf_dir).select(*_COLUMNS)
+    prepared = models.preprocessing(rows).fit(rows)
+    vector = vector_to_array("features")
+    parts = [vector[i].alias(name) for i, name in enumerate(models.feature_names(prepared))]
+    return models.prepare_rows(prepared, rows).select("customer_id", *parts)
+
+
 @query("class_weight", with_views("subscribers", """
 SELECT positives, negatives, CASE WHEN positives > 0 THEN negatives / positives ELSE 1.0::DOUBLE END AS scale_pos_weight
 FROM (SELECT count(CASE WHEN churn = 1 THEN 1 END) AS positives, count(CASE WHEN churn = 0 THEN 1 END) AS negatives

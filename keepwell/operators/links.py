@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from keepwell.functions import urls
 from keepwell.operators.dedup import keep_first, top_per_key
+from keepwell.session import materialize
 
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -41,11 +42,11 @@ def with_date_labels(links: DataFrame) -> DataFrame:
 
 
 def attach_post_date(comments: DataFrame, links: DataFrame) -> DataFrame:
-    """Every comment with the date label of its post.
+    """Every comment with the date label of its post; ``links`` has one row per ``url``.
 
-    ``links`` has one row per ``url``. Spark broadcasts it where it is small;
-    otherwise the join is shuffled, and adaptive execution splits a post that
-    has very many comments.
+    The labels are stored first. Spark then knows their size and broadcasts
+    them where they are few; otherwise both sides of the join are plain
+    shuffles, so that adaptive execution can split a post with very many comments.
     """
     dates = links.select(F.col("url").alias("post_url"), F.col("post_date").alias("associated_post_date"))
-    return comments.join(dates, "post_url", "left")
+    return comments.join(materialize(dates, "post-dates"), "post_url", "left")
