@@ -166,6 +166,23 @@ def _(spark, sf_dir):
     return stored.select(*columns, times.utc_text(F.col("created_at")).alias("created_at"))
 
 
+# The same upsert in place, in a table of key buckets.
+@query("upsert_keyed", with_views("feedback", f"""
+SELECT coalesce(b.seq, t.seq) AS seq, customer_id, raw_text,
+       CAST(CASE WHEN b.seq IS NULL THEN t.complaint_intensity ELSE b.complaint_intensity + 10 END AS INTEGER)
+         AS complaint_intensity
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, raw_text ORDER BY seq DESC) AS n
+                     FROM feedback WHERE sentiment <> 'neutral') WHERE n = 1) b
+FULL JOIN {_FIRSTS} t USING (customer_id, raw_text)"""))
+def _(spark, sf_dir):
+    stored, batch = _target_and_batch(spark, sf_dir)
+    path = scratch_path(spark, "keyed")
+    writers.create_keyed(readers.read_table(spark, stored), path, FEEDBACK_KEY, 16)
+    changed = batch.filter("sentiment <> 'neutral'")
+    writers.upsert_keyed(spark, path, changed, FEEDBACK_KEY, ["seq"], 16)
+    return readers.read_table(spark, path).select("seq", *FEEDBACK_KEY, "complaint_intensity")
+
+
 @query("upsert_ignore", with_views("feedback", f"""
 SELECT seq, customer_id, raw_text, complaint_intensity, sentiment FROM {_FIRSTS}
 UNION ALL

@@ -89,6 +89,52 @@ def append_new(
     new_rows(spark.read.parquet(target_path), unique, keys, defaults).write.mode("append").parquet(target_path)
 
 
+BUCKET = "key_bucket"
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def _replace_buckets(df: DataFrame, path: str) -> None:
+    writer = df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BUCKET).parquet(path)
+
+
+def create_keyed(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Write a table in one partition per bucket of keys, for ``upsert_keyed``.
+
+    ``df`` has every key once, so buckets are even. Choose their number so that
+    one is a file or a few: an upsert rewrites whole buckets.
+    """
+    _replace_buckets(_bucketed(df, keys, buckets), path)
+
+
+def upsert_keyed(
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    keys: Sequence[str],
+    sequence: Sequence[str],
+    buckets: int,
+    defaults: Mapping[str, Column] | None = None,
+    keep: str = "last",
+) -> None:
+    """Upsert in place, reading and writing only the buckets that have keys of the batch.
+
+    The new buckets are complete in the scratch area before any is replaced.
+    After a failure, the same batch can be applied again.
+    """
+    choose = {"last": keep_last, "first": keep_first}[keep]
+    unique = materialize(_bucketed(choose(batch, keys, sequence), keys, buckets), "batch")
+    touched = [row[0] for row in unique.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return
+    target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
+    merged = materialize(merge_unique(target, unique, [*keys, BUCKET], defaults), "merged")
+    _replace_buckets(merged, path)
+
+
 def write_snapshots(feedback: DataFrame, path: str) -> None:
     """One partition per day. Days already there are replaced, others kept."""
     (

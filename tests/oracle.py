@@ -33,8 +33,14 @@ def _rows(names, rows):
     return sorted(names), sorted(plain, key=repr)
 
 
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
 def difference(df, con, sql: str) -> str | None:
     """What differs between a Spark frame and a SQL text; None if nothing does."""
+    want_types = {row[0]: _TYPES.get(row[1], row[1]) for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if dict(df.dtypes) != want_types:
+        return f"types {dict(df.dtypes)} != {want_types}"
     got_names, got = _rows(df.columns, df.collect())
     cursor = con.execute(sql)
     want_names, want = _rows([d[0] for d in cursor.description], cursor.fetchall())
@@ -43,6 +49,6 @@ def difference(df, con, sql: str) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     for a, b in zip(got, want):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
+        if a != b:
             return f"{a} != {b}"
     return None

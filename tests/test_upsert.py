@@ -115,6 +115,33 @@ def test_stored_upserts(spark, tmp_path):
     assert rows_of(spark.read.parquet(target)) == sorted({**by_key(reversed(new)), **old}.values())
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_keyed_upserts(spark, tmp_path, seed):
+    path = str(tmp_path / "keyed")
+    old = by_key(random_rows(40, seed, keys=30))
+    writers.create_keyed(spark.createDataFrame(list(old.values()), SCHEMA), path, KEYS, 8)
+    for step in range(2):
+        new = random_rows(15, seed + 50 + step, keys=40)
+        batch = spark.createDataFrame(new, SCHEMA)
+        for _ in range(2):  # a second time changes nothing
+            writers.upsert_keyed(spark, path, batch, KEYS, ["seq"], 8)
+        old |= by_key(new)
+        assert rows_of(spark.read.parquet(path).drop("key_bucket")) == sorted(old.values())
+    writers.upsert_keyed(spark, path, batch.limit(0), KEYS, ["seq"], 8)
+    assert spark.read.parquet(path).count() == len(old)
+
+
+def test_keyed_upserts_leave_other_buckets_alone(spark, tmp_path):
+    path = tmp_path / "keyed"
+    rows = [(f"c{i}", "t", 1, 1) for i in range(500)]
+    writers.create_keyed(spark.createDataFrame(rows, SCHEMA), str(path), KEYS, 32)
+    before = {f: f.stat().st_mtime_ns for f in path.glob("key_bucket=*/*.parquet")}
+    writers.upsert_keyed(spark, str(path), spark.createDataFrame([("c7", "t", 9, 2)], SCHEMA), KEYS, ["seq"], 32)
+    kept = {f for f in path.glob("key_bucket=*/*.parquet") if before.get(f) == f.stat().st_mtime_ns}
+    assert len(before) == 32 and len(kept) == 31
+    assert spark.read.parquet(str(path)).filter("customer_id = 'c7'").first().v == 9
+
+
 CSV = '''customer_id,feedback_category,sentiment,complaint_intensity,raw_text
 a,pricing,neutral,1,"first, with comma"
 b,pricing,neutral,2,"two
