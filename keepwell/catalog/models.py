@@ -25,32 +25,22 @@ VERSION = "champion_gbt"
 
 
 @cache
-def _tables(application: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spark = SparkSession.active()
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = enriched(spark, sf_dir).select(*SUBSCRIBERS.fieldNames())
     folded = materialize(features.stratified_folds(rows, "churn", "customer_id", 4), "subscribers")
     return folded.filter("fold > 0").drop("fold"), folded.filter("fold = 0").drop("fold")
 
 
 @cache
-def _run(application: str, sf_dir: str) -> tuple[churn.ChurnRun, str]:
-    spark = SparkSession.active()
-    train, test = _tables(application, sf_dir)
+def trained(spark: SparkSession, sf_dir: str) -> tuple[churn.ChurnRun, str]:
+    """One training run per session and data set, shared by the queries that only use its models."""
+    train, test = tables(spark, sf_dir)
     path = scratch_path(spark, "champion")
     run = churn.train_churn(train, test, model_path=path, n=1, folds=2, overrides=_QUICK)
     return run, path
 
 
-def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _tables(spark.sparkContext.applicationId, sf_dir)
-
-
-def trained(spark: SparkSession, sf_dir: str) -> tuple[churn.ChurnRun, str]:
-    """One training run per session and data set, shared by the queries that only use its models."""
-    return _run(spark.sparkContext.applicationId, sf_dir)
-
-
-def _coefficients(spark: SparkSession, sf_dir: str, name: str, **search) -> DataFrame:
+def _holdout(spark: SparkSession, sf_dir: str, name: str, **search) -> DataFrame:
     train, test = tables(spark, sf_dir)
     fitted = ml.train_models(train, names=[name], overrides=_QUICK, **search)
     return ml.holdout_scores(fitted, test).select("model", "customer_id", "y", F.bround("p", 4).alias("p"))
@@ -58,22 +48,22 @@ def _coefficients(spark: SparkSession, sf_dir: str, name: str, **search) -> Data
 
 @query("train_logreg")
 def _(spark, sf_dir):
-    return _coefficients(spark, sf_dir, "logreg")
+    return _holdout(spark, sf_dir, "logreg")
 
 
 @query("train_gbt_a")
 def _(spark, sf_dir):
-    return _coefficients(spark, sf_dir, "gbt_a", n=1, folds=2)
+    return _holdout(spark, sf_dir, "gbt_a", n=1, folds=2)
 
 
 @query("train_gbt_b")
 def _(spark, sf_dir):
-    return _coefficients(spark, sf_dir, "gbt_b", n=1, folds=2)
+    return _holdout(spark, sf_dir, "gbt_b", n=1, folds=2)
 
 
 @query("train_gbt_c")
 def _(spark, sf_dir):
-    return _coefficients(spark, sf_dir, "gbt_c", n=1, folds=2)
+    return _holdout(spark, sf_dir, "gbt_c", n=1, folds=2)
 
 
 @query("cv_search")

@@ -66,6 +66,17 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == before and len(before) == 8
 
 
+@pytest.mark.parametrize("delay", [None, "2 days"])
+def test_first_of_key_over_restarts(spark, tmp_path, delay):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    add(spark, source, [("a", "x", "first", hours(1)), ("b", "y", "first", hours(1))])
+    jobs.stream_first_of_key(stream(spark, source), out, state, delay=delay).awaitTermination()
+    add(spark, source, [("a", "x", "second", hours(2)), ("c", "z", "first", hours(3))])
+    jobs.stream_first_of_key(stream(spark, source), out, state, delay=delay).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.customer_id, r.sentiment) for r in rows) == [("a", "first"), ("b", "first"), ("c", "first")]
+
+
 def test_scores_of_a_stream_equal_batch_scores(spark, tmp_path):
     schema = "customer_id string, state string, customer_service_calls int, churn int"
     rows = [(f"c{i}", "AB"[i % 2], i % 9, int(i % 9 > 5)) for i in range(120)]
