@@ -1,0 +1,87 @@
+"""The command-line jobs, one after the other as they are used."""
+
+import json
+
+import pytest
+
+from keepwell.__main__ import main
+from keepwell.catalog import views
+from keepwell.catalog.features import enriched
+from keepwell.schemas import PAYLOAD_REQUIRED, SUBSCRIBERS
+from keepwell.sources import writers
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def home(spark, tmp_path_factory):
+    base = tmp_path_factory.mktemp("jobs")
+    rows = enriched(spark, SF).select(*SUBSCRIBERS.fieldNames())
+    rows.write.parquet(f"{base}/subscribers")
+    views.feedback(spark, SF).drop("seq").write.parquet(f"{base}/feedback")
+    main(["train", "--train", f"{base}/subscribers", "--test", f"{base}/subscribers", "--model", f"{base}/model",
+          "--comparison", f"{base}/comparison", "--rounds", "2"], spark)
+    return base
+
+
+def test_train(spark, home, capsys):
+    assert spark.read.parquet(f"{home}/comparison").count() == 20
+
+
+def test_churn(spark, home, capsys):
+    main(["churn", "--subscribers", f"{home}/subscribers", "--model", f"{home}/model"], spark)
+    document = json.loads(capsys.readouterr().out)
+    table = spark.read.parquet(f"{home}/subscribers")
+    assert document["total_customers"] == table.count() and len(document["top_risk_profiles"]) == 10
+    best = document["top_risk_profiles"][0]
+
+    main(["churn", "--subscribers", f"{home}/subscribers", "--model", f"{home}/model", "--customer", best["customer_id"]], spark)
+    profile = json.loads(capsys.readouterr().out)
+    assert profile["predictive_analytics"]["churn_probability"] == best["churn_probability"]
+    assert profile["customer_info"]["state_region"] == best["state_region"]
+
+    main(["check", "--subscribers", f"{home}/subscribers", "--model", f"{home}/model", "--customer", best["customer_id"]], spark)
+    assert json.loads(capsys.readouterr().out)["ml_churn_probability"] == best["churn_probability"]
+
+    with pytest.raises(SystemExit, match="no customer"):
+        main(["check", "--subscribers", f"{home}/subscribers", "--model", f"{home}/model", "--customer", "nobody"], spark)
+
+
+def test_predict(spark, home, tmp_path):
+    record = {c: "1" for c in PAYLOAD_REQUIRED}
+    lines = [{**record, "customer_id": "new"}, {**record, "area_code": "x"}]
+    (tmp_path / "records.json").write_text("\n".join(json.dumps(r) for r in lines))
+    main(["predict", "--records", str(tmp_path / "records.json"), "--model", f"{home}/model",
+          "--predictions", str(tmp_path / "predictions"), "--rejected", str(tmp_path / "rejected")], spark)
+    stored = spark.read.parquet(str(tmp_path / "predictions")).collect()
+    assert [(r.customer_id, r.model_version) for r in stored] == [("new", "champion_gbt")]
+    assert spark.read.parquet(str(tmp_path / "rejected")).first().errors == "area_code: not a number"
+
+
+def test_reputation_and_snapshots(spark, home, tmp_path, capsys):
+    main(["reputation", "--feedback", f"{home}/feedback", "--as-of", "2024-01-31 00:00:00"], spark)
+    document = json.loads(capsys.readouterr().out)
+    assert len(document["sentiment_over_time"]) == 30 and len(document["recent_mentions"]["feed"]) == 10
+    main(["snapshot", "--feedback", f"{home}/feedback", "--snapshots", str(tmp_path / "s")], spark)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 30
+
+
+def test_label(spark, tmp_path, capsys):
+    schema = "customer_id string, post_url string, username string, text string"
+    first = spark.createDataFrame([("a", "p", "u", "غالي"), ("a", "p", "u", "غالي"), ("b", "p", "u", " ")], schema)
+    writers.export_comments(first, str(tmp_path))
+    main(["label", "--comments", f"{tmp_path}/comments_*", "--out", f"{tmp_path}/f1"], spark)
+    rows = spark.read.parquet(f"{tmp_path}/f1").collect()
+    assert [(r.customer_id, r.feedback_category) for r in rows] == [("a", "pricing")]
+    main(["label", "--comments", f"{tmp_path}/comments_*", "--feedback", f"{tmp_path}/f1", "--out", f"{tmp_path}/f2"], spark)
+    assert spark.read.parquet(f"{tmp_path}/f2").collect() == rows
+
+
+def test_migrate(spark, home, tmp_path):
+    table = spark.read.parquet(f"{home}/subscribers")
+    table.write.option("header", True).csv(f"{tmp_path}/test_a")
+    argv = ["migrate", "--subscribers-csv", f"{tmp_path}/test*", "--out"]
+    main([*argv, f"{tmp_path}/one"], spark)
+    main([*argv, f"{tmp_path}/two", "--from", f"{tmp_path}/one"], spark)
+    rows = lambda path: sorted(map(tuple, spark.read.parquet(path).collect()), key=repr)
+    assert rows(f"{tmp_path}/one/subscribers") == rows(f"{tmp_path}/two/subscribers") == rows(f"{home}/subscribers")
