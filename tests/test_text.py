@@ -1,6 +1,7 @@
 """Text expressions against plain Python on awkward strings."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -44,6 +45,15 @@ def test_clean_random(spark, texts):
     assert collect(spark, texts, tx.clean_comment(F.col("t"))) == [clean(t) for t in texts]
 
 
+def test_clean_all_short_sequences(spark):
+    """Also where the removal of one phrase makes another."""
+    tokens = ["See", "translation", "Hide", "more", "Edited", " ", "See translation"]
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product(tokens, repeat=n)]
+    joined = [" ".join(t) for n in range(1, 6) for t in itertools.product(tokens[:5] + tokens[6:], repeat=n)]
+    for group in (texts, joined):
+        assert collect(spark, group, tx.clean_comment(F.col("t"))) == [clean(t) for t in group]
+
+
 def test_every_white_space_is_known(spark):
     spaces = [chr(c) for c in range(0x11000) if chr(c).isspace()]
     assert collect(spark, [f"a{s}{s}b" for s in spaces], tx.squeeze(F.col("t"))) == ["a b"] * len(spaces)
