@@ -316,6 +316,5 @@ def _(spark, sf_dir):
             ),
         }
     )
-    valid, bad = shaping.validate_payloads(broken)
-    both = valid.withColumn("errors", F.lit(None).cast("string")).unionByName(bad)
-    return both.select("customer_id", "account_length", "customer_service_calls", "complaint_intensity", "feedback_text", "errors")
+    checked = shaping.check_payloads(broken)
+    return checked.select("customer_id", "account_length", "customer_service_calls", "complaint_intensity", "feedback_text", "errors")

@@ -81,13 +81,9 @@ def clean_id(value: Column) -> Column:
     return F.translate(strip(value.cast("string")), "\"'", "")
 
 
-def is_age(text: Column) -> Column:
-    """A relative age such as ``3d`` or ``12w``, in any script's digits."""
-    return text.rlike(r"(?U)^\d+[dhwmy]$")
-
-
-def is_number(text: Column) -> Column:
-    return text.rlike(r"(?U)^\d+$")
+def is_age_or_number(text: Column) -> Column:
+    """A relative age such as ``3d`` or ``12w``, or only digits, of any script."""
+    return text.rlike(r"(?U)^\d+[dhwmy]?$")
 
 
 def is_author(name: Column, blocked: Sequence[str] = BLOCKED_AUTHORS) -> Column:
@@ -96,8 +92,7 @@ def is_author(name: Column, blocked: Sequence[str] = BLOCKED_AUTHORS) -> Column:
     return (
         (F.length(name) >= 3)
         & ~name.isin(*blocked)
-        & ~is_age(name)
-        & ~is_number(name)
+        & ~is_age_or_number(name)
         & ~F.contains(folded, F.lit("facebook.com"))
         & ~F.contains(folded, F.lit("privacy"))
         & ~F.contains(name, F.lit("/"))
@@ -113,8 +108,7 @@ def _is_comment_line(line: Column) -> Column:
     folded = F.lower(line)
     return (
         ~line.isin(*UI_LINES)
-        & ~is_age(line)
-        & ~is_number(line)
+        & ~is_age_or_number(line)
         & ~F.contains(folded, F.lit("replied"))
         & ~F.contains(folded, F.lit("replies"))
         & ~(F.contains(line, F.lit("See translation")) & (F.length(line) < 20))
@@ -122,33 +116,38 @@ def _is_comment_line(line: Column) -> Column:
 
 
 def _lines_after_author(lines: Column, author: Column) -> Column:
-    mentions = F.transform(lines, lambda line: F.contains(line, author))
-    named = F.struct(lines.alias("lines"), mentions.alias("by"), F.array_position(mentions, True).alias("first"))
-    return let(
-        named,
-        lambda box: F.filter(
-            box["lines"],
-            lambda line, i: (box["first"] > 0)
-            & (i >= box["first"])
-            & ~F.contains(line, author)
-            & _is_comment_line(line),
-        ),
-    )
+    def after(first: Column, lines: Column) -> Column:
+        return F.filter(
+            lines,
+            lambda line, i: (first > 0) & (i >= first) & ~F.contains(line, author) & _is_comment_line(line),
+        )
+
+    def search(lines: Column) -> Column:
+        mentions = F.transform(lines, lambda line: F.contains(line, author))
+        return let(F.array_position(mentions, True), lambda first: after(first, lines))
+
+    return let(lines, search)
 
 
 def _container_text(container: Column, author: Column) -> Column:
+    """The comment in one box, null without one."""
     big_enough = F.contains(container, author) & (F.length(container) > F.length(author) + 10)
     lines = F.filter(F.transform(F.split(container, "\n"), strip), lambda line: line != "")
-    return F.when(big_enough, F.array_join(_lines_after_author(lines, author), " ")).otherwise("")
+    text = F.array_join(_lines_after_author(lines, author), " ")
+    return F.when(big_enough, F.nullif(text, F.lit("")))
 
 
 def comment_body(author: Column, containers: Column) -> Column:
     """The comment inside the boxes around an author's name, innermost box first.
 
-    A box counts if it names the author and has at least ten more characters;
+    A box counts if it names the author and has more than ten other characters;
     its lines after the first one naming the author, without interface lines,
-    are the comment. Null where no box gives one.
+    are the comment. Null where no box gives one. Boxes behind the first hit aren't looked at.
     """
-    nearest = F.slice(containers, 1, _MAX_CONTAINERS)
-    texts = F.transform(nearest, lambda box: let(strip(box), lambda b: _container_text(b, author)))
-    return F.get(F.filter(texts, lambda text: text != ""), F.lit(0))
+    return F.aggregate(
+        F.slice(containers, 1, _MAX_CONTAINERS),
+        F.lit(None).cast("string"),
+        lambda found, box: F.when(found.isNotNull(), found).otherwise(
+            let(strip(box), lambda inner: _container_text(inner, author))
+        ),
+    )

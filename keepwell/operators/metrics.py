@@ -3,7 +3,7 @@
 Everything that needs an order works on a histogram of scores. Stored scores
 have four decimals, so a group has at most 10,001 distinct ones, however many
 rows it has; scores with more decimals are rounded to ``digits`` first.
-``exact_areas`` ranks the scores as they are.
+``exact_area`` ranks the scores as they are.
 """
 
 from __future__ import annotations
@@ -19,14 +19,21 @@ SCORE_DIGITS = 4
 
 
 def confusion_matrix(
-    df: DataFrame, threshold: float = DEFAULT_THRESHOLD, by: Sequence[str] = ()
+    df: DataFrame, threshold: float = DEFAULT_THRESHOLD, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
+    """Rows per cell; with ``weight``, a column of counts, each row stands for that many."""
     said, is_true = F.col("p") >= F.lit(threshold), F.col("y") == 1
+
+    def cell(condition: Column) -> Column:
+        if weight is None:
+            return F.count_if(condition)
+        return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
     return df.groupBy(*by).agg(
-        F.count_if(~is_true & ~said).alias("tn"),
-        F.count_if(~is_true & said).alias("fp"),
-        F.count_if(is_true & ~said).alias("fn"),
-        F.count_if(is_true & said).alias("tp"),
+        cell(~is_true & ~said).alias("tn"),
+        cell(~is_true & said).alias("fp"),
+        cell(is_true & ~said).alias("fn"),
+        cell(is_true & said).alias("tp"),
     )
 
 
@@ -36,7 +43,7 @@ def _scores(right: Column, said: Column, true: Column) -> tuple[Column, Column,
 
 
 def classification_report(
-    df: DataFrame, threshold: float = DEFAULT_THRESHOLD, by: Sequence[str] = ()
+    df: DataFrame, threshold: float = DEFAULT_THRESHOLD, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Per class, overall and averaged precision, recall, F1 and support, to four decimals.
 
@@ -70,7 +77,7 @@ def classification_report(
             for name, precision, recall, f1_score, support in lines
         ]
     )
-    return confusion_matrix(df, threshold, by).select(*by, F.inline(report))
+    return confusion_matrix(df, threshold, by, weight).select(*by, F.inline(report))
 
 
 def score_histogram(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
@@ -144,13 +151,17 @@ def roc_pr_curve(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGI
     )
 
 
-def exact_areas(df: DataFrame) -> dict[str, float]:
-    """Areas under the ROC and precision-recall curves over unrounded scores."""
+def exact_area(df: DataFrame, metric: str = "areaUnderROC", weight: str | None = None) -> float:
+    """Area under the ROC (or, ``areaUnderPR``, precision-recall) curve over unrounded scores.
+
+    Equal scores are counted before they are sorted.
+    """
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows = df.select(F.col("p").cast("double").alias("p"), F.col("y").cast("double").alias("y"))
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0)
-    return {
-        "roc_auc": evaluator.evaluate(rows, {evaluator.metricName: "areaUnderROC"}),
-        "pr_auc": evaluator.evaluate(rows, {evaluator.metricName: "areaUnderPR"}),
-    }
+    p, y = F.col("p").cast("double").alias("p"), F.col("y").cast("double").alias("y")
+    rows = F.count("*") if weight is None else F.sum(weight)
+    counts = df.groupBy(p, y).agg(rows.cast("double").alias("n"))
+    evaluator = BinaryClassificationEvaluator(
+        rawPredictionCol="p", labelCol="y", weightCol="n", metricName=metric, numBins=0
+    )
+    return float(evaluator.evaluate(counts))

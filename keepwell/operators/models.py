@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from keepwell.functions.risk import DEFAULT_THRESHOLD
 from keepwell.operators.features import MISSING, class_weight, feature_columns, stratified_folds, target_column
-from keepwell.operators.metrics import classification_report, exact_areas
+from keepwell.operators.metrics import classification_report, exact_area
 from keepwell.operators.scoring import PROBABILITY
+from keepwell.session import materialize
 
 SEED = 42
 FOLDS = 3
@@ -150,8 +151,8 @@ def random_search(
             for fold in range(folds):
                 fitted = boosted_trees(**params).fit(folded.filter(F.col("fold") != fold))
                 held_out = fitted.transform(folded.filter(F.col("fold") == fold))
-                auc = exact_areas(held_out.select(probability_column("p"), F.col("label").alias("y")))["roc_auc"]
-                trials.append((number, str(params), fold, float(auc)))
+                auc = exact_area(held_out.select(probability_column("p"), F.col("label").alias("y")))
+                trials.append((number, str(params), fold, auc))
         means = [sum(t[3] for t in trials if t[0] == i) / folds for i in range(len(candidates))]
         best = candidates[means.index(max(means))]
         model = boosted_trees(**best).fit(folded)
@@ -219,13 +220,14 @@ def holdout_scores(trained: Trained, holdout: DataFrame, key: str = "customer_id
 
 def compare_models(scores: DataFrame, names: Sequence[str], threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """(model, roc_auc, pr_auc) with the classification report of each model at the threshold."""
-    spark = scores.sparkSession
+    counts = scores.groupBy("model", "y", "p").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "score-counts")  # the holdout is scored once for all figures
     areas = []
     for name in names:
-        found = exact_areas(scores.filter(F.col("model") == name))
-        areas.append((name, found["roc_auc"], found["pr_auc"]))
-    table = spark.createDataFrame(areas, "model string, roc_auc double, pr_auc double")
-    report = classification_report(scores, threshold, by=["model"])
+        own = counts.filter(F.col("model") == name)
+        areas.append((name, exact_area(own, "areaUnderROC", "n"), exact_area(own, "areaUnderPR", "n")))
+    table = scores.sparkSession.createDataFrame(areas, "model string, roc_auc double, pr_auc double")
+    report = classification_report(counts, threshold, ["model"], "n")
     return report.join(F.broadcast(table), "model")  # one row per model
 
 

@@ -24,7 +24,7 @@ def auc(rows):
 def test_auc(spark, seed):
     rows = pairs(300, seed)
     assert metrics.roc_auc(table(spark, rows)).first().auc == pytest.approx(auc(rows), abs=1e-6)
-    assert metrics.exact_areas(table(spark, rows))["roc_auc"] == pytest.approx(auc(rows))
+    assert metrics.exact_area(table(spark, rows)) == pytest.approx(auc(rows))
 
 
 def test_auc_ignores_monotone_changes(spark):
@@ -33,9 +33,9 @@ def test_auc_ignores_monotone_changes(spark):
     assert metrics.roc_auc(table(spark, rows)).first().auc == metrics.roc_auc(table(spark, bent)).first().auc
 
 
-def test_exact_areas_see_near_ties(spark):
+def test_exact_area_see_near_ties(spark):
     rows = [(1, 0.50002), (0, 0.50001)]
-    assert metrics.exact_areas(table(spark, rows))["roc_auc"] == 1.0
+    assert metrics.exact_area(table(spark, rows)) == 1.0
     assert metrics.roc_auc(table(spark, rows)).first().auc == 0.5
 
 

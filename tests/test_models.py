@@ -177,7 +177,7 @@ def test_audit_comes_with_a_run(run):
     assert got["rows"] == 600 and got["missing_total"] > 0
 
 
-def test_exact_areas_of_a_model(run, test):
+def test_exact_area_of_a_model(run, test):
     scores = ml.holdout_scores(run[0].trained, test).filter("model = 'logreg'")
-    exact = metrics.exact_areas(scores)["roc_auc"]
+    exact = metrics.exact_area(scores)
     assert metrics.roc_auc(scores).first().auc == pytest.approx(exact, abs=0.002)
