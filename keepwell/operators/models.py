@@ -141,25 +141,22 @@ def random_search(
     """Stratified cross-validation of sampled candidates by ROC AUC; the best is refitted on all rows.
 
     ``rows`` come from ``training_rows``. The loop runs over fits; each fit is a distributed job.
+    The folded rows are a stored table: what many iterations read must not be computed again
+    when an executor is lost. The learners cache their own form of it.
     """
-    spark = rows.sparkSession
-    folded = stratified_folds(rows, "label", rows.columns[0], folds).persist()
+    folded = materialize(stratified_folds(rows, "label", rows.columns[0], folds), "folds")
     candidates = [{**c, **(overrides or {})} for c in sample_candidates(space, n)]
     trials = []
-    try:
-        for number, params in enumerate(candidates):
-            for fold in range(folds):
-                fitted = boosted_trees(**params).fit(folded.filter(F.col("fold") != fold))
-                held_out = fitted.transform(folded.filter(F.col("fold") == fold))
-                auc = exact_area(held_out.select(probability_column("p"), F.col("label").alias("y")))
-                trials.append((number, str(params), fold, auc))
-        means = [sum(t[3] for t in trials if t[0] == i) / folds for i in range(len(candidates))]
-        best = candidates[means.index(max(means))]
-        model = boosted_trees(**best).fit(folded)
-    finally:
-        folded.unpersist()
-    table = spark.createDataFrame(trials, "candidate int, params string, fold int, auc double")
-    return Search(model, best, table)
+    for number, params in enumerate(candidates):
+        for fold in range(folds):
+            fitted = boosted_trees(**params).fit(folded.filter(F.col("fold") != fold))
+            held_out = fitted.transform(folded.filter(F.col("fold") == fold))
+            auc = exact_area(held_out.select(probability_column("p"), F.col("label").alias("y")))
+            trials.append((number, str(params), fold, auc))
+    means = [sum(t[3] for t in trials if t[0] == i) / folds for i in range(len(candidates))]
+    best = candidates[means.index(max(means))]
+    table = rows.sparkSession.createDataFrame(trials, "candidate int, params string, fold int, auc double")
+    return Search(boosted_trees(**best).fit(folded), best, table)
 
 
 @dataclass
@@ -184,17 +181,14 @@ def train_models(
 ) -> Trained:
     """Fit the named learners. ``overrides`` fix tree parameters, e.g. fewer iterations for a trial run."""
     prepared = preprocessing(train).fit(train)
-    rows = training_rows(prepared, train, key).persist()
+    rows = materialize(training_rows(prepared, train, key), "training")
     models, trials = {}, {}
-    try:
-        for name in names:
-            if name == "logreg":
-                models[name] = logistic_regression(rows.count()).fit(rows)
-            else:
-                search = random_search(rows, SPACES[name], n, folds, overrides)
-                models[name], trials[name] = search.model, search.trials
-    finally:
-        rows.unpersist()
+    for name in names:
+        if name == "logreg":
+            models[name] = logistic_regression(rows.count()).fit(rows)
+        else:
+            search = random_search(rows, SPACES[name], n, folds, overrides)
+            models[name], trials[name] = search.model, search.trials
     return Trained(prepared, models, trials)
 
 
