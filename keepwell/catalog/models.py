@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keepwell.catalog import query
 from keepwell.catalog.features import enriched
+from keepwell.catalog.views import with_views
 from keepwell.operators import features, scoring
 from keepwell.operators import models as ml
 from keepwell.plans import churn
 from keepwell.plans.dashboards import churn as churn_dashboard
 from keepwell.schemas import SUBSCRIBERS
 from keepwell.session import materialize, scratch_path
-from keepwell.sources import readers, writers
 
 _QUICK = {"maxIter": 5, "maxDepth": 3}
 VERSION = "champion_gbt"
@@ -111,21 +111,14 @@ def _(spark, sf_dir):
     return scoring.customer_profile(_scored(spark, sf_dir))
 
 
-# Scores of the model in memory and of the same model read back.
-@query("model_reload_score")
+# Scores of the model in memory against those of the same model read back.
+@query("model_reload_score", with_views("subscribers", "SELECT customer_id, true AS same FROM subscribers"))
 def _(spark, sf_dir):
     run, path = trained(spark, sf_dir)
     rows = enriched(spark, sf_dir)
     again = ml.score(ml.load_pipeline(path), rows).select("customer_id", F.col("churn_probability").alias("reloaded"))
     both = ml.score(run.champion_model, rows).select("customer_id", "churn_probability").join(again, "customer_id")
-    return both.withColumn("same", F.col("churn_probability") == F.col("reloaded"))
-
-
-@query("prediction_log")
-def _(spark, sf_dir):
-    path = scratch_path(spark, "predictions")
-    writers.append_predictions(scoring.prediction_records(_scored(spark, sf_dir), VERSION), path)
-    return readers.read_table(spark, path)
+    return both.select("customer_id", (F.col("churn_probability") == F.col("reloaded")).alias("same"))
 
 
 @query("feature_importance")

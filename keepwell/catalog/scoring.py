@@ -8,6 +8,8 @@ from keepwell.catalog import query
 from keepwell.catalog.features import _ENRICHED, enriched
 from keepwell.catalog.views import predictions, subscribers, with_views
 from keepwell.operators import scoring
+from keepwell.session import scratch_path
+from keepwell.sources import readers, writers
 
 _RISK = "CASE WHEN churn_probability >= 0.4 THEN 'High' ELSE 'Low' END"
 
@@ -62,6 +64,22 @@ def _(spark, sf_dir):
     return scoring.customer_profile(_scored(spark, sf_dir))
 
 
+# Two runs of two model versions, appended to one log.
+@query("prediction_log", with_views("predictions", f"""
+SELECT customer_id, churn_probability, {_RISK} AS churn_risk_level, churn_probability >= 0.4 AS action_required,
+       model_version, true AS dated
+FROM (SELECT customer_id, churn_probability, 'v1' AS model_version FROM predictions
+      UNION ALL SELECT customer_id, round_even(1 - churn_probability, 4), 'v2' FROM predictions)"""))
+def _(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    rows = predictions(spark, sf_dir)
+    writers.append_predictions(scoring.prediction_records(rows, "v1"), path)
+    reverse = rows.withColumn("churn_probability", F.bround(1 - F.col("churn_probability"), 4))
+    writers.append_predictions(scoring.prediction_records(reverse, "v2"), path)
+    stored = readers.read_table(spark, path)
+    return stored.withColumn("dated", F.col("predicted_at").isNotNull()).drop("predicted_at")
+
+
 # Null fields are left out of a document; small numbers are written with an exponent.
 _FIELDS = " || ".join(
     f"coalesce(',\"{name}\":' || {value}, '')"
