@@ -35,20 +35,19 @@ def tone_counts(condition: Column | None = None, prefix: str = "") -> list[Colum
     return [F.count_if(within & (tone == name)).alias(prefix + name) for name in TONES]
 
 
-def overall(feedback: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Every scalar of the dashboard in one row, from one pass over the feedback.
-
-    ``total`` counts all rows, also those without a known sentiment. Spark
-    prunes the aggregates a caller doesn't select.
-    """
-    now = _now(as_of)
+def _counts(feedback: DataFrame, now: Column) -> list[Column]:
+    """All rows and rows older than a week, each with their tones."""
     old = event_time(feedback, now) < days_before(now, 7)
-    counts = feedback.agg(
+    return [
         F.count("*").alias("total"),
         *tone_counts(),
         F.count_if(old).alias("history_total"),
         *tone_counts(old, "history_"),
-    )
+    ]
+
+
+def _with_scores(counts: DataFrame) -> DataFrame:
+    """Score, trend and shares beside the counts they follow from."""
     total = F.col("total")
     scored = counts.withColumns(
         {
@@ -66,6 +65,15 @@ def overall(feedback: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
 
 
+def overall(feedback: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Every scalar of the dashboard in one row, from one pass over the feedback.
+
+    ``total`` counts all rows, also those without a known sentiment. Spark
+    prunes the aggregates a caller doesn't select.
+    """
+    return _with_scores(feedback.agg(*_counts(feedback, _now(as_of))))
+
+
 def sentiment_distribution(feedback: DataFrame) -> DataFrame:
     return overall(feedback).select(*TONES)
 
@@ -94,12 +102,16 @@ def reputation_dashboard(feedback: DataFrame, as_of: Column | None = None) -> Da
     )
 
 
+def _per_day(feedback: DataFrame, now: Column) -> DataFrame:
+    day = F.to_date(event_time(feedback, now)).alias("snapshot_date")
+    counts = feedback.groupBy(day).agg(*_counts(feedback, now))
+    return counts.withColumn("score", net_score(F.col("positive"), F.col("negative"), F.col("total")))
+
+
 def daily_counts(feedback: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """One row per day: volume, tones and score."""
-    day = F.to_date(event_time(feedback, _now(as_of))).alias("snapshot_date")
-    counts = feedback.groupBy(day).agg(F.count("*").alias("volume"), *tone_counts())
-    score = net_score(F.col("positive"), F.col("negative"), F.col("volume"))
-    return counts.select("snapshot_date", score.alias("score"), "volume", *TONES)
+    """One row per day: score, volume and tones."""
+    days = _per_day(feedback, _now(as_of))
+    return days.select("snapshot_date", "score", F.col("total").alias("volume"), *TONES)
 
 
 def sentiment_over_time(feedback: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -137,25 +149,33 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
     )
 
 
-def recent_mentions(
-    feedback: DataFrame,
-    as_of: Column | None = None,
-    n: int = 10,
-    source: str = "facebook",
-    tie_break: Sequence[str] = (),
-) -> DataFrame:
-    """The newest ``n`` mentions from one source (from all, if the table has no ``source``)."""
+def _newest(
+    feedback: DataFrame, now: Column, n: int, source: str, tie_break: Sequence[str]
+) -> tuple[DataFrame, list[Column]]:
+    """The newest ``n`` rows with their time ``_at``, and the fields shown of a mention."""
     rows = feedback
     if "source" in feedback.columns:
         rows = rows.filter(F.lower(F.col("source")) == source.lower())
-    moment = event_time(feedback, _now(as_of))
+    moment = event_time(feedback, now)
     newest = rows.withColumn("_at", moment).orderBy(F.desc("_at"), *[F.desc(c) for c in tie_break]).limit(n)
-    return newest.select(
+    return newest, [
         first_existing(feedback, ["username", "user_name"], NOBODY).alias("user_name"),
         first_existing(feedback, ["raw_text", "feedback_text"], "").alias("comment"),
         first_existing(feedback, ["sentiment"], "neutral").alias("sentiment"),
         date_text(F.col("_at")).alias("timestamp"),
-    )
+    ]
+
+
+def recent_mentions(
+    feedback: DataFrame,
+    as_of: Column | None = None,
+    n: int = 10,
+    source: str = "facebook",
+    tie_break: Sequence[str] = (),
+) -> DataFrame:
+    """The newest ``n`` mentions from one source (from all, if the table has no ``source``)."""
+    newest, fields = _newest(feedback, _now(as_of), n, source, tie_break)
+    return newest.select(*fields)
 
 
 def reputation_summary(feedback: DataFrame) -> DataFrame:
@@ -181,19 +201,29 @@ def reputation_summary(feedback: DataFrame) -> DataFrame:
 def reputation_document(feedback: DataFrame, as_of: Column | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
     """The whole dashboard as one JSON text.
 
-    The lists in it hold one entry per calendar day and the ten newest mentions.
+    The feedback is counted per day in one pass; the totals are sums over days.
+    The lists hold one entry per calendar day and the ten newest mentions.
     """
-    row = overall(feedback, as_of)
-    days = sentiment_over_time(feedback, as_of).agg(
-        F.sort_array(F.collect_list(F.struct("date", "daily_sentiment_score", "volume")))
+    now = _now(as_of)
+    sums = [
+        F.coalesce(F.sum(prefix + name), F.lit(0)).alias(prefix + name)
+        for prefix in ("", "history_")
+        for name in ("total", *TONES)
+    ]
+    day = F.struct(
+        date_text(F.col("snapshot_date")).alias("date"),
+        F.col("score").alias("daily_sentiment_score"),
+        F.col("total").alias("volume"),
     )
-    newest = recent_mentions(feedback, as_of, tie_break=tie_break)
-    feed = newest.agg(F.collect_list(F.struct("user_name", "comment", "sentiment", "timestamp")))
+    row = _with_scores(_per_day(feedback, now).agg(*sums, F.sort_array(F.collect_list(day)).alias("days")))
+    newest, fields = _newest(feedback, now, 10, "facebook", tie_break)
+    entries = F.collect_list(F.struct("_at", *tie_break, F.struct(*fields).alias("mention")))
+    feed = newest.agg(F.transform(F.sort_array(entries, asc=False), lambda entry: entry["mention"]))
     shares = [percent_text(F.col(f"{t}_share")).alias(t) for t in TONES]
     document = F.struct(
         F.struct(F.col("score").alias("score_out_of_100"), "vs_last_week").alias("overall_sentiment"),
         F.struct(*TONES).alias("distribution"),
-        days.scalar().alias("sentiment_over_time"),
+        F.col("days").alias("sentiment_over_time"),
         F.struct("selected_period", *shares).alias("sentiment_mix_percentage"),
         F.struct(F.lit(FEED).alias("platform_source"), feed.scalar().alias("feed")).alias("recent_mentions"),
     )

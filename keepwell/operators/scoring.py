@@ -11,6 +11,7 @@ from keepwell.functions.numbers import percent_text
 from keepwell.functions.risk import DEFAULT_THRESHOLD, at_risk, risk_level, risk_level_with_intent
 from keepwell.functions.text import clean_id
 from keepwell.schemas import existing, first_existing
+from keepwell.session import materialize
 
 PROBABILITY = "churn_probability"
 STORED_DIGITS = 4
@@ -30,7 +31,8 @@ def lookup_customer(table: DataFrame, customer_id: str) -> DataFrame:
 def lookup_customers(table: DataFrame, requests: DataFrame, column: str = "customer_id") -> DataFrame:
     """The rows of the customers asked for, however the ids were typed."""
     wanted = requests.select(clean_id(F.col(column)).alias("customer_id")).distinct()
-    return table.join(wanted, "customer_id", "left_semi")
+    # stored, so that its size is known and a customer with very many rows can be split
+    return table.join(materialize(wanted, "wanted"), "customer_id", "left_semi")
 
 
 def with_risk(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
