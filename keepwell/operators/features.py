@@ -65,6 +65,22 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.select("feature", "value", F.col("code").cast("bigint").alias("code"))
 
 
+def with_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with categories replaced by their codes in a stored ``category_codes`` table.
+
+    A value the table lacks gets the next code. Spark broadcasts the codes of
+    a column where they are few and joins by shuffle where they are not, so
+    this also serves columns with too many categories for a model's own index.
+    """
+    for name in columns:
+        own = codes.filter(F.col("feature") == name)
+        size = own.agg(F.count("*")).scalar()
+        known = own.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        df = df.join(known, filled_category(name) == F.col("_value"), "left")
+        df = df.withColumn(name, F.coalesce("_code", size)).drop("_value", "_code")
+    return df
+
+
 def feature_matrix(df: DataFrame, keep: Sequence[str] = (), is_inference: bool = False) -> DataFrame:
     """``keep`` columns, features in table order, and ``label`` where the table has one.
 
@@ -73,20 +89,14 @@ def feature_matrix(df: DataFrame, keep: Sequence[str] = (), is_inference: bool =
     """
     numeric, categorical = feature_columns(df)
     target = target_column(df)
-    out = df
+    coded = df
     if categorical:
-        codes = materialize(category_codes(df, categorical), "category-codes")
-        for name in categorical:
-            own = codes.filter(F.col("feature") == name).select(
-                F.col("value").alias(f"_value_{name}"), F.col("code").alias(f"_code_{name}")
-            )
-            out = out.join(own, filled_category(name) == F.col(f"_value_{name}"), "left")
-    order = drop_non_features(df).columns
+        coded = with_codes(df, materialize(category_codes(df, categorical), "category-codes"), categorical)
     features = [
-        F.col(f"_code_{c}").alias(c) if c in categorical else filled_number(df, c) for c in order
+        F.col(c) if c in categorical else filled_number(df, c) for c in drop_non_features(df).columns
     ]
     label = [F.col(target).alias("label")] if target and not is_inference else []
-    return out.select(*keep, *features, *label)
+    return coded.select(*keep, *features, *label)
 
 
 def class_weight(df: DataFrame, label: str = "churn") -> DataFrame:

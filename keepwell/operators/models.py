@@ -33,6 +33,25 @@ SPACES: Mapping[str, Mapping[str, Sequence[Any]]] = {
 CHAMPION = "gbt_c"
 
 
+# A fitted index lives in the driver and in every task, so its size is checked first.
+MAX_CATEGORIES = 1_000_000
+
+
+class TooManyCategories(ValueError):
+    """A column that is no category for a model's own index."""
+
+
+def check_categories(df: DataFrame, limit: int = MAX_CATEGORIES) -> None:
+    """Fail where a column has more distinct values than an index should hold."""
+    _, categorical = feature_columns(df)
+    if not categorical:
+        return
+    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    large = [c for c in categorical if counts[c] > limit]
+    if large:
+        raise TooManyCategories(f"{large} have over {limit} values: leave them out or use features.with_codes")
+
+
 def preprocessing(df: DataFrame) -> Pipeline:
     """Stages from raw columns to ``features``; fitted once, applied to every later table.
 
@@ -180,6 +199,7 @@ def train_models(
     overrides: Mapping[str, Any] | None = None,
 ) -> Trained:
     """Fit the named learners. ``overrides`` fix tree parameters, e.g. fewer iterations for a trial run."""
+    check_categories(train)
     prepared = preprocessing(train).fit(train)
     rows = materialize(training_rows(prepared, train, key), "training")
     models, trials = {}, {}

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.operators import metrics
+from keepwell.operators import features, metrics
 from keepwell.operators import models as ml
 from keepwell.operators.features import MISSING
 from keepwell.plans import churn, dashboards
+from keepwell.session import materialize
 
 SCHEMA = "customer_id string, state string, account_length int, total_day_minutes double, customer_service_calls int, churn int"
 
@@ -126,6 +127,24 @@ def test_many_categories(spark):
     assert ml.score(trained.pipeline("gbt_c"), df).count() == 400
 
 
+def test_category_index_is_bounded(spark, train):
+    ml.check_categories(train)
+    with pytest.raises(ml.TooManyCategories, match="state"):
+        ml.check_categories(train, limit=2)
+
+
+def test_columns_with_stored_codes(spark, train):
+    """The way for more categories: codes from a table, also for values it lacks."""
+    codes = materialize(features.category_codes(train, ["state"]), "codes")
+    fresh = spark.createDataFrame([("a", "C"), ("b", None), ("c", "Z")], "customer_id string, state string")
+    got = {r.customer_id: r.state for r in features.with_codes(fresh, codes, ["state"]).collect()}
+    assert got == {"a": 2, "b": 3, "c": 4}
+    coded = features.with_codes(train, codes, ["state"])
+    assert ml.feature_columns(coded)[1] == []
+    model = ml.train_models(coded, names=["gbt_c"], n=1, folds=2, overrides={"maxIter": 1}).pipeline("gbt_c")
+    assert ml.score(model, coded).count() == 600
+
+
 def test_regression_reaches_the_penalised_optimum(train):
     prepared = ml.preprocessing(train).fit(train)
     data = ml.training_rows(prepared, train)
