@@ -154,13 +154,15 @@ def roc_pr_curve(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGI
 def exact_area(df: DataFrame, metric: str = "areaUnderROC", weight: str | None = None) -> float:
     """Area under the ROC (or, ``areaUnderPR``, precision-recall) curve over unrounded scores.
 
-    Equal scores are counted before they are sorted.
+    Equal scores are counted before they are sorted; with ``weight``, they have been.
     """
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     p, y = F.col("p").cast("double").alias("p"), F.col("y").cast("double").alias("y")
-    rows = F.count("*") if weight is None else F.sum(weight)
-    counts = df.groupBy(p, y).agg(rows.cast("double").alias("n"))
+    if weight is None:
+        counts = df.groupBy(p, y).agg(F.count("*").cast("double").alias("n"))
+    else:
+        counts = df.select(p, y, F.col(weight).cast("double").alias("n"))
     evaluator = BinaryClassificationEvaluator(
         rawPredictionCol="p", labelCol="y", weightCol="n", metricName=metric, numBins=0
     )
