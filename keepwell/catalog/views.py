@@ -289,7 +289,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.element_at(
         F.array(F.lit("/posts"), F.lit("/reel"), F.lit("/about"), F.lit("/posts")), (F.col("position") % 4 + 1).cast("int")
     )
-    label = F.substring("href", 2, 1000)
+    label = F.substr(F.col("href"), F.lit(2))
     kind = (F.col("page_id") + F.col("position")) % 6
     return hrefs.select(
         "host",
@@ -319,7 +319,7 @@ _sql(
        CASE kind WHEN 0 THEN label || ' h' END AS title,
        CASE kind WHEN 3 THEN ' ' WHEN 4 THEN 'Video 1' ELSE ' ' || label END AS text,
        CASE kind WHEN 3 THEN label || ' around ' WHEN 5 THEN '' END AS parent_text
-FROM (SELECT *, substring(href, 2, 1000) AS label, (page_id + position) % 6 AS kind FROM hrefs)""",
+FROM (SELECT *, substring(href, 2) AS label, (page_id + position) % 6 AS kind FROM hrefs)""",
     needs=("hrefs",),
 )
 
