@@ -15,7 +15,6 @@ from keepwell.plans import ingest
 
 # White space for the twins, whose regular expressions are ASCII by default.
 _S = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _strip(column: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keepwell.functions.numbers import net_score, percent_text, percentage, signed_text
 from keepwell.functions.times import date_text, days_before, event_time
-from keepwell.operators.labels import CATEGORIES
+from keepwell.operators.labels import CATEGORIES, SENTIMENTS
 from keepwell.schemas import first_existing
 
 # Fixed values of the dashboard.
@@ -18,7 +18,7 @@ ALL_TIME = "All Available Records"
 NO_DATA = "No Data"
 FEED = "Live feed from Facebook"
 
-TONES = ("positive", "neutral", "negative")
+TONES = SENTIMENTS
 
 # Bands of the older summary: lowest net score (-100..100) and what it is called. Ours.
 HEALTH_BANDS = ((20.0, "Healthy / Positive Brand Perception"), (-10.0, "Stable / Mixed Brand Perception"))

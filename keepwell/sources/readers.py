@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from keepwell.schemas import COMMENTS, SUBSCRIBERS
+from keepwell.schemas import COMMENTS, SNAPSHOTS, SUBSCRIBERS
 
 
 # Where a row stands in its file; compares like the order of lines.
@@ -80,7 +80,9 @@ def latest_path(spark: SparkSession, pattern: str) -> str:
 
 
 def read_latest_comments(spark: SparkSession, pattern: str) -> DataFrame:
-    """The newest export among the directories that match, e.g. ``.../comments_*``."""
+    """The newest export that matches: of directories (``.../comments_*``) or of JSON array files (``.../comments_*.json``)."""
+    if pattern.endswith(".json"):
+        return read_json_comments(spark, latest_path(spark, pattern))
     part = latest_path(spark, f"{pattern}/part-*")
     return read_json_lines(spark, part.rsplit("/", 1)[0])
 
@@ -91,7 +93,7 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 def read_snapshots(spark: SparkSession, path: str, date: datetime.date | str | None = None) -> DataFrame:
     """Reputation snapshots, newest first. A date reads its partition only."""
-    snapshots = spark.read.parquet(path)
+    snapshots = spark.read.schema(SNAPSHOTS).parquet(path)
     if date is not None:
         snapshots = snapshots.filter(F.col("snapshot_date") == F.lit(str(date)).cast("date"))
     return snapshots.orderBy(F.desc("snapshot_date"))

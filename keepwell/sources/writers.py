@@ -11,7 +11,7 @@ from keepwell.operators.dedup import keep_first, keep_last
 from keepwell.operators.reputation import daily_counts
 from keepwell.operators.shaping import with_defaults
 from keepwell.operators.upsert import merge_unique, new_rows
-from keepwell.schemas import COMMENTS, FEEDBACK_EXPORT, SUBSCRIBERS, existing
+from keepwell.schemas import COMMENTS, FEEDBACK_EXPORT, PREDICTIONS, SUBSCRIBERS, conform, existing
 from keepwell.session import materialize
 
 JDBC_BATCH = 500
@@ -32,7 +32,7 @@ def append_subscribers(subscribers: DataFrame, path: str) -> None:
 
 
 def append_predictions(records: DataFrame, path: str) -> None:
-    records.write.mode("append").parquet(path)
+    conform(records, PREDICTIONS).write.mode("append").parquet(path)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:

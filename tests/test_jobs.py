@@ -77,6 +77,13 @@ def test_label(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/f2").collect() == rows
 
 
+def test_label_newest_json_array(spark, tmp_path):
+    rows = [{"customer_id": "a", "username": "u", "text": "too slow", "scraped_at": "2026-06-20T13:07:23.251884"}]
+    (tmp_path / "comments_1.json").write_text(json.dumps(rows, indent=2))
+    main(["label", "--comments", f"{tmp_path}/comments_*.json", "--out", f"{tmp_path}/out"], spark)
+    assert [r.raw_text for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["too slow"]
+
+
 def test_migrate(spark, home, tmp_path):
     table = spark.read.parquet(f"{home}/subscribers")
     table.write.option("header", True).csv(f"{tmp_path}/test_a")
