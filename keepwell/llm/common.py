@@ -22,6 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed collection of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole_text(column: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
