@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keepwell.llm.common import read, tokenizer_file
+from keepwell.llm.html_text import extract_main_text
 from keepwell.llm.merkle import fingerprint_edits
 from keepwell.llm.mixing import mix_sources
 from keepwell.llm.packing import pack_documents
 from keepwell.llm.quality_rules import quality_rules
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -31,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": op2_html_text,
     "op4_mix_sources": op4_mix_sources,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
