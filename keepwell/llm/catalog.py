@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keepwell.llm.common import read, tokenizer_file
 from keepwell.llm.html_text import extract_main_text
 from keepwell.llm.merkle import fingerprint_edits
 from keepwell.llm.mixing import mix_sources
 from keepwell.llm.packing import pack_documents
+from keepwell.llm.quality_classifier import score_quality
 from keepwell.llm.quality_rules import quality_rules
+from keepwell.llm.scoring import remainder_is
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,13 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = remainder_is(F.col("doc_id"), 5, 0)
+    scored = score_quality(docs, labels, train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -39,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op4_mix_sources": op4_mix_sources,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
