@@ -15,6 +15,7 @@ from keepwell.llm.packing import pack_documents
 from keepwell.llm.quality_classifier import score_quality
 from keepwell.llm.quality_rules import quality_rules
 from keepwell.llm.scoring import remainder_is
+from keepwell.llm.toxicity import score_toxicity
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = remainder_is(F.col("doc_id"), 3, 1)
+    scored = score_toxicity(docs, labels, train=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "matched")
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -48,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": op2_html_text,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
