@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keepwell.llm.common import read, tokenizer_file
 from keepwell.llm.html_text import extract_main_text
 from keepwell.llm.merkle import fingerprint_edits
+from keepwell.llm.minhash import near_duplicates
 from keepwell.llm.mixing import mix_sources
 from keepwell.llm.packing import pack_documents
 from keepwell.llm.quality_classifier import score_quality
@@ -18,6 +19,11 @@ from keepwell.llm.scoring import remainder_is
 from keepwell.llm.toxicity import score_toxicity
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
@@ -54,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_html_text": op2_html_text,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
@@ -63,4 +70,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words as the operators take them: runs without ASCII white space.
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""
+WITH RECURSIVE worded AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1),
+      lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS own
+  FROM worded),
+each AS (SELECT doc_id, len(own) AS n, unnest(own) AS shingle FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS n_a, any_value(y.n) AS n_b, count(*) AS n_both
+  FROM each x JOIN each y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * n_both >= 85 * (n_a + n_b - n_both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least USING (doc_id)"""
+
+_LEAF = r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,3}|[\x20\x09-\x0D]+"
+
+
+def _root_sql(text: str) -> str:
+    lines = "list_transform(string_split(part, chr(10)), lambda line: sha256(line))"
+    sections = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda part: sha256(array_to_string({lines}, ',')))"
+    return f"sha256(array_to_string({sections}, ','))"
+
+
+def _sketch_sql(text: str) -> str:
+    runs = f"flatten(list_transform(string_split({text}, chr(10)), lambda line: regexp_extract_all(line, '{_LEAF}')))"
+    return f"list_sort(list_distinct(list_transform({runs}, lambda run: left(md5(run), 8))))[1:64]"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    either = f"list_sort(list_distinct(list_concat({a}_sketch, {b}_sketch)))[1:64]"
+    both = f"len(list_intersect({either}, list_intersect({a}_sketch, {b}_sketch)))"
+    share = f"CASE WHEN len({either}) + {both} = 0 THEN 0.0 ELSE 2.0 * {both} / (len({either}) + {both}) END"
+    return f"CASE WHEN {a}_root = {b}_root THEN 1.0 ELSE {share} END::DOUBLE"
+
+
+OP7_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (
+  SELECT doc_id, text, length(text) AS n_chars,
+    coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text
+  FROM texts),
+edited AS (
+  SELECT *, left(text, n_chars - n_chars // 3) || left(next_text, n_chars // 3) AS edited_text FROM following),
+rooted AS (
+  SELECT doc_id, n_chars, sha256(edited_text) AS edited_sha256,
+    {_root_sql("text")} AS own_root, {_sketch_sql("text")} AS own_sketch,
+    {_root_sql("edited_text")} AS edited_root, {_sketch_sql("edited_text")} AS edited_sketch,
+    {_root_sql("next_text")} AS next_root, {_sketch_sql("next_text")} AS next_sketch
+  FROM edited)
+SELECT doc_id, n_chars, edited_sha256, own_root || ':' || array_to_string(own_sketch, ',') AS fingerprint,
+  edited_root || ':' || array_to_string(edited_sketch, ',') AS edited_fingerprint,
+  {_likeness_sql("own", "edited")} AS near_edited, {_likeness_sql("own", "next")} AS near_next
+FROM rooted"""
+
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op7_document_fingerprints": OP7_SQL}
