@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keepwell.llm.common import read, tokenizer_file
 from keepwell.llm.html_text import extract_main_text
+from keepwell.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
 from keepwell.llm.merkle import fingerprint_edits
 from keepwell.llm.minhash import near_duplicates
 from keepwell.llm.mixing import mix_sources
@@ -16,6 +17,7 @@ from keepwell.llm.packing import pack_documents
 from keepwell.llm.quality_classifier import score_quality
 from keepwell.llm.quality_rules import quality_rules
 from keepwell.llm.scoring import remainder_is
+from keepwell.llm.token_counts import count_tokens
 from keepwell.llm.toxicity import score_toxicity
 
 
@@ -28,6 +30,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -40,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "matched")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(read(spark, sf_dir, "documents"))
 
@@ -62,8 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_html_text": op2_html_text,
+    "op3_license_scan": op3_license_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
@@ -94,6 +106,31 @@ least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least USING (doc_id)"""
 
+
+def _canonical_sql(text: str) -> str:
+    words = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
+    spaced = f"' ' || trim(regexp_replace({words}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
+    for other, usual in SPELLINGS.items():
+        spaced = f"replace({spaced}, ' {other.replace(' ', '  ')} ', ' {usual.replace(' ', '  ')} ')"
+    return f"trim(replace({spaced}, '  ', ' '))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP3_SQL = f"""
+WITH listed(license_id, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}),
+known AS (SELECT {_canonical_sql("text")} AS form, min(license_id) AS license_id FROM listed GROUP BY 1),
+every AS (SELECT DISTINCT {_canonical_sql("text")} AS form, license_id FROM listed),
+forms AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS form FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+found AS (
+  SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses
+  FROM lines JOIN every ON {_canonical_sql("line")} = every.form GROUP BY doc_id)
+SELECT doc_id, sha256(forms.form) AS digest, license_id, coalesce(line_licenses, '') AS line_licenses
+FROM forms LEFT JOIN known USING (form) LEFT JOIN found USING (doc_id)"""
+
 _LEAF = r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,3}|[\x20\x09-\x0D]+"
 
 
@@ -134,4 +171,8 @@ SELECT doc_id, n_chars, edited_sha256, own_root || ':' || array_to_string(own_sk
   {_likeness_sql("own", "edited")} AS near_edited, {_likeness_sql("own", "next")} AS near_next
 FROM rooted"""
 
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op7_document_fingerprints": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
+    "op3_license_scan": OP3_SQL,
+    "op7_document_fingerprints": OP7_SQL,
+}

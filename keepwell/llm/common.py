@@ -59,3 +59,21 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, last
         first = last
+
+
+class Generations(dict):
+    """A cache of bounded size: a full generation becomes the old one, from which what is still used moves on."""
+
+    def __init__(self, make, most: int, longest: int = 64):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

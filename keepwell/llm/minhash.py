@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import runs, utf8, whole_text
+from keepwell.llm.common import runs, utf8
 from keepwell.llm.components import components
 from keepwell.session import materialize
 
@@ -241,7 +241,8 @@ def near_duplicates(
     words have none and are linked with nothing, each a component of its own. Documents without an id are linked like
     others but name no component; a component of such only has a null ``component_id``, and its rows are ``kept``.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), *keep)
+    own = (F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(*own, *keep)
     texts = materialize(texts.withColumn("slot", F.monotonically_increasing_id()), "near-texts")
     made = materialize(sketches(texts, width, bands, per_band), "near-sketches")
     has = made.filter("n_shingles > 0")

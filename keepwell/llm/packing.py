@@ -20,30 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import whole_text
+from keepwell.llm.common import Generations, whole_text
 from keepwell.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Generations(dict):
-    """A cache of bounded size: a full generation becomes the old one, from which what is still used moves on."""
-
-    def __init__(self, make, most: int, longest: int = 64):
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 

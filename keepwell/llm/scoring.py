@@ -20,18 +20,19 @@ def with_scores(docs: DataFrame, keep: Sequence[str], schema: str, scorer: Score
 
     ``scorer`` takes the texts' UTF-8 bytes, end to end, and where each begins and the last one ends.
     """
-    rows = docs.select(*keep, whole_text().alias("text of the row"))
-    made = T._parse_datatype_string(schema)
-    full = T.StructType([*rows.schema.fields[:-1], *made.fields])
+    own = "text" in keep
+    rows = docs.select(*keep) if own else docs.select(*keep, whole_text().alias("text"))
+    made, at_text = T._parse_datatype_string(schema), rows.columns.index("text")
+    full = T.StructType([*rows.schema.fields[: len(keep)], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.num_columns - 1))
+            data, offsets = utf8(batch.column(at_text))
             for first, last in runs(offsets, most):
                 part = batch.slice(first, last - first)
                 at = offsets[first : last + 1]
                 new = scorer(data[at[0] : at[-1]], at - at[0])
-                columns = [*part.columns[:-1], *(new[f.name] for f in made.fields)]
+                columns = [*part.columns[: len(keep)], *(new[f.name] for f in made.fields)]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in full.fields])
 
     return rows.mapInArrow(run, full)
