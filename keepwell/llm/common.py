@@ -43,6 +43,19 @@ def numbered(df: DataFrame, label: str, name: str = "slot") -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
+def small_batches(df: DataFrame, most: int = 1000) -> DataFrame:
+    """``df``, with at most ``most`` rows to an Arrow batch from now on in its session.
+
+    A batch is held by the JVM and by Python at once, so its rows, not their bytes, decide how much memory a task needs;
+    the default of 10,000 rows is for narrow ones.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if not 0 < now <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of an Arrow column, end to end, and where each begins and the last one ends."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepwell.llm.common import small_batches
+
 #: Element names by what HTML says of them, and words in class or id that tell what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object".split())
@@ -255,5 +257,5 @@ def extract_main_text(pages: DataFrame, at_once: int = 64) -> DataFrame:
                 sizes = pa.array([len(text) for text in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, sizes], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = small_batches(pages).select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

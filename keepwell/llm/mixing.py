@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keepwell.llm.common import WORD, numbered, whole_text, word_count
+from keepwell.llm.common import WORD, numbered, small_batches, whole_text, word_count
 from keepwell.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -186,7 +186,7 @@ def mixed_documents(
     """The mix itself, with the columns of documents: a row per whole pass over a text, and one with its first words
     where the last pass ends within it. ``n_chars`` is that of the row's text. A text from which the mix takes
     nothing has no row. The rest is as for ``mix_sources``."""
-    stored = numbered(_rows(docs, seed, "text", "lang"), "mix-texts")
+    stored = numbered(_rows(small_batches(docs), seed, "text", "lang"), "mix-texts")
     narrow = stored.select("doc_id", "source", "size", "place", "slot")
     taken = _mix(narrow, weights, share, most, block, least_shards, rows_per_shard)
     taken = taken.filter("taken > 0").select("slot", "taken")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import Generations, whole_text
+from keepwell.llm.common import Generations, small_batches, whole_text
 from keepwell.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -139,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int, end: int) -> DataFr
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(cut, PIECES)
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(cut, PIECES)
     return materialize(rows.withColumn("slot", F.monotonically_increasing_id()), "pieces")
 
 

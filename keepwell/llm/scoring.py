@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.llm.common import runs, utf8, whole_text
+from keepwell.llm.common import runs, small_batches, utf8, whole_text
 
 Scorer = Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]
 
@@ -21,7 +21,7 @@ def with_scores(docs: DataFrame, keep: Sequence[str], schema: str, scorer: Score
     ``scorer`` takes the texts' UTF-8 bytes, end to end, and where each begins and the last one ends.
     """
     own = "text" in keep
-    rows = docs.select(*keep) if own else docs.select(*keep, whole_text().alias("text"))
+    rows = small_batches(docs).select(*keep) if own else docs.select(*keep, whole_text().alias("text"))
     made, at_text = T._parse_datatype_string(schema), rows.columns.index("text")
     full = T.StructType([*rows.schema.fields[: len(keep)], *made.fields])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import Generations, whole_text
+from keepwell.llm.common import Generations, small_batches, whole_text
 
 #: The sign that stands for a space, and how far below the least score an unknown sign is.
 SPACE, PENALTY = "▁", 10.0
@@ -107,5 +107,5 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 columns = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*found))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_unknown"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), whole_text().alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_tokens long, n_unknown long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import whole_text
+from keepwell.llm.common import small_batches, whole_text
 from keepwell.llm.scoring import with_scores
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -237,7 +237,7 @@ def score_toxicity(
     also a null or empty one, gets the share of label 1 among such examples. Without labels of both classes all scores
     are that share, or a third without any. A document labelled both ways counts as 1. Every row of ``docs`` gives a row.
     """
-    index = build_index(docs, labels, label, train, most, k, block, least, words)
+    index = build_index(small_batches(docs), labels, label, train, most, k, block, least, words)
     whole = {t for t in index.terms if "~" not in t}
     starts = {t.partition("~")[0] for t in index.terms if "~" in t}
     stems = [(n, {t for t in starts if len(t) == n}) for n in STEMS]

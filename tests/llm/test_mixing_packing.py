@@ -1,0 +1,196 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from keepwell.llm.common import Generations
+from keepwell.llm.mixing import capped_shares, mix_sources, mixed_documents, sainte_lague
+from keepwell.llm.packing import Tokens, best_fit, pack_documents, pieces
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def seat_by_seat(target, seats, most):
+    got = [0] * len(target)
+    for _ in range(min(seats, sum(m for t, m in zip(target, most) if t > 0))):
+        open_ = [i for i in range(len(target)) if target[i] > 0 and got[i] < most[i]]
+        best = max(open_, key=lambda i: (target[i] / (2 * got[i] + 1), -i))
+        got[best] += 1
+    return got
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 40)), min_size=1, max_size=8), st.integers(0, 150))
+def test_seats_go_to_the_highest_quotients(parties, seats):
+    target, most = [t for t, _ in parties], [m for _, m in parties]
+    got = sainte_lague(np.array(target, float), seats, np.array(most))
+    assert got.tolist() == seat_by_seat(target, seats, most)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=9))
+def test_shares_are_capped_and_use_the_whole(sizes):
+    size = np.array(sizes, float)
+    weight = np.array([(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))])
+    target = capped_shares(size, weight, 1.5, 2.0)
+    assert np.isclose(target.sum(), 1.5 * size.sum()) and (target <= 2 * size + 1e-9).all()
+    free = (target < 2 * size - 1e-6) & (size > 0)
+    assert np.allclose((target / weight)[free], (target / weight)[free][:1])
+
+
+def documents(spark, n=600):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 200)), None, rng.choice(["a"] * 9 + ["B", "c", None]), 1) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_the_mix_meets_its_targets(spark):
+    docs = documents(spark)
+    rows = mix_sources(docs).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(600))
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] is not None
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = capped_shares(np.array([sizes[s] for s in names], float), np.array([5.0, 2.0, 1.0, 5.0]), 1.5, 2.0)
+    assert np.allclose([target[s] for s in names], want)
+    assert all(abs(taken[s] - target[s]) <= 32 for s in names)
+    again = {r["doc_id"]: r["taken"] for r in mix_sources(docs.repartition(7)).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+
+
+def test_the_mixed_rows_have_the_words_taken(spark):
+    docs = documents(spark, 200)
+    taken = {r["doc_id"]: r["taken"] for r in mix_sources(docs).collect()}
+    rows = mixed_documents(docs).collect()
+    words = Counter()
+    for r in rows:
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert words == Counter({k: v for k, v in taken.items() if v})
+
+
+def test_mixing_odd_documents(odd_docs):
+    rows = mix_sources(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    assert {r["taken"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0}
+    assert {r["size"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0}
+    assert mixed_documents(odd_docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert mixed_documents(odd_docs).count() > 0
+
+
+def test_mixing_nothing(no_docs):
+    assert mix_sources(no_docs).collect() == [] and mixed_documents(no_docs).collect() == []
+
+
+def slow_best_fit(lengths, most, bins):
+    open_, out, used = [], [], 0
+    for n in lengths:
+        fits = [b for b in open_ if most - b[1] >= n]
+        if fits:
+            least = min(most - b[1] for b in fits)
+            best = [b for b in fits if most - b[1] == least][-1]
+            open_.remove(best)
+        else:
+            best, used = [used, 0], used + 1
+        out.append((best[0], best[1]))
+        best[1] += n
+        if best[1] < most:
+            open_.append(best)
+        if len(open_) > bins:
+            fullest = max(b[1] for b in open_)
+            open_.remove([b for b in open_ if b[1] == fullest][-1])
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=80), st.integers(1, 6))
+def test_best_fit_is_that_of_a_list_of_bins(lengths, bins):
+    assert best_fit(lengths, 32, bins) == slow_best_fit(lengths, 32, bins)
+
+
+def test_best_fit_wastes_little():
+    rng = random.Random(1)
+    lengths = [min(4096, int(rng.lognormvariate(6, 1)) + 1) for _ in range(20_000)]
+    used = max(b for b, _ in best_fit(lengths, 4096, 256)) + 1
+    assert sum(lengths) / 4096 / used > 0.985
+
+
+ODD = [
+    "İstanbul ΣΑΣ ς", "a\x1cb c\u0085d\xa0e f", "don't we'll it's'd", "<|endoftext|>x <|startoftext|>", "é é ́x",
+    "½²³ 12３", "日本語 テキスト", "x\r\ny\tz\x0bw", "ªº µ", "l'été aujourd'hui 'S", "­​ a‍b", "ǅ ŉ ẞ", "_a_b __ ^~`", "", " ",
+    "한글 \U0001f600", "a" * 200, "$$$ ***the&&& of%%%", "A.B.C 1,000.5",
+]
+
+
+def test_ids_are_the_tokenizer_s():
+    whole, own = Tokenizer.from_file(PATH), Tokens(PATH, most=50)
+    for text in [*ODD, " ".join(ODD), "\n".join(ODD * 3)]:
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(own.encode(text, at_once=40)), "<u4").tolist() == want, text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=60))
+def test_ids_of_any_text(text):
+    want = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(OWN.encode(text)), "<u4").tolist() == want
+
+
+TOKENIZER, OWN = Tokenizer.from_file(PATH), Tokens(PATH)
+
+
+def test_pieces_of_a_document():
+    ids = np.arange(10, dtype="<u4").tobytes()
+    assert list(pieces([ids[:12], b"", ids[12:]], 4)) == [
+        (0, 4, zlib.crc32(ids[:16])), (4, 4, zlib.crc32(ids[16:32])), (8, 2, zlib.crc32(ids[32:])),
+    ]
+    assert [p[:2] for p in pieces([ids[:32]], 4)] == [(0, 4), (4, 4)]
+
+
+def test_a_cache_of_generations_is_bounded():
+    made = []
+    cache = Generations(lambda k: made.append(k) or len(k), 3)
+    assert [cache[k] for k in ["a", "bb", "ccc", "a", "dddd", "a"]] == [1, 2, 3, 1, 4, 1]
+    assert made == ["a", "bb", "ccc", "dddd"] and len(cache) <= 3
+    assert cache["x" * 100] == 100 and "x" * 100 not in cache
+
+
+@pytest.mark.parametrize("per_group", [3, 50_000])
+def test_every_token_has_its_place(odd_docs, per_group):
+    rows = pack_documents(odd_docs, PATH, most=512, per_group=per_group).collect()
+    whole = Tokenizer.from_file(PATH)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert 0 < r["length"] <= 512
+    for places in bins.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 512
+    got, want = Counter(), Counter()
+    for r in rows:
+        got[(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])] += 1
+    for doc in odd_docs.collect():
+        ids = [*whole.encode(doc["text"] or "", add_special_tokens=False).ids, 1]
+        for i, start in enumerate(range(0, len(ids), 512)):
+            part = np.array(ids[start : start + 512], "<u4").tobytes()
+            want[(doc["doc_id"], i, start, len(part) // 4, zlib.crc32(part))] += 1
+    assert got == want
+
+
+def test_packing_nothing(no_docs):
+    assert pack_documents(no_docs, PATH).collect() == []

@@ -1,0 +1,156 @@
+"""Main text, licences, fingerprints and token counts against plain versions."""
+
+import hashlib
+import re
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer, models
+
+from keepwell.llm.html_text import extract_main_text, main_text
+from keepwell.llm.licences import KNOWN, scan_licences
+from keepwell.llm.merkle import changed_paragraphs, fingerprint_edits, likeness, root, tree, with_next
+from keepwell.llm.token_counts import Counter, count_tokens, read_vocabulary
+from pyspark.sql import functions as F
+
+BODY = "<p>First, a paragraph of the article &amp; more.</p><p>Second <b>one</b>,\n with\tspace.<br>Line</p>"
+WANT = "First, a paragraph of the article & more.\n\nSecond one, with space. Line"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><body><nav><a href=x>Menu</a></nav><article>{BODY}</article><footer>&copy; 2020, all</footer></body></html>",
+        f"<body><div class='cookie-notice'><p>We use cookies, many, many, of them.</p></div><div id=content>{BODY}</div></body>",
+        f"<div><div class=post>{BODY}</div><div class='comments'><p>I think, really, this is long, very long, so long.</p></div></div>",
+        f"<main>{BODY}<form>Name, mail, and so on<input></form><aside>See also, that</aside><script>var a='</p>'</script></main>",
+        f"<body><!-- <p>no</p> --><header>Site, of news</header><section>{BODY.replace('</p>', '')}</section><div hidden>No, no</div>",
+        f"<div>{''.join(f'<div><div>{p}</div></div>' for p in BODY.replace('</p>', '</p>|').split('|'))}</div><ul class=related><li>a, b</ul>",
+        f"<article>{BODY}<div role=navigation>next, last</div><div style='display: none'>x, y</div></article><p><a href=a>links only</a></p>",
+    ],
+)
+def test_the_article_and_nothing_else(page):
+    assert main_text(page) == WANT
+
+
+def test_broken_pages():
+    assert main_text(None) == main_text("") == main_text("<p") == main_text("<script>x") == ""
+    assert main_text("a < b, c") == "a < b, c"
+    assert main_text("<p title='a>b'>one<p>two</p></p></div>&am") == "one\n\ntwo\n\n&am"
+    assert main_text("<p>a<!-- b") == "a"
+    assert main_text("<ul><li>a<li>b</ul>") == "a\n\nb"
+    deep = "<div>" * 20_000 + "text" + "</div>" * 20_000
+    assert main_text(deep) == "text"
+
+
+def test_pages_keep_their_rows(spark):
+    rows = [(1, "u", f"<article>{BODY}</article>", "x"), (1, "u", f"<article>{BODY}</article>", "x"), (None, None, None, "y"), (2, "v", "", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(extract_main_text(pages).collect(), key=repr)
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in got] == [(1, WANT, len(WANT)), (1, WANT, len(WANT)), (2, "", 0), (None, "", 0)]
+    assert extract_main_text(pages.limit(0)).collect() == []
+
+
+def plain_root(text):
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    return sha(",".join(sha(",".join(sha(line) for line in part.split("\n"))) for part in text.split("\n\n")))
+
+
+def plain_sketch(text):
+    runs = [r for line in text.split("\n") for r in re.findall(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,3}|[\x20\x09-\x0D]+", line)]
+    return sorted({hashlib.md5(r.encode()).hexdigest()[:8] for r in runs})[:64]
+
+
+def test_fingerprints_of_edits(spark, odd_docs):
+    rows = odd_docs.select("doc_id", "text").collect()
+    got = fingerprint_edits(odd_docs).collect()
+    assert len(got) == len(rows)
+    own = {}
+    for row in rows:
+        text = row["text"] or ""
+        own.setdefault(row["doc_id"], set()).add(f"{plain_root(text)}:{','.join(plain_sketch(text))}")
+    assert all(r["fingerprint"] in own[r["doc_id"]] for r in got)
+    texts = {r["doc_id"]: r["text"] or "" for r in rows if r["doc_id"] is not None}
+    order = sorted(texts, reverse=True)
+    for r in got:
+        if r["doc_id"] in (9, 8, 7, 6, 5, 4, 3, 2):
+            text, after = texts[r["doc_id"]], texts[order[order.index(r["doc_id"]) + 1]]
+            third = len(text) // 3
+            edited = text[: len(text) - third] + after[:third]
+            assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert r["edited_fingerprint"] == f"{plain_root(edited)}:{','.join(plain_sketch(edited))}"
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert {r["near_edited"] for r in got if r["doc_id"] in (3, 4)} == {1.0}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_every_document_has_the_next_one(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        ids = [i * i * (-1) ** i for i in range(500)]
+        docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+        got = {r["doc_id"]: r["next_text"] for r in with_next(docs, {"text": F.col("text")}).collect()}
+        order = sorted(set(ids), reverse=True)
+        assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1])}
+        one = with_next(docs.filter("doc_id = 4"), {"text": F.col("text")}).collect()
+        assert [r["next_text"] for r in one] == ["t4"]
+        assert with_next(docs.limit(0), {"text": F.col("text")}).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_trees_locate_edits(spark):
+    rows = [("a b c d\ne f\n\ng h\n\ni", "a b c d\ne X\n\ng h\n\ni\nnew")]
+    df = spark.createDataFrame(rows, "x string, y string").select("x", "y", tree(F.col("x")).alias("t"), tree(F.col("y")).alias("u"))
+    row = df.select(changed_paragraphs(F.col("t"), F.col("u")).alias("c"), root(F.col("x")).alias("r")).first()
+    assert [(c["section"], c["paragraph"]) for c in row["c"]] == [(0, 1), (2, 1)]
+    assert row["r"] == plain_root(rows[0][0])
+    same = df.select(F.size(changed_paragraphs(F.col("t"), F.col("t"))).alias("n"), likeness(F.lit("r:"), F.lit("s:aa")).alias("l")).first()
+    assert same["n"] == 0 and same["l"] == 0.0
+
+
+def test_licences(spark, odd_docs):
+    mit = dict(KNOWN[::-1])["MIT"]
+    body = KNOWN[0][1]
+    rows = [
+        (1, "Copyright (c) 2024 Some Body\nAll rights reserved.\n\n" + body.upper().replace(",", " ;")),
+        (2, body.replace("sublicense", "sub-license").replace("\n", " ")),
+        (3, body + " But not on Sundays."),
+        (4, "Text.\n  LICENCED under the Apache Licence, Version 2.0\nReleased under the MIT License!"),
+        (5, mit.replace("COPYRIGHT\nHOLDERS", "copyright holders")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["line_licenses"]) for r in scan_licences(docs).collect()}
+    assert got == {1: ("MIT", ""), 2: ("MIT", "MIT"), 3: (None, ""), 4: (None, "Apache-2.0,MIT"), 5: ("MIT", got[5][1])}
+    odd = scan_licences(odd_docs).collect()
+    assert len(odd) == odd_docs.count() and {r["license_id"] for r in odd} == {None}
+    assert scan_licences(odd_docs.limit(0)).collect() == []
+
+
+TEXTS = ["a", "  a  b ", "日本語 😀 x", "\n\n", "tab\there", "ééé ▁x", " lead", "trail ", "the the theory", "", "word" * 300]
+
+
+def test_token_counts_are_the_tokenizer_s(spark, odd_docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocabulary = read_vocabulary(path)
+    lowest = min(s for _, s in vocabulary)
+    pieces = [("<unk>", lowest), *vocabulary, *[(f"<0x{i:02X}>", lowest) for i in range(256)]]
+    whole, own = Tokenizer(models.Unigram(pieces, 0, True)), Counter(vocabulary)
+    texts = TEXTS + [r["text"] for r in odd_docs.collect() if r["text"]]
+    for text in texts:
+        want = len(whole.encode("▁" + text.replace(" ", "▁")).ids) if text else 0
+        assert own.count(text)[0] == want, text[:50]
+    got = {r["doc_id"]: (r["n_tokens"], r["n_unknown"]) for r in count_tokens(odd_docs, path).collect()}
+    assert got[3] == got[4] == (0, 0) and got[2] == own.count("One two  three four five six\tseven eight nine ten")
+    assert count_tokens(odd_docs.limit(0), path).collect() == []
+
+
+def test_ties_go_to_the_piece_that_begins_first():
+    vocabulary = [("a", -1.0), ("b", -1.0), ("c", -1.0), ("ab", -2.0), ("bc", -2.0), ("▁", -1.0)]
+    whole = Tokenizer(models.Unigram([("<unk>", -5.0), *vocabulary], 0))
+    own = Counter(vocabulary)
+    for text in ("abc", "bcab", "abab", "cba", "aabbcc"):
+        assert own.count(text)[0] == len(whole.encode("▁" + text).ids)
