@@ -72,7 +72,7 @@ SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS post_url, role AS username, turn A
           SELECT {_strip('part')} AS line, i
           FROM (SELECT unnest(string_split(text, chr(10))) AS part,
                        unnest(range(len(string_split(text, chr(10))))) AS i))
-        WHERE line <> '' AND NOT contains(line, role) AND line NOT IN ('Like', 'Reply', 'أعجبني', 'رد', '·', 'Follow')
+        WHERE line <> '' AND NOT contains(line, role) AND line NOT IN ({', '.join(f"'{line}'" for line in tx.UI_LINES)})
           AND NOT regexp_matches(line, '^\p{{Nd}}+[dhwmy]?$') AND NOT contains(lower(line), 'replied')
           AND NOT contains(lower(line), 'replies')
           AND NOT (contains(line, 'See translation') AND length(line) < 20)) AS text
@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 
 @query("dedup_comments", with_views("marked_comments", f"""
 SELECT post_url, customer_id, seq, text
-FROM (SELECT *, row_number() OVER (PARTITION BY post_url, customer_id, substring(text, 1, 50) ORDER BY seq) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY post_url, customer_id, text ORDER BY seq) AS n
       FROM (SELECT *, substring(md5(username), 1, 12) AS customer_id FROM ({_CLEANED})))
 WHERE n = 1"""))
 def _(spark, sf_dir):
@@ -151,11 +151,11 @@ SELECT {', '.join(_COLUMNS)} FROM (
 def _(spark, sf_dir):
     posts = ln.post_links(views.links(spark, sf_dir)).select(*_COLUMNS)
     own = ln.dedup_urls(posts, ["page_id", "position"], scope=["host"])
-    return ln.links_capped(own, ["host"], ["page_id", "position"])
+    return ln.links_capped(own, ["host"], ["page_id", "position"], 10)
 
 
 _LABELS = f"""SELECT host, page_id, position, url, CASE WHEN chosen = '' THEN 'Recent Post' ELSE chosen END AS post_date
-FROM (SELECT *, CASE WHEN label = '' OR length(label) > 40 OR contains(lower(label), 'video')
+FROM (SELECT *, CASE WHEN label = '' OR contains(lower(label), 'video')
              THEN CASE WHEN parent_text IS NULL THEN 'Recent Post' WHEN parent_text <> '' THEN {_strip('parent_text')}
                        ELSE label END
              ELSE label END AS chosen
@@ -311,7 +311,7 @@ WITH comments AS (
   SELECT substring(md5(username), 1, 12) AS customer_id, username, post_url, seq, {_clean('text')} AS raw_text
   FROM ({_BODIES}) WHERE length(text) >= 3),
 firsts AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_url, customer_id, substring(raw_text, 1, 50) ORDER BY seq)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_url, customer_id, raw_text ORDER BY seq)
                  AS n FROM comments) WHERE n = 1 AND raw_text <> ''),
 batch AS (
   SELECT * FROM (SELECT * EXCLUDE n, row_number() OVER (PARTITION BY customer_id, raw_text ORDER BY post_url, seq) AS n

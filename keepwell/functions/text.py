@@ -28,9 +28,6 @@ BLOCKED_AUTHORS = (
     "Feed",
 )
 
-_MAX_CONTAINERS = 6
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside one expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -86,11 +83,11 @@ def is_age_or_number(text: Column) -> Column:
     return text.rlike(r"(?U)^\d+[dhwmy]?$")
 
 
-def is_author(name: Column, blocked: Sequence[str] = BLOCKED_AUTHORS) -> Column:
-    """Whether a link text can be a person's name. Expects it stripped."""
+def is_author(name: Column, blocked: Sequence[str] = BLOCKED_AUTHORS, least: int = 3) -> Column:
+    """Whether a link text, of ``least`` characters or more, can be a person's name. Expects it stripped."""
     folded = F.lower(name)
     return (
-        (F.length(name) >= 3)
+        (F.length(name) >= least)
         & ~name.isin(*blocked)
         & ~is_age_or_number(name)
         & ~F.contains(folded, F.lit("facebook.com"))
@@ -129,25 +126,25 @@ def _lines_after_author(lines: Column, author: Column) -> Column:
     return let(lines, search)
 
 
-def _container_text(container: Column, author: Column) -> Column:
+def _container_text(container: Column, author: Column, more: int) -> Column:
     """The comment in one box, null without one."""
-    big_enough = F.contains(container, author) & (F.length(container) > F.length(author) + 10)
+    big_enough = F.contains(container, author) & (F.length(container) > F.length(author) + more)
     lines = F.filter(F.transform(F.split(container, "\n"), strip), lambda line: line != "")
     text = F.array_join(_lines_after_author(lines, author), " ")
     return F.when(big_enough, F.nullif(text, F.lit("")))
 
 
-def comment_body(author: Column, containers: Column) -> Column:
-    """The comment inside the boxes around an author's name, innermost box first.
+def comment_body(author: Column, containers: Column, boxes: int | None = None, more: int = 10) -> Column:
+    """The comment inside the boxes around an author's name, innermost box first: all, or the first ``boxes``.
 
-    A box counts if it names the author and has more than ten other characters;
+    A box counts if it names the author and has more than ``more`` other characters;
     its lines after the first one naming the author, without interface lines,
     are the comment. Null where no box gives one. Boxes behind the first hit aren't looked at.
     """
     return F.aggregate(
-        F.slice(containers, 1, _MAX_CONTAINERS),
+        containers if boxes is None else F.slice(containers, 1, boxes),
         F.lit(None).cast("string"),
         lambda found, box: F.when(found.isNotNull(), found).otherwise(
-            let(strip(box), lambda inner: _container_text(inner, author))
+            let(strip(box), lambda inner: _container_text(inner, author, more))
         ),
     )

@@ -25,16 +25,20 @@ def _filled(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
 
-def post_date_label(aria_label: Column, title: Column, text: Column, parent_text: Column) -> Column:
+def post_date_label(
+    aria_label: Column, title: Column, text: Column, parent_text: Column, longest: int | None = None
+) -> Column:
     """The date text shown for a post.
 
-    An attribute wins over the link text; one that is missing, long or about
-    a video gives way to the text around the link (null: no such element).
+    An attribute wins over the link text; one that is missing, about a video, or over ``longest`` characters
+    gives way to the text around the link (null: no such element).
     """
     attribute = F.when(_filled(aria_label), aria_label).otherwise(title)
     unusable = ~_filled(attribute) | F.contains(F.lower(attribute), F.lit("playback"))
     label = strip(F.coalesce(F.when(unusable, text).otherwise(attribute), F.lit("")))
-    doubtful = (label == "") | (F.length(label) > 40) | F.contains(F.lower(label), F.lit("video"))
+    doubtful = (label == "") | F.contains(F.lower(label), F.lit("video"))
+    if longest is not None:
+        doubtful = doubtful | (F.length(label) > longest)
     around = (
         F.when(parent_text.isNull(), F.lit(UNDATED)).when(parent_text != "", strip(parent_text)).otherwise(label)
     )

@@ -8,27 +8,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from keepwell.functions import text as tx
 from keepwell.operators.dedup import keep_first
-
-_PREFIX = 50
-
-
 def filter_authors(df: DataFrame, blocked: Sequence[str] = tx.BLOCKED_AUTHORS) -> DataFrame:
     """Rows whose ``username`` can be a person."""
     return df.withColumn("username", tx.strip(F.col("username"))).filter(tx.is_author(F.col("username"), blocked))
 
 
-def extract_bodies(df: DataFrame) -> DataFrame:
-    """``text`` from the nested ``containers`` around each ``username``; null where there is none."""
-    return df.withColumn("text", tx.comment_body(F.col("username"), F.col("containers"))).drop("containers")
+def extract_bodies(df: DataFrame, boxes: int | None = None) -> DataFrame:
+    """``text`` from the nested ``containers`` (the innermost ``boxes`` of them, or all) around each ``username``; null
+    where there is none."""
+    return df.withColumn("text", tx.comment_body(F.col("username"), F.col("containers"), boxes)).drop("containers")
 
 
-def clean_comments(df: DataFrame) -> DataFrame:
-    """Drop texts under three characters, clean the others.
+def clean_comments(df: DataFrame, least: int = 3) -> DataFrame:
+    """Drop texts under ``least`` characters, clean the others.
 
     The length counts before cleaning, so a cleaned text can be empty;
     ``drop_blank`` removes those.
     """
-    long_enough = F.length(tx.strip(F.col("text"))) >= 3
+    long_enough = F.length(tx.strip(F.col("text"))) >= least
     return df.filter(long_enough).withColumn("text", tx.clean_comment(F.col("text")))
 
 
@@ -45,10 +42,13 @@ def pseudonymize(df: DataFrame) -> DataFrame:
     return df.withColumn("customer_id", tx.pseudonym(F.col("username")))
 
 
-def dedup_comments(df: DataFrame, sequence: Sequence[str]) -> DataFrame:
-    """One comment per post, author and first 50 characters: the first by ``sequence``."""
-    prefix = F.substring(F.col("text"), 1, _PREFIX)
-    return keep_first(df, ["post_url", "customer_id", prefix], sequence)
+def dedup_comments(df: DataFrame, sequence: Sequence[str], prefix: int | None = None) -> DataFrame:
+    """One comment per post, author and text: the first by ``sequence``.
+
+    With ``prefix``, comments with that many equal first characters count as one, which drops different texts.
+    """
+    text = F.col("text") if prefix is None else F.substring(F.col("text"), 1, prefix)
+    return keep_first(df, ["post_url", "customer_id", text], sequence)
 
 
 def extract_comments(boxes: DataFrame, sequence: Sequence[str]) -> DataFrame:

@@ -30,14 +30,15 @@ def dedup_urls(links: DataFrame, sequence: Sequence[str], scope: Sequence[str] =
     return keep_first(links, [*scope, "canonical"], sequence)
 
 
-def links_capped(links: DataFrame, page: Sequence[str], sequence: Sequence[str], max_posts: int = 10) -> DataFrame:
+def links_capped(links: DataFrame, page: Sequence[str], sequence: Sequence[str], max_posts: int) -> DataFrame:
     """The first ``max_posts`` links of every page."""
     return top_per_key(links, page, [F.col(c).asc() for c in sequence], max_posts)
 
 
-def with_date_labels(links: DataFrame) -> DataFrame:
+def with_date_labels(links: DataFrame, longest: int | None = None) -> DataFrame:
     """``post_date`` from (aria_label, title, text, parent_text)."""
-    label = urls.post_date_label(F.col("aria_label"), F.col("title"), F.col("text"), F.col("parent_text"))
+    parts = (F.col(c) for c in ("aria_label", "title", "text", "parent_text"))
+    label = urls.post_date_label(*parts, longest)
     return links.withColumn("post_date", label)
 
 

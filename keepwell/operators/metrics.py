@@ -1,9 +1,9 @@
 """Classifier metrics over rows of (optional group columns, y, p).
 
-Everything that needs an order works on a histogram of scores. Stored scores
-have four decimals, so a group has at most 10,001 distinct ones, however many
-rows it has; scores with more decimals are rounded to ``digits`` first.
-``exact_area`` ranks the scores as they are.
+Everything that needs an order works on counts per distinct score, sorted by
+range: each partition adds up its own, and the sums of the partitions before it
+give where it starts. So scores are ranked as they are, however many there are.
+With ``digits`` they are rounded first, which is the caller's choice.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepwell.functions.numbers import ratio
 from keepwell.functions.risk import DEFAULT_THRESHOLD
-
-SCORE_DIGITS = 4
+from keepwell.operators.ranking import partition_of
+from keepwell.session import materialize
 
 
 def confusion_matrix(
@@ -80,27 +80,40 @@ def classification_report(
     return confusion_matrix(df, threshold, by, weight).select(*by, F.inline(report))
 
 
-def score_histogram(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
-    return df.groupBy(*by, F.bround("p", digits).alias("threshold")).agg(
+def score_histogram(df: DataFrame, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    score = F.col("p") if digits is None else F.bround("p", digits)
+    return df.groupBy(*by, score.alias("threshold")).agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
 
 
-def cumulative(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
+def cumulative(df: DataFrame, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Per distinct score: rows at or above it (tp, fp) and all rows of each class."""
-    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    above = groups.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return score_histogram(df, by, digits).withColumns(
-        {
-            "tp": F.sum("pos").over(above),
-            "fp": F.sum("neg").over(above),
-            "positives": F.sum("pos").over(groups),
-            "negatives": F.sum("neg").over(groups),
-        }
+    counts = score_histogram(df, by, digits)
+    numbered = counts.orderBy(*by, F.desc("threshold")).withColumn("_id", F.monotonically_increasing_id())
+    stored = materialize(numbered, "score-counts").withColumn("_part", partition_of("_id"))
+    # one row per group and sort partition
+    parts = stored.groupBy(*by, "_part").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(
+        *[F.col(c).alias(f"_{c}") for c in by],
+        F.col("_part").alias("_of"),
+        F.coalesce(F.sum("_pos").over(before), F.lit(0)).alias("_tp"),
+        F.coalesce(F.sum("_neg").over(before), F.lit(0)).alias("_fp"),
+        F.sum("_pos").over(group).alias("positives"),
+        F.sum("_neg").over(group).alias("negatives"),
     )
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = Window.partitionBy(*by, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = stored.withColumns({"tp": F.sum("pos").over(own), "fp": F.sum("neg").over(own)})
+    placed = sums.join(starts, same).withColumns({"tp": F.col("tp") + F.col("_tp"), "fp": F.col("fp") + F.col("_fp")})
+    return placed.select(*by, "threshold", "pos", "neg", "tp", "fp", "positives", "negatives")
 
 
-def roc_auc(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
+def roc_auc(df: DataFrame, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Area under the ROC curve with average ranks for ties; null if a class is missing."""
     steps = cumulative(df, by, digits)
     won = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
@@ -118,7 +131,7 @@ def roc_auc(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -
     )
 
 
-def threshold_sweep(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
+def threshold_sweep(df: DataFrame, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Precision, recall and F1 of flagging everything from each score upward."""
     precision, recall, f1 = _scores(F.col("tp"), F.col("tp") + F.col("fp"), F.col("positives"))
     return cumulative(df, by, digits).select(
@@ -133,14 +146,16 @@ def threshold_sweep(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_D
     )
 
 
-def best_threshold(df: DataFrame, min_precision: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+def best_threshold(
+    df: DataFrame, min_precision: float = 0.0, by: Sequence[str] = (), digits: int | None = None
+) -> DataFrame:
     """The threshold with most recall among those precise enough; the highest such threshold."""
-    good = threshold_sweep(df, by).filter(F.col("precision") >= min_precision)
+    good = threshold_sweep(df, by, digits).filter(F.col("precision") >= min_precision)
     best = F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("recall", "threshold"))
     return good.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
-def roc_pr_curve(df: DataFrame, by: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
+def roc_pr_curve(df: DataFrame, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Points of the ROC and precision-recall curves."""
     return cumulative(df, by, digits).select(
         *by,

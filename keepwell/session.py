@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback_scratch: str | None = None
+
+class NoSharedFolder(RuntimeError):
+    """A cluster without a folder that the driver and all executors see."""
 
 
 def build_session(app: str = "keepwell", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,14 +34,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
-    global _fallback_scratch
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local master, whose driver and tasks are one process, uses a folder of its own;
+    a cluster is an error, as its executors don't see each other's disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if _fallback_scratch is None:
-        _fallback_scratch = tempfile.mkdtemp(prefix="keepwell-")
-    return _fallback_scratch
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.local.dir', '/tmp').rstrip('/')}/keepwell-{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,12 +4,13 @@ from keepwell.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -33,10 +33,12 @@ def test_auc_ignores_monotone_changes(spark):
     assert metrics.roc_auc(table(spark, rows)).first().auc == metrics.roc_auc(table(spark, bent)).first().auc
 
 
-def test_exact_area_see_near_ties(spark):
-    rows = [(1, 0.50002), (0, 0.50001)]
-    assert metrics.exact_area(table(spark, rows)) == 1.0
-    assert metrics.roc_auc(table(spark, rows)).first().auc == 0.5
+def test_scores_count_as_they_are(spark):
+    rows = [(i % 2, 0.5 + (i % 2) * 1e-6 + i * 1e-10) for i in range(2000)]
+    df = table(spark, rows)
+    assert metrics.exact_area(df) == metrics.roc_auc(df).first().auc == 1.0
+    assert metrics.roc_auc(df, digits=4).first().auc == 0.5
+    assert metrics.best_threshold(df, 1.0).first().recall == 1.0
 
 
 def test_one_class(spark):
@@ -98,10 +100,18 @@ def test_groups(spark):
     assert got == pytest.approx({"a": auc(a), "b": auc(b)}, abs=1e-6)
 
 
-def test_many_rows_few_scores(spark):
-    """The ordered part works on distinct scores, not on rows."""
-    df = spark.range(200_000).select((F.col("id") % 3 == 0).cast("int").alias("y"), F.rand(1).alias("p"))
-    assert metrics.cumulative(df).count() <= 10_001
+def test_many_scores_in_many_tasks(spark):
+    df = spark.range(100_000).select((F.col("id") % 3 == 0).cast("int").alias("y"), F.rand(1).alias("p"))
+    steps = metrics.cumulative(df).toPandas().sort_values("threshold", ascending=False)
+    assert len(steps) > 99_000
+    assert (steps.tp == steps.pos.cumsum()).all() and (steps.fp == steps.neg.cumsum()).all()
+    assert set(steps.positives) == {33334} and metrics.cumulative(df, digits=2).count() <= 101
+
+
+def test_null_group(spark):
+    rows = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.1), ("m", 1, 0.1)], "model string, y int, p double")
+    got = {r.model: r.auc for r in metrics.roc_auc(rows, by=["model"]).collect()}
+    assert got == {None: 1.0, "m": None}
 
 
 # --- scoring ----------------------------------------------------------------------------------

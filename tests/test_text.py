@@ -85,7 +85,7 @@ def test_authors(spark):
 
 def body(author, containers):
     """Line by line, as a person would read the boxes."""
-    for box in containers[:6]:
+    for box in containers:
         box = box.strip()
         if author not in box or len(box) <= len(author) + 10:
             continue
@@ -114,7 +114,7 @@ BOXES = [
     ("Ali", ["Ali\n12345678901"]),
     ("Ali", ["Ali\n1234567 x", "never read"]),
     ("أمينة", ["أمينة\nالخدمة غالية بزاف\nأعجبني\nرد"]),
-    ("Ali", ["x"] * 6 + ["Ali\ntoo far out to be read"]),
+    ("Ali", ["x"] * 60 + ["Ali\nfar out but read"]),
     ("Ali", ["x"] * 5 + ["  Ali\n just near enough  "]),
     ("Ali", []),
 ]
@@ -125,6 +125,8 @@ def test_bodies(spark):
     frame = spark.createDataFrame(rows, "i int, username string, containers array<string>")
     got = {r.i: r.text for r in cm.extract_bodies(frame).collect()}
     assert got == {i: body(a, c) for i, (a, c) in enumerate(BOXES)}
+    near = {r.i: r.text for r in cm.extract_bodies(frame, boxes=6).collect()}
+    assert near == {i: body(a, c[:6]) for i, (a, c) in enumerate(BOXES)}
 
 
 LINES = st.sampled_from(["Ali", "Ali says", "Like", "3d", "12", "2 replies", "hello there", "See translation", "", " ", "Follow", "ok"])
@@ -151,7 +153,9 @@ def test_extract_comments(spark):
     ]
     boxes = spark.createDataFrame(rows, "seq int, post_url string, username string, containers array<string>")
     got = {r.seq: r for r in cm.extract_comments(boxes, ["seq"]).collect()}
-    assert sorted(got) == [1, 3, 5, 6]
+    assert sorted(got) == [1, 3, 5, 6, 7]
+    texts = spark.createDataFrame([(1, "p", "a", "x" * 50 + "1"), (2, "p", "a", "x" * 50 + "2")], "seq int, post_url string, customer_id string, text string")
+    assert [r.seq for r in cm.dedup_comments(texts, ["seq"], prefix=50).collect()] == [1]
     assert got[1].text == "good service"
     assert got[1].customer_id == hashlib.md5(b"Ali").hexdigest()[:12]
 
@@ -171,12 +175,12 @@ def test_drop_blank(spark):
     assert [tuple(r) for r in cm.drop_blank(frame).collect()] == [(1, "a")]
 
 
-def label(aria, title, text, parent):
+def label(aria, title, text, parent, longest=None):
     shown = aria or title
     if not shown or "playback" in shown.lower():
         shown = text
     shown = shown.strip() if shown else ""
-    if not shown or len(shown) > 40 or "video" in shown.lower():
+    if not shown or longest and len(shown) > longest or "video" in shown.lower():
         if parent is None:
             shown = "Recent Post"
         elif parent:
@@ -188,8 +192,9 @@ def test_post_date_labels(spark):
     parts = [None, "", " ", "2 May", "Playback speed", "a VIDEO", "x" * 41]
     rows = [(a, t, x, p) for a in parts for t in parts for x in parts for p in parts]
     frame = spark.createDataFrame(rows, "a string, t string, x string, p string")
-    got = frame.select("*", urls.post_date_label(*[F.col(c) for c in "atxp"]).alias("got")).collect()
-    assert [r.got for r in got] == [label(*row) for row in rows]
+    for longest in (None, 40):
+        got = frame.select("*", urls.post_date_label(*[F.col(c) for c in "atxp"], longest).alias("got")).collect()
+        assert [r.got for r in got] == [label(*row, longest) for row in rows]
 
 
 @pytest.mark.parametrize(
