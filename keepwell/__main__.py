@@ -8,16 +8,16 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F, types as T
 
 from keepwell.functions.risk import DEFAULT_THRESHOLD
 from keepwell.operators import models as ml
 from keepwell.operators import reputation as rep
 from keepwell.operators import scoring
-from keepwell.operators.shaping import validate_payloads
+from keepwell.operators.shaping import check_payloads
 from keepwell.plans import churn, dashboards, ingest, migration
 from keepwell.schemas import FEEDBACK, PAYLOAD, SUBSCRIBERS
-from keepwell.session import build_session
+from keepwell.session import build_session, materialize
 from keepwell.sources import readers, writers
 
 
@@ -58,8 +58,12 @@ def check(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def predict(spark: SparkSession, args: argparse.Namespace) -> None:
     """Score JSON-line records; append predictions, and the records that don't fit to ``--rejected``."""
-    as_text = ", ".join(f"`{name}` string" for name in PAYLOAD.fieldNames())
-    valid, bad = validate_payloads(spark.read.schema(as_text).json(args.records))
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in PAYLOAD.fieldNames()])
+    records, broken = readers.read_json_checked(spark, args.records, as_text)
+    checked = materialize(check_payloads(records), "payloads")  # judged once, for both sides
+    valid = checked.filter("errors IS NULL").drop("errors")
+    bad = checked.filter("errors IS NOT NULL")
+    bad = bad.unionByName(broken.select(F.col("text").alias("record"), F.col("reason").alias("errors")), allowMissingColumns=True)
     scored = ml.score(ml.load_pipeline(args.model), valid)
     writers.append_predictions(scoring.prediction_records(scored, args.version, args.threshold), args.predictions)
     if args.rejected:
@@ -72,7 +76,9 @@ def reputation(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def snapshot(spark: SparkSession, args: argparse.Namespace) -> None:
-    writers.write_snapshots(readers.read_feedback(spark, args.feedback), args.snapshots)
+    """Count every day of the feedback table, or only the days of the rows in ``--new``."""
+    changed = readers.read_feedback(spark, args.new) if args.new else None
+    writers.write_snapshots(readers.read_feedback(spark, args.feedback), args.snapshots, changed)
 
 
 def label(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -129,7 +135,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--version", default="champion_gbt")
     sub.add_argument("--rejected")
     job(reputation, "feedback").add_argument("--as-of")
-    job(snapshot, "feedback", "snapshots")
+    job(snapshot, "feedback", "snapshots").add_argument("--new")
     job(label, "comments", "out").add_argument("--feedback")
     sub = job(migrate, "out")
     sub.add_argument("--from", dest="current")

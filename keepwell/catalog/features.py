@@ -89,9 +89,9 @@ SELECT customer_id, {', '.join(f"CAST({c} AS DOUBLE) AS {c}" for c in _FEATURES)
 FROM (SELECT customer_id, {', '.join(_feature(c) for c in _FEATURES)} FROM enriched e)""")
 def _(spark, sf_dir):
     rows = enriched(spark, sf_dir).select(*_COLUMNS)
-    prepared = models.preprocessing(rows).fit(rows)
+    prepared = models.preprocessing(rows)
     vector = vector_to_array("features")
-    parts = [vector[i].alias(name) for i, name in enumerate(models.feature_names(prepared))]
+    parts = [vector[i].alias(name) for i, name in enumerate(prepared.names)]
     return models.prepare_rows(prepared, rows).select("customer_id", *parts)
 
 

@@ -80,9 +80,9 @@ def _(spark, sf_dir):
     return stored.withColumn("dated", F.col("predicted_at").isNotNull()).drop("predicted_at")
 
 
-# Null fields are left out of a document; small numbers are written with an exponent.
+# Small numbers are written with an exponent.
 _FIELDS = " || ".join(
-    f"coalesce(',\"{name}\":' || {value}, '')"
+    f"',\"{name}\":' || coalesce({value}, 'null')"
     for name, value in {
         "state_region": "to_json(state)",
         "tenure_months": "CAST(account_length AS VARCHAR)",

@@ -72,18 +72,59 @@ def _(spark, sf_dir):
 
 @query("scan_csv_roundtrip", with_views("feedback", f"SELECT {_EXPORT} FROM feedback"))
 def _(spark, sf_dir):
-    path = scratch_path(spark, "feedback-csv")
-    writers.export_feedback_csv(feedback(spark, sf_dir), path)
-    return readers.read_csv(spark, path, FEEDBACK, multi_line=True)
+    path, escaped = scratch_path(spark, "feedback-csv"), scratch_path(spark, "feedback-csv-escaped")
+    rows = feedback(spark, sf_dir)
+    writers.export_feedback_csv(rows.filter("seq % 2 = 0"), path)
+    writers.export_feedback_csv(rows.filter("seq % 2 = 1"), escaped, escaped=True)
+    whole = readers.read_csv(spark, path, FEEDBACK, multi_line=True)
+    return whole.unionByName(readers.read_csv(spark, escaped, FEEDBACK, escaped=True))
 
 
-@query("scan_glob_csv", with_views("subscribers", f"SELECT {_SUBSCRIBERS} FROM subscribers"))
+# Files with columns in other orders, and one file set without a column that the other has.
+@query("scan_glob_csv", with_views("subscribers", f"""
+SELECT {_SUBSCRIBERS.replace('area_code', 'CASE WHEN churn = 0 THEN area_code END AS area_code')} FROM subscribers"""))
 def _(spark, sf_dir):
     base = scratch_path(spark, "subscriber-csv")
     rows = subscribers(spark, sf_dir)
     rows.filter("churn = 0").write.option("header", True).csv(f"{base}/test_stayed")
-    rows.filter("churn = 1").write.option("header", True).csv(f"{base}/test_left")
-    return readers.read_csv(spark, f"{base}/test*")
+    left = rows.filter("churn = 1").withColumn("note", F.lit("not wanted"))
+    left.select(*reversed([c for c in left.columns if c != "area_code"])).write.option("header", True).csv(f"{base}/test_left")
+    return readers.read_csv(spark, f"{base}/test*/*.csv").select(*rows.columns)
+
+
+# Every fifth line has a value that doesn't fit, every seventh of the others ends too early.
+@query("scan_csv_rejects", with_views("feedback", """
+SELECT seq, CASE WHEN seq % 5 = 0 THEN 'complaint_intensity: not a int' ELSE 'not as many values as the header has' END AS reason
+FROM feedback WHERE seq % 5 = 0 OR seq % 7 = 0"""))
+def _(spark, sf_dir):
+    path = scratch_path(spark, "broken-csv")
+    seq = F.col("seq").cast("string")
+    bad = F.when(F.col("seq") % 5 == 0, F.lit("many")).otherwise(F.col("complaint_intensity").cast("string"))
+    short = (F.col("seq") % 7 == 0) & (F.col("seq") % 5 != 0)
+    lines = feedback(spark, sf_dir).select(
+        F.col("seq"), F.when(short, seq).otherwise(F.concat_ws(",", seq, bad, F.lit("neutral"))).alias("value")
+    )
+    parts = lines.groupBy((F.col("seq") % 8).alias("file")).agg(
+        F.concat_ws("\n", F.lit("customer_id,complaint_intensity,sentiment"), F.sort_array(F.collect_list("value"))).alias("value")
+    )
+    parts.write.partitionBy("file").text(path)
+    rows, rejects = readers.read_csv_checked(spark, f"{path}/*/part-*", FEEDBACK)
+    good = rows.select(F.col("customer_id").cast("bigint").alias("seq"), F.lit("kept").alias("reason"))
+    cell = F.coalesce(F.get_json_object("text", "$.customer_id"), F.col("text"))
+    found = rejects.select(cell.cast("bigint").alias("seq"), "reason")
+    return found.join(good.select(F.col("seq").alias("_kept")), F.col("seq") == F.col("_kept"), "left_anti")
+
+
+# Files that begin with a byte order mark, as some spreadsheets write them.
+@query("scan_csv_mark", with_views("subscribers", "SELECT customer_id, state, churn FROM subscribers"))
+def _(spark, sf_dir):
+    path = scratch_path(spark, "marked-csv")
+    rows = subscribers(spark, sf_dir).select(F.to_csv(F.struct("customer_id", "state", "churn")).alias("line"), "area_code")
+    parts = rows.groupBy((F.crc32("line") % 16).alias("part")).agg(
+        F.concat_ws("\n", F.lit("\ufeffcustomer_id,state,churn"), F.collect_list("line")).alias("value")
+    )
+    parts.withColumnRenamed("part", "file").write.partitionBy("file").text(path)
+    return readers.read_csv(spark, f"{path}/*/part-*")
 
 
 _COMMENT_ROWS = """SELECT substring(md5(username), 1, 12) AS customer_id, post_url, username, text FROM {view}"""
@@ -101,6 +142,17 @@ def _(spark, sf_dir):
     return readers.read_json_lines(spark, path).drop("scraped_at", "associated_post_date")
 
 
+# Many small files that each hold one JSON array.
+@query("scan_json_arrays", with_views("document_comments", _COMMENT_ROWS.format(view="document_comments")))
+def _(spark, sf_dir):
+    path = scratch_path(spark, "comment-arrays")
+    rows = _comments(spark, sf_dir)
+    part = (F.crc32(F.concat_ws("|", "post_url", "text")) % 32).alias("file")
+    arrays = rows.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.withColumn("file", F.col("file").cast("string")).write.partitionBy("file").text(path)
+    return readers.read_json_comments(spark, f"{path}/*/part-*").select(*rows.columns)
+
+
 @query("scan_latest_file", with_views("conversation_comments", _COMMENT_ROWS.format(view="conversation_comments")))
 def _(spark, sf_dir):
     base = scratch_path(spark, "comments-runs")
@@ -166,7 +218,7 @@ def _(spark, sf_dir):
     return stored.select(*columns, times.utc_text(F.col("created_at")).alias("created_at"))
 
 
-# The same upsert in place, in a table of key buckets.
+# The same upsert into a table of versions, twice.
 @query("upsert_keyed", with_views("feedback", f"""
 SELECT coalesce(b.seq, t.seq) AS seq, customer_id, raw_text,
        CAST(CASE WHEN b.seq IS NULL THEN t.complaint_intensity ELSE b.complaint_intensity + 10 END AS INTEGER)
@@ -176,11 +228,12 @@ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, raw_
 FULL JOIN {_FIRSTS} t USING (customer_id, raw_text)"""))
 def _(spark, sf_dir):
     stored, batch = _target_and_batch(spark, sf_dir)
-    path = scratch_path(spark, "keyed")
-    writers.create_keyed(readers.read_table(spark, stored), path, FEEDBACK_KEY, 16)
+    path = scratch_path(spark, "versions")
+    writers.publish_version(readers.read_table(spark, stored), path)
     changed = batch.filter("sentiment <> 'neutral'")
-    writers.upsert_keyed(spark, path, changed, FEEDBACK_KEY, ["seq"], 16)
-    return readers.read_table(spark, path).select("seq", *FEEDBACK_KEY, "complaint_intensity")
+    for _ in range(2):  # the second time changes nothing
+        writers.upsert_version(spark, path, changed, FEEDBACK_KEY, ["seq"])
+    return readers.read_newest(spark, path).select("seq", *FEEDBACK_KEY, "complaint_intensity")
 
 
 @query("upsert_ignore", with_views("feedback", f"""

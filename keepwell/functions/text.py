@@ -42,6 +42,21 @@ def squeeze(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, f"(?U){_SPACE}+", " "))
 
 
+def escape_breaks(text: Column) -> Column:
+    """Line breaks as backslash and letter, backslashes doubled."""
+    doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescape_breaks(text: Column) -> Column:
+    """What ``escape_breaks`` was given. Between doubled backslashes, a single one can only belong to a break."""
+
+    def part(piece: Column) -> Column:
+        return F.replace(F.replace(piece, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), part), "\\")
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 

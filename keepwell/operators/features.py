@@ -65,19 +65,20 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.select("feature", "value", F.col("code").cast("bigint").alias("code"))
 
 
-def with_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str]) -> DataFrame:
+def with_codes(
+    df: DataFrame, codes: DataFrame, columns: Sequence[str], features: Sequence[str] | None = None
+) -> DataFrame:
     """``df`` with categories replaced by their codes in a stored ``category_codes`` table.
 
-    A value the table lacks gets the next code. Spark broadcasts the codes of
-    a column where they are few and joins by shuffle where they are not, so
-    this also serves columns with too many categories for a model's own index.
+    ``features`` names the columns in that table, where they are called otherwise. A value the table lacks gets the
+    next code. Spark broadcasts the codes of a column where they are few and joins by shuffle where they are not.
     """
-    for name in columns:
-        own = codes.filter(F.col("feature") == name)
-        size = own.agg(F.count("*")).scalar()
+    sizes = {row["feature"]: row["n"] for row in codes.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+    for name, feature in zip(columns, features or columns):
+        own = codes.filter(F.col("feature") == feature)
         known = own.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = df.join(known, filled_category(name) == F.col("_value"), "left")
-        df = df.withColumn(name, F.coalesce("_code", size)).drop("_value", "_code")
+        df = df.withColumn(name, F.coalesce("_code", F.lit(sizes.get(feature, 0)).cast("bigint"))).drop("_value", "_code")
     return df
 
 
@@ -91,6 +92,7 @@ def feature_matrix(df: DataFrame, keep: Sequence[str] = (), is_inference: bool =
     target = target_column(df)
     coded = df
     if categorical:
+        df = materialize(df, "uncoded")  # codes and rows come from one evaluation
         coded = with_codes(df, materialize(category_codes(df, categorical), "category-codes"), categorical)
     features = [
         F.col(c) if c in categorical else filled_number(df, c) for c in drop_non_features(df).columns
@@ -134,15 +136,13 @@ def usage_features(df: DataFrame) -> DataFrame:
     )
 
 
-def latest_feedback(feedback: DataFrame, sequence: Sequence[str] = ("created_at",)) -> DataFrame:
-    """The newest feedback row of every customer."""
+def latest_feedback(feedback: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """The newest feedback row of every customer by ``sequence``, whose last column is unique."""
     return top_per_key(feedback, ["customer_id"], [F.col(c).desc_nulls_last() for c in sequence])
 
 
-def enrich_subscribers(
-    subscribers: DataFrame, feedback: DataFrame, sequence: Sequence[str] = ("created_at",)
-) -> DataFrame:
-    """Subscribers with the text and labels of their newest feedback, null without any."""
+def enrich_subscribers(subscribers: DataFrame, feedback: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """Subscribers with the text and labels of their newest feedback by ``sequence``, null without any."""
     newest = latest_feedback(feedback, sequence).select(
         "customer_id", F.col("raw_text").alias("feedback_text"), *LABEL_COLUMNS
     )

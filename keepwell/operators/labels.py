@@ -134,8 +134,9 @@ def label_comments(
 ) -> DataFrame:
     """Labels from ``labeler``, which gets Arrow batches of ``comments`` as pandas frames.
 
-    It returns the same rows with the three label columns added. Without one,
-    the keyword labels apply.
+    It returns the same rows with the three label columns added; another number of
+    rows is an error. Without one, the keyword labels apply. Store the result before
+    using it twice, or the labeller runs twice.
     """
     if labeler is None:
         return lexicon_labels(comments)
@@ -145,6 +146,9 @@ def label_comments(
 
     def label_batches(batches):
         for batch in batches:
-            yield labeler(batch)[columns]
+            labelled = labeler(batch)[columns]
+            if len(labelled) != len(batch):
+                raise ValueError(f"the labeller returned {len(labelled)} rows for {len(batch)}")
+            yield labelled
 
     return comments.mapInPandas(label_batches, schema)

@@ -3,26 +3,37 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import Executor, ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from keepwell.functions.risk import DEFAULT_THRESHOLD
-from keepwell.operators.features import MISSING, class_weight, feature_columns, stratified_folds, target_column
+from keepwell.operators.features import (
+    category_codes,
+    class_weight,
+    feature_columns,
+    stratified_folds,
+    target_column,
+    with_codes,
+)
 from keepwell.operators.metrics import classification_report, exact_area
 from keepwell.operators.scoring import PROBABILITY
-from keepwell.session import materialize
+from keepwell.session import materialize, scratch_path
 
 SEED = 42
 FOLDS = 3
 CANDIDATES = 2
+FITS_AT_ONCE = 8  # the driver only steers them
 
 # The search spaces of the three boosted-tree learners.
 SPACES: Mapping[str, Mapping[str, Sequence[Any]]] = {
@@ -33,81 +44,56 @@ SPACES: Mapping[str, Mapping[str, Sequence[Any]]] = {
 CHAMPION = "gbt_c"
 
 
-# A fitted index lives in the driver and in every task, so its size is checked first.
-MAX_CATEGORIES = 1_000_000
-
-
-class TooManyCategories(ValueError):
-    """A column that is no category for a model's own index."""
+@dataclass
+class Prepared:
+    """How raw columns become ``features``: fitted once on the training table, applied to every later one.
 
+    Categories become their position among the training values, from the stored table ``codes``; a value not seen
+    there gets the next number. Models take codes as plain numbers, so the number of categories isn't
+    limited by tree bins, by the driver or by a task: a join looks them up, broadcast only where they are few.
+    """
 
-def check_categories(df: DataFrame, limit: int = MAX_CATEGORIES) -> None:
-    """Fail where a column has more distinct values than an index should hold."""
-    _, categorical = feature_columns(df)
-    if not categorical:
-        return
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    large = [c for c in categorical if counts[c] > limit]
-    if large:
-        raise TooManyCategories(f"{large} have over {limit} values: leave them out or use features.with_codes")
+    numeric: list[str]
+    categorical: list[str]
+    codes: DataFrame | None
 
+    @property
+    def names(self) -> list[str]:
+        """The training columns in the order of the feature vector."""
+        return [*self.numeric, *self.categorical]
 
-def preprocessing(df: DataFrame) -> Pipeline:
-    """Stages from raw columns to ``features``; fitted once, applied to every later table.
 
-    Categories become their position among the training values; a value not
-    seen there gets the next number. Models take codes as plain numbers, so
-    the number of categories isn't limited by tree bins.
-    """
+def preprocessing(df: DataFrame) -> Prepared:
     numeric, categorical = feature_columns(df)
-    filled = [f"COALESCE(CAST(`{c}` AS STRING), '{MISSING}') AS `_text_{c}`" for c in categorical]
-    # not-a-number counts as missing
-    numbers = [f"COALESCE(NANVL(CAST(`{c}` AS DOUBLE), NULL), 0D) AS `_number_{c}`" for c in numeric]
-    stages: list[Any] = [SQLTransformer(statement=f"SELECT *, {', '.join(filled + numbers)} FROM __THIS__")]
-    if categorical:
-        stages.append(
-            StringIndexer(
-                inputCols=[f"_text_{c}" for c in categorical],
-                outputCols=[f"_index_{c}" for c in categorical],
-                stringOrderType="alphabetAsc",
-                handleInvalid="keep",
-            )
-        )
-        plain = ", ".join(f"`_index_{c}` + 0D AS `_number_{c}`" for c in categorical)
-        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
-    assembled = [f"_number_{c}" for c in (*numeric, *categorical)]
-    stages.append(VectorAssembler(inputCols=assembled, outputCol="features"))
-    return Pipeline(stages=stages)
-
-
-def feature_names(prepared: PipelineModel) -> list[str]:
-    """The training columns in the order of the feature vector."""
-    return [c.removeprefix("_number_") for c in prepared.stages[-1].getInputCols()]
-
-
-def _first_categories(prepared: PipelineModel) -> dict[str, str]:
-    for stage in prepared.stages:
-        if stage.hasParam("stringOrderType"):
-            names = [c.removeprefix("_text_") for c in stage.getInputCols()]
-            return {name: labels[0] for name, labels in zip(names, stage.labelsArray) if labels}
-    return {}
-
-
-def prepare_rows(prepared: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``features``. A training column it lacks counts as code or value 0."""
-    have = set(df.columns)
-    zero = _first_categories(prepared)
-    absent = {c: F.lit(zero.get(c, 0.0)) for c in feature_names(prepared) if c not in have}
-    rows = prepared.transform(df.withColumns(absent) if absent else df)
-    helpers = [c for c in rows.columns if c.startswith(("_text_", "_index_", "_number_"))]
-    return rows.drop(*helpers, *absent)
+    codes = materialize(category_codes(df, categorical), "category-codes") if categorical else None
+    return Prepared(numeric, categorical, codes)
 
 
-def training_rows(prepared: PipelineModel, df: DataFrame, key: str = "customer_id") -> DataFrame:
+def prepare_rows(prepared: Prepared, df: DataFrame) -> DataFrame:
+    """``df`` with ``features``. A training column it lacks counts as code or value 0; not-a-number as missing, 0."""
+    have = set(df.columns)
+    rows = df.withColumns({f"_code_{c}": F.col(c) for c in prepared.categorical if c in have})
+    coded = [f"_code_{c}" for c in prepared.categorical if c in have]
+    if coded:
+        rows = with_codes(rows, prepared.codes, coded, [c.removeprefix("_code_") for c in coded])
+    numbers = {}
+    for c in prepared.numeric:
+        own = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(0.0)) if c in have else F.lit(0.0)
+        numbers[f"_number_{c}"] = own
+    for c in prepared.categorical:
+        numbers[f"_number_{c}"] = F.col(f"_code_{c}").cast("double") if c in have else F.lit(0.0)
+    assembler = VectorAssembler(inputCols=[f"_number_{c}" for c in prepared.names], outputCol="features")
+    return assembler.transform(rows.withColumns(numbers)).select(*df.columns, "features")
+
+
+def training_rows(prepared: Prepared, df: DataFrame, key: str = "customer_id") -> DataFrame:
     """(key, features, label, weight): positives weigh as many times as they are outnumbered."""
     label = target_column(df)
     if label is None:
         raise ValueError("no label column")
+    unlabelled = df.filter(F.col(label).isNull()).count()
+    if unlabelled:
+        raise ValueError(f"{label} is null in {unlabelled} training rows")
     weight = class_weight(df, label).select("scale_pos_weight").scalar()
     target = F.col(label).cast("double")
     return prepare_rows(prepared, df).select(
@@ -143,51 +129,81 @@ def probability_column(name: str = PROBABILITY, model: str = "probability"):
 
 @dataclass
 class Search:
-    """The refitted best model, and one (candidate, params, fold, auc) row per fit."""
+    """The refitted best model, its parameters, and one (candidate, params, fold, auc) row per fit."""
 
     model: Any
     params: dict
     trials: DataFrame
 
 
+def folded_rows(rows: DataFrame, folds: int = FOLDS, per_partition: int = 50_000) -> DataFrame:
+    """``rows`` from ``training_rows``, stored once, in a folder per stratified fold: a fit reads the folds it trains on.
+
+    Learners go through their rows many times, so a partition has some ten thousand of them, not a few.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "folds")
+    folded = stratified_folds(rows, "label", rows.columns[0], folds)
+    parts = max(1, math.ceil(rows.count() / per_partition))
+    folded.repartition(parts).write.partitionBy("fold").parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("fold", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 def random_search(
-    rows: DataFrame,
+    folded: DataFrame,
     space: Mapping[str, Sequence[Any]],
     n: int = CANDIDATES,
     folds: int = FOLDS,
     overrides: Mapping[str, Any] | None = None,
+    pool: Executor | None = None,
 ) -> Search:
     """Stratified cross-validation of sampled candidates by ROC AUC; the best is refitted on all rows.
 
-    ``rows`` come from ``training_rows``. The loop runs over fits; each fit is a distributed job.
-    The folded rows are a stored table: what many iterations read must not be computed again
-    when an executor is lost. The learners cache their own form of it.
+    ``folded`` come from ``folded_rows``. Each fit is a series of distributed jobs; the fits of all candidates and
+    folds run side by side in ``pool``, or in one of their own.
     """
-    folded = materialize(stratified_folds(rows, "label", rows.columns[0], folds), "folds")
     candidates = [{**c, **(overrides or {})} for c in sample_candidates(space, n)]
-    trials = []
-    for number, params in enumerate(candidates):
-        for fold in range(folds):
-            fitted = boosted_trees(**params).fit(folded.filter(F.col("fold") != fold))
-            held_out = fitted.transform(folded.filter(F.col("fold") == fold))
-            auc = exact_area(held_out.select(probability_column("p"), F.col("label").alias("y")))
-            trials.append((number, str(params), fold, auc))
+
+    def trial(number: int, fold: int) -> tuple[int, str, int, float]:
+        params = candidates[number]
+        fitted = boosted_trees(**params).fit(_few_parts(folded.filter(F.col("fold") != fold)))
+        held_out = fitted.transform(folded.filter(F.col("fold") == fold))
+        auc = exact_area(held_out.select(probability_column("p"), F.col("label").alias("y")))
+        return number, str(params), fold, auc
+
+    with nullcontext(pool) if pool else ThreadPoolExecutor(FITS_AT_ONCE) as threads:
+        pending = [threads.submit(trial, i, fold) for i in range(len(candidates)) for fold in range(folds)]
+        trials = [p.result() for p in pending]
     means = [sum(t[3] for t in trials if t[0] == i) / folds for i in range(len(candidates))]
     best = candidates[means.index(max(means))]
-    table = rows.sparkSession.createDataFrame(trials, "candidate int, params string, fold int, auc double")
-    return Search(boosted_trees(**best).fit(folded), best, table)
+    table = folded.sparkSession.createDataFrame(trials, "candidate int, params string, fold int, auc double")
+    return Search(boosted_trees(**best).fit(_few_parts(folded)), best, table)
+
+
+def _few_parts(rows: DataFrame) -> DataFrame:
+    """The files of several folds in as many partitions as one has, at most one per file."""
+    return rows.coalesce(max(1, rows.rdd.getNumPartitions() // FOLDS))
+
+
+@dataclass
+class ChurnModel:
+    """A fitted preprocessing and a model on its output: what is stored and what scores."""
+
+    prepared: Prepared
+    model: Any
 
 
 @dataclass
 class Trained:
     """One preprocessing and the models fitted on its output, by name."""
 
-    prepared: PipelineModel
+    prepared: Prepared
     models: dict[str, Any]
     trials: dict[str, DataFrame]
 
-    def pipeline(self, name: str) -> PipelineModel:
-        return PipelineModel(stages=[*self.prepared.stages, self.models[name]])
+    def pipeline(self, name: str) -> ChurnModel:
+        return ChurnModel(self.prepared, self.models[name])
 
 
 def train_models(
@@ -198,24 +214,26 @@ def train_models(
     folds: int = FOLDS,
     overrides: Mapping[str, Any] | None = None,
 ) -> Trained:
-    """Fit the named learners. ``overrides`` fix tree parameters, e.g. fewer iterations for a trial run."""
-    check_categories(train)
-    prepared = preprocessing(train).fit(train)
-    rows = materialize(training_rows(prepared, train, key), "training")
+    """Fit the named learners, side by side. ``overrides`` fix tree parameters, e.g. fewer iterations for a trial run."""
+    prepared = preprocessing(train)
+    folded = folded_rows(training_rows(prepared, train, key), folds)
     models, trials = {}, {}
-    for name in names:
-        if name == "logreg":
-            models[name] = logistic_regression(rows.count()).fit(rows)
-        else:
-            search = random_search(rows, SPACES[name], n, folds, overrides)
-            models[name], trials[name] = search.model, search.trials
-    return Trained(prepared, models, trials)
-
-
-def score(pipeline: PipelineModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``churn_probability``: one pass, no shuffle."""
-    prepared = PipelineModel(stages=pipeline.stages[:-1])
-    scored = pipeline.stages[-1].transform(prepare_rows(prepared, df))
+    # searches wait for their fits, so they have threads of their own
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool, ThreadPoolExecutor(len(names) or 1) as searches:
+        pending = {
+            name: searches.submit(random_search, folded, SPACES[name], n, folds, overrides, pool)
+            for name in names if name != "logreg"
+        }
+        if "logreg" in names:
+            models["logreg"] = logistic_regression(folded.count()).fit(_few_parts(folded))
+        for name, search in pending.items():
+            models[name], trials[name] = search.result().model, search.result().trials
+    return Trained(prepared, {name: models[name] for name in names}, trials)
+
+
+def score(pipeline: ChurnModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``churn_probability``: one pass; categories are joined, and shuffled only if they are very many."""
+    scored = pipeline.model.transform(prepare_rows(pipeline.prepared, df))
     return scored.select(*df.columns, probability_column())
 
 
@@ -253,17 +271,28 @@ def choose_champion(comparison: DataFrame, fixed: str | None = None) -> str:
     return models.orderBy(F.desc("roc_auc"), "model").first()["model"]
 
 
-def feature_importance(spark: SparkSession, prepared: PipelineModel, model: Any) -> DataFrame:
+def feature_importance(spark: SparkSession, prepared: Prepared, model: Any) -> DataFrame:
     """(feature, importance), largest first: impurity gains of trees, absolute weights of a regression."""
     values = model.featureImportances if model.hasParam("maxDepth") else model.coefficients
-    pairs = [(n, abs(float(v))) for n, v in zip(feature_names(prepared), values.toArray())]
+    pairs = [(n, abs(float(v))) for n, v in zip(prepared.names, values.toArray())]
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
     return spark.createDataFrame(pairs, schema).orderBy(F.desc("importance"), "feature")
 
 
-def save_pipeline(pipeline: PipelineModel, path: str) -> None:
-    pipeline.write().overwrite().save(path)
+def save_pipeline(pipeline: ChurnModel, path: str) -> None:
+    """The model, its columns and its category codes, below ``path``."""
+    prepared, root = pipeline.prepared, path.rstrip("/")
+    PipelineModel(stages=[pipeline.model]).write().overwrite().save(f"{root}/model")
+    spark = SparkSession.active()
+    columns = spark.createDataFrame([(prepared.numeric, prepared.categorical)], "numeric array<string>, categorical array<string>")
+    columns.coalesce(1).write.mode("overwrite").parquet(f"{root}/columns")
+    if prepared.codes is not None:
+        prepared.codes.write.mode("overwrite").parquet(f"{root}/codes")
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_pipeline(path: str) -> ChurnModel:
+    spark, root = SparkSession.active(), path.rstrip("/")
+    columns = spark.read.parquet(f"{root}/columns").first()
+    codes = spark.read.parquet(f"{root}/codes") if columns["categorical"] else None
+    prepared = Prepared(list(columns["numeric"]), list(columns["categorical"]), codes)
+    return ChurnModel(prepared, PipelineModel.load(f"{root}/model").stages[0])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keepwell.functions.numbers import net_score, percent_text, percentage, signed_text
 from keepwell.functions.times import date_text, days_before, event_time
 from keepwell.operators.labels import CATEGORIES, SENTIMENTS
-from keepwell.schemas import first_existing
+from keepwell.schemas import FEEDBACK_KEY, existing, first_existing
 
 # Fixed values of the dashboard.
 FRESH_VARIANCE = 4  # shown while there is nothing older than a week
@@ -20,9 +20,9 @@ FEED = "Live feed from Facebook"
 
 TONES = SENTIMENTS
 
-# Bands of the older summary: lowest net score (-100..100) and what it is called. Ours.
+# Bands of the older summary: lowest net score (-100..100) and what it is called. The limits and two names are ours.
 HEALTH_BANDS = ((20.0, "Healthy / Positive Brand Perception"), (-10.0, "Stable / Mixed Brand Perception"))
-HEALTH_BELOW = "At Risk / Negative Operational Friction"
+HEALTH_BELOW = "At Risk / Negative Operational Friction"  # fixed value
 
 
 def _now(as_of: Column | None) -> Column:
@@ -156,6 +156,7 @@ def _newest(
     rows = feedback
     if "source" in feedback.columns:
         rows = rows.filter(F.lower(F.col("source")) == source.lower())
+    tie_break = existing(feedback, tie_break)
     moment = event_time(feedback, now)
     newest = rows.withColumn("_at", moment).orderBy(F.desc("_at"), *[F.desc(c) for c in tie_break]).limit(n)
     return newest, [
@@ -171,9 +172,12 @@ def recent_mentions(
     as_of: Column | None = None,
     n: int = 10,
     source: str = "facebook",
-    tie_break: Sequence[str] = (),
+    tie_break: Sequence[str] = tuple(FEEDBACK_KEY),
 ) -> DataFrame:
-    """The newest ``n`` mentions from one source (from all, if the table has no ``source``)."""
+    """The newest ``n`` mentions from one source (from all, if the table has no ``source``).
+
+    ``tie_break`` orders mentions of one moment; together with the time it is unique. Its default is the table's key.
+    """
     newest, fields = _newest(feedback, _now(as_of), n, source, tie_break)
     return newest.select(*fields)
 
@@ -198,7 +202,9 @@ def reputation_summary(feedback: DataFrame) -> DataFrame:
     )
 
 
-def reputation_document(feedback: DataFrame, as_of: Column | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
+def reputation_document(
+    feedback: DataFrame, as_of: Column | None = None, tie_break: Sequence[str] = tuple(FEEDBACK_KEY)
+) -> DataFrame:
     """The whole dashboard as one JSON text.
 
     The feedback is counted per day in one pass; the totals are sums over days.
@@ -217,7 +223,7 @@ def reputation_document(feedback: DataFrame, as_of: Column | None = None, tie_br
     )
     row = _with_scores(_per_day(feedback, now).agg(*sums, F.sort_array(F.collect_list(day)).alias("days")))
     newest, fields = _newest(feedback, now, 10, "facebook", tie_break)
-    entries = F.collect_list(F.struct("_at", *tie_break, F.struct(*fields).alias("mention")))
+    entries = F.collect_list(F.struct("_at", *existing(feedback, tie_break), F.struct(*fields).alias("mention")))
     feed = newest.agg(F.transform(F.sort_array(entries, asc=False), lambda entry: entry["mention"]))
     shares = [percent_text(F.col(f"{t}_share")).alias(t) for t in TONES]
     document = F.struct(
@@ -227,4 +233,4 @@ def reputation_document(feedback: DataFrame, as_of: Column | None = None, tie_br
         F.struct("selected_period", *shares).alias("sentiment_mix_percentage"),
         F.struct(F.lit(FEED).alias("platform_source"), feed.scalar().alias("feed")).alias("recent_mentions"),
     )
-    return row.select(F.to_json(document).alias("document"))
+    return row.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -14,6 +14,8 @@ from keepwell.schemas import existing, first_existing
 from keepwell.session import materialize
 
 PROBABILITY = "churn_probability"
+# What a document says it is.
+SUMMARY, PROFILE = "global_dashboard_summary", "individual_profile_lookup"
 STORED_DIGITS = 4
 UNKNOWN = "unknown"
 
@@ -94,18 +96,23 @@ def customer_profile(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) ->
 
 
 def churn_document(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD, n: int = 10) -> DataFrame:
-    """The dashboard with its top ``n`` profiles as one JSON text."""
+    """The dashboard with its top ``n`` profiles as one JSON text; every key is there, null where nothing is known.
+
+    The scores and what a profile shows are stored first, so that a model runs once.
+    """
+    shown = ["customer_id", PROBABILITY, "feedback_category", "state", "account_length", "customer_service_calls", "sentiment"]
+    scored = materialize(scored.select(*existing(scored, shown)), "scored")
     ordered = F.struct((-F.col(PROBABILITY)).alias("_down"), "customer_id", F.struct("*").alias("profile"))
     profiles = top_risk_profiles(scored, threshold, n).agg(F.sort_array(F.collect_list(ordered)).alias("all"))
     top = profiles.select(F.transform("all", lambda entry: entry["profile"])).scalar()
     document = F.struct(
-        F.lit("global_dashboard_summary").alias("search_mode"),
+        F.lit(SUMMARY).alias("search_mode"),
         "total_customers",
         "avg_churn_risk_percentage",
         "high_risk_customers",
         top.alias("top_risk_profiles"),
     )
-    return churn_dashboard(scored, threshold).select(F.to_json(document).alias("document"))
+    return churn_dashboard(scored, threshold).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def profile_documents(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -116,11 +123,11 @@ def profile_documents(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -
     )
     analytics = (PROBABILITY, "churn_probability_percentage", "risk_level", "action_required")
     document = F.struct(
-        F.lit("individual_profile_lookup").alias("search_mode"),
+        F.lit(PROFILE).alias("search_mode"),
         F.struct(*info).alias("customer_info"),
         F.struct(*analytics).alias("predictive_analytics"),
     )
-    return customer_profile(scored, threshold).select("customer_id", F.to_json(document).alias("document"))
+    return customer_profile(scored, threshold).select("customer_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
 def checked_predictions(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

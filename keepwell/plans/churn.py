@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from keepwell.functions.risk import DEFAULT_THRESHOLD
 from keepwell.operators import models as ml
 from keepwell.operators.quality import data_audit
 from keepwell.operators.shaping import project_whitelist
+from keepwell.session import materialize
 from keepwell.sources.readers import require_rows
 
 
@@ -20,11 +20,12 @@ from keepwell.sources.readers import require_rows
 class ChurnRun:
     trained: ml.Trained
     champion: str
+    scores: DataFrame
     comparison: DataFrame
     audit: DataFrame
 
     @property
-    def champion_model(self) -> PipelineModel:
+    def champion_model(self) -> ml.ChurnModel:
         return self.trained.pipeline(self.champion)
 
 
@@ -43,9 +44,10 @@ def train_churn(
     train = project_whitelist(require_rows(train, "the training table"))
     test = project_whitelist(require_rows(test, "the test table"))
     trained = ml.train_models(train, names=names, n=n, folds=folds, overrides=overrides)
-    comparison = ml.compare_models(ml.holdout_scores(trained, test), names, threshold)
+    scores = materialize(ml.holdout_scores(trained, test), "holdout-scores")
+    comparison = materialize(ml.compare_models(scores, names, threshold), "comparison")
     chosen = ml.choose_champion(comparison, champion)
-    run = ChurnRun(trained, chosen, comparison, data_audit(train))
+    run = ChurnRun(trained, chosen, scores, comparison, data_audit(train))
     if model_path:
         ml.save_pipeline(run.champion_model, model_path)
     return run

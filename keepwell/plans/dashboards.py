@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 
 from keepwell.functions.risk import DEFAULT_THRESHOLD
 from keepwell.operators import scoring
-from keepwell.operators.models import score
+from keepwell.operators.models import ChurnModel, score
 from keepwell.operators.reputation import reputation_document
 from keepwell.sources.readers import require_rows
 
@@ -17,7 +16,7 @@ def reputation(feedback: DataFrame, as_of: Column | None = None) -> DataFrame:
 
 
 def churn(
-    subscribers: DataFrame, model: PipelineModel, threshold: float = DEFAULT_THRESHOLD, limit: int | None = None
+    subscribers: DataFrame, model: ChurnModel, threshold: float = DEFAULT_THRESHOLD, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """The summary line and the top profiles of the subscriber table, or of ``limit`` rows of it.
 
@@ -29,7 +28,7 @@ def churn(
 
 
 def profile(
-    subscribers: DataFrame, model: PipelineModel, customer_id: str, threshold: float = DEFAULT_THRESHOLD
+    subscribers: DataFrame, model: ChurnModel, customer_id: str, threshold: float = DEFAULT_THRESHOLD
 ) -> DataFrame:
     """The profile of one customer; no row if there is no such customer."""
     return scoring.customer_profile(score(model, scoring.lookup_customer(subscribers, customer_id)), threshold)

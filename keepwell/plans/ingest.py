@@ -12,6 +12,7 @@ from keepwell.operators.links import attach_post_date
 from keepwell.operators.shaping import shape_feedback
 from keepwell.operators.upsert import upsert_update
 from keepwell.schemas import FEEDBACK, FEEDBACK_KEY
+from keepwell.session import materialize
 from keepwell.sources.readers import read_csv
 
 
@@ -42,13 +43,17 @@ def label_batch_from_answers(answers: DataFrame, order_id: str, answer: str = "a
 def update_feedback(feedback: DataFrame, batch: DataFrame, order_id: str) -> DataFrame:
     """The feedback table with a batch merged in, of repeated rows the first; new rows are created now."""
     now = {"created_at": F.current_timestamp()}
-    return upsert_update(feedback, batch, FEEDBACK_KEY, [order_id], now, keep="first")
+    # stored first, so that a labeller sees each comment once and every part of the merge the same labels
+    return upsert_update(feedback, materialize(batch, "labelled"), FEEDBACK_KEY, [order_id], now, keep="first")
 
 
 def empty_feedback(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FEEDBACK)
 
 
-def read_feedback_export(spark: SparkSession, path: str) -> DataFrame:
-    """A labelled CSV export in file order (``POSITION``); columns it lacks stay absent."""
-    return read_csv(spark, path, FEEDBACK, multi_line=True, with_position=True)
+def read_feedback_export(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
+    """A labelled CSV export in file order (``POSITION``); columns it lacks stay absent.
+
+    One with ``escaped`` line breaks is split among tasks; of any other, a task reads a file.
+    """
+    return read_csv(spark, path, FEEDBACK, multi_line=not escaped, with_position=True, escaped=escaped)

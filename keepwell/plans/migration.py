@@ -18,7 +18,9 @@ def migrate_subscribers(spark: SparkSession, current: DataFrame, pattern: str) -
     return upsert_update(current, project_whitelist(rows, allowed), ["customer_id"], POSITION)
 
 
-def migrate_feedback(spark: SparkSession, current: DataFrame, path: str) -> DataFrame:
-    """The feedback table with all rows of an export; of several per customer and text the last counts."""
-    rows = shape_feedback(read_feedback_export(spark, path), keep=POSITION)
+def migrate_feedback(spark: SparkSession, current: DataFrame, path: str, escaped: bool = False) -> DataFrame:
+    """The feedback table with all rows of an export; of several per customer and text the last counts.
+
+    Two rows without a text are the same row, so a second run adds nothing."""
+    rows = shape_feedback(read_feedback_export(spark, path, escaped), keep=POSITION)
     return upsert_update(current, rows, FEEDBACK_KEY, POSITION, {"created_at": F.current_timestamp()})

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from keepwell.functions.text import unescape_breaks
 from keepwell.schemas import COMMENTS, SNAPSHOTS, SUBSCRIBERS
 
+VERSIONS = "version long, path string"
 
 # Where a row stands in its file; compares like the order of lines.
 POSITION = ["_file", "_block", "_row"]
@@ -29,45 +33,164 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+BROKEN = "_broken"  # the text of a line or record that doesn't fit
+
+
+def _headers(spark: SparkSession, path: str, **options) -> list[tuple[list[str], list[str]]]:
+    """The names of columns, and the files that have them, for each different header.
+
+    Takes the first line of each file, looking at first blocks only; a byte order mark is no part of it.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.ltrim(F.col("value"), F.lit("\ufeff")).alias("line"),
+    )
+    firsts = lines.filter("block = 0 and line <> ''").groupBy("file").agg(F.min_by("line", "at").alias("line"))
+    found = firsts.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    return [(spark.read.options(**options).csv(row["files"][0]).columns, row["files"]) for row in found]
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = SUBSCRIBERS,
+    multi_line: bool = False,
+    with_position: bool = False,
+    escaped: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """CSV files with a header, by path or glob: the rows that fit ``schema``, and the others as text with a reason.
+
+    Columns are found by name in each file's own header, so files may have different ones; a column that only some
+    have is null in the rows of others, one that no file has is absent, and those outside ``schema`` are ignored. A
+    leading byte order mark is no part of the first name. A path without files is an error; files without a header have no
+    rows. A line with too few or too many values, or with a value that isn't of its column's type, is a reject:
+    ``file``, ``text`` (the line, or its cells as JSON), ``reason``.
+
+    Texts with line breaks need ``multi_line``, which reads each file in one task, or an export with ``escaped`` breaks.
+    ``with_position`` adds the ``POSITION`` columns.
+    """
+    checked = _checked_csv(spark, path, schema, multi_line, escaped)
+    return _fitting(checked, with_position), _rejects(checked)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType = SUBSCRIBERS,
     multi_line: bool = False,
     with_position: bool = False,
+    escaped: bool = False,
 ) -> DataFrame:
-    """CSV files with a header, by path or glob; columns are found by name.
-
-    Columns of ``schema`` that the files lack are absent from the result, others
-    in the files are ignored. A leading byte order mark is no part of the first
-    name. A path without files is an error, and so are files with different
-    headers. Texts with line breaks need ``multi_line``, which reads each file
-    in one task; write such exports in many files. ``with_position`` adds the
-    ``POSITION`` columns.
-    """
+    """The rows of ``read_csv_checked``, where there are no others: a line that doesn't fit fails the job that reads it."""
+    return _fitting(_or_fail(_checked_csv(spark, path, schema, multi_line, escaped)), with_position)
+
+
+def _checked_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, escaped: bool
+) -> DataFrame:
+    """All lines: typed columns, ``POSITION``, ``_text`` and ``_reason`` (empty if the line fits)."""
     options = {"header": True, "multiLine": multi_line, "escape": '"'}
-    present = spark.read.options(**options).csv(path).columns
-    as_text = T.StructType([T.StructField(name, T.StringType()) for name in present])
-    rows = spark.read.options(**options, enforceSchema=False).schema(as_text).csv(path)
-    position = [
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    ]
-    return rows.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema if f.name in present],
-        *(position if with_position else []),
-    )
+    parts = []
+    for present, files in _headers(spark, path, **options):
+        text_types = [T.StructField(name, T.StringType()) for name in [*present, BROKEN]]
+        reader = spark.read.options(**options, columnNameOfCorruptRecord=BROKEN, columnPruning=False)
+        lines = reader.schema(T.StructType(text_types)).csv(files)
+        known = [f for f in schema if f.name in present]
+        cells = {f.name: F.col(f"`{f.name}`") for f in known}
+        if escaped:
+            cells = {name: unescape_breaks(cell) for name, cell in cells.items()}
+        problems = [F.when(F.col(BROKEN).isNotNull(), F.lit("not as many values as the header has"))]
+        for f in known:
+            if not isinstance(f.dataType, T.StringType):
+                bad = cells[f.name].isNotNull() & cells[f.name].try_cast(f.dataType).isNull()
+                problems.append(F.when(bad, F.lit(f"{f.name}: not a {f.dataType.simpleString()}")))
+        reason = F.concat_ws("; ", *problems)
+        position = [
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_row"),
+        ]
+        typed = [cells[f.name].try_cast(f.dataType).alias(f.name) for f in known]
+        as_json = F.to_json(F.struct(*[F.col(f"`{name}`") for name in present]))
+        checked = lines.select(
+            *typed, *position, F.coalesce(F.col(BROKEN), as_json).alias("_text"), reason.alias("_reason")
+        )
+        parts.append(checked)
+    if not parts:
+        names = [*schema.fields, *(T.StructField(c, T.StringType()) for c in (*POSITION, "_text", "_reason"))]
+        return spark.createDataFrame([], T.StructType(names))
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return whole.select(*[f.name for f in schema if f.name in whole.columns], *POSITION, "_text", "_reason")
+
+
+def _fitting(checked: DataFrame, with_position: bool = False) -> DataFrame:
+    """The rows without a reason against them."""
+    dropped = ("_text", "_reason", *([] if with_position else POSITION))
+    return checked.filter("_reason = ''").drop(*dropped)
+
+
+def _rejects(checked: DataFrame) -> DataFrame:
+    bad = checked.filter("_reason <> ''")
+    return bad.select(*[F.col(f"_{name}").alias(name) for name in ("file", "text", "reason")])
+
+
+def _or_fail(checked: DataFrame) -> DataFrame:
+    """``checked``, failing at the first line that doesn't fit: none is lost without a word."""
+    said = F.raise_error(F.concat_ws(": ", "_file", "_reason", "_text")).cast("boolean")
+    return checked.filter(F.when(F.col("_reason") == "", F.lit(True)).otherwise(said))
+
+
+def read_json_checked(
+    spark: SparkSession, path: str, schema: T.StructType = COMMENTS, arrays: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The records that fit ``schema``, and the others (``file``, ``text``, ``reason``).
+
+    One record per line, which can be split; or, with ``arrays``, files that each hold one JSON array, read whole by one
+    task each: keep such files small and many.
+    """
+    checked = _checked_json(spark, path, schema, arrays)
+    return _fitting(checked), _rejects(checked)
+
+
+def _checked_json(spark: SparkSession, path: str, schema: T.StructType, arrays: bool) -> DataFrame:
+    with_text = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    reader = spark.read.schema(with_text).option("multiLine", arrays).option("columnNameOfCorruptRecord", BROKEN)
+    reason = F.when(F.col(BROKEN).isNull(), F.lit("")).otherwise("not a record of these types")
+    position = [F.col("_metadata.file_path").alias("_file"), *[F.lit(None).cast("bigint").alias(c) for c in POSITION[1:]]]
+    text = F.coalesce(F.col(BROKEN), F.to_json(F.struct(*schema.fieldNames()))).alias("_text")
+    return reader.json(path).select(*schema.fieldNames(), *position, text, reason.alias("_reason"))
 
 
 def read_json_comments(spark: SparkSession, path: str, schema: T.StructType = COMMENTS) -> DataFrame:
-    """Files that each hold one JSON array of comments."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that each hold one JSON array of comments; a file that doesn't fit is an error."""
+    return _fitting(_or_fail(_checked_json(spark, path, schema, True)))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = COMMENTS) -> DataFrame:
-    """Exports of ``writers.export_comments``: one comment per line, splittable."""
-    return spark.read.schema(schema).json(path)
+    """Exports of ``writers.export_comments``: one comment per line, splittable; one that doesn't fit is an error."""
+    return _fitting(_or_fail(_checked_json(spark, path, schema, False)))
+
+
+def newest_version(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    """Number and path of the newest version that ``writers.publish_version`` named; (0, None) without any."""
+    try:
+        names = spark.read.schema(VERSIONS).parquet(f"{base.rstrip('/')}/names")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    row = names.orderBy(F.desc("version"), F.desc("path")).first()
+    return (row["version"], row["path"]) if row else (0, None)
+
+
+def read_newest(spark: SparkSession, base: str) -> DataFrame:
+    """The newest version of a table of versions."""
+    path = newest_version(spark, base)[1]
+    if path is None:
+        raise EmptyTable(f"{base} has no version")
+    return spark.read.parquet(path)
 
 
 def latest_path(spark: SparkSession, pattern: str) -> str:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from keepwell.operators.dedup import keep_first, keep_last
+from keepwell.functions.text import escape_breaks
+from keepwell.functions.times import event_time
 from keepwell.operators.reputation import daily_counts
 from keepwell.operators.shaping import with_defaults
-from keepwell.operators.upsert import merge_unique, new_rows
+from keepwell.operators.upsert import new_rows, one_per_key, upsert_update
 from keepwell.schemas import COMMENTS, FEEDBACK_EXPORT, PREDICTIONS, SUBSCRIBERS, conform, existing
 from keepwell.session import materialize
+from keepwell.sources.readers import VERSIONS, newest_version, read_newest
 
 JDBC_BATCH = 500
 
@@ -41,9 +44,16 @@ def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
     df.write.format("jdbc").options(**settings).mode("append").save()
 
 
-def export_feedback_csv(feedback: DataFrame, path: str) -> None:
-    """The labelled feedback, with a header, quotes doubled."""
+def export_feedback_csv(feedback: DataFrame, path: str, escaped: bool = False) -> None:
+    """The labelled feedback, with a header, quotes doubled.
+
+    ``escaped`` writes line breaks in texts as ``\\n`` and ``\\r`` and a backslash as two, so that a line is a row and
+    readers (``read_csv(..., escaped=True)``) can split a file among tasks. Without it, a file is read by one task.
+    """
     columns = feedback.select(*existing(feedback, FEEDBACK_EXPORT))
+    if escaped:
+        texts = [f.name for f in columns.schema if isinstance(f.dataType, T.StringType)]
+        columns = columns.withColumns({c: escape_breaks(F.col(c)) for c in texts})
     exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     columns.write.options(header=True, escape='"', **exact).csv(path)
 
@@ -66,14 +76,8 @@ def write_upsert(
     defaults: Mapping[str, Column] | None = None,
     keep: str = "last",
 ) -> None:
-    """The upserted table, complete, at ``out_path``; then point readers there.
-
-    The de-duplicated batch is stored first: it is used more than once, and its
-    true size decides whether the target has to be shuffled.
-    """
-    choose = {"last": keep_last, "first": keep_first}[keep]
-    unique = materialize(choose(batch, keys, sequence), "batch")
-    merge_unique(spark.read.parquet(target_path), unique, keys, defaults).write.parquet(out_path)
+    """The upserted table, complete, at ``out_path``; then point readers there."""
+    upsert_update(spark.read.parquet(target_path), batch, keys, sequence, defaults, keep).write.parquet(out_path)
 
 
 def append_new(
@@ -85,58 +89,49 @@ def append_new(
     defaults: Mapping[str, Column] | None = None,
 ) -> None:
     """Append the batch rows whose keys the table lacks. The table itself isn't rewritten."""
-    unique = materialize(keep_first(batch, keys, sequence), "batch")
-    new_rows(spark.read.parquet(target_path), unique, keys, defaults).write.mode("append").parquet(target_path)
-
-
-BUCKET = "key_bucket"
-
+    target = spark.read.parquet(target_path)
+    unique = one_per_key(batch, target, keys, sequence, "first")
+    new_rows(target, unique, keys, defaults).write.mode("append").parquet(target_path)
 
-def _bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
+def publish_version(df: DataFrame, base: str) -> int:
+    """Write ``df``, complete, beside the versions of a table at ``base``, then name it the newest; its number from 1.
 
-def _replace_buckets(df: DataFrame, path: str) -> None:
-    writer = df.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(BUCKET).parquet(path)
-
-
-def create_keyed(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
-    """Write a table in one partition per bucket of keys, for ``upsert_keyed``.
-
-    ``df`` has every key once, so buckets are even. Choose their number so that
-    one is a file or a few: an upsert rewrites whole buckets.
+    Readers (``readers.read_newest``) see the version before until the name is written, which is one row. Nothing is ever
+    changed in place, so a job that fails leaves the table as it was. One writer at a time.
     """
-    _replace_buckets(_bucketed(df, keys, buckets), path)
+    spark = df.sparkSession
+    number = newest_version(spark, base)[0] + 1
+    path = f"{base.rstrip('/')}/versions/{number:08}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    named = spark.createDataFrame([(number, path)], VERSIONS)
+    named.coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/names")
+    return number
 
 
-def upsert_keyed(
+def upsert_version(
     spark: SparkSession,
-    path: str,
+    base: str,
     batch: DataFrame,
     keys: Sequence[str],
     sequence: Sequence[str],
-    buckets: int,
     defaults: Mapping[str, Column] | None = None,
     keep: str = "last",
-) -> None:
-    """Upsert in place, reading and writing only the buckets that have keys of the batch.
+) -> int:
+    """Upsert a batch into a table of versions; the same batch can be applied again."""
+    return publish_version(upsert_update(read_newest(spark, base), batch, keys, sequence, defaults, keep), base)
+
+
+def write_snapshots(feedback: DataFrame, path: str, changed: DataFrame | None = None) -> None:
+    """One partition per day. The days of ``feedback`` are replaced, others kept.
 
-    The new buckets are complete in the scratch area before any is replaced.
-    After a failure, the same batch can be applied again.
+    ``feedback`` is the whole table. With ``changed``, the rows that are new in it, only their days are counted again,
+    each from all its rows; new rows alone would replace a day by a part of it.
     """
-    choose = {"last": keep_last, "first": keep_first}[keep]
-    unique = materialize(_bucketed(choose(batch, keys, sequence), keys, buckets), "batch")
-    touched = [row[0] for row in unique.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
-    merged = materialize(merge_unique(target, unique, [*keys, BUCKET], defaults), "merged")
-    _replace_buckets(merged, path)
-
-
-def write_snapshots(feedback: DataFrame, path: str) -> None:
-    """One partition per day. Days already there are replaced, others kept."""
+    if changed is not None:
+        days = changed.select(F.to_date(event_time(changed, F.current_timestamp())).alias("_day")).distinct()
+        day = F.to_date(event_time(feedback, F.current_timestamp()))
+        feedback = feedback.join(materialize(days, "days"), day == F.col("_day"), "left_semi")
     (
         daily_counts(feedback)
         .repartition("snapshot_date")

@@ -99,7 +99,7 @@ def test_folds(spark, k):
 def test_folds_are_spread_over_tasks(spark):
     """A class is split into many window groups."""
     df = spark.range(10_000).select(F.col("id").alias("k"), F.lit(1).alias("y"))
-    placed, position = ranking.hashed_position(df, "y", "k")
+    placed, position = ranking.hashed_position(df, "y", "k", per_bucket=10)
     groups = placed.groupBy("_bucket").count().agg(F.count("*"), F.max("count")).first()
     assert groups[0] > 3000 and groups[1] < 20
     assert sorted(r[0] for r in placed.select(position).collect()) == list(range(10_000))
@@ -126,7 +126,7 @@ def test_enrich(spark):
         [("a", "t1", "pricing", "neutral", 1, 1), ("a", "t2", "churn_intent", "negative", 4, 2), ("a", "t0", "pricing", "positive", 2, None)],
         "customer_id string, raw_text string, feedback_category string, sentiment string, complaint_intensity int, created_at int",
     )
-    got = {r.customer_id: r for r in features.enrich_subscribers(subs, feed).collect()}
+    got = {r.customer_id: r for r in features.enrich_subscribers(subs, feed, ["created_at", "raw_text"]).collect()}
     assert (got["a"].feedback_text, got["a"].sentiment, got["a"].complaint_intensity) == ("t2", "negative", 4)
     assert got["b"].sentiment is None
 

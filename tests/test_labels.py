@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from keepwell.operators import labels
@@ -97,3 +99,26 @@ def test_batch_updates_feedback(spark):
     again = {r.customer_id: r for r in ingest.update_feedback(stored, calm, "seq").collect()}
     assert (again["c1"].sentiment, again["c2"].sentiment) == ("negative", "neutral")
     assert again["c2"].created_at.year == 2024
+
+
+def test_a_labeller_that_loses_rows_is_an_error(spark):
+    comments = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "i int, raw_text string").coalesce(1)
+
+    def every_second(batch):
+        return batch.iloc[::2].assign(feedback_category="pricing", sentiment="neutral", complaint_intensity=1)
+
+    with pytest.raises(Exception, match="10 rows for 20"):
+        labels.label_comments(comments, every_second).collect()
+
+
+def test_a_labeller_sees_each_comment_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, f"c{i}", "u", f"text {i}") for i in range(20)]
+    comments = spark.createDataFrame(rows, "order_id int, customer_id string, username string, text string")
+
+    def counting(batch):
+        seen.add(len(batch))
+        return batch.assign(feedback_category="pricing", sentiment="neutral", complaint_intensity=1)
+
+    batch = ingest.label_batch(comments, "order_id", counting)
+    assert ingest.update_feedback(ingest.empty_feedback(spark), batch, "order_id").count() == 20 and seen.value == 20

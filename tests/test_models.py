@@ -85,7 +85,7 @@ def test_reloaded_model_scores_the_same(run, test):
 
 def test_scoring_is_one_pass(run, test):
     plan = ml.score(run[0].champion_model, test)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange hashpartitioning" not in plan and "Python" not in plan  # the codes are broadcast, being few
 
 
 def test_importance(spark, run):
@@ -97,12 +97,12 @@ def test_importance(spark, run):
 
 
 def encoded(prepared, df):
-    names = ml.feature_names(prepared)
+    names = prepared.names
     return [dict(zip(names, r.features.toArray())) for r in ml.prepare_rows(prepared, df).orderBy("customer_id").collect()]
 
 
 def test_encoding_is_fitted_once(spark, train):
-    prepared = ml.preprocessing(train).fit(train)
+    prepared = ml.preprocessing(train)
     labels = ["A", "B", "C", MISSING]
     one = [(f"r{i}", s, 1, None, 2, 0) for i, s in enumerate(["C", None, "never seen", "A"])]
     got = encoded(prepared, spark.createDataFrame(one, SCHEMA))
@@ -111,7 +111,7 @@ def test_encoding_is_fitted_once(spark, train):
 
 
 def test_absent_columns_count_as_zero(spark, train):
-    prepared = ml.preprocessing(train).fit(train)
+    prepared = ml.preprocessing(train)
     bare = spark.createDataFrame([("a", 3)], "customer_id string, customer_service_calls int")
     out = ml.prepare_rows(prepared, bare)
     assert out.columns == ["customer_id", "customer_service_calls", "features"]
@@ -127,10 +127,18 @@ def test_many_categories(spark):
     assert ml.score(trained.pipeline("gbt_c"), df).count() == 400
 
 
-def test_category_index_is_bounded(spark, train):
-    ml.check_categories(train)
-    with pytest.raises(ml.TooManyCategories, match="state"):
-        ml.check_categories(train, limit=2)
+def test_null_labels_are_named(train):
+    rows = train.withColumn("churn", F.when(F.col("customer_service_calls") != 3, F.col("churn")))
+    with pytest.raises(ValueError, match="churn is null in"):
+        ml.train_models(rows, names=["logreg"])
+
+
+def test_training_rows_are_stored_by_fold(spark, train):
+    folded = ml.folded_rows(ml.training_rows(ml.preprocessing(train), train))
+    plan = folded.filter("fold <> 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan and folded.count() == 600
+    sizes = [r["count"] for r in folded.groupBy("fold", "label").count().collect()]
+    assert len(sizes) == 6
 
 
 def test_columns_with_stored_codes(spark, train):
@@ -146,7 +154,7 @@ def test_columns_with_stored_codes(spark, train):
 
 
 def test_regression_reaches_the_penalised_optimum(train):
-    prepared = ml.preprocessing(train).fit(train)
+    prepared = ml.preprocessing(train)
     data = ml.training_rows(prepared, train)
     x = np.array([r.features.toArray() for r in data.collect()])
     y = np.array([r.label for r in data.collect()])
@@ -159,7 +167,7 @@ def test_regression_reaches_the_penalised_optimum(train):
 
 
 def test_weights(train):
-    rows = ml.training_rows(ml.preprocessing(train).fit(train), train).groupBy("label").agg(F.sum("weight").alias("w"))
+    rows = ml.training_rows(ml.preprocessing(train), train).groupBy("label").agg(F.sum("weight").alias("w"))
     total = {r.label: r.w for r in rows.collect()}
     assert total[1.0] == pytest.approx(total[0.0])
 

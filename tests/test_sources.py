@@ -19,17 +19,48 @@ def test_missing_file_is_an_error(spark, tmp_path):
 
 def test_csv_by_name(spark, tmp_path):
     file = tmp_path / "rows.csv"
-    file.write_text("﻿account_length,extra,customer_id,churn\n12,x,a,1\nmany,y,b,0\n", encoding="utf-8")
-    df = readers.read_csv(spark, str(file))
-    assert df.columns == ["customer_id", "account_length", "churn"]
-    assert [tuple(r) for r in df.orderBy("customer_id").collect()] == [("a", 12, 1), ("b", None, 0)]
-
-
-def test_csv_with_different_headers_is_an_error(spark, tmp_path):
+    file.write_text("\ufeffaccount_length,extra,customer_id,churn\n12,x,a,1\nmany,y,b,0\n5,z\n,,c,\n", encoding="utf-8")
+    rows, rejects = readers.read_csv_checked(spark, str(file))
+    assert rows.columns == ["customer_id", "account_length", "churn"]
+    assert [tuple(r) for r in rows.orderBy("customer_id").collect()] == [("a", 12, 1), ("c", None, None)]
+    found = {r.reason: r.text for r in rejects.collect()}
+    assert found["not as many values as the header has"] == "5,z"
+    assert json.loads(found["account_length: not a int"]) == {"account_length": "many", "extra": "y", "customer_id": "b", "churn": "0"}
+    with pytest.raises(Exception, match="rows.csv"):
+        readers.read_csv(spark, str(file)).collect()
+    with pytest.raises(Exception, match="rows.csv"):
+        readers.read_csv(spark, str(file)).select("customer_id").collect()
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
     (tmp_path / "test_1.csv").write_text("customer_id,churn\na,1\n")
-    (tmp_path / "test_2.csv").write_text("churn,customer_id\n1,a\n")
-    with pytest.raises(Exception, match="header"):
-        readers.read_csv(spark, str(tmp_path / "test*.csv")).collect()
+    (tmp_path / "test_2.csv").write_text("\ufeffchurn,customer_id,state\n0,b,X\n", encoding="utf-8")
+    (tmp_path / "test_3.csv").write_text("customer_id,churn\nc,0\n")
+    (tmp_path / "test_4.csv").write_text("")
+    rows = readers.read_csv(spark, str(tmp_path / "test*.csv"))
+    assert rows.columns == ["customer_id", "state", "churn"]
+    assert sorted(map(tuple, rows.collect())) == [("a", None, 1), ("b", "X", 0), ("c", None, 0)]
+    assert readers.read_csv(spark, str(tmp_path / "test_4.csv")).count() == 0
+
+
+def test_json_rejects(spark, tmp_path):
+    file = tmp_path / "lines.json"
+    file.write_text('{"customer_id": "a", "text": "t"}\n{broken\n{"customer_id": "b", "scraped_at": "no time"}\n')
+    rows, rejects = readers.read_json_checked(spark, str(file))
+    assert [r.customer_id for r in rows.collect()] == ["a"]
+    assert sorted(r.text for r in rejects.collect()) == ['{"customer_id": "b", "scraped_at": "no time"}', "{broken"]
+    with pytest.raises(Exception, match="lines.json"):
+        readers.read_json_lines(spark, str(file)).collect()
+
+
+def test_escaped_breaks(spark, tmp_path):
+    texts = ["two\nlines", "back\\slash", "\\n no break", "a\r\nb\\", "\\\\\n", 'q"uo,te']
+    rows = [(str(i), "u", "pricing", "neutral", 1, t) for i, t in enumerate(texts)]
+    schema = "customer_id string, username string, feedback_category string, sentiment string, complaint_intensity int, raw_text string"
+    path = str(tmp_path / "out")
+    writers.export_feedback_csv(spark.createDataFrame(rows, schema), path, escaped=True)
+    got = {r.customer_id: r.raw_text for r in readers.read_csv(spark, path, FEEDBACK, escaped=True).collect()}
+    assert got == {str(i): t for i, t in enumerate(texts)}
 
 
 def test_csv_text_with_line_breaks_and_quotes(spark, tmp_path):
@@ -89,12 +120,29 @@ def test_scans_push_down(spark, sf_dir):
 
 
 def test_scratch_follows_the_cluster(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     root = session.scratch_root(spark)
-    assert root == configured.rstrip("/") if configured else root.startswith("/tmp")
+    assert root == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
+class Unset:
+    """A session of a cluster, or a local one, that names no folder."""
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[3,2,1000]", "k8s://x"])
+def test_a_cluster_must_name_a_shared_folder(master):
+    with pytest.raises(session.NoSharedFolder):
+        session.scratch_root(Unset(master))
+
+
+def test_one_process_has_a_folder_of_its_own():
+    assert session.scratch_root(Unset("local[*]")) == session.scratch_root(Unset("local")) == "/tmp/keepwell-app-1"
+
+
 # --- shaping ----------------------------------------------------------------------------------
 
 

@@ -28,41 +28,79 @@ def test_daily_sentiment_equals_batch(spark, tmp_path):
     tones = ["positive", "Negative", "neutral", None]
     for part in range(3):
         add(spark, source, [("c", f"t{i}", tones[(i * 7) % 4], hours(i)) for i in range(part * 48, part * 48 + 48)])
-    jobs.stream_daily_sentiment(stream(spark, source), out, state, "1 day").awaitTermination()
-    got = {(r.date, r.daily_sentiment_score, r.volume) for r in spark.read.parquet(out).collect()}
+
+    def stored():
+        rows = spark.read.schema(jobs.DAILY).parquet(out).collect()
+        assert len(rows) == len({r.date for r in rows})
+        return {(r.date, r.daily_sentiment_score, r.volume) for r in rows}
+
+    jobs.stream_daily_sentiment(stream(spark, source), out, state, "3 days").awaitTermination()
+    batch = {tuple(r) for r in rep.sentiment_over_time(spark.read.parquet(source)).collect()}
+    assert stored() == batch and len(batch) == 6  # also the day that isn't over
+
+    # later rows change their days; a row that is far too late is left out
+    add(spark, source, [("c", "same day", "negative", hours(143)), ("c", "new", "neutral", hours(24 * 9))])
+    jobs.stream_daily_sentiment(stream(spark, source), out, state, "3 days").awaitTermination()
     batch = {tuple(r) for r in rep.sentiment_over_time(spark.read.parquet(source)).collect()}
-    assert got == {r for r in batch if r[0] <= "2024-01-04"} and len(got) == 4
+    add(spark, source, [("c", "late", "negative", hours(1))])
+    jobs.stream_daily_sentiment(stream(spark, source), out, state, "3 days").awaitTermination()
+    assert stored() == batch
+
 
-    # later rows release later days; a row that is far too late is left out
-    add(spark, source, [("c", "late", "negative", hours(1)), ("c", "new", "neutral", hours(24 * 9))])
-    jobs.stream_daily_sentiment(stream(spark, source), out, state, "1 day").awaitTermination()
-    again = {(r.date, r.daily_sentiment_score, r.volume) for r in spark.read.parquet(out).collect()}
-    assert again == batch
+def test_a_row_without_a_time_counts_as_now(spark, tmp_path):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    add(spark, source, [("c", "x", "positive", None)])
+    jobs.stream_daily_sentiment(stream(spark, source), out, state).awaitTermination()
+    assert [(r.daily_sentiment_score, r.volume) for r in spark.read.schema(jobs.DAILY).parquet(out).collect()] == [(100, 1)]
 
 
 def test_upsert_over_batches_and_restarts(spark, tmp_path):
     source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     add(spark, source, [("a", "x", "first", hours(1)), ("a", "x", "second", hours(2)), ("b", "y", "first", hours(1))])
-    jobs.stream_upsert(stream(spark, source), out, state).awaitTermination()
+    jobs.stream_upsert(stream(spark, source), out, state, ["created_at"]).awaitTermination()
     add(spark, source, [("a", "x", "third", hours(0)), ("c", "z", "first", hours(3))])
-    jobs.stream_upsert(stream(spark, source), out, state).awaitTermination()
+    jobs.stream_upsert(stream(spark, source), out, state, ["created_at"]).awaitTermination()
     rows = spark.read.parquet(out)
     got = {(r.customer_id, r.raw_text): r.sentiment for r in rows.collect()}
     assert rows.count() == 3 and set(got.values()) == {"first"}
 
 
+def test_a_stream_with_a_new_checkpoint_goes_on_with_the_table(spark, tmp_path):
+    one, two, out = (str(tmp_path / d) for d in ("one", "two", "out"))
+    add(spark, one, [(f"c{i}", "t", "old", hours(i)) for i in range(10)])
+    jobs.stream_upsert(stream(spark, one), out, str(tmp_path / "s1"), ["created_at"]).awaitTermination()
+    add(spark, two, [(f"c{i}", "t", "new", hours(i)) for i in range(5, 15)] + [(None, "t", "new", hours(1))])
+    for state in ("s2", "s3"):
+        jobs.stream_upsert(stream(spark, two), out, str(tmp_path / state), ["created_at"]).awaitTermination()
+        got = {r.customer_id: r.sentiment for r in spark.read.parquet(out).collect()}
+        assert spark.read.parquet(out).count() == len(got) == 16
+        assert [got[f"c{i}"] for i in range(15)] == ["old"] * 10 + ["new"] * 5
+    with pytest.raises(Exception, match="buckets"):
+        jobs.stream_upsert(stream(spark, two), out, str(tmp_path / "s4"), ["created_at"], buckets=8).awaitTermination()
+
+
+def test_replacing_keeps_the_last_row_whatever_arrives_first(spark, tmp_path):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    add(spark, source, [("a", "x", "late", hours(9)), ("b", "y", "only", hours(1))])
+    jobs.stream_replace(stream(spark, source), out, state, ["created_at"]).awaitTermination()
+    add(spark, source, [("a", "x", "early", hours(2)), ("b", "y", "newer", hours(3)), (None, "z", "one", hours(1))])
+    jobs.stream_replace(stream(spark, source), out, state, ["created_at"]).awaitTermination()
+    rows = jobs.current_rows(spark, out, stream(spark, source).schema, ["created_at"]).collect()
+    assert {(r.customer_id, r.sentiment) for r in rows} == {("a", "late"), ("b", "newer"), (None, "one")} and len(rows) == 3
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     """As after a crash between the write and the commit: the last commit is lost, the batch is repeated."""
     source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     for part in range(2):
         add(spark, source, [(f"c{i}", "t", "first", hours(i)) for i in range(part * 3, part * 3 + 5)])
-    jobs.stream_upsert(stream(spark, source), out, state).awaitTermination()
+    jobs.stream_upsert(stream(spark, source), out, state, ["created_at"]).awaitTermination()
     before = sorted(map(tuple, spark.read.parquet(out).collect()))
     commits = tmp_path / "state" / "commits"
     last = max(int(f.name) for f in commits.iterdir() if f.name.isdigit())
     (commits / str(last)).unlink()
     (commits / f".{last}.crc").unlink(missing_ok=True)
-    jobs.stream_upsert(stream(spark, source), out, state).awaitTermination()
+    jobs.stream_upsert(stream(spark, source), out, state, ["created_at"]).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == before and len(before) == 8
 
 
@@ -94,7 +132,6 @@ def test_scores_of_a_stream_equal_batch_scores(spark, tmp_path):
     assert {r.model_version for r in stored.collect()} == {"v7"}
 
 
-def test_watermarks_need_zoned_times(spark):
+def test_times_without_a_zone_are_utc(spark):
     local = spark.readStream.schema("created_at timestamp_ntz, sentiment string").parquet("/root/testdata/sf0.001")
-    with pytest.raises(Exception, match="EVENT_TIME"):
-        jobs.daily_sentiment(local).explain()
+    assert jobs.daily_sentiment(local).columns == ["date", "daily_sentiment_score", "volume"]

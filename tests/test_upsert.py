@@ -115,31 +115,41 @@ def test_stored_upserts(spark, tmp_path):
     assert rows_of(spark.read.parquet(target)) == sorted({**by_key(reversed(new)), **old}.values())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_keyed_upserts(spark, tmp_path, seed):
-    path = str(tmp_path / "keyed")
+def test_null_keys_are_one_key(spark):
+    target = spark.createDataFrame([("1", None, 1, 1), (None, None, 2, 1)], SCHEMA)
+    batch = spark.createDataFrame([("1", None, 7, 2), ("1", None, 8, 3), (None, "t", 9, 2), (None, "t", 9, 3)], SCHEMA)
+    for _ in range(2):
+        target = spark.createDataFrame(upsert.upsert_update(target, batch, KEYS, ["seq"]).collect(), SCHEMA)
+        assert sorted(map(tuple, target.collect()), key=repr) == sorted([("1", None, 8, 3), (None, None, 2, 1), (None, "t", 9, 3)], key=repr)
+    assert upsert.upsert_ignore(target, batch, KEYS, ["seq"]).count() == 3
+
+
+def test_keys_are_compared_as_the_target_s_types(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    batch = spark.createDataFrame([("1", "x", 1), ("01", "y", 2), ("3", "z", 1)], "k string, v string, seq int")
+    assert rows_of(upsert.upsert_update(target, batch, ["k"], ["seq"])) == [(1, "y"), (2, "b"), (3, "z")]
+    assert rows_of(upsert.upsert_ignore(target, batch, ["k"], ["seq"])) == [(1, "a"), (2, "b"), (3, "z")]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_versions(spark, tmp_path, seed):
+    path = str(tmp_path / "table")
+    with pytest.raises(readers.EmptyTable):
+        readers.read_newest(spark, path)
     old = by_key(random_rows(40, seed, keys=30))
-    writers.create_keyed(spark.createDataFrame(list(old.values()), SCHEMA), path, KEYS, 8)
+    assert writers.publish_version(spark.createDataFrame(list(old.values()), SCHEMA), path) == 1
     for step in range(2):
         new = random_rows(15, seed + 50 + step, keys=40)
         batch = spark.createDataFrame(new, SCHEMA)
         for _ in range(2):  # a second time changes nothing
-            writers.upsert_keyed(spark, path, batch, KEYS, ["seq"], 8)
+            writers.upsert_version(spark, path, batch, KEYS, ["seq"])
         old |= by_key(new)
-        assert rows_of(spark.read.parquet(path).drop("key_bucket")) == sorted(old.values())
-    writers.upsert_keyed(spark, path, batch.limit(0), KEYS, ["seq"], 8)
-    assert spark.read.parquet(path).count() == len(old)
-
-
-def test_keyed_upserts_leave_other_buckets_alone(spark, tmp_path):
-    path = tmp_path / "keyed"
-    rows = [(f"c{i}", "t", 1, 1) for i in range(500)]
-    writers.create_keyed(spark.createDataFrame(rows, SCHEMA), str(path), KEYS, 32)
-    before = {f: f.stat().st_mtime_ns for f in path.glob("key_bucket=*/*.parquet")}
-    writers.upsert_keyed(spark, str(path), spark.createDataFrame([("c7", "t", 9, 2)], SCHEMA), KEYS, ["seq"], 32)
-    kept = {f for f in path.glob("key_bucket=*/*.parquet") if before.get(f) == f.stat().st_mtime_ns}
-    assert len(before) == 32 and len(kept) == 31
-    assert spark.read.parquet(str(path)).filter("customer_id = 'c7'").first().v == 9
+        assert rows_of(readers.read_newest(spark, path)) == sorted(old.values())
+    writers.upsert_version(spark, path, batch.limit(0), KEYS, ["seq"])
+    assert readers.read_newest(spark, path).count() == len(old)
+    # a version that was written but never named isn't read
+    batch.write.parquet(f"{path}/versions/99999999-lost")
+    assert readers.newest_version(spark, path)[0] == 6 and readers.read_newest(spark, path).count() == len(old)
 
 
 CSV = '''customer_id,feedback_category,sentiment,complaint_intensity,raw_text
