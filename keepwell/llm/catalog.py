@@ -22,7 +22,7 @@ from keepwell.llm.toxicity import score_toxicity
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    found = near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85, bands=48, per_band=8)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 

@@ -3,13 +3,14 @@
 1. Each text becomes a set of hashed word shingles; texts with equal sets are one class, and the class's first row stands
    for it. So copies, however many, cost one row each.
 2. Minima of many universal hashes of a set, by bands, give buckets. In each bucket every class is compared with the
-   bucket's first; what is verified is joined into components.
-3. In buckets that still hold several components, every class outside the largest one is compared with all that it
-   isn't joined to yet. So no pair of a bucket is left out, but the many pairs within a group are never listed.
+   bucket's first; of those whose signatures agree, each class is verified with the likeliest, and joined with it.
+3. Classes in buckets that still hold several components may have links that no comparison has met yet. They are joined
+   by prefix filtering, which is exact: of two sets that are similar enough, the rarest shingles of each, as many as they
+   may differ in and one more, have one in common. So the many pairs of a bucket are never listed.
 4. A pair is verified by its signatures, with a margin no true pair misses in practice, and then by the whole sets.
 
-Two sets of similarity ``s`` share no bucket with probability ``(1 - s ** rows) ** bands``: 7e-9 at 0.85 and 3e-6
-at 0.8 for 32 bands of 5 rows.
+Two sets of similarity ``s`` share no bucket with probability ``(1 - s ** rows) ** bands``: 2e-7 at 0.85 for 48 bands of 8
+rows, 5e-7 at 0.8 for 48 of 6.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import runs, utf8
+from keepwell.llm.common import runs, small_batches, utf8
 from keepwell.llm.components import components
 from keepwell.session import materialize
 
@@ -30,6 +31,8 @@ U = np.uint64
 #: Odd multipliers and shifts of the mixing steps: fixed values, any odd numbers would do.
 MIX_1, MIX_2, STEP = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), U(0x9E3779B97F4A7C15)
 SEED = 20_240_607
+#: So many of the minima are kept, a byte of each, for the signature.
+SIGNED = 192
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -148,7 +151,7 @@ SKETCH = "slot long, doc_id long, n_shingles long, key_1 long, key_2 long, bucke
 
 
 def sketches(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFrame:
-    """Per row (slot, doc_id, text): its set's size, two hashes of the whole set, its buckets, and the low byte of each minimum.
+    """Per row (slot, doc_id, text): its set's size, two hashes of the whole set, its buckets, and the low bytes of its first minima.
 
     Buckets of texts without words are empty.
     """
@@ -156,7 +159,7 @@ def sketches(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFram
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            for first, last in runs(offsets, 1 << 22):
+            for first, last in runs(offsets, 1 << 20):
                 at = offsets[first : last + 1]
                 sets, ends = shingle_sets(data[at[0] : at[-1]], at - at[0], width)
                 sizes = np.diff(ends)
@@ -170,7 +173,7 @@ def sketches(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFram
                 lists = pa.ListArray.from_arrays(
                     np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32), signed(bucket[some].ravel())
                 )
-                low_bytes = [row.tobytes() for row in lows.astype(np.uint8)]
+                low_bytes = [row.tobytes() for row in lows[:, :SIGNED].astype(np.uint8)]
                 part = batch.slice(first, last - first)
                 columns = [*part.columns[:2], pa.array(sizes, pa.int64()), *map(pa.array, keys), lists, pa.array(low_bytes)]
                 names = ["slot", "doc_id", "n_shingles", "key_1", "key_2", "buckets", "signature"]
@@ -195,7 +198,8 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, margin: float) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and whose signatures are within the margin of it."""
+    """The pairs (a, b) whose sizes allow the similarity and whose signatures, of which ``share`` are equal, are within the
+    margin of it."""
     own = classes.select("rep", "n_shingles", "signature")
     one = own.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
     two = own.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("s_b"))
@@ -206,29 +210,58 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, margin: float) ->
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8) for i in (2, 3))
-            same = (a == b).reshape(batch.num_rows, -1).mean(1) if batch.num_rows else np.zeros(0)
-            yield batch.filter(pa.array(same >= bound)).select(["a", "b"])
+            share = (a == b).reshape(batch.num_rows, -1).mean(1) if batch.num_rows else np.zeros(0)
+            columns = [*batch.columns[:2], pa.array(share)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "share"]).filter(pa.array(share >= bound))
 
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(near, "a long, b long")
+    return sized.select("a", "b", "s_a", "s_b").mapInArrow(near, "a long, b long, share double")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of rows of which ``100 * intersection >= percent * union`` of the whole sets."""
-    ends = pairs.select(F.col("a").alias("slot")).union(pairs.select(F.col("b").alias("slot"))).distinct()
-    sets = materialize(whole_sets(texts.join(ends, "slot", "left_semi"), width), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which ``100 * intersection >= percent * union`` of the whole sets (slot, shingles)."""
     one = sets.select(F.col("slot").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("slot").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(one, "a").join(two, "b")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
     both = F.size(F.array_intersect("x", "y")).cast("bigint")
     return joined.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def crossing(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) between components, among classes that share a bucket with another component; every pair of such
+    classes that is similar enough is there.
+
+    Shingles are ordered by how many of these sets have them. Those that only one has come first and pair nothing,
+    so near copies that differ in too much, and texts with a passage in common, give few pairs or none.
+    """
+    placed = members.join(joined, F.col("rep") == F.col("node"), "left")
+    placed = materialize(placed.select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "near-placed")
+    mixed_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = placed.join(mixed_.filter("low <> high").select("bucket"), "bucket").select("rep", "component").distinct()
+    open_ = materialize(open_, "near-open")
+    own = sets.withColumnRenamed("slot", "rep").join(open_, "rep")
+    own = materialize(own.select("rep", "component", F.size("shingles").alias("n"), "shingles"), "near-open-sets")
+    each = own.select("rep", "component", "n", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    rare = each.join(shared, "shingle").groupBy("rep", "component", "n").agg(
+        F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared")
+    )
+    least = F.floor((F.col("n") * percent + 99) / 100)  # of a set's shingles, those that a similar one must have
+    length = F.col("n") - least + 1 - (F.col("n") - F.size("shared"))
+    prefix = F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    rows = rare.select("rep", "n", "component", F.explode(prefix).alias("of"))
+    rows = materialize(rows.select("rep", "n", "component", F.col("of.shingle").alias("shingle")), "near-prefixes")
+    one = rows.select("shingle", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
+    two = rows.select("shingle", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & sized).select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
     percent: int = 80,
-    bands: int = 32,
-    per_band: int = 5,
+    bands: int = 48,
+    per_band: int = 6,
     margin: float = 0.17,
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -242,7 +275,7 @@ def near_duplicates(
     others but name no component; a component of such only has a null ``component_id``, and its rows are ``kept``.
     """
     own = (F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = docs.select(*own, *keep)
+    texts = small_batches(docs).select(*own, *keep)
     texts = materialize(texts.withColumn("slot", F.monotonically_increasing_id()), "near-texts")
     made = materialize(sketches(texts, width, bands, per_band), "near-sketches")
     has = made.filter("n_shingles > 0")
@@ -256,25 +289,18 @@ def near_duplicates(
     members = reps.select("rep", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("n")).filter("n > 1")
     members = materialize(members.join(shared.drop("n"), "bucket"), "near-members")
-    pairs = members.filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(verified(materialize(likely(pairs, reps, percent, margin), "near-likely"), texts, width, percent), "near-links")
-    joined = materialize(components(links), "near-joined")
 
-    placed = members.join(joined, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("bucket", "rep", "a", F.coalesce("component", "rep").alias("component"))
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-    open_ = largest.filter("parts > 1").select("bucket", F.col("most.component").alias("largest"))
-    open_ = materialize(placed.join(open_, "bucket"), "near-open")
-    few = open_.filter("component <> largest")
-    few = few.select("bucket", F.col("rep").alias("x"), F.col("component").alias("x_of"))
-    others = open_.select("bucket", F.col("rep").alias("y"), F.col("component").alias("y_of"), "largest", "a")
-    crossing = few.join(others, "bucket").filter(
-        "x_of <> y_of and (y_of = largest or x < y) and x <> a and y <> a"
-    )
-    rest = crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = materialize(verified(materialize(likely(rest, reps, percent, margin), "near-rest"), texts, width, percent), "near-more")
-    all_ = components(links.union(rest)) if rest.take(1) else joined
+    # what may be linked at all; their texts are the only ones that move
+    ends = members.select(F.col("rep").alias("slot")).distinct()
+    sets = materialize(whole_sets(texts.join(ends, "slot", "left_semi"), width), "near-sets")
+
+    stars = likely(members.filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), reps, percent, margin)
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a"))
+    links = materialize(verified(nearest, sets, percent), "near-links")
+    joined = materialize(components(links), "near-joined")
+    rest = materialize(likely(crossing(members, joined, sets, percent), reps, percent, margin), "near-rest")
+    more = materialize(verified(rest, sets, percent), "near-more") if rest.take(1) else rest
+    all_ = components(links.union(more.select("a", "b"))) if more.take(1) else joined
 
     named = classes.join(all_, F.col("rep") == F.col("node"), "left")
     named = named.select("key_1", "key_2", "first", F.coalesce("component", "rep").alias("component"))
