@@ -258,11 +258,11 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Importance from the stored trees: gain times weight of a node, added up and made to sum to 1."""
     path = champion_path(spark, sf_dir)
-    fitted, nodes, weights = ml.load_pipeline(path), _nodes(spark, path), _weights(spark, path)
+    fitted, nodes = ml.load_pipeline(path), _nodes(spark, path)
     total = np.zeros(len(fitted.prepared.names))
-    for tree, part in nodes[nodes.leftChild >= 0].groupby("treeID"):
+    for _, part in nodes[nodes.leftChild >= 0].groupby("treeID"):
         own = np.bincount(part.feature, part.gain * part.weight, len(total))
-        total += weights[tree] * own
+        total += own
     share = total / total.sum() if total.sum() else total
     again = spark.createDataFrame(list(zip(fitted.prepared.names, map(float, share))), "feature string, again double")
     found = ml.feature_importance(spark, fitted.prepared, fitted.model)
