@@ -82,9 +82,10 @@ def with_terms(found: DataFrame, only: dict[str, int] | None = None) -> DataFram
     return rows.mapInArrow(count, "doc_id long, label int, weight double, family long, terms map<string,long>")
 
 
-def vocabulary(counted: DataFrame, least: float, most: int) -> list[tuple[str, float]]:
-    """Terms that label 1 has more often than label 0, with their inverse document frequency: the ``most`` with the largest
-    chi-squared of at least ``least`` (with Yates' correction). Families of near copies count once."""
+def vocabulary(counted: DataFrame, least: float, ratio: float, most: int) -> list[tuple[str, float]]:
+    """Terms that label 1 has at least ``ratio`` times as often as label 0, with their inverse document frequency: the
+    ``most`` with the largest chi-squared of at least ``least`` (with Yates' correction). Families of near copies count
+    once."""
     of = {c: F.when(F.col("label") == c, F.col("family")) for c in (0, 1)}
     sizes = counted.agg(*[F.count_distinct(of[c]).cast("double") for c in (0, 1)]).first()
     n0, n1 = sizes[0], sizes[1]
@@ -97,6 +98,7 @@ def vocabulary(counted: DataFrame, least: float, most: int) -> list[tuple[str, f
         .groupBy("term")
         .agg(*[F.size(F.collect_set(of[c])).cast("double").alias(name) for c, name in ((1, "one"), (0, "zero"))])
         .filter((both >= 2) & (both < n))
+        .filter((F.col("one") + 0.5) / n1 >= ratio * (F.col("zero") + 0.5) / n0)
         .withColumn("chi", n * apart * apart / (both * (n - both) * n1 * n0))
         .filter(F.col("chi") >= least)
         .orderBy(F.desc("chi"), "term")
@@ -108,7 +110,7 @@ def vocabulary(counted: DataFrame, least: float, most: int) -> list[tuple[str, f
 
 @dataclass
 class Index:
-    """The examples' vectors by term and by block of ``size`` examples."""
+    """The examples' vectors in blocks of ``size``, and for each term and block the largest weight in it."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -120,21 +122,22 @@ class Index:
     k: int
     slope: float = 1.0
     shift: float = 0.0
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     bounds: np.ndarray | None = None
+    blocks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def add(self, vectors: list[dict[int, float]]) -> None:
-        by_term: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        for example, vector in enumerate(vectors):
-            for term, value in vector.items():
-                by_term[term].append((example, value))
-        blocks = -(-len(vectors) // self.size)
-        self.bounds = np.zeros((len(self.idf), blocks))
-        for term, found in enumerate(by_term):
-            at = np.array([e for e, _ in found], np.int32)
-            value = np.array([v for _, v in found], np.float64)
-            self.postings.append((at, value))
-            np.maximum.at(self.bounds[term], at // self.size, value)
+        """Each block keeps the terms that its examples have, and their weights, a row per example."""
+        n = -(-len(vectors) // self.size)
+        self.bounds = np.zeros((len(self.idf), n))
+        for block in range(n):
+            part = vectors[block * self.size : (block + 1) * self.size]
+            own = np.array(sorted({t for vector in part for t in vector}), np.int64)
+            at = {t: i for i, t in enumerate(own.tolist())}
+            weights = np.zeros((len(part), len(own)))
+            for row, vector in enumerate(part):
+                weights[row, [at[t] for t in vector]] = list(vector.values())
+            self.blocks.append((own, weights))
+            self.bounds[own, block] = weights.max(0)
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
         known = {self.terms[t]: n for t, n in counts.items() if t in self.terms}
@@ -143,21 +146,22 @@ class Index:
         return {t: float(v / length) for t, v in raw.items()}
 
     def nearest(self, vector: dict[int, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities of the ``k`` nearest examples with any term in common; ties go to the first."""
-        total = sum(v * self.bounds[t] for t, v in vector.items())
+        """Numbers and similarities (to twelve digits) of the ``k`` nearest examples with any term in common; ties go to
+        the first. Blocks are scored from the highest bound on, until none left can hold one of the nearest."""
+        terms, values = np.fromiter(vector, np.int64), np.fromiter(vector.values(), float)
+        total = values @ self.bounds[terms]
+        query = np.zeros(len(self.idf))
+        query[terms] = values
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         for block in np.argsort(-total, kind="stable"):
             first = int(block) * self.size
-            if total[block] <= 0 or len(best) == self.k and total[block] < best[-1] - 1e-12:
+            if total[block] <= 0 or len(best) == self.k and total[block] < best[-1] - 1e-9:
                 break
             if len(best) == self.k and total[block] <= best[-1] and first > best_at.max():
                 continue  # at most a tie with earlier ones
-            score = np.zeros(self.size)
-            for t, v in vector.items():
-                at, value = self.postings[t]
-                a, b = np.searchsorted(at, (first, first + self.size))
-                score[at[a:b] - first] += v * value[a:b]
-            if first <= without < first + self.size:
+            own, weights = self.blocks[block]
+            score = np.round(weights @ query[own], 12)
+            if first <= without < first + len(score):
                 score[without - first] = 0
             some = np.flatnonzero(score > 0)
             best_at, best = np.concatenate([best_at, some + first]), np.concatenate([best, score[some]])
@@ -194,11 +198,11 @@ def calibrate(index: Index, shares: np.ndarray) -> None:
 
 
 def build_index(
-    docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, k: int, block: int, least: float, words: int
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, k: int, block: int, least: float, ratio: float, words: int
 ) -> Index:
     """The index over at most ``most`` examples of each class and ``words`` terms; the driver gets no more than that."""
     found = examples(docs, labels, label, train, most)
-    chosen = vocabulary(with_terms(found), least, words)
+    chosen = vocabulary(with_terms(found), least, ratio, words)
     only = {term: i for i, (term, _) in enumerate(chosen)}
     rows = with_terms(found, only).orderBy("doc_id", "label").collect()
     index = Index(only, np.array([idf for _, idf in chosen]), np.zeros(0), np.zeros(0), np.zeros(0), 0.5, block, k)
@@ -227,6 +231,7 @@ def score_toxicity(
     k: int = 8,
     block: int = 32,
     least: float = 16.0,
+    ratio: float = 4.0,
     words: int = 5_000,
 ) -> DataFrame:
     """The columns ``keep``, ``score`` (0 to 1, higher: ``label`` 1 likelier), ``predicted`` (1 from ``threshold``),
@@ -237,7 +242,7 @@ def score_toxicity(
     also a null or empty one, gets the share of label 1 among such examples. Without labels of both classes all scores
     are that share, or a third without any. A document labelled both ways counts as 1. Every row of ``docs`` gives a row.
     """
-    index = build_index(small_batches(docs), labels, label, train, most, k, block, least, words)
+    index = build_index(small_batches(docs), labels, label, train, most, k, block, least, ratio, words)
     whole = {t for t in index.terms if "~" not in t}
     starts = {t.partition("~")[0] for t in index.terms if "~" in t}
     stems = [(n, {t for t in starts if len(t) == n}) for n in STEMS]

@@ -147,7 +147,7 @@ def test_the_nearest_are_exact():
     for q in range(0, 300, 7):
         scores = sum(v * dense[:, t] for t, v in vectors[q].items())
         scores[q] = 0
-        want = sorted((i for i in range(300) if scores[i] > 1e-15), key=lambda i: (-round(scores[i], 12), i))[:5]
+        want = sorted((i for i in range(300) if scores[i] > 1e-12), key=lambda i: (-round(scores[i], 12), i))[:5]
         at, near = index.nearest(vectors[q], without=q)
         assert at.tolist() == want and np.allclose(near, scores[want])
 
@@ -159,7 +159,7 @@ def test_forms_of_a_word_share_terms():
 
 
 def test_empty_index(spark, no_docs, odd_labels):
-    index = build_index(no_docs, odd_labels, "toxic", every(), 10, 3, 4, 16.0, 100)
+    index = build_index(no_docs, odd_labels, "toxic", every(), 10, 3, 4, 16.0, 4.0, 100)
     assert index.terms == {} and 0 < index.base < 1
 
 
