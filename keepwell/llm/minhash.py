@@ -246,14 +246,21 @@ def crossing(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: in
         F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("shared")
     )
     least = F.floor((F.col("n") * percent + 99) / 100)  # of a set's shingles, those that a similar one must have
-    length = F.col("n") - least + 1 - (F.col("n") - F.size("shared"))
-    prefix = F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
-    rows = rare.select("rep", "n", "component", F.explode(prefix).alias("of"))
-    rows = materialize(rows.select("rep", "n", "component", F.col("of.shingle").alias("shingle")), "near-prefixes")
-    one = rows.select("shingle", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    two = rows.select("shingle", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
+    own_only = F.col("n") - F.size("shared")
+    prefix = F.slice("shared", F.lit(1), F.greatest(F.col("n") - least + 1 - own_only, F.lit(0)).cast("int"))
+    rows = rare.select("rep", "n", "component", own_only.alias("own_only"), F.posexplode(prefix).alias("at", "of"))
+    after = (F.col("n") - F.col("own_only") - F.col("at") - 1).alias("after")  # shingles behind this one
+    rows = materialize(rows.select("rep", "n", "component", after, F.col("of.shingle").alias("shingle")), "near-prefixes")
+
+    def side(name: str) -> DataFrame:
+        return rows.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "after")])
+
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return one.join(two, "shingle").filter((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & sized).select("a", "b").distinct()
+    # at the first shingle that two sets have in common, only what is behind it in both can be common too
+    enough = (100 + percent) * (1 + F.least("after_a", "after_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
+    pairs = side("a").join(side("b"), "shingle").filter(apart & sized & enough)
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_duplicates(
