@@ -1,32 +1,41 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-cased runs of letters, the beginnings of longer ones, and beginnings that come two or three times, so that
-forms of a word that no example has share a term with those that one has. The vocabulary is the terms that tell the classes of the examples apart by a
-chi-squared test. The examples' vectors lie in an inverted index in blocks; for each term a block has the largest weight
-in it. A query adds up the blocks' bounds, and scores blocks from the highest bound on until no bound can reach its
-k nearest any more, so the k nearest are exact. Neighbours vote by similarity; votes are calibrated on the examples, each
-scored without itself.
+forms of a word that no example has share a term with those that one has. The vocabulary is every term, of either class or
+neutral, that two families of examples have; a term weighs its inverse document frequency, and more the better it tells the
+classes apart by a chi-squared test. The examples' vectors lie in blocks, with postings of the rarer terms and columns of the
+frequent ones, for which a block has the largest weight in it. A query adds up the rarer terms' postings and the blocks'
+bounds, and scores blocks by a product each unless their bound can't reach its k nearest any more; those that can be among
+the nearest are scored again in full, so the k nearest are exact. Neighbours vote by similarity; votes are calibrated on the
+examples, each scored without itself.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import small_batches, whole_text
+from keepwell.llm.common import Generations, small_batches, whole_text
 from keepwell.llm.scoring import with_scores
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6, 7, 8)
 OFTEN = (2, 3)
+#: More than the error of a similarity whose part of frequent terms was added up in single precision.
+SLACK = 1e-4
+#: Queries that are looked up at a time.
+AT_ONCE = 64
 
 
 def count_terms(text: str) -> Counter:
@@ -63,18 +72,17 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, train: Column, most
     return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
 
 
-def with_terms(found: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
-    """``doc_id``, ``label``, ``weight``, ``family`` and ``terms``, a map from term (of ``only``, if given) to count."""
+def with_terms(found: DataFrame) -> DataFrame:
+    """``doc_id``, ``label``, ``weight``, ``family`` and ``terms``, a map from term to count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = part.column(3).to_pylist()
-                counts = [[(t, n) for t, n in count_terms(x).items() if only is None or t in only] for x in texts]
                 columns = [
                     *part.columns[:3], pa.array([family(x) for x in texts], pa.int64()),
-                    pa.array(counts, pa.map_(pa.string(), pa.int64())),
+                    pa.array([list(count_terms(x).items()) for x in texts], pa.map_(pa.string(), pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "weight", "family", "terms"])
 
@@ -82,35 +90,90 @@ def with_terms(found: DataFrame, only: dict[str, int] | None = None) -> DataFram
     return rows.mapInArrow(count, "doc_id long, label int, weight double, family long, terms map<string,long>")
 
 
+def with_numbers(found: DataFrame, counter: Counts) -> DataFrame:
+    """``doc_id``, ``label``, ``weight``, and the numbers (``at``) and counts (``n``) of a text's terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [counter(x) for x in batch.column(3).to_pylist()]
+            lists = [pa.array([pair[i] for pair in made], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["doc_id", "label", "weight", "at", "n"])
+
+    rows = found.select("doc_id", "label", "weight", "text")
+    return rows.mapInArrow(count, "doc_id long, label int, weight double, at array<int>, n array<int>")
+
+
 def vocabulary(counted: DataFrame, least: float, ratio: float, most: int) -> list[tuple[str, float]]:
-    """Terms that label 1 has at least ``ratio`` times as often as label 0, with their inverse document frequency: the
-    ``most`` with the largest chi-squared of at least ``least`` (with Yates' correction). Families of near copies count
-    once."""
+    """All terms that two families of near copies have, in order, with their weights: the inverse document frequency times
+    1 + chi-squared (with Yates' correction) / ``least``. Families count once.
+
+    To compare with smaller vocabularies: a ``ratio`` over 0 leaves only terms that label 1 has at least so many times as
+    often as label 0, with a chi-squared from ``least``, and ``most`` over 0 only so many, of the largest chi-squared."""
     of = {c: F.when(F.col("label") == c, F.col("family")) for c in (0, 1)}
     sizes = counted.agg(*[F.count_distinct(of[c]).cast("double") for c in (0, 1)]).first()
     n0, n1 = sizes[0], sizes[1]
     if not n1 or not n0:
         return []
-    n, both = n1 + n0, F.col("one") + F.col("zero")
-    apart = F.greatest(F.col("one") * (n0 - F.col("zero")) - F.col("zero") * (n1 - F.col("one")) - n / 2, F.lit(0.0))
     rows = (
         counted.select("label", "family", F.explode(F.map_keys("terms")).alias("term"))
         .groupBy("term")
         .agg(*[F.size(F.collect_set(of[c])).cast("double").alias(name) for c, name in ((1, "one"), (0, "zero"))])
-        .filter((both >= 2) & (both < n))
-        .filter((F.col("one") + 0.5) / n1 >= ratio * (F.col("zero") + 0.5) / n0)
-        .withColumn("chi", n * apart * apart / (both * (n - both) * n1 * n0))
-        .filter(F.col("chi") >= least)
-        .orderBy(F.desc("chi"), "term")
-        .limit(most)
-        .collect()
+        .filter(F.col("one") + F.col("zero") >= 2)
+        .toArrow()
     )
-    return [(row["term"], float(np.log(n / (row["one"] + row["zero"])) + 1)) for row in rows]
+    names, one, zero = rows.column("term").to_pylist(), rows.column("one").to_numpy(), rows.column("zero").to_numpy()
+    n, both = n1 + n0, one + zero
+    apart = np.maximum(np.abs(one * (n0 - zero) - zero * (n1 - one)) - n / 2, 0)
+    chi = n * apart * apart / np.maximum(both * (n - both) * n1 * n0, 1)
+    weight = (np.log(n / both) + 1) * (1 + chi / least)
+    kept = np.arange(len(names))
+    if ratio > 0:
+        kept = kept[((one + 0.5) / n1 >= ratio * (zero + 0.5) / n0) & (chi >= least)]
+    if 0 < most < len(kept):
+        kept = np.array(sorted(kept.tolist(), key=lambda i: (-chi[i], names[i]))[:most])
+    return sorted((names[i], float(weight[i])) for i in kept.tolist())
+
+
+class Counts:
+    """The numbers and counts of a text's terms, as ``count_terms`` has them; a word's terms are looked up once."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms, self.own = terms, Generations(self.numbers, 1 << 16)
+        often = [(f"{stem}~", int(least), terms[term]) for term in terms for stem, _, least in [term.partition("~")] if least]
+        self.known = dict(terms)  # and beginnings that are only counted for how often they come
+        for stem, _, _ in often:
+            self.known.setdefault(stem, len(self.known))
+        self.often = np.full((len(OFTEN), len(self.known) + 1), -1, np.int32)
+        for stem, least, number in often:
+            self.often[OFTEN.index(least), self.known[stem]] = number
+
+    def __reduce__(self):
+        return Counts, (self.terms,)
+
+    def numbers(self, word: str) -> np.ndarray:
+        names = [word, *(f"{word[:size]}~" for size in STEMS if len(word) > size)]
+        return np.array([self.known[name] for name in names if name in self.known], np.int32)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(LETTERS.findall(text.lower()))
+        each = [self.own[word] for word in words]
+        if not each:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        at = np.concatenate(each)
+        times = np.repeat(np.fromiter(words.values(), np.int32, len(words)), [len(x) for x in each])
+        order = np.argsort(at, kind="stable")
+        at, times = at[order], times[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        at, n = at[first], np.add.reduceat(times, first) if len(first) else times
+        more = np.concatenate([often[at[n >= least]] for often, least in zip(self.often, OFTEN)])
+        more, at, n = more[more >= 0], at[at < len(self.terms)], n[at < len(self.terms)]
+        return np.concatenate([at, more]), np.concatenate([n, np.ones(len(more), np.int32)]).astype(np.int32)
 
 
 @dataclass
 class Index:
-    """The examples' vectors in blocks of ``size``, and for each term and block the largest weight in it."""
+    """The examples' vectors in blocks of ``size``: whole, as postings of the rarer terms, and as columns of the terms that
+    more than a tenth of the examples have, with the largest weight of each in each block."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -122,61 +185,155 @@ class Index:
     k: int
     slope: float = 1.0
     shift: float = 0.0
-    bounds: np.ndarray | None = None
-    blocks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-
-    def add(self, vectors: list[dict[int, float]]) -> None:
-        """Each block keeps the terms that its examples have, and their weights, a row per example."""
-        n = -(-len(vectors) // self.size)
-        self.bounds = np.zeros((len(self.idf), n))
-        for block in range(n):
-            part = vectors[block * self.size : (block + 1) * self.size]
-            own = np.array(sorted({t for vector in part for t in vector}), np.int64)
-            at = {t: i for i, t in enumerate(own.tolist())}
-            weights = np.zeros((len(part), len(own)))
-            for row, vector in enumerate(part):
-                weights[row, [at[t] for t in vector]] = list(vector.values())
-            self.blocks.append((own, weights))
-            self.bounds[own, block] = weights.max(0)
+    packed = None
+
+    def add(self, vectors: Sequence[dict[int, float]]) -> None:
+        own = [self.arrays(vector) for vector in vectors]
+        self.row = np.concatenate([[0], np.cumsum([len(terms) for terms, _ in own])]).astype(np.int64)
+        self.term = np.concatenate([np.zeros(0, np.int32), *(terms for terms, _ in own)]).astype(np.int32)
+        self.value = np.concatenate([np.zeros(0), *(values for _, values in own)])
+        self.build()
+
+    def add_counts(self, row: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
+        """Examples by their terms in order, from ``row[i]`` to ``row[i + 1]``, and how often each has them."""
+        self.row, self.term, self.n = row, term, n
+        self.value = (1 + np.log(n)) * self.idf[term]
+        if len(term):
+            self.value /= np.repeat(np.sqrt(np.add.reduceat(self.value * self.value, row[:-1])), np.diff(row))
+        self.build()
+
+    def build(self) -> None:
+        n, known, same = len(self.row) - 1, {}, []
+        for i, (a, b) in enumerate(zip(self.row[:-1].tolist(), self.row[1:].tolist())):
+            whole = hashlib.blake2b(self.term[a:b].tobytes() + b"|" + self.value[a:b].tobytes()).digest()
+            same.append(known.setdefault(whole, i))
+        self.same = np.array(same, np.int64)
+        having = np.bincount(self.term, minlength=len(self.idf))
+        often = np.flatnonzero(having > n / 10)
+        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.row))
+        column = self.column[self.term]
+        rare = column < 0
+        self.columns = np.zeros((n, len(often)), np.float32)
+        self.columns[example[~rare], column[~rare]] = self.value[~rare]
+        self.starts = np.arange(0, n, self.size)
+        self.bounds = np.maximum.reduceat(self.columns, self.starts, axis=0) if n else self.columns
+        order = np.argsort(self.term[rare], kind="stable")
+        self.at, self.rare = example[rare][order], self.value[rare][order]
+        self.begin = np.concatenate([[0], np.cumsum(np.where(self.column < 0, having, 0))])
+
+    def __reduce__(self):
+        """Only counts are sent, packed; workers build the rest once and keep it between tasks."""
+        if self.packed is None:
+            steps = np.diff(self.term, prepend=0)
+            fixed = [getattr(self, f.name) for f in fields(self)]
+            self.packed = zlib.compress(pickle.dumps((fixed, self.row, steps, self.n), 5), 1)
+        return restored, (hashlib.sha256(self.packed).hexdigest(), self.packed)
+
+    @cached_property
+    def counter(self) -> Counts:
+        return Counts(self.terms)
+
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.array(list(self.terms), pa.string())
+
+    def arrays(self, vector: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+        terms, values = np.fromiter(vector, np.int32, len(vector)), np.fromiter(vector.values(), float, len(vector))
+        order = np.argsort(terms, kind="stable")
+        return terms[order], values[order]
+
+    def weights(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of length 1 of a text's terms, by their numbers."""
+        order = np.argsort(at, kind="stable")
+        raw = (1 + np.log(n[order])) * self.idf[at[order]]
+        return at[order].astype(np.int32), raw / max(float(raw @ raw) ** 0.5, 1e-300)
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
         known = {self.terms[t]: n for t, n in counts.items() if t in self.terms}
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(known.items())}
-        length = sum(v * v for v in raw.values()) ** 0.5
-        return {t: float(v / length) for t, v in raw.items()}
+        at, values = self.weights(np.fromiter(known, np.int64, len(known)), np.fromiter(known.values(), float, len(known)))
+        return dict(zip(at.tolist(), values.tolist()))
 
     def nearest(self, vector: dict[int, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and similarities (to twelve digits) of the ``k`` nearest examples with any term in common; ties go to
-        the first. Blocks are scored from the highest bound on, until none left can hold one of the nearest."""
-        terms, values = np.fromiter(vector, np.int64), np.fromiter(vector.values(), float)
-        total = values @ self.bounds[terms]
-        query = np.zeros(len(self.idf))
-        query[terms] = values
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-total, kind="stable"):
-            first = int(block) * self.size
-            if total[block] <= 0 or len(best) == self.k and total[block] < best[-1] - 1e-9:
-                break
-            if len(best) == self.k and total[block] <= best[-1] and first > best_at.max():
-                continue  # at most a tie with earlier ones
-            own, weights = self.blocks[block]
-            score = np.round(weights @ query[own], 12)
-            if first <= without < first + len(score):
-                score[without - first] = 0
-            some = np.flatnonzero(score > 0)
-            best_at, best = np.concatenate([best_at, some + first]), np.concatenate([best, score[some]])
-            order = np.lexsort((best_at, -best))[: self.k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
-
-    def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of label 1 among the nearest, by similarity and by the rows that each stands for, with one more
-        vote for the share among texts without terms."""
-        if not vector:
-            return self.base, np.zeros(0, np.int64), np.zeros(0)
-        at, near = self.nearest(vector, without)
-        each = near * self.weight[at]
-        return float((each @ self.label[at] + 0.1 * self.base) / (each.sum() + 0.1)), at, near
+        the first."""
+        return self.all_nearest([self.arrays(vector)], [without])[0]
+
+    def all_nearest(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], without: Sequence[int]
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several. Blocks are scored for the vectors whose bound in them reaches the ``k``-th best so far."""
+        n = len(self.row) - 1
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        near, often = np.zeros((len(vectors), n)), np.zeros((len(vectors), self.columns.shape[1]), np.float32)
+        for i, (terms, values) in enumerate(vectors):
+            column = self.column[terms]
+            often[i, column[column >= 0]] = values[column >= 0]
+            rare, own = terms[column < 0], values[column < 0]
+            spans = list(zip(self.begin[rare].tolist(), self.begin[rare + 1].tolist()))
+            if spans:
+                at = np.concatenate([self.at[a:b] for a, b in spans])
+                weight = np.concatenate([self.rare[a:b] for a, b in spans])
+                near[i] = np.bincount(at, weight * np.repeat(own, [b - a for a, b in spans]), n)
+            if without[i] >= 0:
+                near[i, without[i]] = -9
+
+        def reached() -> np.ndarray:
+            return np.partition(near, n - self.k, axis=1)[:, n - self.k] - SLACK if n > self.k else np.full(len(near), -8.0)
+
+        bound = np.maximum.reduceat(near, self.starts, axis=1) + often @ self.bounds.T
+        least, order = reached(), np.argsort(-bound.max(0), kind="stable")
+        for number, block in enumerate(order.tolist()):
+            if number == max(1, len(order) // 8):
+                least = reached()
+            live = np.flatnonzero(bound[:, block] >= least - SLACK)
+            rows = slice(block * self.size, (block + 1) * self.size)
+            if len(live) == len(near):
+                near[:, rows] += often @ self.columns[rows].T
+            elif len(live):
+                near[live, rows] += often[live] @ self.columns[rows].T
+        least, query = reached(), np.zeros(len(self.idf))
+        some = [np.flatnonzero((near[i] > 0) & (near[i] >= least[i] - SLACK)) for i in range(len(vectors))]
+        return [self.exact(vector, some[i], query) for i, vector in enumerate(vectors)]
+
+    def exact(
+        self, vector: tuple[np.ndarray, np.ndarray], some: np.ndarray, query: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of ``some`` examples, in full; like examples are scored once. ``query``: zeros, left so."""
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0)
+        firsts, which = np.unique(self.same[some], return_inverse=True)
+        spans = [(self.row[i], self.row[i + 1]) for i in firsts.tolist()]
+        query[vector[0]] = vector[1]
+        score = np.array([self.value[a:b] @ query[self.term[a:b]] for a, b in spans])
+        query[vector[0]] = 0
+        score = np.round(score, 12)[which]
+        some, score = some[score > 0], score[score > 0]
+        order = np.lexsort((some, -score))[: self.k]
+        return some[order], score[order]
+
+    def votes(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], without: Sequence[int] | None = None
+    ) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The share of label 1 among the nearest of each, by similarity and by the rows that each stands for, with one
+        more vote for the share among texts without terms; and the nearest."""
+        without = [-1] * len(vectors) if without is None else without
+        for first in range(0, len(vectors), AT_ONCE):
+            part = slice(first, first + AT_ONCE)
+            for at, near in self.all_nearest(vectors[part], without[part]):
+                each = near * self.weight[at]
+                yield float((each @ self.label[at] + 0.1 * self.base) / (each.sum() + 0.1)), at, near
+
+    def common(self, vector: tuple[np.ndarray, np.ndarray], at: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The terms that a vector shares with any of these examples. ``seen``: a false for each term, left so."""
+        for i in at.tolist():
+            seen[self.term[self.row[i] : self.row[i + 1]]] = True
+        found = vector[0][seen[vector[0]]]
+        for i in at.tolist():
+            seen[self.term[self.row[i] : self.row[i + 1]]] = False
+        return found
 
     def score(self, share: float) -> float:
         """A calibrated vote: the logistic function of a rising line of its log odds."""
@@ -184,6 +341,20 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -30, 30))))
 
 
+#: The last index that this worker has built, by its digest.
+BUILT: dict[str, Index] = {}
+
+
+def restored(digest: str, packed: bytes) -> Index:
+    if digest not in BUILT:
+        fixed, row, steps, n = pickle.loads(zlib.decompress(packed))
+        BUILT.clear()
+        index = Index(*fixed)
+        index.add_counts(row, np.cumsum(steps, dtype=np.int32), n)
+        BUILT[digest] = index
+    return BUILT[digest]
+
+
 def calibrate(index: Index, shares: np.ndarray) -> None:
     """Slope and shift by weighted logistic regression with a weak pull towards leaving votes as they are."""
     x, y, w = np.log(shares / (1 - shares)), index.label.astype(float), index.weight
@@ -200,23 +371,32 @@ def calibrate(index: Index, shares: np.ndarray) -> None:
 def build_index(
     docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, k: int, block: int, least: float, ratio: float, words: int
 ) -> Index:
-    """The index over at most ``most`` examples of each class and ``words`` terms; the driver gets no more than that."""
+    """The index over at most ``most`` examples of each class and all their terms (of ``words`` over 0, only so many)."""
     found = examples(docs, labels, label, train, most)
     chosen = vocabulary(with_terms(found), least, ratio, words)
-    only = {term: i for i, (term, _) in enumerate(chosen)}
-    rows = with_terms(found, only).orderBy("doc_id", "label").collect()
-    index = Index(only, np.array([idf for _, idf in chosen]), np.zeros(0), np.zeros(0), np.zeros(0), 0.5, block, k)
-    plain = [row for row in rows if not row["terms"]]
-    seen = [sum(row["weight"] for row in plain if row["label"] == c) for c in (0, 1)]
-    index.base = (seen[1] + 0.5) / (sum(seen) + 1 + (not rows))
-    telling = [(index.vector(row["terms"]), row) for row in rows if row["terms"]]
-    telling.sort(key=lambda pair: (sorted(pair[0].items()), pair[1]["doc_id"]))  # like vectors share blocks
-    index.ids, index.label, index.weight = (
-        np.array([row[name] for _, row in telling]) for name in ("doc_id", "label", "weight")
-    )
-    index.add([vector for vector, _ in telling])
-    if telling:
-        calibrate(index, np.array([index.vote(vector, i)[0] for i, (vector, _) in enumerate(telling)]))
+    numbers, weights = {term: i for i, (term, _) in enumerate(chosen)}, np.array([weight for _, weight in chosen])
+    rows = with_numbers(found, Counts(numbers)).orderBy("doc_id", "label").toArrow()
+    ids, labelled, stands = (rows.column(name).to_numpy() for name in ("doc_id", "label", "weight"))
+    at, n = (rows.column(name).combine_chunks() for name in ("at", "n"))
+    begin, at, n = np.asarray(at.offsets), at.values.to_numpy(), n.values.to_numpy()
+    index = Index(numbers, weights, np.zeros(0), np.zeros(0), np.zeros(0), 0.5, block, k)
+    plain = np.diff(begin) == 0
+    every, seen = ([stands[of & (labelled == c)].sum() for c in (0, 1)] for of in (plain | True, plain))
+    share = (every[1] + 0.5) / (sum(every) + 1 + (not len(ids)))
+    index.base = float((seen[1] + share) / (sum(seen) + 1))
+    rank = np.argsort(np.argsort(-weights, kind="stable"))
+    spans = {i: slice(begin[i], begin[i + 1]) for i in np.flatnonzero(~plain).tolist()}
+    order = sorted(spans, key=lambda i: (np.sort(rank[at[spans[i]]]).astype(">i4").tobytes(), ids[i]))  # like vectors share blocks
+    index.ids, index.label, index.weight = ids[order], labelled[order], stands[order]
+    terms, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for span in (spans[i] for i in order):
+        by_number = np.argsort(at[span])
+        terms.append(at[span][by_number]), counts.append(n[span][by_number])
+    row = np.concatenate([[0], np.cumsum(np.diff(begin)[order])]).astype(np.int64)
+    index.add_counts(row, np.concatenate(terms), np.concatenate(counts))
+    if order:
+        vectors = [(index.term[a:b], index.value[a:b]) for a, b in zip(row[:-1], row[1:])]
+        calibrate(index, np.array([share for share, _, _ in index.votes(vectors, range(len(vectors)))]))
     return index
 
 
@@ -231,48 +411,39 @@ def score_toxicity(
     k: int = 8,
     block: int = 32,
     least: float = 16.0,
-    ratio: float = 4.0,
-    words: int = 5_000,
+    ratio: float = 0.0,
+    words: int = 0,
 ) -> DataFrame:
     """The columns ``keep``, ``score`` (0 to 1, higher: ``label`` 1 likelier), ``predicted`` (1 from ``threshold``),
-    ``evidence`` (the ``k`` nearest examples, nearest first) and ``matched`` (the terms that found them).
+    ``evidence`` (the ``k`` nearest examples, nearest first) and ``matched`` (the terms shared with any of them, in order).
 
-    Only the text makes a score. At most ``most`` labelled documents of each class that satisfy ``train`` are examples, and
-    at most ``words`` terms are looked up; every document's whole text is scored. A text without any of the terms,
-    also a null or empty one, gets the share of label 1 among such examples. Without labels of both classes all scores
-    are that share, or a third without any. A document labelled both ways counts as 1. Every row of ``docs`` gives a row.
+    Only the text makes a score. At most ``most`` labelled documents of each class that satisfy ``train`` are examples;
+    all terms that two of their families have are looked up (``ratio`` and ``words``: see ``vocabulary``), and every
+    document's whole text is scored. A text without any of the terms, also a null or empty one, gets the share of label 1
+    among such examples, or without such examples among all. Without labels of both classes all scores are that share, or
+    a third without any. A document labelled both ways counts as 1. Every row of ``docs`` gives a row.
     """
     index = build_index(small_batches(docs), labels, label, train, most, k, block, least, ratio, words)
-    whole = {t for t in index.terms if "~" not in t}
-    starts = {t.partition("~")[0] for t in index.terms if "~" in t}
-    stems = [(n, {t for t in starts if len(t) == n}) for n in STEMS]
-    base = index.score(index.base)
-
-    def found(text: str) -> bool:
-        own = set(LETTERS.findall(text.lower()))
-        return not own.isdisjoint(whole) or any(
-            word[:n] in known for n, known in stems if known for word in own if len(word) > n
-        )
 
     def score(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
-        scores, evidence, matched = [], [], []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            text = str(data[a:b].data, "utf-8")
-            if not found(text):
-                scores.append(base), evidence.append([]), matched.append([])
-                continue
-            counts = {t: n for t, n in count_terms(text).items() if t in index.terms}
-            share, at, near = index.vote(index.vector(counts))
-            scores.append(index.score(share))
-            evidence.append(list(zip(index.ids[at].tolist(), index.label[at].tolist(), near.tolist())))
-            matched.append(sorted(counts))
-        kind = pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())])
-        proof = [[dict(zip(("doc_id", "label", "similarity"), e)) for e in row] for row in evidence]
+        vectors = [index.weights(*index.counter(str(data[a:b].data, "utf-8"))) for a, b in zip(offsets[:-1], offsets[1:])]
+        scores, seen = [], np.zeros(len(index.terms), bool)
+        found, near, shared = [], [], []
+        for vector, (share, at, close) in zip(vectors, index.votes(vectors)):
+            scores.append(index.score(share if len(vector[0]) else index.base))
+            found.append(at), near.append(close), shared.append(index.common(vector, at, seen))
+        at = np.concatenate([*found, np.zeros(0, np.int64)])
+        proof = pa.StructArray.from_arrays(
+            [pa.array(index.ids[at], pa.int64()), pa.array(index.label[at], pa.int32()), pa.array(np.concatenate([*near, np.zeros(0)]), pa.float64())],
+            ["doc_id", "label", "similarity"],
+        )
+        terms = index.names.take(pa.array(np.concatenate([*shared, np.zeros(0, np.int32)]).astype(np.int64)))
+        ends = [np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int32) for of in (found, shared)]
         return {
             "score": pa.array(scores, pa.float64()),
             "predicted": pa.array([int(s >= threshold) for s in scores], pa.int32()),
-            "evidence": pa.array(proof, pa.list_(kind)),
-            "matched": pa.array(matched, pa.list_(pa.string())),
+            "evidence": pa.ListArray.from_arrays(ends[0], proof),
+            "matched": pa.ListArray.from_arrays(ends[1], terms),
         }
 
     made = (

@@ -13,7 +13,7 @@ from keepwell.llm.common import read
 from keepwell.llm.quality_classifier import STATISTICS, fit, score_quality, statistics
 from keepwell.llm.quality_rules import base_counts, bucket_weights, quality_rules
 from keepwell.llm.scoring import remainder_is
-from keepwell.llm.toxicity import Index, build_index, count_terms, score_toxicity
+from keepwell.llm.toxicity import Counts, Index, build_index, count_terms, score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,3 +168,35 @@ def test_statistics_of_a_text(text, zero):
     row = statistics(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
     assert row.shape == (1, len(STATISTICS)) and np.isfinite(row).all()
     assert pa.array(row.ravel()).null_count == 0 and (zero == (row[0, STATISTICS.index("longest")] == np.log(10)))
+
+
+def test_toxicity_keeps_the_terms_of_both_classes(spark):
+    """Neutral and clean terms find neighbours, and terms that label 1 has only twice as often tell the classes apart."""
+    rng = np.random.default_rng(11)
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in ("lk", "mn", "rt", "st")]
+    rows = []
+    for i in range(240):
+        toxic = int(i % 3 == 0)
+        shares = np.where(np.arange(len(words)) < 40, 2.0 if toxic else 1.0, 1.0 if toxic else 2.0)
+        rows.append((i, " ".join(rng.choice(words, 40, p=shares / shares.sum())), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(999, "nothing else is known")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    index = build_index(docs, labels, "toxic", every(), 4000, 8, 32, 16.0, 0.0, 0)
+    having = Counter(t for _, text, _ in rows for t in count_terms(text))
+    assert set(index.terms) == {t for t, n in having.items() if n >= 2} and len(index.ids) == 240
+    rest = remainder_is(F.col("doc_id"), 3, 1)
+    got = {r["doc_id"]: r for r in score_toxicity(docs, labels, ~rest, threshold=0.5).withColumn("rest", rest).collect()}
+    assert not got[999]["evidence"] and not got[999]["matched"]
+    assert all(len(r["evidence"]) == 8 and r["matched"] == sorted(r["matched"]) for i, r in got.items() if i != 999)
+    found = [(y, got[i]["predicted"]) for i, _, y in rows if got[i]["rest"]]
+    assert np.mean([p == y for y, p in found]) > 0.75 and np.mean([p for y, p in found if y]) > 0.5
+
+
+def test_numbered_counts_are_the_counted_terms():
+    text = "Pathetically pathetic, patheticness 12 idiot the THE The thoughtful thoughts thoughtless"
+    want = count_terms(text)
+    known = {t: i for i, t in enumerate(sorted(want)[::2])}
+    at, n = Counts(known)(text + " unknown")
+    names = {i: t for t, i in known.items()}
+    assert {names[i]: c for i, c in zip(at.tolist(), n.tolist())} == {t: c for t, c in want.items() if t in known}
+    assert [len(x) for x in Counts(known)("")] == [0, 0]
