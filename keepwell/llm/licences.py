@@ -1,12 +1,14 @@
 """Licence scan: canonical digests of entire texts, hash-joined to those of known licences. Only DataFrame functions.
 
 A text's canonical form is its lower-cased words without copyright lines and punctuation, in one spelling. A document is
-looked up as a whole, and so is each of its lines, as notices are mostly a line of their own.
+looked up as a whole among the texts of licences. Each of its lines is looked up among these and among notices, which are
+mostly a line of their own, but no licence's text: a document that is only a notice has no licence as a whole.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,21 +72,70 @@ _BSD_THIRD = """
 from this software without specific prior written permission.
 """
 
-#: Texts of licences and the usual one-line notices. A caller may pass any other list.
-KNOWN = (
+#: For each file of ``licence_texts`` (as Debian's base-files has it) its licence, the first line after the
+#: title, and the line at which what isn't terms begins; empty if a text has no such lines.
+SHIPPED = (
+    ("Apache-2.0", "Apache-2.0", "TERMS AND CONDITIONS FOR USE", "APPENDIX: How to apply"),
+    ("Artistic", "Artistic-1.0-Perl", "Preamble", ""),
+    ("BSD", "BSD-3-Clause", "", ""),
+    ("CC0-1.0", "CC0-1.0", "CREATIVE COMMONS CORPORATION IS NOT", ""),
+    ("GFDL-1.2", "GFDL-1.2", "0. PREAMBLE", "ADDENDUM: How to use"),
+    ("GFDL-1.3", "GFDL-1.3", "0. PREAMBLE", "ADDENDUM: How to use"),
+    ("GPL-1", "GPL-1.0", "Preamble", "Appendix: How to Apply"),
+    ("GPL-2", "GPL-2.0", "Preamble", "How to Apply These Terms"),
+    ("GPL-3", "GPL-3.0", "Preamble", "How to Apply These Terms"),
+    ("LGPL-2", "LGPL-2.0", "Preamble", "How to Apply These Terms"),
+    ("LGPL-2.1", "LGPL-2.1", "Preamble", "How to Apply These Terms"),
+    ("LGPL-3", "LGPL-3.0", "This version of the GNU Lesser", ""),
+    ("MPL-1.1", "MPL-1.1", "1. Definitions.", "EXHIBIT A"),
+    ("MPL-2.0", "MPL-2.0", "1. Definitions", "Exhibit A - Source Code"),
+)
+
+
+def variants(text: str, body: str, appendix: str) -> list[str]:
+    """A licence's text, with and without its title, its appendix, the line that ends its terms, and the appendix' line for
+    one's own name, which is a copyright line once it is filled in."""
+    lines = text.split("\n")
+
+    def starting(words: str, otherwise: int) -> int:
+        return next(i for i, line in enumerate(lines) if line.strip().startswith(words)) if words else otherwise
+
+    first, last = starting(body, 0), starting(appendix, len(lines))
+    terms = last
+    while terms and (not lines[terms - 1].strip() or lines[terms - 1].strip() == "END OF TERMS AND CONDITIONS"):
+        terms -= 1
+    parts = [lines[a:b] for a in (0, first) for b in (len(lines), last, terms)]
+    named = [[line for line in part if not line.strip().startswith("Copyright [yyyy]")] for part in parts]
+    return list(dict.fromkeys("\n".join(part) for part in parts + named))
+
+
+def shipped() -> list[tuple[str, str]]:
+    folder = Path(__file__).parent / "licence_texts"
+    read = [(name, (folder / f"{file}.txt").read_text("utf-8"), *ends) for file, name, *ends in SHIPPED]
+    return [(name, variant) for name, text, *ends in read for variant in variants(text, *ends)]
+
+
+#: Texts of licences. A caller may pass any other list.
+TEXTS = (
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT_BODY),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
     ("ISC", _ISC_GRANT.format(condition=", provided that the above copyright notice and this permission notice appear in all copies")),
     ("0BSD", _ISC_GRANT.format(condition="")),
     ("BSD-2-Clause", _BSD.format(third="")),
     ("BSD-3-Clause", _BSD.format(third=_BSD_THIRD)),
+    *shipped(),
+)
+#: Usual one-line notices, for lines only. A caller may pass any other list.
+NOTICES = (
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: What a line can be.
+KNOWN = TEXTS + NOTICES
 
 
 def canonical(text: Column) -> Column:
@@ -106,20 +157,22 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...]) -> Da
     return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan_licences(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``doc_id``, ``digest``, ``license_id`` (of the entire text, or null) and ``line_licenses`` (ids of its lines that
-    are known texts, in order and without repeats, joined by commas; empty if none).
+def scan_licences(
+    docs: DataFrame, known: tuple[tuple[str, str], ...] = TEXTS, notices: tuple[tuple[str, str], ...] = NOTICES
+) -> DataFrame:
+    """``doc_id``, ``digest``, ``license_id`` (of the entire text, if it is in ``known``, or null) and ``line_licenses``
+    (ids of its lines that are in ``known`` or ``notices``, in order and without repeats, joined by commas; empty if none).
 
     Null texts count as empty; an empty text, and one of copyright lines only, has the digest of no words, and is a licence
-    only if the list has such a one. Every row of ``docs`` gives a row. The list's digests are broadcast: the list is
-    given by the caller and doesn't grow with the documents. Only lines that are known are shuffled.
+    only if the list has such a one. Every row of ``docs`` gives a row. The lists' digests are broadcast: the lists are
+    given by the caller and don't grow with the documents. Only lines that are known are shuffled.
     """
     spark = docs.sparkSession
     table = known_digests(spark, known)
     hashed = F.transform(F.array_distinct(F.split(whole_text(), "\n")), lambda line: F.xxhash64(canonical(line)))
     rows = docs.select("doc_id", F.sha2(canonical(whole_text()), 256).alias("digest"), hashed.alias("lines"))
     rows = materialize(rows.withColumn("slot", F.monotonically_increasing_id()), "licence-digests")
-    listed = spark.createDataFrame(list(known), "line_license string, text string")
+    listed = spark.createDataFrame([*known, *notices], "line_license string, text string")
     units = listed.select("line_license", F.xxhash64(canonical(F.col("text"))).alias("line")).distinct()
     found = rows.select("slot", F.explode("lines").alias("line")).join(F.broadcast(units), "line")
     found = found.groupBy("slot").agg(F.array_join(F.sort_array(F.collect_set("line_license")), ",").alias("line_licenses"))

@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models
 
 from keepwell.llm.html_text import extract_main_text, main_text
-from keepwell.llm.licences import KNOWN, scan_licences
+from keepwell.llm.licences import KNOWN, NOTICES, SHIPPED, scan_licences
 from keepwell.llm.merkle import changed_paragraphs, fingerprint_edits, likeness, root, tree, with_next
 from keepwell.llm.token_counts import Counter, count_tokens, read_vocabulary
 from pyspark.sql import functions as F
@@ -130,6 +131,27 @@ def test_licences(spark, odd_docs):
     assert scan_licences(odd_docs.limit(0)).collect() == []
 
 
+def test_whole_licences_of_the_system(spark):
+    """The texts as they are installed, reflowed, without title or appendix, or filled in; a notice alone is no licence."""
+    folder = Path("/usr/share/common-licenses")
+    names = {file: name for file, name, *_ in SHIPPED if (folder / file).exists()}
+    whole = {file: (folder / file).read_text() for file in names} or pytest.skip("no licence texts are installed")
+    want = {**names, "apache terms": "Apache-2.0", "apache filled in": "Apache-2.0", "gpl terms": "GPL-2.0", "gpl words": "GPL-3.0"}
+    apache, gpl = whole["Apache-2.0"], whole["GPL-2"]
+    texts = whole | {
+        "apache terms": apache[apache.index("TERMS AND") : apache.index("   END OF TERMS")],
+        "apache filled in": apache.replace("[yyyy] [name of copyright owner]", "2019 Some Body"),
+        "gpl terms": gpl[: gpl.index("How to Apply These Terms")],
+        "gpl words": " ".join(line for line in whole["GPL-3"].split("\n") if not line.strip().startswith("Copyright (C)")),
+        "one more": gpl + "\nAnd a sentence of our own.",
+        **{f"notice {i}": text for i, (_, text) in enumerate(NOTICES)},
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: r for r in scan_licences(docs).collect()}
+    assert {name: r["license_id"] for name, r in got.items() if r["license_id"]} == want
+    assert [got[f"notice {i}"]["line_licenses"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
+
+
 TEXTS = ["a", "  a  b ", "日本語 😀 x", "\n\n", "tab\there", "ééé ▁x", " lead", "trail ", "the the theory", "", "word" * 300]
 
 
