@@ -2,7 +2,9 @@
 
 Each block of text earns points for its length and commas, less its share of link text. Its container gets them and
 passes part of them on to its own container, all of them but a trace where it is the only one there with points. The
-container with most points is the article; siblings with a fair share of its points are kept with it.
+container with most points is the article, or the ``article`` or ``main`` around it; its siblings are kept with it unless
+they are mostly links. Elements whose class or id tells that they aren't the article are left out, but not those around the
+page's main text.
 """
 
 from __future__ import annotations
@@ -49,8 +51,11 @@ RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 
 #: Parts of its points that a container passes on: alone, and beside others with points.
 ALONE, BESIDE = 0.999, 0.55
-#: Times the points of elements that say they are the article; a sibling's least share of the best one's points.
-NAMED, SHARE = 1.5, 0.2
+#: Times the points of elements that say they are the article; a sibling's least share of the best one's points, or else its
+#: largest share of text in links; the share of all points that is the page's main text whatever its class.
+NAMED, SHARE, LINKED, MOST = 1.5, 0.2, 0.5, 0.8
+#: Words in class or id of an ``article`` that is a reader's.
+READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
 
 
 def markup(page: str) -> Iterator[tuple[str, str, str]]:
@@ -112,12 +117,14 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
             yield "start", word, page[start:end]
 
 
-def outside(name: str, attributes: str) -> bool:
-    """Whether an element isn't part of an article: by its name, its role, its class or id, or because it is hidden."""
+def outside(name: str, attributes: str) -> bool | set[str]:
+    """Whether an element isn't part of an article, by its name or role, or because it is hidden; or the words in its class
+    or id that hint at it."""
+    hints: set[str] = set()
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body"):
-        return False
+        return hints
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -126,16 +133,16 @@ def outside(name: str, attributes: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and any(word.lower() in HINTS for word in WORDS.findall(value)):
-            return True
-    return False
+        if key in ("class", "id"):
+            hints.update(word.lower() for word in WORDS.findall(value) if word.lower() in HINTS)
+    return hints
 
 
 class Page:
     """A page's elements (number of the parent, name) and its blocks of text (element, text, characters in links)."""
 
     def __init__(self, page: str):
-        self.parent, self.name, self.blocks = [-1], [""], []
+        self.parent, self.name, self.blocks, self.hints = [-1], [""], [], {}
         self.open, self.count, self.out = [0], {}, 0  # out: the number of the element that is left out, or 0
         self.run, self.links, self.in_link = [], 0, 0
         for kind, what, more in markup(page):
@@ -158,7 +165,7 @@ class Page:
         if self.run:
             text = " ".join("".join(self.run).split())
             if text:
-                owner = next(i for i in reversed(self.open) if self.name[i] not in INLINE)
+                owner = next(i for i in reversed(self.open) if self.name[i] not in INLINE or i in self.hints)
                 self.blocks.append((owner, text, min(self.links, len(text))))
             self.run = []
         self.links = 0
@@ -180,9 +187,14 @@ class Page:
         self.open.append(len(self.name) - 1)
         self.count[name] = self.count.get(name, 0) + 1
         self.in_link += name == "a"
-        if not self.out and outside(name, attributes):
+        if not self.out and (found := outside(name, attributes)):
+            here = self.open.pop()
             self._flush()
-            self.out = self.open[-1]
+            self.open.append(here)
+            if found is True:
+                self.out = here
+            else:
+                self.hints[here] = found
 
     def _end(self, name: str) -> None:
         if name not in INLINE:
@@ -192,6 +204,8 @@ class Page:
 
     def _close(self, name: str) -> None:
         while True:
+            if self.open[-1] in self.hints:
+                self._flush()
             last = self.open.pop()
             closed = self.name[last]
             self.count[closed] -= 1
@@ -202,12 +216,46 @@ class Page:
             if closed == name:
                 return
 
+    def _inside(self, amounts: dict[int, float]) -> list[float]:
+        """What each element has of what blocks give their owners, with all that is inside it."""
+        total = [0.0] * len(self.name)
+        for i, amount in amounts.items():
+            total[i] = amount
+        for i in range(len(self.name) - 1, 0, -1):  # a parent's number is below its children's
+            total[self.parent[i]] += total[i]
+        return total
+
+    def _unhinted(self) -> list[tuple[int, str, int]]:
+        """The blocks that no hint leaves out. Hints don't hold for the largest ``article`` and ``main``, for what is around
+        them, and for elements with most of the page's points."""
+        if not self.hints:
+            return self.blocks
+        earned: dict[int, float] = {}
+        for owner, text, links in self.blocks:
+            earned[owner] = earned.get(owner, 0) + worth_of(text, links)
+        total, void = self._inside(earned), set(self.hints)
+        for kind in ("article", "main"):
+            named = [i for i, name in enumerate(self.name) if name == kind and not READERS & self.hints.get(i, set())]
+            at = max(named, key=total.__getitem__, default=0)
+            while at > 0:
+                void.discard(at)
+                at = self.parent[at]
+        void = {i for i in void if total[i] < MOST * total[0] or not total[i]}
+        out = [False] * len(self.name)
+        for i in range(1, len(self.name)):
+            out[i] = i in void or out[self.parent[i]]
+        return [block for block in self.blocks if not out[block[0]]]
+
     def article(self) -> list[str]:
-        """The blocks of the best container and of its siblings that are kept, in page order."""
+        """The blocks of the best container and of its siblings that are kept, in page order; without regard to hints, if
+        they leave none."""
+        return self._best(self._unhinted()) or self._best(self.blocks)
+
+    def _best(self, blocks: list[tuple[int, str, int]]) -> list[str]:
         size = len(self.name)
         points, sources, own = [0.0] * size, [0] * size, [0.0] * size
-        for owner, text, links in self.blocks:
-            earned = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+        for owner, text, links in blocks:
+            earned = worth_of(text, links)
             if earned > 0:
                 own[owner] += earned
                 holder = self.parent[owner] if self.name[owner] in PARAGRAPHS else owner
@@ -225,14 +273,26 @@ class Page:
         best = max(range(size), key=worth.__getitem__)
         if worth[best] <= 0:
             return []
+        around = best
+        while around > 0 and self.name[around] not in ("article", "main"):
+            around = self.parent[around]
+        best = around if around > 0 else best
+        chars, linked = {}, {}
+        for owner, text, links in blocks:
+            chars[owner], linked[owner] = chars.get(owner, 0) + len(text), linked.get(owner, 0) + links
+        chars, linked = self._inside(chars), self._inside(linked)
         kept = [False] * size
         for i in range(size):
             if i == best or i and kept[self.parent[i]]:
                 kept[i] = True
             elif best and self.parent[i] == self.parent[best]:
                 title = i < best and self.name[i] in ("h1", "h2") and own[i] > 0
-                kept[i] = title or max(points[i], own[i]) >= SHARE * points[best]
-        return [text for owner, text, _ in self.blocks if kept[owner]]
+                kept[i] = title or linked[i] <= LINKED * chars[i] or max(points[i], own[i]) >= SHARE * points[best]
+        return [text for owner, text, _ in blocks if kept[owner]]
+
+
+def worth_of(text: str, links: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
 
 
 def main_text(page: str | None) -> str:

@@ -34,6 +34,30 @@ def test_the_article_and_nothing_else(page):
     assert main_text(page) == WANT
 
 
+LONG = "".join(f"<p>Paragraph {i} of the article, {'with many words, ' * 12}and an end.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><article><div>{LONG}</div><div><p>Short ending.</p></div></article></body>",
+        f"<body><div id=a><div>{LONG}</div><div><p>Short ending.</p></div><div><a href=x>Other page, linked</a></div></div></body>",
+        f"<body><div class='content has-sidebar'><div class=sidebar><p>Aside.</p></div>{LONG}<p>Short ending.</p></div></body>",
+        f"<body><article class='post share-enabled'>{LONG}<p>Short ending.</p><div class=share><p>Share it</p></div></article></body>",
+        f"<div id=promo-page><main class=social>{LONG}<p>Short ending.</p></main></div><div class=comments><article class=comment>I, too</article></div>",
+        f"<body><p class=promo>Small, print</p><div><div class=related>{LONG}<p>Short ending.</p></div></div></body>",
+    ],
+)
+def test_no_part_of_the_article_is_lost(page):
+    got = main_text(page).split("\n\n")
+    assert len(got) == 6 and got[0].startswith("Paragraph 0") and got[-1] == "Short ending."
+
+
+def test_hints_alone_leave_no_page_empty():
+    assert main_text("<body><div class=promo><p>One, two.</p></div><div class=share><p>Three, four, five.</p></div></body>")
+    assert main_text("<p>Before it <span class=share>tweet this</span> and after it, in one article.</p>") == "Before it\n\nand after it, in one article."
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("<script>x") == ""
     assert main_text("a < b, c") == "a < b, c"
