@@ -3,7 +3,7 @@
 1. toxicity: documents that the nearest labelled examples call toxic go.
 2. quality: documents that the discriminant calls low in quality go.
 3. near_duplicates: one document of each group of near copies stays (five words, 80 per cent).
-4. mixing: sources are mixed to target weights; a document taken twice has two rows, one taken in part its first words.
+4. mixing: sources are mixed to target weights; a document taken twice has two rows, and none is cut.
 5. packing: tokens of every row get their places in sequences.
 
 All stages but the last return the columns of ``documents``. Null and empty texts, repeated rows and further columns are
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs).select(*DOCUMENT_COLUMNS)
+    return mixed_documents(docs, whole=True).select(*DOCUMENT_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def mix_sources(
     equal rows (same id, same text) gives more words is open. A null text or one without words has size 0 and
     gives nothing; a source without words has target 0. No documents give no rows. Other columns are left out.
     """
-    return _mix(numbered(_rows(docs, seed), "mix-rows"), weights, share, most, block, least_shards, rows_per_shard)
+    return _mix(numbered(_rows(docs, seed), "mix-rows"), weights, share, most, block, least_shards, rows_per_shard).drop("place")
 
 
 def _mix(
@@ -158,7 +158,7 @@ def _mix(
     rest = quota - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     taken = (passes * F.col("size") + part).cast("bigint").alias("taken")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken, "slot")
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken, "slot", "place")
 
 
 def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
@@ -173,6 +173,27 @@ def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     return pd.Series([cut(text, n) for text, n in zip(texts, counts)], dtype=object)
 
 
+def whole_documents(taken: DataFrame, most: float) -> DataFrame:
+    """``taken`` with passes over whole texts only. Of each shard's text within which its last pass ends (one row at most), the
+    source takes all or nothing, whichever is nearer to its quota so far; what that is over or under goes to its next shard.
+    So a source's words differ from its quota by half a text at most, or where ``most`` allows no further pass."""
+
+    def settle(cuts: pd.DataFrame) -> pd.DataFrame:
+        cuts = cuts.sort_values(["place", "doc_id", "slot"])
+        over, settled = 0, []
+        for size, words in zip(cuts["size"].tolist(), cuts["taken"].tolist()):
+            part = words % size
+            more = words // size + 1 <= most and abs(over + size - part) <= abs(over - part)
+            over += size - part if more else -part
+            settled.append(words - part + size * more)
+        return pd.DataFrame({"cut": cuts["slot"], "settled": np.array(settled, np.int64)})
+
+    taken = materialize(taken.filter("taken > 0"), "mix-taken")
+    cuts = taken.filter("taken % size > 0").groupBy("source").applyInPandas(settle, "cut long, settled long")
+    both = taken.join(cuts, F.col("slot") == F.col("cut"), "left")
+    return both.withColumn("taken", F.coalesce("settled", "taken"))
+
+
 def mixed_documents(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -182,14 +203,15 @@ def mixed_documents(
     seed: int = 17,
     least_shards: int = 64,
     rows_per_shard: int = 1_000_000,
+    whole: bool = False,
 ) -> DataFrame:
     """The mix itself, with the columns of documents: a row per whole pass over a text, and one with its first words
     where the last pass ends within it. ``n_chars`` is that of the row's text. A text from which the mix takes
-    nothing has no row. The rest is as for ``mix_sources``."""
+    nothing has no row. ``whole``: no text is cut (see ``whole_documents``). The rest is as for ``mix_sources``."""
     stored = numbered(_rows(small_batches(docs), seed, "text", "lang"), "mix-texts")
     narrow = stored.select("doc_id", "source", "size", "place", "slot")
     taken = _mix(narrow, weights, share, most, block, least_shards, rows_per_shard)
-    taken = taken.filter("taken > 0").select("slot", "taken")
+    taken = (whole_documents(taken, most) if whole else taken).filter("taken > 0").select("slot", "taken")
     passes = F.floor(F.col("taken") / F.col("size")).cast("int")
     rest = F.col("taken") % F.col("size")
     counts = F.concat(

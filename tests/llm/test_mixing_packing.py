@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from keepwell.llm.common import Generations
 from keepwell.llm.mixing import capped_shares, mix_sources, mixed_documents, sainte_lague
 from keepwell.llm.packing import Tokens, best_fit, pack_documents, pieces
@@ -81,6 +82,21 @@ def test_the_mixed_rows_have_the_words_taken(spark):
     assert words == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_the_pipeline_mixes_whole_documents(spark):
+    docs = documents(spark, 400)
+    texts = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    planned, words, size = Counter(), Counter(), {}
+    for r in mix_sources(docs).collect():
+        planned[r["source"]] += r["taken"]
+        size[r["source"]] = max(size.get(r["source"], 0), r["size"])
+    rows = corpus_pipeline.mixing(spark, docs, "").collect()
+    for r in rows:
+        assert (r["doc_id"], r["text"]) in texts
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    assert max(Counter((r["doc_id"], r["text"]) for r in rows).values()) <= 2 * max(texts.values())
+    assert all(2 * abs(words[s] - planned[s]) <= size[s] for s in planned)
+
+
 def test_mixing_odd_documents(odd_docs):
     rows = mix_sources(odd_docs).collect()
     assert len(rows) == odd_docs.count()
