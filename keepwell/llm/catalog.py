@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepwell.llm.bpe import encoding_digests
+from keepwell.llm.collocations import collocations
 from keepwell.llm.common import read, tokenizer_file
 from keepwell.llm.html_text import extract_main_text
+from keepwell.llm.lexical import ranked_search
 from keepwell.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
 from keepwell.llm.merkle import fingerprint_edits
 from keepwell.llm.minhash import near_duplicates
@@ -69,6 +72,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_html_text": op2_html_text,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bpe_encoding": op11_bpe_encoding,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
 #: Words as the operators take them: runs without ASCII white space.
@@ -171,8 +189,58 @@ SELECT doc_id, n_chars, edited_sha256, own_root || ':' || array_to_string(own_sk
   {_likeness_sql("own", "edited")} AS near_edited, {_likeness_sql("own", "next")} AS near_next
 FROM rooted"""
 
+_TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH each AS (SELECT row_number() OVER () AS slot, doc_id, {_TERMS.format(text=_LOWER)} AS terms FROM documents),
+counted AS (SELECT slot, doc_id, len(terms) AS n, unnest(terms) AS term FROM each WHERE len(terms) > 0),
+held AS (SELECT slot, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM counted GROUP BY slot, term),
+sizes AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS words FROM each WHERE len(terms) > 0),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w
+  FROM held, sizes GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS.format(text=_LOWER)}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, slot, any_value(doc_id) AS doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), sizes GROUP BY item_id, slot),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10"""
+
+OP13_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM worded GROUP BY lang),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, words[i:i + k - 1] AS parts
+  FROM starts CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) AS w WHERE i + k - 1 <= len(words)),
+counts AS (SELECT lang, k, phrase, any_value(parts) AS parts, count(*)::BIGINT AS f FROM grams GROUP BY ALL),
+frequent AS (SELECT lang, k, phrase, parts, f FROM counts WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, array_to_string(parts[j:j + 1], ' ') AS phrase, max(f) AS f
+  FROM frequent CROSS JOIN (SELECT unnest([1, 2]) AS j) AS w WHERE k = 3 GROUP BY 1, 2),
+kept AS (
+  SELECT c.* FROM frequent c LEFT JOIN longer USING (lang, phrase)
+  WHERE c.k = 3 OR longer.f IS NULL OR 100 * longer.f < 50 * c.f),
+cuts AS (
+  SELECT kept.lang, kept.phrase, kept.f AS a, cut, x.f AS l, y.f AS r,
+    ((1000000 * kept.f::HUGEINT * kept.f) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM kept CROSS JOIN (SELECT unnest([1, 2]) AS cut) AS k
+  JOIN counts x ON x.lang = kept.lang AND x.k = cut AND x.phrase = array_to_string(kept.parts[:cut], ' ')
+  JOIN counts y ON y.lang = kept.lang AND y.k = kept.k - cut AND y.phrase = array_to_string(kept.parts[cut + 1:], ' ')
+  WHERE cut < kept.k),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op3_license_scan": OP3_SQL,
     "op7_document_fingerprints": OP7_SQL,
+    "op12_ranked_search": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
