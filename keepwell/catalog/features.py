@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepwell.catalog import query, views
 from keepwell.catalog.views import feedback, subscribers, with_views
 from keepwell.operators import features, models
+from keepwell.operators.asof import enrich_as_of
 from keepwell.operators.quality import data_audit
 from keepwell.schemas import CALL_PERIODS, SUBSCRIBERS
 
@@ -22,6 +23,28 @@ def enriched(spark, sf_dir):
     return features.enrich_subscribers(subscribers(spark, sf_dir), feedback(spark, sf_dir), ["created_at", "seq"])
 
 
+# Each subscriber's row was drawn some days before the newest feedback.
+_DRAWN = """drawn AS (SELECT s.*, (SELECT max(created_at) FROM feedback) - to_days(5 + CAST(customer_id AS INTEGER) % 20) AS drawn_at
+  FROM subscribers s),
+once AS (SELECT * FROM feedback QUALIFY row_number() OVER (PARTITION BY customer_id, created_at ORDER BY seq DESC) = 1)"""
+
+
+def enriched_then(spark, sf_dir):
+    """Subscribers with the labels that they had when their rows were drawn: what models are trained on."""
+    labels = feedback(spark, sf_dir)
+    drawn_at = views.newest(labels) - F.make_interval(days=5 + F.col("customer_id").cast("int") % 20)
+    return enrich_as_of(subscribers(spark, sf_dir).withColumn("drawn_at", drawn_at), labels, "drawn_at", ["seq"])
+
+
+@query("enrich_as_of", with_views("subscribers feedback", "SELECT 1").removesuffix("SELECT 1").rstrip() + f""",
+{_DRAWN}
+SELECT {', '.join(f's.{c}' for c in SUBSCRIBERS.fieldNames() if c not in ('feedback_text', *features.LABEL_COLUMNS))},
+       f.raw_text AS feedback_text, f.feedback_category, f.sentiment, f.complaint_intensity
+FROM drawn s ASOF LEFT JOIN once f ON s.customer_id = f.customer_id AND s.drawn_at >= f.created_at""")
+def _(spark, sf_dir):
+    return enriched_then(spark, sf_dir).select(*SUBSCRIBERS.fieldNames())
+
+
 @query("latest_feedback", with_views("feedback", f"""
 SELECT seq, customer_id, feedback_category, sentiment, complaint_intensity, raw_text FROM {_LATEST}"""))
 def _(spark, sf_dir):
