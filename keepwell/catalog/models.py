@@ -1,6 +1,6 @@
 """Training, comparison and scoring queries, over one stored run of the full search per session and data set.
 
-Training starts from the enriched subscriber table. A fourth of it, by stratified folds, is the holdout; the rest
+Training starts from subscribers with the labels that they had when their rows were drawn. A fourth of it, by stratified folds, is the holdout; the rest
 trains. The run stores its models, trials, holdout scores and comparison, and every query reads them from there. What they
 return is checked by a second way: the optimum by its gradient, probabilities and importances by the stored
 trees' own rules, figures by the metric operators.
@@ -13,12 +13,12 @@ from functools import cache, reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from keepwell.catalog import query
-from keepwell.catalog.features import enriched
+from keepwell.catalog.features import enriched, enriched_then
 from keepwell.catalog.views import with_views
-from keepwell.operators import features, metrics, scoring
+from keepwell.operators import explain, features, metrics, scoring
 from keepwell.operators import models as ml
 from keepwell.operators.shaping import project_whitelist
 from keepwell.plans import churn
@@ -32,7 +32,7 @@ _TREES = tuple(ml.SPACES)
 
 @cache
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = enriched(spark, sf_dir).select(*SUBSCRIBERS.fieldNames())
+    rows = materialize(enriched_then(spark, sf_dir).select(*SUBSCRIBERS.fieldNames()), "enriched")
     folded = materialize(features.stratified_folds(rows, "churn", "customer_id", 4), "subscribers")
     return folded.filter("fold > 0").drop("fold"), folded.filter("fold = 0").drop("fold")
 
@@ -267,3 +267,30 @@ def _(spark, sf_dir):
     again = spark.createDataFrame(list(zip(fitted.prepared.names, map(float, share))), "feature string, again double")
     found = ml.feature_importance(spark, fitted.prepared, fitted.model)
     return found.join(again, "feature").select("feature", _near(F.col("importance"), F.col("again"), 1e-6).alias("same"))
+
+
+@query("explain_scores", with_views("subscribers", """
+SELECT customer_id, true AS adds_up, true AS same_score, n AS features FROM subscribers, (SELECT %d::BIGINT AS n)""" % len(_FEATURES)))
+def _(spark, sf_dir):
+    """Whether a customer's parts and the base add up to the margin, and the margin makes the stored rules' probability."""
+    path = champion_path(spark, sf_dir)
+    explained = explain.explain_scores(enriched(spark, sf_dir), path)
+    total = F.aggregate("parts", F.col("base"), lambda a, b: a + b)
+    rules = _scored(spark, sf_dir, path).select("customer_id", "_rules")
+    return explained.join(rules, "customer_id").select(
+        "customer_id", _near(total, F.col("margin")).alias("adds_up"),
+        _near(1 / (1 + F.exp(-2 * F.col("margin"))), F.col("_rules")).alias("same_score"),
+        F.size("parts").cast("bigint").alias("features"),
+    )
+
+
+@query("score_reasons", with_views("subscribers", """
+SELECT customer_id, reason::INTEGER AS reason, true AS in_order, true AS known FROM subscribers CROSS JOIN (SELECT unnest([1, 2, 3]) AS reason)"""))
+def _(spark, sf_dir):
+    """The three features that move a customer's score most: of falling size, and each a feature of the model."""
+    path = champion_path(spark, sf_dir)
+    names = explain.explained_features(path)
+    found = explain.reasons(explain.explain_scores(enriched(spark, sf_dir), path), names)
+    before = F.lag(F.abs("part")).over(Window.partitionBy("customer_id").orderBy("reason"))
+    in_order = F.coalesce(before >= F.abs("part"), F.lit(True)).alias("in_order")
+    return found.select("customer_id", "reason", in_order, F.col("feature").isin(names).alias("known"))
