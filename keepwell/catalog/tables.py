@@ -104,7 +104,7 @@ def _(spark, sf_dir):
     lines = feedback(spark, sf_dir).select(
         F.col("seq"), F.when(short, seq).otherwise(F.concat_ws(",", seq, bad, F.lit("neutral"))).alias("value")
     )
-    parts = lines.groupBy((F.col("seq") % 8).alias("file")).agg(
+    parts = lines.groupBy(F.floor(F.col("seq") / 500).alias("file")).agg(  # files of 500 lines
         F.concat_ws("\n", F.lit("customer_id,complaint_intensity,sentiment"), F.sort_array(F.collect_list("value"))).alias("value")
     )
     parts.write.partitionBy("file").text(path)
@@ -119,8 +119,8 @@ def _(spark, sf_dir):
 @query("scan_csv_mark", with_views("subscribers", "SELECT customer_id, state, churn FROM subscribers"))
 def _(spark, sf_dir):
     path = scratch_path(spark, "marked-csv")
-    rows = subscribers(spark, sf_dir).select(F.to_csv(F.struct("customer_id", "state", "churn")).alias("line"), "area_code")
-    parts = rows.groupBy((F.crc32("line") % 16).alias("part")).agg(
+    rows = subscribers(spark, sf_dir).select(F.to_csv(F.struct("customer_id", "state", "churn")).alias("line"), "customer_id")
+    parts = rows.groupBy(F.floor(F.col("customer_id").cast("int") / 200).alias("part")).agg(
         F.concat_ws("\n", F.lit("\ufeffcustomer_id,state,churn"), F.collect_list("line")).alias("value")
     )
     parts.withColumnRenamed("part", "file").write.partitionBy("file").text(path)
@@ -218,7 +218,7 @@ def _(spark, sf_dir):
     return stored.select(*columns, times.utc_text(F.col("created_at")).alias("created_at"))
 
 
-# The same upsert into a table of versions, twice.
+# The same upsert into a table laid out by its keys, twice.
 @query("upsert_keyed", with_views("feedback", f"""
 SELECT coalesce(b.seq, t.seq) AS seq, customer_id, raw_text,
        CAST(CASE WHEN b.seq IS NULL THEN t.complaint_intensity ELSE b.complaint_intensity + 10 END AS INTEGER)
@@ -228,12 +228,15 @@ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, raw_
 FULL JOIN {_FIRSTS} t USING (customer_id, raw_text)"""))
 def _(spark, sf_dir):
     stored, batch = _target_and_batch(spark, sf_dir)
-    path = scratch_path(spark, "versions")
-    writers.publish_version(readers.read_table(spark, stored), path)
-    changed = batch.filter("sentiment <> 'neutral'")
+    columns = ["seq", *FEEDBACK_KEY, "complaint_intensity"]
+    target, changed = readers.read_table(spark, stored).select(*columns), batch.filter("sentiment <> 'neutral'")
+    layout = {"keys": FEEDBACK_KEY, "buckets": 8}
+    path = scratch_path(spark, "by-key")
+    table = writers.write_bucketed(target, f"t{path[-32:]}", path, **layout)
     for _ in range(2):  # the second time changes nothing
-        writers.upsert_version(spark, path, changed, FEEDBACK_KEY, ["seq"])
-    return readers.read_newest(spark, path).select("seq", *FEEDBACK_KEY, "complaint_intensity")
+        path = scratch_path(spark, "by-key")
+        table = writers.upsert_bucketed(table, changed, sequence=["seq"], name=f"t{path[-32:]}", path=path, **layout)
+    return table.select(*columns)
 
 
 @query("upsert_ignore", with_views("feedback", f"""

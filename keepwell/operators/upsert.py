@@ -66,6 +66,14 @@ def merge_unique(
     return untouched.unionByName(_arrange(batch, target, defaults))
 
 
+def bucketed_merge(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a target laid out by ``keys`` that a batch doesn't replace, and the batch; keys are not null.
+
+    Keys are compared plainly, as the layout hashes them, so the target is joined where it lies.
+    """
+    return target.join(batch.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(batch)
+
+
 def new_rows(
     target: DataFrame, batch: DataFrame, keys: Sequence[str], defaults: Mapping[str, Column] | None = None
 ) -> DataFrame:

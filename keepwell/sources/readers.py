@@ -5,14 +5,11 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from keepwell.functions.text import unescape_breaks
 from keepwell.schemas import COMMENTS, SNAPSHOTS, SUBSCRIBERS
 
-VERSIONS = "version long, path string"
-
 # Where a row stands in its file; compares like the order of lines.
 POSITION = ["_file", "_block", "_row"]
 
@@ -36,20 +33,29 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 BROKEN = "_broken"  # the text of a line or record that doesn't fit
 
 
+FILES_AT_ONCE = 100  # whose first lines one job looks up
+
+
 def _headers(spark: SparkSession, path: str, **options) -> list[tuple[list[str], list[str]]]:
     """The names of columns, and the files that have them, for each different header.
 
-    Takes the first line of each file, looking at first blocks only; a byte order mark is no part of it.
+    Files are listed without being read; of each, a limit of its own stops the reader after its first line. Spark keeps
+    the list of a table's files in the driver anyway. A byte order mark is no part of the line.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
-        F.ltrim(F.col("value"), F.lit("\ufeff")).alias("line"),
-    )
-    firsts = lines.filter("block = 0 and line <> ''").groupBy("file").agg(F.min_by("line", "at").alias("line"))
-    found = firsts.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
-    return [(spark.read.options(**options).csv(row["files"][0]).columns, row["files"]) for row in found]
+    listed = spark.read.format("binaryFile").load(path).filter("length > 0").select("path").orderBy("path")
+    files = [row["path"] for row in listed.toLocalIterator()]
+    by_line: dict[str, list[str]] = {}
+    for at in range(0, len(files), FILES_AT_ONCE):
+        lines = [_first_line(spark, file) for file in files[at : at + FILES_AT_ONCE]]
+        for row in reduce(DataFrame.unionAll, lines).collect():
+            by_line.setdefault(row["line"], []).append(row["file"])
+    return [(spark.read.options(**options).csv(found[0]).columns, found) for _, found in sorted(by_line.items())]
+
+
+def _first_line(spark: SparkSession, file: str) -> DataFrame:
+    """A text file's first line that isn't empty; reading stops there."""
+    line = F.ltrim(F.col("value"), F.lit("\ufeff")).alias("line")
+    return spark.read.text(file, pathGlobFilter="*").select(F.lit(file).alias("file"), line).filter("line <> ''").limit(1)
 
 
 def read_csv_checked(
@@ -173,26 +179,6 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = COMME
     return _fitting(_or_fail(_checked_json(spark, path, schema, False)))
 
 
-def newest_version(spark: SparkSession, base: str) -> tuple[int, str | None]:
-    """Number and path of the newest version that ``writers.publish_version`` named; (0, None) without any."""
-    try:
-        names = spark.read.schema(VERSIONS).parquet(f"{base.rstrip('/')}/names")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0, None
-    row = names.orderBy(F.desc("version"), F.desc("path")).first()
-    return (row["version"], row["path"]) if row else (0, None)
-
-
-def read_newest(spark: SparkSession, base: str) -> DataFrame:
-    """The newest version of a table of versions."""
-    path = newest_version(spark, base)[1]
-    if path is None:
-        raise EmptyTable(f"{base} has no version")
-    return spark.read.parquet(path)
-
-
 def latest_path(spark: SparkSession, pattern: str) -> str:
     """The newest file that matches, by modification time. Lists files without reading them."""
     files = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")

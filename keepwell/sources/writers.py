@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,10 +11,9 @@ from keepwell.functions.text import escape_breaks
 from keepwell.functions.times import event_time
 from keepwell.operators.reputation import daily_counts
 from keepwell.operators.shaping import with_defaults
-from keepwell.operators.upsert import new_rows, one_per_key, upsert_update
+from keepwell.operators.upsert import bucketed_merge, new_rows, one_per_key, upsert_update
 from keepwell.schemas import COMMENTS, FEEDBACK_EXPORT, PREDICTIONS, SUBSCRIBERS, conform, existing
 from keepwell.session import materialize
-from keepwell.sources.readers import VERSIONS, newest_version, read_newest
 
 JDBC_BATCH = 500
 
@@ -94,32 +92,29 @@ def append_new(
     new_rows(target, unique, keys, defaults).write.mode("append").parquet(target_path)
 
 
-def publish_version(df: DataFrame, base: str) -> int:
-    """Write ``df``, complete, beside the versions of a table at ``base``, then name it the newest; its number from 1.
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """``df`` as the catalog table ``name`` at ``path``, laid out and sorted by ``keys`` in ``buckets`` files or so.
 
-    Readers (``readers.read_newest``) see the version before until the name is written, which is one row. Nothing is ever
-    changed in place, so a job that fails leaves the table as it was. One writer at a time.
+    Joins on exactly these keys read it in place. Rows are dealt to the buckets before they are written, so that each bucket
+    is one file, not one per task.
     """
-    spark = df.sparkSession
-    number = newest_version(spark, base)[0] + 1
-    path = f"{base.rstrip('/')}/versions/{number:08}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    named = spark.createDataFrame([(number, path)], VERSIONS)
-    named.coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/names")
-    return number
+    spread = df.repartition(buckets, *keys)
+    spread.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
-def upsert_version(
-    spark: SparkSession,
-    base: str,
-    batch: DataFrame,
-    keys: Sequence[str],
-    sequence: Sequence[str],
-    defaults: Mapping[str, Column] | None = None,
-    keep: str = "last",
-) -> int:
-    """Upsert a batch into a table of versions; the same batch can be applied again."""
-    return publish_version(upsert_update(read_newest(spark, base), batch, keys, sequence, defaults, keep), base)
+def upsert_bucketed(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str], name: str, path: str, buckets: int
+) -> DataFrame:
+    """The table ``target`` from ``write_bucketed`` upserted by a batch of complete rows, as the new bucketed table ``name``.
+
+    Only the batch is shuffled for the look-up, to the target's ``buckets``. Keys that are null are no keys of the layout: rows
+    that have one are an error.
+    """
+    unique = one_per_key(batch.select(*target.columns), target, keys, sequence)
+    said = F.raise_error(F.lit("a key of the batch is null")).cast("boolean")
+    unique = unique.filter(F.when(F.least(*[F.col(k).isNotNull() for k in keys], F.lit(True)), F.lit(True)).otherwise(said))
+    return write_bucketed(bucketed_merge(target, unique, keys), name, path, keys, buckets)
 
 
 def write_snapshots(feedback: DataFrame, path: str, changed: DataFrame | None = None) -> None:

@@ -185,3 +185,35 @@ def test_payloads(spark):
     ]
     without = df.drop("state", "complaint_intensity")
     assert {r.errors for r in shaping.check_payloads(without).collect()} >= {"state: missing"}
+
+
+def _bytes_read(spark):
+    return sum(x.getBytesRead() for x in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def test_csv_is_read_once(spark, tmp_path):
+    """Looking for headers reads a first buffer of each split, not the data."""
+    line = "customer {},{},some text to fill the line up to a hundred signs or so, and some more of it, and more\n"
+    for i in range(3):
+        (tmp_path / f"big_{i}.csv").write_text("customer_id,churn\n" + "".join(line.format(j, j % 2).replace(" ", "_").replace(",some", "some").replace("so,", "so").replace("it,", "it") for j in range(40_000)))
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    before = _bytes_read(spark)
+    found = readers._headers(own, str(tmp_path / "big_*.csv"), header=True)
+    assert [(names, len(files)) for names, files in found] == [(["customer_id", "churn"], 3)]
+    looked = _bytes_read(spark) - before
+    assert 0 < looked < size / 3
+    before = _bytes_read(spark)
+    rows, _ = readers.read_csv_checked(own, str(tmp_path / "big_*.csv"), SUBSCRIBERS)
+    rows.write.parquet(str(tmp_path / "out"))
+    assert _bytes_read(spark) - before < 1.5 * size
+
+
+def test_first_lines_of_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "FILES_AT_ONCE", 3)
+    for i in range(8):
+        (tmp_path / f"f{i}.csv").write_text("\n\n" * (i % 2) + ("customer_id,churn\na,1\n" if i % 3 else "churn,customer_id\n0,b\n"))
+    (tmp_path / "empty.csv").write_text("")
+    rows = readers.read_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted(map(tuple, rows.collect())) == [("a", 1)] * 5 + [("b", 0)] * 3

@@ -132,24 +132,43 @@ def test_keys_are_compared_as_the_target_s_types(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_versions(spark, tmp_path, seed):
-    path = str(tmp_path / "table")
-    with pytest.raises(readers.EmptyTable):
-        readers.read_newest(spark, path)
-    old = by_key(random_rows(40, seed, keys=30))
-    assert writers.publish_version(spark.createDataFrame(list(old.values()), SCHEMA), path) == 1
+def test_tables_laid_out_by_key(spark, tmp_path, seed):
+    old = {k: v for k, v in by_key(random_rows(40, seed, keys=30)).items() if None not in v}
+    name = f"laid_out_{seed}"
+    layout = {"keys": KEYS, "buckets": 3}
+    table = writers.write_bucketed(spark.createDataFrame(list(old.values()), SCHEMA), name, str(tmp_path / "0"), **layout)
+    assert len(list((tmp_path / "0").glob("part-*.parquet"))) <= 3
     for step in range(2):
-        new = random_rows(15, seed + 50 + step, keys=40)
+        new = [r for r in random_rows(15, seed + 50 + step, keys=40) if None not in r]
         batch = spark.createDataFrame(new, SCHEMA)
-        for _ in range(2):  # a second time changes nothing
-            writers.upsert_version(spark, path, batch, KEYS, ["seq"])
+        for again in "ab":  # a second time changes nothing
+            path = str(tmp_path / f"{step}{again}")
+            table = writers.upsert_bucketed(table, batch, sequence=["seq"], name=f"{name}_{step}{again}", path=path, **layout)
         old |= by_key(new)
-        assert rows_of(readers.read_newest(spark, path)) == sorted(old.values())
-    writers.upsert_version(spark, path, batch.limit(0), KEYS, ["seq"])
-    assert readers.read_newest(spark, path).count() == len(old)
-    # a version that was written but never named isn't read
-    batch.write.parquet(f"{path}/versions/99999999-lost")
-    assert readers.newest_version(spark, path)[0] == 6 and readers.read_newest(spark, path).count() == len(old)
+        assert rows_of(table) == sorted(old.values())
+    same = writers.upsert_bucketed(table, batch.limit(0), sequence=["seq"], name=f"{name}_z", path=str(tmp_path / "z"), **layout)
+    assert rows_of(same) == sorted(old.values())
+
+
+def test_a_target_laid_out_by_key_is_not_shuffled(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("cast(id as string) AS k", "id AS v")
+    target = writers.write_bucketed(rows, "laid_out_plan", str(tmp_path / "t"), ["k"], 8)
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    batch = session.range(500, 1500).selectExpr("cast(id as string) AS k", "-id AS v")
+    merged = upsert.bucketed_merge(session.table("laid_out_plan"), batch, ["k"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert target.count() == 1000 and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the batch's; the target is read in place
+    assert merged.count() == 1500 and merged.agg({"v": "sum"}).first()[0] == sum(range(500)) - sum(range(500, 1500))
+
+
+def test_a_null_key_of_a_batch_is_an_error(spark, tmp_path):
+    target = writers.write_bucketed(spark.createDataFrame([("a", 1)], "k string, v int"), "laid_out_null", str(tmp_path / "t"), ["k"], 2)
+    batch = spark.createDataFrame([(None, 2)], "k string, v int")
+    with pytest.raises(Exception, match="null"):
+        writers.upsert_bucketed(target, batch, ["k"], ["v"], "laid_out_null_2", str(tmp_path / "u"), 2)
 
 
 CSV = '''customer_id,feedback_category,sentiment,complaint_intensity,raw_text
