@@ -5,6 +5,8 @@ A scored frame has ``churn_probability`` as the model gives it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keepwell.functions.numbers import percent_text
@@ -145,9 +147,13 @@ def checked_predictions(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD)
 
 
 def prediction_records(
-    scored: DataFrame, model_version: str, threshold: float = DEFAULT_THRESHOLD, at: Column | None = None
+    scored: DataFrame,
+    model_version: str,
+    threshold: float = DEFAULT_THRESHOLD,
+    at: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows for the predictions table."""
+    """Rows for the predictions table, and the columns ``keep``."""
     moment = F.current_timestamp() if at is None else at
     return with_risk(scored, threshold).select(
         "customer_id",
@@ -156,6 +162,7 @@ def prediction_records(
         "action_required",
         F.lit(model_version).alias("model_version"),
         moment.alias("predicted_at"),
+        *keep,
     )
 
 

@@ -1,4 +1,6 @@
 import datetime
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +137,96 @@ def test_scores_of_a_stream_equal_batch_scores(spark, tmp_path):
 def test_times_without_a_zone_are_utc(spark):
     local = spark.readStream.schema("created_at timestamp_ntz, sentiment string").parquet("/root/testdata/sf0.001")
     assert jobs.daily_sentiment(local).columns == ["date", "daily_sentiment_score", "volume"]
+
+
+def test_current_rows_in_state(spark, tmp_path):
+    """Changes come out once, restarts go on, late and older rows change nothing, and there is one folder."""
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    schema = FEEDBACK + ", seq long"
+
+    def run():
+        rows = stream(spark, source, schema)
+        jobs.stream_current(rows, out, state, ["created_at", "seq"], expire="10 days").awaitTermination()
+        changes = spark.read.parquet(out)
+        current = jobs.current_of_changes(changes, ["created_at", "seq"])
+        got = {(r.customer_id, r.raw_text): r.sentiment for r in current.collect()}
+        return got, sorted((r.customer_id, r.change, r.sentiment) for r in changes.collect())
+
+    add(spark, source, [("a", "x", "one", hours(5), 1), ("a", "x", "two", hours(5), 2), ("b", "y", "one", hours(1), 3), ("n", None, "one", hours(1), 9)], schema)
+    got, changes = run()
+    assert got == {("a", "x"): "two", ("b", "y"): "one", ("n", None): "one"}
+    assert changes == [("a", "insert", "two"), ("b", "insert", "one"), ("n", "insert", "one")]
+    assert run()[1] == changes  # nothing new, nothing repeated
+    add(spark, source, [("a", "x", "older", hours(4), 4), ("b", "y", "newer", hours(2), 5)], schema)
+    got, changes = run()
+    assert got[("a", "x")] == "two" and got[("b", "y")] == "newer" and ("b", "update", "newer") in changes and len(changes) == 4
+    add(spark, source, [("c", "z", "much later", hours(24 * 20), 6)], schema)  # time goes on: a and b are forgotten
+    run()
+    add(spark, source, [("a", "x", "too late", hours(6), 7), ("b", "y", "again", hours(24 * 19), 8)], schema)
+    got, changes = run()
+    assert got[("a", "x")] == "two" and got[("b", "y")] == "again"
+    assert ("b", "insert", "again") in changes and not any(c[2] == "too late" for c in changes)
+    assert not [f for f in (tmp_path / "out").iterdir() if f.is_dir() and f.name != "_spark_metadata"]
+
+
+def test_current_rows_equal_the_batch(spark, tmp_path):
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    rng, schema = random.Random(3), FEEDBACK + ", seq long"
+    rows = [(rng.choice("abcde"), rng.choice("xyz"), f"s{i}", hours(rng.randrange(200)), i) for i in range(400)]
+    for part in range(20):
+        add(spark, source, rows[part * 20 : part * 20 + 20], schema)
+    jobs.stream_current(stream(spark, source, schema), out, state, ["created_at", "seq"]).awaitTermination()
+    got = {(r.customer_id, r.raw_text): r.seq for r in jobs.current_of_changes(spark.read.parquet(out), ["created_at", "seq"]).collect()}
+    want = {}
+    for r in rows:
+        key = r[:2]
+        want[key] = max(want.get(key, (START - datetime.timedelta(1), 0)), (r[3], r[4]))
+    assert got == {k: v[1] for k, v in want.items()}
+    folders = [f for f in (tmp_path / "out").rglob("*") if f.is_dir()]
+    assert len(folders) == 1  # after 20 micro-batches: the sink's log
+
+
+RECORDS = "customer_id string, n int, recorded_at timestamp"
+LABELS = "customer_id string, raw_text string, feedback_category string, sentiment string, complaint_intensity int, created_at timestamp"
+
+
+def test_records_with_feedback_that_arrives_around_them(spark, tmp_path):
+    left, right, out, state = (str(tmp_path / d) for d in ("left", "right", "out", "state"))
+    end = hours(24 * 60)
+    add(spark, left, [("a", 1, hours(30)), ("b", 2, hours(30)), (None, 3, hours(31)), ("a", 4, hours(100))], RECORDS)
+    add(spark, right, [("a", "old", "pricing", "neutral", 1, hours(3)), ("a", "t1", "pricing", "neutral", 1, hours(20)), ("a", "t2", None, "negative", 2, hours(29))], LABELS)
+    add(spark, right, [("a", "after", "pricing", "neutral", 1, hours(31)), (None, "nobody", None, None, None, hours(30))], LABELS)
+    add(spark, left, [("end", 0, end)], RECORDS)
+    add(spark, right, [("end", None, None, None, None, end)], LABELS)
+    joined = jobs.enriched_stream(stream(spark, left, RECORDS), stream(spark, right, LABELS), delay="2 days")
+    writer = joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    got = sorted((r.n, r.feedback_text or "") for r in rows.filter("n > 0").collect())
+    assert got == [(1, "t1"), (1, "t2"), (2, ""), (3, ""), (4, "")]
+    batch = jobs.enriched_stream(spark.read.schema(RECORDS).parquet(left), spark.read.schema(LABELS).parquet(right), delay="2 days")
+    assert sorted((r.n, r.feedback_text or "") for r in batch.filter("n > 0").collect()) == got
+    newest = {r.n: r.feedback_text for r in jobs.newest_of_record(rows.filter("n > 0")).collect()}
+    assert newest == {1: "t2", 2: None, 3: None, 4: None}
+
+
+def test_each_export_is_loaded_once(spark, tmp_path):
+    exports, out, state = tmp_path / "exports", str(tmp_path / "out"), str(tmp_path / "state")
+    exports.mkdir()
+    schema = "customer_id string, text string"
+
+    def run():
+        jobs.ingest_new_files(spark, str(exports), out, state, spark.createDataFrame([], schema).schema).awaitTermination()
+        rows, rejects = jobs.ingested(spark, out, spark.createDataFrame([], schema).schema)
+        return sorted(r.customer_id for r in rows.collect()), sorted(r.text for r in rejects.collect())
+
+    (exports / "one.json").write_text('{"customer_id": "a", "text": "t"}\n{broken\n')
+    assert run() == (["a"], ["{broken"])
+    assert run() == (["a"], ["{broken"])  # a second run adds nothing
+    (exports / "two.json").write_text(json.dumps({"customer_id": "b", "text": "t"}) + "\n")
+    assert run() == (["a", "b"], ["{broken"])
+    commits = [f for f in (tmp_path / "state" / "commits").iterdir() if f.name.isdigit()]
+    last = max(commits, key=lambda f: int(f.name))
+    last.unlink()  # as after a crash between the write and the commit
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == (["a", "b"], ["{broken"])
