@@ -133,7 +133,7 @@ def _pair_stripes(lang: str, chunk: Chunk, split: int, bits: int, often: np.ndar
         yield from _stripes(lang, triples >> 32, triples & 0xFFFFFFFF, counts, names, words, split)
 
 
-def _counted(docs: DataFrame, make) -> DataFrame:
+def _counted(docs: DataFrame, make, at_once: int) -> DataFrame:
     """The stripes that ``make`` yields of the chunks of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def _counted(docs: DataFrame, make) -> DataFrame:
                     chunk = chunks.setdefault(lang, Chunk())
                     texts = zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist())
                     chunk.add(END.join([data[a:b].tobytes() for a, b in texts] + [b""]))
-                    if sum(c.size for c in chunks.values()) >= AT_ONCE:
+                    if sum(c.size for c in chunks.values()) >= at_once:
                         for name, full in chunks.items():
                             yield from make(name, full)
                         chunks.clear()
@@ -255,7 +255,7 @@ def _score(left: str, right: str) -> Column:
     return F.call_function("div", over, _wide(left) * _wide(right)).cast("bigint")
 
 
-def collocations(docs: DataFrame, least: int = 10, percent: int = 50, most: int = 2000, split: int | None = None, most_bits: int = 27) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, percent: int = 50, most: int = 2000, split: int | None = None, most_bits: int = 27, at_once: int = AT_ONCE) -> DataFrame:
     """Each language's best phrases of two or three words: ``lang``, ``rank``, ``phrase``, ``a`` (its count), ``l`` and ``r``
     (those of its parts), ``n`` (all words) and ``score``.
 
@@ -263,14 +263,14 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, most: int
     ``least`` times is a candidate; its score is floor(1000000 a a / (l r)) at the cut where it is least, of equal ones the
     first. Candidates inside a longer candidate that comes at least ``percent`` per cent as often go. The first ``most``
     by score, count and phrase are returned. ``split``: into how many parts stripes are dealt (by default, as many as a
-    quarter of the input partitions, 8 at least).
+    quarter of the input partitions, 8 at least). ``at_once``: how many words a task counts before it hands stripes on.
 
     A null ``lang`` is ``und``; null and empty texts have no words; repeated rows count each; texts of any length are
     counted whole; no documents give no rows. Only ``text`` and ``lang`` are read.
     """
     spark = docs.sparkSession
     split = split or max(8, small_batches(docs).rdd.getNumPartitions() // 4)
-    counted = _counted(docs, lambda lang, chunk: _word_stripes(lang, chunk, split))
+    counted = _counted(docs, lambda lang, chunk: _word_stripes(lang, chunk, split), at_once)
     words = materialize(merge_stripes(counted, least), "word-stripes")
     sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))
     totals = words.groupBy("lang", "prefix").agg(F.sum("total").alias("total")).filter(F.col("total") >= least)
@@ -280,7 +280,7 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, most: int
     pairs = materialize(pairs, "pairs")
     bits, often = _bitmap(spark, pairs.select("first", "second").distinct(), most_bits)
     sent = spark.sparkContext.broadcast(often)
-    counted = _counted(docs, lambda lang, chunk: _pair_stripes(lang, chunk, split, bits, sent.value))
+    counted = _counted(docs, lambda lang, chunk: _pair_stripes(lang, chunk, split, bits, sent.value), at_once)
     stripes = merge_stripes(counted, least)
     triples = stripes.select("lang", F.split("prefix", " ").alias("pair"), entries).select(
         "lang", F.col("pair")[0].alias("first"), F.col("pair")[1].alias("second"),
@@ -316,6 +316,6 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, most: int
         F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"),
     )
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = twos.unionByName(threes).withColumn("rank", F.row_number().over(order).cast("bigint"))
-    ranked = ranked.filter(F.col("rank") <= most).join(sizes, "lang")
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = twos.unionByName(threes).withColumn("rank", F.row_number().over(order))
+    ranked = ranked.filter(F.col("rank") <= most).join(sizes, "lang")  # cut to the first rows before the shuffle, too
+    return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
