@@ -60,6 +60,25 @@ def _(spark, sf_dir):
     return rep.reputation_vs_last_week(rows, newest(rows))
 
 
+_SO_FAR = f"""SELECT d.day, count(*) AS total, {_TONES}, count(CASE WHEN old THEN 1 END) AS h_total,
+             count(CASE WHEN old AND lower(sentiment) = 'positive' THEN 1 END) AS h_positive,
+             count(CASE WHEN old AND lower(sentiment) = 'negative' THEN 1 END) AS h_negative
+FROM (SELECT CAST(created_at AS DATE) AS day, max(created_at) AS until FROM feedback GROUP BY 1) d
+JOIN (SELECT sentiment, created_at FROM feedback) f ON f.created_at <= d.until,
+LATERAL (SELECT f.created_at < d.until - INTERVAL 7 DAY AS old) GROUP BY d.day"""
+
+
+# What the dashboard showed after each day; the last day is reputation_vs_last_week.
+@query("trend_over_time", with_views("feedback", f"""
+SELECT strftime(day, '%Y-%m-%d') AS date, total, score, h_total AS history_total, history_score,
+       coalesce({_SIGNED}, '+4') AS vs_last_week
+FROM (SELECT *, {_score('positive', 'negative', 'total')} AS score,
+             CASE WHEN h_total > 0 THEN {_score('h_positive', 'h_negative', 'h_total')} END AS history_score FROM ({_SO_FAR}))"""))
+def _(spark, sf_dir):
+    rows = feedback(spark, sf_dir)
+    return rep.trend_over_time(rows, newest(rows))
+
+
 @query("sentiment_mix", with_views("feedback", f"""
 SELECT 'All Available Records' AS selected_period,
        {', '.join(f'{_share(t)} AS {t}' for t in rep.TONES)} FROM ({_OVERALL})"""))

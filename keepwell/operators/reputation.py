@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keepwell.functions.numbers import net_score, percent_text, percentage, signed_text
 from keepwell.functions.times import date_text, days_before, event_time
@@ -234,3 +234,28 @@ def reputation_document(
         F.struct(F.lit(FEED).alias("platform_source"), feed.scalar().alias("feed")).alias("recent_mentions"),
     )
     return row.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def trend_over_time(feedback: DataFrame, as_of: Column | None = None, days: int = 7) -> DataFrame:
+    """For every day with feedback what ``reputation_vs_last_week`` showed after its last row: ``date``, ``total``, ``score``,
+    ``history_total``, ``history_score``, ``vs_last_week``.
+
+    Rows are counted per day; running sums over the days, framed by range, give all rows so far and those of whole days before
+    the week. The day on which the week begins is split at the time of the later day's last row, by one join of each row
+    with the one day that it may be split for. Only days, not rows, are put in order in one task.
+    """
+    now = _now(as_of)
+    counts = ("total", *TONES)
+    timed = feedback.select("sentiment", event_time(feedback, now).alias("_time")).withColumn("_day", F.to_date("_time"))
+    per_day = timed.groupBy("_day").agg(F.max("_time").alias("_until"), F.count("*").alias("total"), *tone_counts())
+    ends = per_day.select(F.date_sub("_day", days).alias("_day"), days_before(F.col("_until"), days).alias("_end"))
+    split = timed.join(ends, "_day").filter("_time < _end").groupBy(F.date_add("_day", days).alias("_day"))
+    split = split.agg(F.count("*").alias("part_total"), *tone_counts(prefix="part_"))
+    order = Window.orderBy("_number")
+    so_far, before = (order.rangeBetween(Window.unboundedPreceding, end) for end in (0, -days - 1))
+    numbered = per_day.join(split, "_day", "left").withColumn("_number", F.datediff("_day", F.lit("1970-01-01").cast("date")))
+    summed = numbered.select("_day", *[F.sum(c).over(so_far).alias(c) for c in counts], *[
+        (F.coalesce(F.sum(c).over(before), F.lit(0)) + F.coalesce(f"part_{c}", F.lit(0))).alias(f"history_{c}") for c in counts
+    ])
+    scored = _with_scores(summed)
+    return scored.select(date_text(F.col("_day")).alias("date"), "total", "score", "history_total", "history_score", "vs_last_week")
