@@ -9,6 +9,7 @@ from keepwell.catalog.views import feedback, with_views
 from keepwell.functions import text as tx
 from keepwell.functions import urls
 from keepwell.operators import comments as cm
+from keepwell.operators.lexicon import lexicon_join, words
 from keepwell.operators import dedup, labels
 from keepwell.operators import links as ln
 from keepwell.plans import ingest
@@ -273,6 +274,40 @@ def _(spark, sf_dir):
     )
 
 
+_PHRASE_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+_CATEGORIES = ("pricing", "customer_support", "churn_intent")
+
+
+def _phrase_lexicon(spark, sf_dir):
+    """Phrases of one to three words, as conversations begin, with a category and a priority by their lengths."""
+    rows = views.table(spark, sf_dir, "conversations")
+    n = (1 + F.col("conv_id") % 3).cast("int")
+    rows = rows.select(words(F.col("text")).alias("own"), n.alias("n")).filter(F.size("own") >= F.col("n"))
+    phrase = F.array_join(F.slice("own", F.lit(1), F.col("n")), " ")
+    category = F.element_at(F.array(*[F.lit(c) for c in _CATEGORIES]), (F.length("phrase") % 3 + 1).cast("int"))
+    return rows.select(phrase.alias("phrase")).distinct().select("phrase", category.alias("category"), (F.length("phrase") % 5).alias("priority"))
+
+
+@query("lexicon_join", f"""
+WITH own AS (SELECT {_PHRASE_WORDS.format('text')} AS words, 1 + conv_id % 3 AS n FROM conversations),
+lexicon AS (
+  SELECT phrase, ['pricing', 'customer_support', 'churn_intent'][length(phrase) % 3 + 1] AS category, length(phrase) % 5 AS priority
+  FROM (SELECT DISTINCT array_to_string(words[1:n], ' ') AS phrase FROM own WHERE len(words) >= n)),
+worded AS (SELECT doc_id, {_PHRASE_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM worded) s CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) k
+  WHERE i + n - 1 <= len(words)),
+best AS (
+  SELECT doc_id, phrase, category FROM grams JOIN lexicon USING (phrase)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY priority, phrase) = 1)
+SELECT doc_id, coalesce(category, 'service_quality') AS feedback_category, phrase AS matched_phrase
+FROM documents LEFT JOIN best USING (doc_id)""")
+def _(spark, sf_dir):
+    comments = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    return lexicon_join(comments, _phrase_lexicon(spark, sf_dir), "doc_id").drop("raw_text")
+
+
 @query("custom_labeler", with_views("conversation_comments", f"""
 SELECT post_url, username, seq, CASE WHEN contains(raw_text, '?') THEN 'customer_support' ELSE 'pricing' END
          AS feedback_category,
