@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from keepwell.catalog import query, views
 from keepwell.catalog.views import feedback, subscribers, with_views
-from keepwell.operators import features, models
+from keepwell.operators import drift, features, models
 from keepwell.operators.asof import enrich_as_of
 from keepwell.operators.quality import data_audit
 from keepwell.schemas import CALL_PERIODS, SUBSCRIBERS
+from keepwell.session import materialize
 
 _LATEST = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, seq DESC) AS n
  FROM feedback) WHERE n = 1)"""
@@ -118,6 +119,37 @@ def _(spark, sf_dir):
     return models.prepare_rows(prepared, rows).select("customer_id", *parts)
 
 
+_HALF = "DATE '2024-01-15'"
+
+
+@query("drift_by_day", f"""
+SELECT feature, count(CASE WHEN day < {_HALF} THEN value END) AS n_before, count(CASE WHEN day >= {_HALF} THEN value END) AS n_after,
+       count(CASE WHEN day < {_HALF} AND value IS NULL THEN 1 END) AS missing_before,
+       count(CASE WHEN day >= {_HALF} AND value IS NULL THEN 1 END) AS missing_after, true AS close
+FROM (SELECT CAST(ts AS DATE) AS day, unnest(['hour', 'k', 'odd']) AS feature,
+             unnest([hour(ts), k, CASE WHEN k % 2 = 1 THEN k + event_id % 500 END]) AS value
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))
+GROUP BY feature""")
+def _(spark, sf_dir):
+    """Sketches per day, stored, then two spans of days against each other; the distance is held against the exact one."""
+    events = views.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    names = ["hour", "k", "odd"]
+    odd = F.when(F.col("k") % 2 == 1, F.col("k") + F.col("event_id") % 500)
+    rows = events.select(F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "k", odd.alias("odd"))
+    sketches = materialize(drift.daily_sketches(rows, F.col("day"), names), "sketches")
+    before = F.col("day") < F.lit("2024-01-15").cast("date")
+    found = drift.drift_between(sketches, before, ~before)
+    values = rows.select(before.alias("before"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])))
+    counts = values.filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count_if("before").alias("b"), F.count_if(~F.col("before")).alias("a"))
+    so_far = Window.partitionBy("feature").orderBy("value")
+    every = Window.partitionBy("feature")
+    gap = F.abs(F.sum("b").over(so_far) / F.sum("b").over(every) - F.sum("a").over(so_far) / F.sum("a").over(every))
+    exact = counts.select("feature", gap.alias("gap")).groupBy("feature").agg(F.max("gap").alias("exact"))
+    close = F.abs(F.col("distance") - F.col("exact")) <= 0.05
+    kept = ["feature", "n_before", "n_after", "missing_before", "missing_after"]
+    return found.join(exact, "feature").select(*kept, close.alias("close"))
+
+
 @query("class_weight", with_views("subscribers", """
 SELECT positives, negatives, CASE WHEN positives > 0 THEN negatives / positives ELSE 1.0::DOUBLE END AS scale_pos_weight
 FROM (SELECT count(CASE WHEN churn = 1 THEN 1 END) AS positives, count(CASE WHEN churn = 0 THEN 1 END) AS negatives
