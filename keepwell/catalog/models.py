@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from keepwell.catalog import query
 from keepwell.catalog.features import enriched, enriched_then
 from keepwell.catalog.views import with_views
-from keepwell.operators import explain, features, metrics, scoring
+from keepwell.operators import calibration, explain, features, metrics, rescoring, scoring
 from keepwell.operators import models as ml
+from keepwell.operators.bootstrap import champion_margin
 from keepwell.operators.shaping import project_whitelist
 from keepwell.plans import churn
 from keepwell.plans.dashboards import churn as churn_dashboard
@@ -294,3 +295,46 @@ def _(spark, sf_dir):
     before = F.lag(F.abs("part")).over(Window.partitionBy("customer_id").orderBy("reason"))
     in_order = F.coalesce(before >= F.abs("part"), F.lit(True)).alias("in_order")
     return found.select("customer_id", "reason", in_order, F.col("feature").isin(names).alias("known"))
+
+
+@query("champion_margin", f"SELECT model, true AS same_area, true AS interval_holds, model <> '{ml.CHAMPION}' AS compared FROM {_MODELS} m(model)")
+def _(spark, sf_dir):
+    """The champion against each model on the stored holdout scores: areas by a second way, margins inside their intervals."""
+    run = stored_run(spark, sf_dir)
+    scores = spark.read.parquet(f"{run}/scores")
+    champion = spark.read.parquet(f"{run}/manifest").first()["champion"]
+    found = champion_margin(scores, champion)
+    areas = metrics.roc_auc(scores, by=["model"]).select("model", F.col("auc").alias("_auc"))
+    holds = (F.col("low") <= F.col("margin") + 0.02) & (F.col("high") >= F.col("margin") - 0.02) & (F.col("low") <= F.col("high"))
+    return found.join(areas, "model").select(
+        "model", _near(F.col("auc"), F.col("_auc"), 2e-6).alias("same_area"), holds.alias("interval_holds"), F.col("sure").isNotNull().alias("compared")
+    )
+
+
+@query("calibrated_scores", with_views("subscribers", """
+SELECT customer_id, true AS is_share, true AS in_range FROM (
+  SELECT customer_id, (row_number() OVER (PARTITION BY churn ORDER BY md5(customer_id), customer_id) - 1) % 4 AS fold FROM subscribers)
+WHERE fold = 0"""))
+def _(spark, sf_dir):
+    """Calibrated on the stored holdout: rows of one calibrated probability have that share of positives."""
+    run = stored_run(spark, sf_dir)
+    champion = spark.read.parquet(f"{run}/manifest").first()["champion"]
+    rows = spark.read.parquet(f"{run}/scores").filter(F.col("model") == champion)
+    calibrated = calibration.fit_calibration(rows).apply(rows, "p")
+    shares = calibrated.groupBy("calibrated_probability").agg(F.avg(F.col("y").cast("double")).alias("_share"))
+    joined = calibrated.join(shares, "calibrated_probability")
+    p = F.col("calibrated_probability")
+    return joined.select("customer_id", _near(p, F.col("_share")).alias("is_share"), p.between(0, 1).alias("in_range"))
+
+
+@query("rescore_changed", with_views("subscribers", """
+SELECT customer_id, true AS same, CAST(customer_id AS INTEGER) % 7 = 0 AS rescored FROM subscribers"""))
+def _(spark, sf_dir):
+    """A seventh of the subscribers change after all were scored: only they are scored again, and the table is as if all were."""
+    model, rows = ml.load_pipeline(champion_path(spark, sf_dir)), enriched(spark, sf_dir)
+    log = materialize(rescoring.rescore_changed(rows, spark.createDataFrame([], rescoring.LOG), model, VERSION), "prediction-log")
+    calls = F.col("customer_service_calls") + F.when(F.col("customer_id").cast("int") % 7 == 0, 1).otherwise(0)
+    changed = rows.withColumn("customer_service_calls", calls.cast("int"))
+    again = rescoring.rescore_changed(changed, log.drop("rescored"), model, VERSION)
+    whole = ml.score(model, changed).select("customer_id", F.col("churn_probability").alias("_whole"))
+    return again.join(whole, "customer_id").select("customer_id", (F.col("churn_probability") == F.col("_whole")).alias("same"), "rescored")
