@@ -3,11 +3,12 @@
 Terms are lower-cased runs of letters, the beginnings of longer ones, and beginnings that come two or three times, so that
 forms of a word that no example has share a term with those that one has. The vocabulary is every term, of either class or
 neutral, that two families of examples have; a term weighs its inverse document frequency, and more the better it tells the
-classes apart by a chi-squared test. The examples' vectors lie in blocks, with postings of the rarer terms and columns of the
-frequent ones, for which a block has the largest weight in it. A query adds up the rarer terms' postings and the blocks'
-bounds, and scores blocks by a product each unless their bound can't reach its k nearest any more; those that can be among
-the nearest are scored again in full, so the k nearest are exact. Neighbours vote by similarity; votes are calibrated on the
-examples, each scored without itself.
+classes apart by a chi-squared test. Spark counts and numbers the terms and makes the examples' entries; workers
+build the index of them: postings of the rarer terms, and columns of the frequent ones in blocks of examples, for which a block
+has the largest weight in it. A batch of queries adds up the rarer terms' postings and the blocks' bounds, and scores
+blocks by a product each unless their bound can't reach the k nearest any more; those that can be among the nearest are scored
+again in full, so the k nearest are exact. Neighbours vote by similarity; votes are calibrated on the examples, each scored
+without itself.
 """
 
 from __future__ import annotations
@@ -18,24 +19,27 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, fields
-from functools import cached_property
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import Generations, small_batches, whole_text
+from keepwell.llm.common import numbered, small_batches, whole_text
 from keepwell.llm.scoring import with_scores
+from keepwell.operators.ranking import position_in_group
+from keepwell.session import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (4, 6)
 OFTEN = (2, 3)
-#: More than the error of a similarity whose part of frequent terms was added up in single precision.
+#: More than the error of a similarity that was added up in single precision.
 SLACK = 1e-4
-#: Queries that are looked up at a time.
-AT_ONCE = 64
+#: Queries that are looked up at a time, and their postings; one query may have more, at most all there are.
+AT_ONCE, POSTINGS = 64, 4_000_000
 
 
 def count_terms(text: str) -> Counter:
@@ -73,215 +77,168 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, train: Column, most
 
 
 def with_terms(found: DataFrame) -> DataFrame:
-    """``doc_id``, ``label``, ``weight``, ``family`` and ``terms``, a map from term to count."""
+    """``slot``, ``doc_id``, ``label``, ``weight``, ``family`` and ``terms``, a map from term to count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = part.column(3).to_pylist()
+                texts = part.column(4).to_pylist()
                 columns = [
-                    *part.columns[:3], pa.array([family(x) for x in texts], pa.int64()),
+                    *part.columns[:4], pa.array([family(x) for x in texts], pa.int64()),
                     pa.array([list(count_terms(x).items()) for x in texts], pa.map_(pa.string(), pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "weight", "family", "terms"])
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "label", "weight", "family", "terms"])
 
-    rows = found.select("doc_id", "label", "weight", "text")
-    return rows.mapInArrow(count, "doc_id long, label int, weight double, family long, terms map<string,long>")
+    rows = found.select("slot", "doc_id", "label", "weight", "text")
+    return rows.mapInArrow(count, "slot long, doc_id long, label int, weight double, family long, terms map<string,long>")
 
 
-def with_numbers(found: DataFrame, counter: Counts) -> DataFrame:
-    """``doc_id``, ``label``, ``weight``, and the numbers (``at``) and counts (``n``) of a text's terms."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [counter(x) for x in batch.column(3).to_pylist()]
-            lists = [pa.array([pair[i] for pair in made], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["doc_id", "label", "weight", "at", "n"])
-
-    rows = found.select("doc_id", "label", "weight", "text")
-    return rows.mapInArrow(count, "doc_id long, label int, weight double, at array<int>, n array<int>")
-
-
-def vocabulary(counted: DataFrame, least: float, ratio: float, most: int) -> list[tuple[str, float]]:
-    """All terms that two families of near copies have, in order, with their weights: the inverse document frequency times
-    1 + chi-squared (with Yates' correction) / ``least``. Families count once.
-
-    To compare with smaller vocabularies: a ``ratio`` over 0 leaves only terms that label 1 has at least so many times as
-    often as label 0, with a chi-squared from ``least``, and ``most`` over 0 only so many, of the largest chi-squared."""
+def vocabulary(counted: DataFrame, least: float) -> DataFrame:
+    """``term``, ``weight`` and ``number`` (its place in order, from 0) of all terms that two families of near copies have.
+    The weight is the inverse document frequency times 1 + chi-squared (with Yates' correction) / ``least``; families count once."""
     of = {c: F.when(F.col("label") == c, F.col("family")) for c in (0, 1)}
-    sizes = counted.agg(*[F.count_distinct(of[c]).cast("double") for c in (0, 1)]).first()
-    n0, n1 = sizes[0], sizes[1]
-    if not n1 or not n0:
-        return []
-    rows = (
+    n0, n1 = map(float, counted.agg(*[F.count_distinct(of[c]) for c in (0, 1)]).first())
+    found = (
         counted.select("label", "family", F.explode(F.map_keys("terms")).alias("term"))
         .groupBy("term")
         .agg(*[F.size(F.collect_set(of[c])).cast("double").alias(name) for c, name in ((1, "one"), (0, "zero"))])
-        .filter(F.col("one") + F.col("zero") >= 2)
-        .toArrow()
+        .filter((F.col("one") + F.col("zero") >= 2) & F.lit(n0 > 0 and n1 > 0))
     )
-    names, one, zero = rows.column("term").to_pylist(), rows.column("one").to_numpy(), rows.column("zero").to_numpy()
-    n, both = n1 + n0, one + zero
-    apart = np.maximum(np.abs(one * (n0 - zero) - zero * (n1 - one)) - n / 2, 0)
-    chi = n * apart * apart / np.maximum(both * (n - both) * n1 * n0, 1)
-    weight = (np.log(n / both) + 1) * (1 + chi / least)
-    kept = np.arange(len(names))
-    if ratio > 0:
-        kept = kept[((one + 0.5) / n1 >= ratio * (zero + 0.5) / n0) & (chi >= least)]
-    if 0 < most < len(kept):
-        kept = np.array(sorted(kept.tolist(), key=lambda i: (-chi[i], names[i]))[:most])
-    return sorted((names[i], float(weight[i])) for i in kept.tolist())
-
-
-class Counts:
-    """The numbers and counts of a text's terms, as ``count_terms`` has them; a word's terms are looked up once."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.terms, self.own = terms, Generations(self.numbers, 1 << 16)
-        often = [(f"{stem}~", int(least), terms[term]) for term in terms for stem, _, least in [term.partition("~")] if least]
-        self.known = dict(terms)  # and beginnings that are only counted for how often they come
-        for stem, _, _ in often:
-            self.known.setdefault(stem, len(self.known))
-        self.often = np.full((len(OFTEN), len(self.known) + 1), -1, np.int32)
-        for stem, least, number in often:
-            self.often[OFTEN.index(least), self.known[stem]] = number
-
-    def __reduce__(self):
-        return Counts, (self.terms,)
-
-    def numbers(self, word: str) -> np.ndarray:
-        names = [word, *(f"{word[:size]}~" for size in STEMS if len(word) > size)]
-        return np.array([self.known[name] for name in names if name in self.known], np.int32)
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(LETTERS.findall(text.lower()))
-        each = [self.own[word] for word in words]
-        if not each:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32)
-        at = np.concatenate(each)
-        times = np.repeat(np.fromiter(words.values(), np.int32, len(words)), [len(x) for x in each])
-        order = np.argsort(at, kind="stable")
-        at, times = at[order], times[order]
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        at, n = at[first], np.add.reduceat(times, first) if len(first) else times
-        more = np.concatenate([often[at[n >= least]] for often, least in zip(self.often, OFTEN)])
-        more, at, n = more[more >= 0], at[at < len(self.terms)], n[at < len(self.terms)]
-        return np.concatenate([at, more]), np.concatenate([n, np.ones(len(more), np.int32)]).astype(np.int32)
+    n, one, zero = F.lit(n0 + n1), F.col("one"), F.col("zero")
+    both = one + zero
+    apart = F.greatest(F.abs(one * (n0 - zero) - zero * (n1 - one)) - n / 2, F.lit(0.0))
+    chi = n * apart * apart / F.greatest(both * (n - both) * (n1 * n0), F.lit(1.0))
+    weighed = found.select("term", ((F.log(n / both) + 1) * (1 + chi / least)).alias("weight"), F.lit(0).alias("all"))
+    return materialize(position_in_group(weighed, ["all"], ["term"], "number").drop("all"), "toxicity-terms")
+
+
+def _spans(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``begin[i]`` to ``begin[i] + sizes[i]``, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
+class Rows:
+    """Vectors of length 1, end to end: row ``i`` has the terms and values from ``begin[i]`` to ``begin[i + 1]``."""
+
+    begin: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    def part(self, first: int, last: int) -> Rows:
+        a, b = self.begin[first], self.begin[last]
+        return Rows(self.begin[first : last + 1] - a, self.term[a:b], self.value[a:b])
+
+
+def weighed(begin: np.ndarray, term: np.ndarray, n: np.ndarray, weight: np.ndarray) -> Rows:
+    """Vectors of terms (in order) that come ``n`` times each."""
+    value = (1 + np.log(n)) * weight[term]
+    sizes = np.diff(begin)
+    length = np.sqrt(np.bincount(np.repeat(np.arange(len(sizes)), sizes), value * value, len(sizes)))
+    return Rows(begin, term, value / np.repeat(np.maximum(length, 1e-300), sizes))
+
+
+class Terms:
+    """Numbers and counts of the terms of texts, a batch at a time, as ``count_terms`` has them."""
+
+    def __init__(self, names: pa.StringArray):
+        marked = np.array(pc.match_substring_regex(names, r"~[0-9]$").to_pylist(), bool)
+        stems = pc.utf8_slice_codeunits(names.filter(pa.array(marked)), 0, -1)
+        extra = stems.filter(pc.invert(pc.is_in(stems, names))).unique()  # beginnings that are only counted for how often they come
+        self.size, self.names = len(names), pa.concat_arrays([names, extra])
+        self.often = np.full((len(OFTEN), len(self.names)), -1, np.int64)
+        for name, number in zip(names.filter(pa.array(marked)).to_pylist(), np.flatnonzero(marked).tolist()):
+            row = OFTEN.index(int(name[-1]))
+            self.often[row, number] = -2  # filled below, by its beginning
+        for row, least in enumerate(OFTEN):
+            own = np.flatnonzero(self.often[row] == -2)
+            self.often[row, own] = -1
+            begins = pc.utf8_slice_codeunits(self.names.take(pa.array(own)), 0, -1)
+            self.often[row, pc.index_in(begins, self.names).to_numpy(zero_copy_only=False).astype(np.int64)] = own
+
+    def counted(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``begin``, ``term`` and ``n`` of all texts, terms in order."""
+        words = [LETTERS.findall(text.lower()) for text in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+        unique, width = codes.dictionary, max(1, len(codes.dictionary))
+        key, times = np.unique(np.repeat(np.arange(len(texts)), sizes) * width + codes.indices.to_numpy(), return_counts=True)
+        text, word = np.divmod(key, width)
+        long = pc.utf8_length(unique).to_numpy()
+        numbers = [pc.index_in(unique, self.names)]
+        for size in STEMS:
+            stem = pc.binary_join_element_wise(pc.utf8_slice_codeunits(unique, 0, size), "~", "")
+            numbers.append(pc.if_else(pa.array(long > size), pc.index_in(stem, self.names), pa.scalar(None, pa.int32())))
+        found = [x.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)[word] for x in numbers]
+        total, here = len(self.names) + 1, [x >= 0 for x in found]
+        keys = np.concatenate([text[h] * total + x[h] for x, h in zip(found, here)])
+        keys, inverse = np.unique(keys, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([times[h] for h in here]), len(keys)).astype(np.int64)
+        text, term = np.divmod(keys, total)
+        rows, terms, counts = [text[term < self.size]], [term[term < self.size]], [n[term < self.size]]
+        for row, least in enumerate(OFTEN):
+            mark = np.where(n >= least, self.often[row, term], -1)
+            rows.append(text[mark >= 0]), terms.append(mark[mark >= 0]), counts.append(np.ones((mark >= 0).sum(), np.int64))
+        row, term, n = (np.concatenate(x) for x in (rows, terms, counts))
+        order = np.lexsort((term, row))
+        return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))]), term[order], n[order]
+
+
 class Index:
-    """The examples' vectors in blocks of ``size``: whole, as postings of the rarer terms, and as columns of the terms that
+    """The examples' vectors: whole, as postings of the rarer terms, and as columns, in blocks of ``size``, of the terms that
     more than a tenth of the examples have, with the largest weight of each in each block."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
-    ids: np.ndarray
-    label: np.ndarray
-    weight: np.ndarray
-    base: float
-    size: int
-    k: int
-    slope: float = 1.0
-    shift: float = 0.0
-    packed = None
-
-    def add(self, vectors: Sequence[dict[int, float]]) -> None:
-        own = [self.arrays(vector) for vector in vectors]
-        self.row = np.concatenate([[0], np.cumsum([len(terms) for terms, _ in own])]).astype(np.int64)
-        self.term = np.concatenate([np.zeros(0, np.int32), *(terms for terms, _ in own)]).astype(np.int32)
-        self.value = np.concatenate([np.zeros(0), *(values for _, values in own)])
-        self.build()
-
-    def add_counts(self, row: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
-        """Examples by their terms in order, from ``row[i]`` to ``row[i + 1]``, and how often each has them."""
-        self.row, self.term, self.n = row, term, n
-        self.value = (1 + np.log(n)) * self.idf[term]
-        if len(term):
-            self.value /= np.repeat(np.sqrt(np.add.reduceat(self.value * self.value, row[:-1])), np.diff(row))
-        self.build()
-
-    def build(self) -> None:
-        n, known, same = len(self.row) - 1, {}, []
-        for i, (a, b) in enumerate(zip(self.row[:-1].tolist(), self.row[1:].tolist())):
-            whole = hashlib.blake2b(self.term[a:b].tobytes() + b"|" + self.value[a:b].tobytes()).digest()
+    def __init__(self, names: pa.StringArray, weight: np.ndarray, rows: Rows, ids, label, stands, base: float, size: int, k: int):
+        self.terms, self.weight, self.rows, self.base, self.size, self.k = Terms(names), weight, rows, base, size, k
+        self.ids, self.label, self.stands = ids, label, stands
+        n, known, same = len(rows), {}, []
+        for i, (a, b) in enumerate(zip(rows.begin[:-1].tolist(), rows.begin[1:].tolist())):
+            whole = hashlib.blake2b(rows.term[a:b].tobytes() + b"|" + rows.value[a:b].tobytes()).digest()
             same.append(known.setdefault(whole, i))
         self.same = np.array(same, np.int64)
-        having = np.bincount(self.term, minlength=len(self.idf))
+        having = np.bincount(rows.term, minlength=len(weight))
         often = np.flatnonzero(having > n / 10)
-        self.column = np.full(len(self.idf), -1, np.int32)
+        self.column = np.full(len(weight), -1, np.int64)
         self.column[often] = np.arange(len(often))
-        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.row))
-        column = self.column[self.term]
+        example, column = np.repeat(np.arange(n), np.diff(rows.begin)), self.column[rows.term]
         rare = column < 0
         self.columns = np.zeros((n, len(often)), np.float32)
-        self.columns[example[~rare], column[~rare]] = self.value[~rare]
-        self.starts = np.arange(0, n, self.size)
+        self.columns[example[~rare], column[~rare]] = rows.value[~rare]
+        self.starts = np.arange(0, n, size)
         self.bounds = np.maximum.reduceat(self.columns, self.starts, axis=0) if n else self.columns
-        order = np.argsort(self.term[rare], kind="stable")
-        self.at, self.rare = example[rare][order], self.value[rare][order]
+        order = np.argsort(rows.term[rare], kind="stable")
+        self.at, self.rare = example[rare][order], rows.value[rare][order].astype(np.float32)
         self.begin = np.concatenate([[0], np.cumsum(np.where(self.column < 0, having, 0))])
 
-    def __reduce__(self):
-        """Only counts are sent, packed; workers build the rest once and keep it between tasks."""
-        if self.packed is None:
-            steps = np.diff(self.term, prepend=0)
-            fixed = [getattr(self, f.name) for f in fields(self)]
-            self.packed = zlib.compress(pickle.dumps((fixed, self.row, steps, self.n), 5), 1)
-        return restored, (hashlib.sha256(self.packed).hexdigest(), self.packed)
-
-    @cached_property
-    def counter(self) -> Counts:
-        return Counts(self.terms)
-
-    @cached_property
-    def names(self) -> pa.Array:
-        return pa.array(list(self.terms), pa.string())
-
-    def arrays(self, vector: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        terms, values = np.fromiter(vector, np.int32, len(vector)), np.fromiter(vector.values(), float, len(vector))
-        order = np.argsort(terms, kind="stable")
-        return terms[order], values[order]
-
-    def weights(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The vector of length 1 of a text's terms, by their numbers."""
-        order = np.argsort(at, kind="stable")
-        raw = (1 + np.log(n[order])) * self.idf[at[order]]
-        return at[order].astype(np.int32), raw / max(float(raw @ raw) ** 0.5, 1e-300)
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        known = {self.terms[t]: n for t, n in counts.items() if t in self.terms}
-        at, values = self.weights(np.fromiter(known, np.int64, len(known)), np.fromiter(known.values(), float, len(known)))
-        return dict(zip(at.tolist(), values.tolist()))
-
-    def nearest(self, vector: dict[int, float], without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities (to twelve digits) of the ``k`` nearest examples with any term in common; ties go to
-        the first."""
-        return self.all_nearest([self.arrays(vector)], [without])[0]
-
-    def all_nearest(
-        self, vectors: list[tuple[np.ndarray, np.ndarray]], without: Sequence[int]
-    ) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of several. Blocks are scored for the vectors whose bound in them reaches the ``k``-th best so far."""
-        n = len(self.row) - 1
+    def vectors(self, texts: Sequence[str]) -> Rows:
+        return weighed(*self.terms.counted(texts), self.weight)
+
+    def nearest(self, rows: Rows, without: Sequence[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of some vectors, numbers and similarities (to twelve digits) of the ``k`` nearest examples with any term in
+        common; ties go to the first. ``without``: an example that each leaves out.
+
+        Blocks are scored for the vectors whose bound in them reaches the ``k``-th best so far."""
+        n, many = len(self.rows), len(rows)
         if not n:
-            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
-        near, often = np.zeros((len(vectors), n)), np.zeros((len(vectors), self.columns.shape[1]), np.float32)
-        for i, (terms, values) in enumerate(vectors):
-            column = self.column[terms]
-            often[i, column[column >= 0]] = values[column >= 0]
-            rare, own = terms[column < 0], values[column < 0]
-            spans = list(zip(self.begin[rare].tolist(), self.begin[rare + 1].tolist()))
-            if spans:
-                at = np.concatenate([self.at[a:b] for a, b in spans])
-                weight = np.concatenate([self.rare[a:b] for a, b in spans])
-                near[i] = np.bincount(at, weight * np.repeat(own, [b - a for a, b in spans]), n)
-            if without[i] >= 0:
-                near[i, without[i]] = -9
+            return [(np.zeros(0, np.int64), np.zeros(0))] * many
+        owner, column = np.repeat(np.arange(many), np.diff(rows.begin)), self.column[rows.term]
+        often = np.zeros((many, self.columns.shape[1]), np.float32)
+        often[owner[column >= 0], column[column >= 0]] = rows.value[column >= 0]
+        term, value, owner = (x[column < 0] for x in (rows.term, rows.value, owner))
+        sizes = self.begin[term + 1] - self.begin[term]
+        place = _spans(self.begin[term], sizes)
+        key = self.at[place] + np.repeat(owner * n, sizes)
+        near = np.bincount(key, self.rare[place] * np.repeat(value.astype(np.float32), sizes), many * n).astype(np.float32).reshape(many, n)
+        if without is not None:
+            near[np.arange(many), without] = -9
 
         def reached() -> np.ndarray:
-            return np.partition(near, n - self.k, axis=1)[:, n - self.k] - SLACK if n > self.k else np.full(len(near), -8.0)
+            return np.partition(near, n - self.k, axis=1)[:, n - self.k] - SLACK if n > self.k else np.full(many, -8.0)
 
         bound = np.maximum.reduceat(near, self.starts, axis=1) + often @ self.bounds.T
         least, order = reached(), np.argsort(-bound.max(0), kind="stable")
@@ -289,115 +246,146 @@ class Index:
             if number == max(1, len(order) // 8):
                 least = reached()
             live = np.flatnonzero(bound[:, block] >= least - SLACK)
-            rows = slice(block * self.size, (block + 1) * self.size)
-            if len(live) == len(near):
-                near[:, rows] += often @ self.columns[rows].T
+            part = slice(block * self.size, (block + 1) * self.size)
+            if len(live) == many:
+                near[:, part] += often @ self.columns[part].T
             elif len(live):
-                near[live, rows] += often[live] @ self.columns[rows].T
-        least, query = reached(), np.zeros(len(self.idf))
-        some = [np.flatnonzero((near[i] > 0) & (near[i] >= least[i] - SLACK)) for i in range(len(vectors))]
-        return [self.exact(vector, some[i], query) for i, vector in enumerate(vectors)]
-
-    def exact(
-        self, vector: tuple[np.ndarray, np.ndarray], some: np.ndarray, query: np.ndarray
-    ) -> tuple[np.ndarray, np.ndarray]:
+                near[live, part] += often[live] @ self.columns[part].T
+        least, query = reached(), np.zeros(len(self.weight))
+        hopeful = (near > 0) & (near >= (least - SLACK)[:, None])
+        return [self._exact(rows.part(i, i + 1), np.flatnonzero(hopeful[i]), query) for i in range(many)]
+
+    def _exact(self, row: Rows, some: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest of ``some`` examples, in full; like examples are scored once. ``query``: zeros, left so."""
         if not len(some):
             return np.zeros(0, np.int64), np.zeros(0)
         firsts, which = np.unique(self.same[some], return_inverse=True)
-        spans = [(self.row[i], self.row[i + 1]) for i in firsts.tolist()]
-        query[vector[0]] = vector[1]
-        score = np.array([self.value[a:b] @ query[self.term[a:b]] for a, b in spans])
-        query[vector[0]] = 0
+        begin, query[row.term] = self.rows.begin, row.value
+        score = np.array([self.rows.value[begin[i] : begin[i + 1]] @ query[self.rows.term[begin[i] : begin[i + 1]]] for i in firsts.tolist()])
+        query[row.term] = 0
         score = np.round(score, 12)[which]
         some, score = some[score > 0], score[score > 0]
         order = np.lexsort((some, -score))[: self.k]
         return some[order], score[order]
 
-    def votes(
-        self, vectors: list[tuple[np.ndarray, np.ndarray]], without: Sequence[int] | None = None
-    ) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    def votes(self, rows: Rows, without: Sequence[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
         """The share of label 1 among the nearest of each, by similarity and by the rows that each stands for, with one
         more vote for the share among texts without terms; and the nearest."""
-        without = [-1] * len(vectors) if without is None else without
-        for first in range(0, len(vectors), AT_ONCE):
-            part = slice(first, first + AT_ONCE)
-            for at, near in self.all_nearest(vectors[part], without[part]):
-                each = near * self.weight[at]
+        each = self.begin[rows.term + 1] - self.begin[rows.term]
+        sizes, first = np.concatenate([[0], np.cumsum(each)])[rows.begin], 0
+        while first < len(rows):
+            most = int(np.searchsorted(sizes, sizes[first] + POSTINGS, "right")) - 1
+            last = min(max(first + 1, most), first + AT_ONCE, len(rows))
+            for at, near in self.nearest(rows.part(first, last), None if without is None else without[first:last]):
+                each = near * self.stands[at]
                 yield float((each @ self.label[at] + 0.1 * self.base) / (each.sum() + 0.1)), at, near
-
-    def common(self, vector: tuple[np.ndarray, np.ndarray], at: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """The terms that a vector shares with any of these examples. ``seen``: a false for each term, left so."""
-        for i in at.tolist():
-            seen[self.term[self.row[i] : self.row[i + 1]]] = True
-        found = vector[0][seen[vector[0]]]
-        for i in at.tolist():
-            seen[self.term[self.row[i] : self.row[i + 1]]] = False
+            first = last
+
+    def common(self, terms: np.ndarray, at: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Those of the terms that any of these examples has. ``seen``: a false for each term, left so."""
+        begin = self.rows.begin
+        held = [self.rows.term[begin[i] : begin[i + 1]] for i in at.tolist()]
+        for own in held:
+            seen[own] = True
+        found = terms[seen[terms]]
+        for own in held:
+            seen[own] = False
         return found
 
-    def score(self, share: float) -> float:
-        """A calibrated vote: the logistic function of a rising line of its log odds."""
-        odds = np.log(share / (1 - share))
-        return float(1 / (1 + np.exp(-np.clip(self.slope * odds + self.shift, -30, 30))))
-
 
 #: The last index that this worker has built, by its digest.
 BUILT: dict[str, Index] = {}
 
 
-def restored(digest: str, packed: bytes) -> Index:
-    if digest not in BUILT:
-        fixed, row, steps, n = pickle.loads(zlib.decompress(packed))
-        BUILT.clear()
-        index = Index(*fixed)
-        index.add_counts(row, np.cumsum(steps, dtype=np.int32), n)
-        BUILT[digest] = index
-    return BUILT[digest]
+@dataclass
+class Packed:
+    """What an index is built of, as workers get it: arrays of the examples' entries, nothing built."""
+
+    digest: str
+    data: bytes
+
+    @classmethod
+    def of(cls, *parts) -> Packed:
+        data = zlib.compress(pickle.dumps(parts, 5), 1)
+        return cls(hashlib.sha256(data).hexdigest(), data)
+
+    def index(self) -> Index:
+        """Built once in a worker and kept between tasks."""
+        if self.digest not in BUILT:
+            BUILT.clear()
+            names, weight, begin, steps, n, *rest = pickle.loads(zlib.decompress(self.data))
+            rows = weighed(begin, np.cumsum(steps, dtype=np.int64), n.astype(np.int64), weight)
+            BUILT[self.digest] = Index(names, weight, rows, *rest)
+        return BUILT[self.digest]
 
 
-def calibrate(index: Index, shares: np.ndarray) -> None:
+def calibrate(shares: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift by weighted logistic regression with a weak pull towards leaving votes as they are."""
-    x, y, w = np.log(shares / (1 - shares)), index.label.astype(float), index.weight
-    at = np.array([1.0, 0.0])
+    x, y, at = np.log(shares / (1 - shares)), label.astype(float), np.array([1.0, 0.0])
     design = np.column_stack([x, np.ones(len(x))])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
-        slope = design.T @ (w * (p - y)) + (at - [1.0, 0.0])
-        curve = (design * (w * p * (1 - p))[:, None]).T @ design + np.eye(2)
+        slope = design.T @ (weight * (p - y)) + (at - [1.0, 0.0])
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2)
         at = at - np.linalg.solve(curve, slope)
-    index.slope, index.shift = (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def calibrated(share: float, slope: float, shift: float) -> float:
+    """A vote as a probability: the logistic function of a rising line of its log odds."""
+    return float(1 / (1 + np.exp(-np.clip(slope * np.log(share / (1 - share)) + shift, -30, 30))))
+
+
+def pack_index(found: DataFrame, k: int, block: int, least: float) -> tuple[Packed, list[int]]:
+    """The index of stored examples (``slot``, ``doc_id``, ``text``, ``label``, ``weight``), and the slots of its rows: Spark counts, numbers and sorts their terms; the
+    driver gets the entries of the bounded sample as arrays, to send them to the workers."""
+    counted = materialize(with_terms(found), "toxicity-counts")
+    chosen = vocabulary(counted, least)
+    entries = counted.select("slot", F.explode("terms").alias("term", "n")).join(chosen, "term")
+    own = F.sort_array(F.collect_list(F.struct(F.col("number").cast("int").alias("at"), F.col("n").cast("int").alias("n"))))
+    lists = entries.groupBy("slot").agg(own.alias("own"), F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("number").cast("int").alias("at")))).alias("heavy"))
+    kept = counted.select("slot", "doc_id", "label", "weight").join(lists, "slot", "left")
+    heavy = F.transform("heavy", lambda x: x["at"])  # like vectors share blocks
+    rows = kept.select("slot", "doc_id", "label", "weight", F.col("own.at").alias("at"), F.col("own.n").alias("n"), heavy.alias("heavy"))
+    rows = rows.orderBy("heavy", "doc_id", "slot").drop("heavy").toArrow()
+    ids, label, stands = (rows.column(name).to_numpy() for name in ("doc_id", "label", "weight"))
+    at, n = (rows.column(name).combine_chunks() for name in ("at", "n"))
+    sizes = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    every, seen = ([stands[of & (label == c)].sum() for c in (0, 1)] for of in (sizes >= 0, sizes == 0))
+    share = (every[1] + 0.5) / (sum(every) + 1 + (not len(ids)))  # a third without examples
+    base = float((seen[1] + share) / (sum(seen) + 1))
+    names = chosen.orderBy("number").select("term", "weight").toArrow()
+    terms, weight = names.column("term").combine_chunks().cast(pa.string()), names.column("weight").to_numpy()
+    some = sizes > 0
+    flat, n = (x.flatten().to_numpy().astype(np.int32) for x in (at, n))
+    begin = np.concatenate([[0], np.cumsum(sizes[some])])
+    packed = Packed.of(terms, weight, begin, np.diff(flat, prepend=0), n, ids[some], label[some], stands[some], base, block, k)
+    return packed, rows.column("slot").to_numpy()[some].tolist()
 
 
 def build_index(
-    docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, k: int, block: int, least: float, ratio: float, words: int
-) -> Index:
-    """The index over at most ``most`` examples of each class and all their terms (of ``words`` over 0, only so many)."""
-    found = examples(docs, labels, label, train, most)
-    chosen = vocabulary(with_terms(found), least, ratio, words)
-    numbers, weights = {term: i for i, (term, _) in enumerate(chosen)}, np.array([weight for _, weight in chosen])
-    rows = with_numbers(found, Counts(numbers)).orderBy("doc_id", "label").toArrow()
-    ids, labelled, stands = (rows.column(name).to_numpy() for name in ("doc_id", "label", "weight"))
-    at, n = (rows.column(name).combine_chunks() for name in ("at", "n"))
-    begin, at, n = np.asarray(at.offsets), at.values.to_numpy(), n.values.to_numpy()
-    index = Index(numbers, weights, np.zeros(0), np.zeros(0), np.zeros(0), 0.5, block, k)
-    plain = np.diff(begin) == 0
-    every, seen = ([stands[of & (labelled == c)].sum() for c in (0, 1)] for of in (plain | True, plain))
-    share = (every[1] + 0.5) / (sum(every) + 1 + (not len(ids)))
-    index.base = float((seen[1] + share) / (sum(seen) + 1))
-    rank = np.argsort(np.argsort(-weights, kind="stable"))
-    spans = {i: slice(begin[i], begin[i + 1]) for i in np.flatnonzero(~plain).tolist()}
-    order = sorted(spans, key=lambda i: (np.sort(rank[at[spans[i]]]).astype(">i4").tobytes(), ids[i]))  # like vectors share blocks
-    index.ids, index.label, index.weight = ids[order], labelled[order], stands[order]
-    terms, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for span in (spans[i] for i in order):
-        by_number = np.argsort(at[span])
-        terms.append(at[span][by_number]), counts.append(n[span][by_number])
-    row = np.concatenate([[0], np.cumsum(np.diff(begin)[order])]).astype(np.int64)
-    index.add_counts(row, np.concatenate(terms), np.concatenate(counts))
-    if order:
-        vectors = [(index.term[a:b], index.value[a:b]) for a, b in zip(row[:-1], row[1:])]
-        calibrate(index, np.array([share for share, _, _ in index.votes(vectors, range(len(vectors)))]))
-    return index
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, k: int, block: int, least: float
+) -> tuple[Packed, float, float]:
+    """The index over at most ``most`` examples of each class and all their terms, and the slope and shift of its votes, fitted
+    to a table of the examples' own votes."""
+    found = numbered(examples(docs, labels, label, train, most), "toxicity-examples")  # documents are scanned once
+    packed, slots = pack_index(found, k, block, least)
+    sent = found.sparkSession.sparkContext.broadcast(packed)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value.index()
+        places = {slot: place for place, slot in enumerate(slots)}
+        for batch in batches:
+            some = [i for i, x in enumerate(batch.column(0).to_pylist()) if x in places]
+            part = batch.take(pa.array(some, pa.int64()))
+            without = [places[x] for x in part.column(0).to_pylist()]
+            shares = [share for share, _, _ in index.votes(index.vectors(part.column(1).to_pylist()), without)]
+            yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64()), *part.columns[2:]], ["share", "label", "weight"])
+
+    rows = small_batches(found, 512).select("slot", "text", "label", "weight")
+    voted = rows.mapInArrow(vote, "share double, label int, weight double").orderBy("share", "label", "weight").toArrow()  # three numbers an example
+    figures = [voted.column(name).to_numpy() for name in ("share", "label", "weight")]
+    return packed, *(calibrate(*figures) if len(figures[0]) else (1.0, 0.0))
 
 
 def score_toxicity(
@@ -407,37 +395,39 @@ def score_toxicity(
     keep: Sequence[str] = ("doc_id",),
     label: str = "toxic",
     threshold: float = 0.7,
-    most: int = 4_000,
+    most: int = 2_000,
     k: int = 8,
-    block: int = 32,
+    block: int = 256,
     least: float = 16.0,
-    ratio: float = 0.0,
-    words: int = 0,
 ) -> DataFrame:
     """The columns ``keep``, ``score`` (0 to 1, higher: ``label`` 1 likelier), ``predicted`` (1 from ``threshold``),
     ``evidence`` (the ``k`` nearest examples, nearest first) and ``matched`` (the terms shared with any of them, in order).
 
     Only the text makes a score. At most ``most`` labelled documents of each class that satisfy ``train`` are examples;
-    all terms that two of their families have are looked up (``ratio`` and ``words``: see ``vocabulary``), and every
-    document's whole text is scored. A text without any of the terms, also a null or empty one, gets the share of label 1
-    among such examples, or without such examples among all. Without labels of both classes all scores are that share, or
-    a third without any. A document labelled both ways counts as 1. Every row of ``docs`` gives a row.
+    all terms that two of their families have are looked up, and every document's whole text, however long, is scored. A text
+    without any of the terms, also a null or empty one, gets the share of label 1 among such examples, or without such examples
+    among all. Without labels of both classes all scores are that share, or a third without any. A document labelled both ways
+    counts as 1. Every row of ``docs`` gives a row, repeated ones each; an empty table gives none; columns that aren't kept
+    aren't read, and those kept may have any name but the four.
     """
-    index = build_index(small_batches(docs), labels, label, train, most, k, block, least, ratio, words)
+    packed, slope, shift = build_index(small_batches(docs), labels, label, train, most, k, block, least)
+    sent = docs.sparkSession.sparkContext.broadcast(packed)
 
     def score(data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
-        vectors = [index.weights(*index.counter(str(data[a:b].data, "utf-8"))) for a, b in zip(offsets[:-1], offsets[1:])]
-        scores, seen = [], np.zeros(len(index.terms), bool)
+        index = sent.value.index()
+        rows = index.vectors([str(data[a:b].data, "utf-8") for a, b in zip(offsets[:-1], offsets[1:])])
+        scores, seen = [], np.zeros(len(index.weight), bool)
         found, near, shared = [], [], []
-        for vector, (share, at, close) in zip(vectors, index.votes(vectors)):
-            scores.append(index.score(share if len(vector[0]) else index.base))
-            found.append(at), near.append(close), shared.append(index.common(vector, at, seen))
+        for i, (share, at, close) in enumerate(index.votes(rows)):
+            terms = rows.term[rows.begin[i] : rows.begin[i + 1]]
+            scores.append(calibrated(share if len(terms) else index.base, slope, shift))
+            found.append(at), near.append(close), shared.append(index.common(terms, at, seen))
         at = np.concatenate([*found, np.zeros(0, np.int64)])
         proof = pa.StructArray.from_arrays(
             [pa.array(index.ids[at], pa.int64()), pa.array(index.label[at], pa.int32()), pa.array(np.concatenate([*near, np.zeros(0)]), pa.float64())],
             ["doc_id", "label", "similarity"],
         )
-        terms = index.names.take(pa.array(np.concatenate([*shared, np.zeros(0, np.int32)]).astype(np.int64)))
+        terms = index.terms.names.take(pa.array(np.concatenate([*shared, np.zeros(0, np.int64)])))
         ends = [np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int32) for of in (found, shared)]
         return {
             "score": pa.array(scores, pa.float64()),

@@ -13,7 +13,8 @@ from keepwell.llm.common import read
 from keepwell.llm.quality_classifier import STATISTICS, fit, score_quality, statistics
 from keepwell.llm.quality_rules import base_counts, bucket_weights, quality_rules
 from keepwell.llm.scoring import remainder_is
-from keepwell.llm.toxicity import Counts, Index, build_index, count_terms, score_toxicity
+from keepwell.llm import toxicity
+from keepwell.llm.toxicity import Index, Terms, build_index, count_terms, score_toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,7 +53,7 @@ def test_base_counts(spark, odd_docs):
 def test_weights_are_the_ratio_of_smoothed_shares(spark):
     docs = spark.createDataFrame([(1, "good fine good"), (2, "junk ### junk"), (3, "fine junk")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
-    weights = bucket_weights(docs, labels, 64, 1.0, 100)
+    weights = bucket_weights(docs, labels, 64, 1.0)
 
     def buckets(text):
         units = re.findall(r"[^\W_]+|[^\w\s]+", text)
@@ -135,21 +136,32 @@ def test_scores_of_odd_documents(odd_docs, odd_labels, no_docs):
         assert len({r["score"] for r in scorer(odd_docs, one, every()).collect()}) == 1
 
 
-def test_the_nearest_are_exact():
+def random_rows(rng, many, terms, weight):
+    lists = [np.sort(rng.choice(terms, rng.integers(1, 9), False)) for _ in range(many)]
+    lists[10:20] = [lists[10]] * 10
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return toxicity.weighed(begin, np.concatenate(lists), rng.integers(1, 4, begin[-1]), weight)
+
+
+@pytest.mark.parametrize("terms,at_once,postings", [(40, 64, 4_000_000), (400, 7, 300)])
+def test_the_nearest_are_exact(monkeypatch, terms, at_once, postings):
+    monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+    monkeypatch.setattr(toxicity, "POSTINGS", postings)
     rng = np.random.default_rng(5)
-    index = Index({f"t{i}": i for i in range(40)}, rng.random(40) + 1, np.arange(300), rng.integers(0, 2, 300), np.ones(300), 0.1, 16, 5)
-    vectors = [index.vector({f"t{i}": int(rng.integers(1, 4)) for i in rng.choice(40, rng.integers(1, 6), False)}) for _ in range(300)]
-    vectors[10:20] = [vectors[10]] * 10
-    index.add(vectors)
-    dense = np.zeros((300, 40))
-    for i, vector in enumerate(vectors):
-        dense[i, list(vector)] = list(vector.values())
-    for q in range(0, 300, 7):
-        scores = sum(v * dense[:, t] for t, v in vectors[q].items())
+    weight, names = rng.random(terms) + 1, pa.array([f"t{i}" for i in range(terms)], pa.string())
+    rows = random_rows(rng, 300, terms, weight)
+    index = Index(names, weight, rows, np.arange(300), rng.integers(0, 2, 300), np.ones(300), 0.1, 16, 5)
+    dense = np.zeros((300, terms))
+    for i in range(300):
+        dense[i, rows.term[rows.begin[i] : rows.begin[i + 1]]] = rows.value[rows.begin[i] : rows.begin[i + 1]]
+    found = list(index.votes(rows, list(range(300))))
+    assert len(found) == 300
+    for q, (share, at, near) in enumerate(found):
+        scores = dense @ dense[q]
         scores[q] = 0
         want = sorted((i for i in range(300) if scores[i] > 1e-12), key=lambda i: (-round(scores[i], 12), i))[:5]
-        at, near = index.nearest(vectors[q], without=q)
         assert at.tolist() == want and np.allclose(near, scores[want])
+        assert math.isclose(share, (near @ index.label[at] + 0.01) / (near.sum() + 0.1))
 
 
 def test_forms_of_a_word_share_terms():
@@ -159,8 +171,9 @@ def test_forms_of_a_word_share_terms():
 
 
 def test_empty_index(spark, no_docs, odd_labels):
-    index = build_index(no_docs, odd_labels, "toxic", every(), 10, 3, 4, 16.0, 4.0, 100)
-    assert index.terms == {} and 0 < index.base < 1
+    packed, slope, shift = build_index(no_docs, odd_labels, "toxic", every(), 10, 3, 4, 16.0)
+    index = packed.index()
+    assert index.terms.names.to_pylist() == [] and 0 < index.base < 1 and (slope, shift) == (1.0, 0.0)
 
 
 @pytest.mark.parametrize("text,zero", [("", True), ("a b", False)])
@@ -181,9 +194,9 @@ def test_toxicity_keeps_the_terms_of_both_classes(spark):
         rows.append((i, " ".join(rng.choice(words, 40, p=shares / shares.sum())), toxic))
     docs = spark.createDataFrame([r[:2] for r in rows] + [(999, "nothing else is known")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    index = build_index(docs, labels, "toxic", every(), 4000, 8, 32, 16.0, 0.0, 0)
+    index = build_index(docs, labels, "toxic", every(), 4000, 8, 32, 16.0)[0].index()
     having = Counter(t for _, text, _ in rows for t in count_terms(text))
-    assert set(index.terms) == {t for t, n in having.items() if n >= 2} and len(index.ids) == 240
+    assert set(index.terms.names.to_pylist()[: index.terms.size]) == {t for t, n in having.items() if n >= 2} and len(index.ids) == 240
     rest = remainder_is(F.col("doc_id"), 3, 1)
     got = {r["doc_id"]: r for r in score_toxicity(docs, labels, ~rest, threshold=0.5).withColumn("rest", rest).collect()}
     assert not got[999]["evidence"] and not got[999]["matched"]
@@ -193,10 +206,70 @@ def test_toxicity_keeps_the_terms_of_both_classes(spark):
 
 
 def test_numbered_counts_are_the_counted_terms():
-    text = "Pathetically pathetic, patheticness 12 idiot the THE The thoughtful thoughts thoughtless"
-    want = count_terms(text)
-    known = {t: i for i, t in enumerate(sorted(want)[::2])}
-    at, n = Counts(known)(text + " unknown")
-    names = {i: t for t, i in known.items()}
-    assert {names[i]: c for i, c in zip(at.tolist(), n.tolist())} == {t: c for t, c in want.items() if t in known}
-    assert [len(x) for x in Counts(known)("")] == [0, 0]
+    texts = [
+        "Pathetically pathetic, patheticness 12 idiot the THE The thoughtful thoughts thoughtless unknown", "", "the " * 9, "12 ?",
+        "réeuxment Réeuxpa réeuxvi İstanbul ΣΑΣ ßtraße 日本語テキストです", "pathological patho thoug",
+    ]
+    every_term = sorted(set().union(*map(count_terms, texts)))
+    for step in (1, 2, 3):
+        names = every_term[::step]
+        begin, term, n = Terms(pa.array(names, pa.string())).counted(texts)
+        for i, text in enumerate(texts):
+            got = {names[t]: c for t, c in zip(term[begin[i] : begin[i + 1]].tolist(), n[begin[i] : begin[i + 1]].tolist())}
+            assert got == {t: c for t, c in count_terms(text).items() if t in names}
+            assert (np.diff(term[begin[i] : begin[i + 1]]) > 0).all()
+
+
+def test_scores_are_those_of_a_plain_version(spark):
+    """Vocabulary, weights, cosines, neighbours, votes and calibration, each by loops over all examples."""
+    rng = np.random.default_rng(3)
+    words = [a + b + c + d for a in "bd" for b in "aei" for c in ("lk", "mnop") for d in ("", "est", "ingly")]
+    rows = []
+    for i in range(90):
+        shares = np.where(np.arange(len(words)) % 3 == 0, 3.0 if i % 3 == 0 else 1.0, 1.0)
+        rows.append((i, " ".join(rng.choice(words, rng.integers(3, 30), p=shares / shares.sum())), int(i % 3 == 0)))
+    rows += [(90, rows[0][1], 1), (91, "", 0), (92, None, 1), (93, "zzz only here", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in score_toxicity(docs, labels, F.col("doc_id") % 4 != 1, k=5).collect()}
+
+    texts = {i: t or "" for i, t, _ in rows}
+    known = [(i, y) for i, _, y in rows if i % 4 != 1]
+    counts = {i: count_terms(t) for i, t in texts.items()}
+    families = {i: toxicity.family(t) for i, t in texts.items()}
+    n1, n0 = (len({families[i] for i, y in known if y == c}) for c in (1, 0))
+    weight = {}
+    for t in set().union(*(counts[i] for i, _ in known)):
+        one, zero = (len({families[i] for i, y in known if y == c and t in counts[i]}) for c in (1, 0))
+        n, both = n1 + n0, one + zero
+        if both >= 2:
+            apart = max(abs(one * (n0 - zero) - zero * (n1 - one)) - n / 2, 0)
+            weight[t] = (math.log(n / both) + 1) * (1 + n * apart * apart / max(both * (n - both) * n1 * n0, 1) / 16)
+
+    def vector(i):
+        raw = {t: (1 + math.log(c)) * weight[t] for t, c in counts[i].items() if t in weight}
+        size = math.sqrt(sum(v * v for v in raw.values()))
+        return {t: v / size for t, v in raw.items()}
+
+    vectors = {i: vector(i) for i in texts}
+    plain = [y for i, y in known if not vectors[i]]
+    base = (sum(plain) + (sum(y for _, y in known) + 0.5) / (len(known) + 1)) / (len(plain) + 1)
+    used = [(i, y) for i, y in known if vectors[i]]
+
+    def near(q, without=None):
+        each = [(round(sum(v * vectors[i].get(t, 0) for t, v in vectors[q].items()), 10), y, i) for i, y in used if i != without]
+        return sorted([x for x in each if x[0] > 0], key=lambda x: -x[0])
+
+    def share(q, without=None):
+        best = near(q, without)[:5]
+        return (sum(s * y for s, y, _ in best) + 0.1 * base) / (sum(s for s, _, _ in best) + 0.1), best
+
+    ties = {q for q in texts for best in [near(q)] if len(best) > 5 and best[4][0] == best[5][0] and {y for s, y, _ in best if s == best[4][0]} == {0, 1}}
+    assert not ties
+    shares = np.array([share(i, i)[0] for i, _ in used])
+    slope, shift = toxicity.calibrate(shares, np.array([y for _, y in used]), np.ones(len(used)))
+    for q in texts:
+        vote, best = share(q)
+        assert math.isclose(got[q]["score"], toxicity.calibrated(vote if vectors[q] else base, slope, shift) if vectors[q] else toxicity.calibrated(base, slope, shift), abs_tol=1e-6)
+        assert np.allclose([e["similarity"] for e in got[q]["evidence"]], [s for s, _, _ in best])
+        assert got[q]["predicted"] == int(got[q]["score"] >= 0.7)
