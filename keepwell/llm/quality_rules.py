@@ -33,20 +33,21 @@ def grams(units: Column, buckets: int) -> Column:
     return F.concat(one, two)
 
 
-def trusted_ids(labels: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids whose labels all say good, the same for each run: those with the smallest hashes."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids whose labels all say good."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("worst")).filter("worst = 1")
-    return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select("doc_id")
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float, most_trusted: int) -> list[int]:
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> list[int]:
     """Per bucket the log ratio of its smoothed shares, in parts of ``SCALE``; all 0 without trusted texts.
 
-    One pass over all documents. The ids broadcast are at most ``most_trusted``; the driver gets one row per bucket.
+    One pass over all documents, of which all trusted ones count for the target. Trusted ids are joined as Spark finds fit: sent
+    to all tasks while they are small, else both sides are dealt by id. The driver gets one row per bucket.
     """
-    trusted = F.broadcast(trusted_ids(labels, most_trusted).withColumn("trusted", F.lit(1)))
-    units = F.regexp_extract_all(whole_text(), F.lit(UNIT), F.lit(0))
-    rows = docs.select("doc_id", units.alias("units")).join(trusted, "doc_id", "left")
+    trusted = trusted_ids(labels).withColumn("trusted", F.lit(1))
+    texts = docs.select("doc_id", whole_text().alias("text")).join(trusted, "doc_id", "left")
+    rows = texts.select("trusted", F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)).alias("units"))
     counts = (
         rows.select("trusted", F.explode(grams(F.col("units"), buckets)).alias("bucket"))
         .groupBy("bucket")
@@ -107,18 +108,17 @@ def quality_rules(
     threshold: float = -0.25,
     buckets: int = 1 << 14,
     smoothing: float = 1.0,
-    most_trusted: int = 20_000,
     least_words: int = 50,
     most_repeated: int = 50,
 ) -> DataFrame:
     """The verdict on each document: the counts of ``base_counts``, ``base_failed``, ``score`` and ``kept``.
 
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeated`` per cent of them in repeated windows of
-    three. ``kept``: not so, and the score is ``threshold`` or more. The target is at most ``most_trusted`` texts that
-    ``labels`` calls good; the raw counts are of all documents. A null or empty text has no words, score null, and
+    three. ``kept``: not so, and the score is ``threshold`` or more. The target is every text that ``labels`` calls
+    good; the raw counts are of all documents. A null or empty text has no words, score null, and
     isn't kept. Without good labels all scores are 0. Repeated rows each give a row; no documents give none.
     """
-    weights = bucket_weights(docs, labels, buckets, smoothing, most_trusted)
+    weights = bucket_weights(docs, labels, buckets, smoothing)
     constant = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
     rows = base_counts(docs).withColumn("grams", grams(F.col("units"), buckets))
     total = F.aggregate("grams", F.lit(0).cast("bigint"), lambda sum_, b: sum_ + F.get(constant, b))
