@@ -252,15 +252,29 @@ def crossing(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: in
     after = (F.col("n") - F.col("own_only") - F.col("at") - 1).alias("after")  # shingles behind this one
     rows = materialize(rows.select("rep", "n", "component", after, F.col("of.shingle").alias("shingle")), "near-prefixes")
 
-    def side(name: str) -> DataFrame:
-        return rows.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "after")])
-
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # at the first shingle that two sets have in common, only what is behind it in both can be common too
     enough = (100 + percent) * (1 + F.least("after_a", "after_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    apart = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
-    pairs = side("a").join(side("b"), "shingle").filter(apart & sized & enough)
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    pairs = meeting(rows).filter(sized & enough)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """All pairs of rows (rep, n, component, after, shingle) with one shingle and different components, each once.
+
+    Components are paired per shingle first, and rows by their components then, so rows of one component are never paired,
+    however many share a shingle: there are as many pairs as could be links.
+    """
+    several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = materialize(rows.join(several.filter("low <> high").select("shingle"), "shingle"), "near-meeting")
+    groups = open_.select("shingle", "component").distinct()
+    one, two = (groups.select("shingle", F.col("component").alias(f"component_{name}")) for name in "ab")
+    met = one.join(two, "shingle").filter("component_a < component_b")
+
+    def side(name: str) -> DataFrame:
+        return open_.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "after")])
+
+    return met.join(side("a"), ["shingle", "component_a"]).join(side("b"), ["shingle", "component_b"])
 
 
 def near_duplicates(
@@ -280,6 +294,8 @@ def near_duplicates(
     so it also chooses among rows with equal ids. A text of fewer words is one shingle; null texts and texts without
     words have none and are linked with nothing, each a component of its own. Documents without an id are linked like
     others but name no component; a component of such only has a null ``component_id``, and its rows are ``kept``.
+    Texts of any length are compared whole; repeated rows are copies of each other; an empty table gives no rows; columns
+    that aren't kept aren't read, and those kept may not be named like the ones returned.
     """
     own = (F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = small_batches(docs).select(*own, *keep)

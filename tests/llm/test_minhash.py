@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keepwell.llm.components import components
 from keepwell.llm.minhash import near_duplicates, shingle_sets, word_hashes
@@ -110,3 +111,16 @@ def test_components_of_a_long_path_a_star_and_a_ring(spark):
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(60)} | {200: 200, 201: 200, 202: 200}
     assert {r["node"]: r["component"] for r in found} == want and len(found) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_of_one_component_are_never_paired(spark):
+    """8,000 near copies and three texts that almost match them: pairs in proportion to rows, not to their square."""
+    from keepwell.llm.minhash import meeting
+
+    rows = spark.range(8003).crossJoin(spark.range(20).withColumnRenamed("id", "shingle")).selectExpr(
+        "id AS rep", "100L AS n", "CASE WHEN id < 8000 THEN 0 ELSE id END AS component", "50L AS after", "shingle"
+    )
+    only_copies = rows.filter("rep < 8000").withColumn("shingle", F.col("shingle") + 100)
+    met = meeting(rows.unionByName(only_copies))
+    assert met.count() == 20 * (8000 * 3 + 3)
+    assert met.filter("component_a = component_b").isEmpty() and met.dropDuplicates(["shingle", "rep_a", "rep_b"]).count() == met.count()
