@@ -12,7 +12,7 @@ from keepwell.llm.collocations import collocations
 from keepwell.llm.common import read, tokenizer_file
 from keepwell.llm.html_text import extract_main_text
 from keepwell.llm.lexical import ranked_search
-from keepwell.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, scan_licences
+from keepwell.llm.licences import COPYRIGHT_LINE, KNOWN, SPELLINGS, TEXTS, scan_licences
 from keepwell.llm.merkle import fingerprint_edits
 from keepwell.llm.minhash import near_duplicates
 from keepwell.llm.mixing import mix_sources
@@ -137,9 +137,15 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _list_sql(entries: tuple[tuple[str, str], ...]) -> str:
+    return "VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in entries)
+
+
+# Whole texts are looked up among the texts, lines among texts and notices.
 OP3_SQL = f"""
-WITH listed(license_id, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}),
-known AS (SELECT {_canonical_sql("text")} AS form, min(license_id) AS license_id FROM listed GROUP BY 1),
+WITH whole(license_id, text) AS ({_list_sql(TEXTS)}),
+listed(license_id, text) AS ({_list_sql(KNOWN)}),
+known AS (SELECT {_canonical_sql("text")} AS form, min(license_id) AS license_id FROM whole GROUP BY 1),
 every AS (SELECT DISTINCT {_canonical_sql("text")} AS form, license_id FROM listed),
 forms AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS form FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
@@ -149,27 +155,36 @@ found AS (
 SELECT doc_id, sha256(forms.form) AS digest, license_id, coalesce(line_licenses, '') AS line_licenses
 FROM forms LEFT JOIN known USING (form) LEFT JOIN found USING (doc_id)"""
 
-_LEAF = r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,3}|[\x20\x09-\x0D]+"
+_FINGERPRINT_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+"
 
 
-def _root_sql(text: str) -> str:
-    lines = "list_transform(string_split(part, chr(10)), lambda line: sha256(line))"
-    sections = f"list_transform(string_split({text}, chr(10) || chr(10)), lambda part: sha256(array_to_string({lines}, ',')))"
-    return f"sha256(array_to_string({sections}, ','))"
+def _leaves_sql(line: str) -> str:
+    words = f"list_transform(regexp_extract_all({line}, '{_FINGERPRINT_WORD}'), lambda w: w || CASE WHEN md5(w) < '4' THEN chr(10) ELSE '' END)"
+    runs = f"list_filter(string_split(array_to_string({words}, ''), chr(10)), lambda run: run <> '')"
+    return f"list_transform({runs}, lambda run: left(md5(run), 8))"
 
 
-def _sketch_sql(text: str) -> str:
-    runs = f"flatten(list_transform(string_split({text}, chr(10)), lambda line: regexp_extract_all(line, '{_LEAF}')))"
-    return f"list_sort(list_distinct(list_transform({runs}, lambda run: left(md5(run), 8))))[1:64]"
+def _tree_sql(text: str) -> str:
+    """A struct of the root, the fingerprint, all leaves, and the hashes of sections and of their paragraphs."""
+    lines = "string_split(part, chr(10))"
+    hash_ = f"sha256(array_to_string(list_transform({lines}, lambda line: sha256(line)), ','))"
+    paragraphs = f"list_transform({lines}, lambda line: left(sha256(line), 8) || array_to_string({_leaves_sql('line')}, ''))"
+    parts = f"string_split({text}, chr(10) || chr(10))"
+    root = f"sha256(array_to_string(list_transform({parts}, lambda part: {hash_}), ','))"
+    sections = f"list_transform({parts}, lambda part: left({hash_}, 16) || '=' || array_to_string({paragraphs}, ','))"
+    return f"""struct_pack(root := {root}, print := {root} || ':' || array_to_string({sections}, ';'),
+      leaves := flatten(list_transform(string_split({text}, chr(10)), lambda line: {_leaves_sql("line")})),
+      sections := list_transform({parts}, lambda part: left({hash_}, 16)),
+      paragraphs := list_transform({parts}, lambda part: list_transform({lines}, lambda line: left(sha256(line), 8))))"""
 
 
-def _likeness_sql(a: str, b: str) -> str:
-    either = f"list_sort(list_distinct(list_concat({a}_sketch, {b}_sketch)))[1:64]"
-    both = f"len(list_intersect({either}, list_intersect({a}_sketch, {b}_sketch)))"
-    share = f"CASE WHEN len({either}) + {both} = 0 THEN 0.0 ELSE 2.0 * {both} / (len({either}) + {both}) END"
-    return f"CASE WHEN {a}_root = {b}_root THEN 1.0 ELSE {share} END::DOUBLE"
+def _differs_sql(a: str, b: str) -> str:
+    """From 0, where two lists begin to differ; -1 if they don't."""
+    same = f"list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS NOT DISTINCT FROM {b}[i])"
+    return f"CASE WHEN list_contains({same}, false) THEN list_position({same}, false) - 1 ELSE -1 END::BIGINT"
 
 
+# Likeness is counted over all leaves here, not down the branches.
 OP7_SQL = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 following AS (
@@ -179,15 +194,29 @@ following AS (
 edited AS (
   SELECT *, left(text, n_chars - n_chars // 3) || left(next_text, n_chars // 3) AS edited_text FROM following),
 rooted AS (
-  SELECT doc_id, n_chars, sha256(edited_text) AS edited_sha256,
-    {_root_sql("text")} AS own_root, {_sketch_sql("text")} AS own_sketch,
-    {_root_sql("edited_text")} AS edited_root, {_sketch_sql("edited_text")} AS edited_sketch,
-    {_root_sql("next_text")} AS next_root, {_sketch_sql("next_text")} AS next_sketch
-  FROM edited)
-SELECT doc_id, n_chars, edited_sha256, own_root || ':' || array_to_string(own_sketch, ',') AS fingerprint,
-  edited_root || ':' || array_to_string(edited_sketch, ',') AS edited_fingerprint,
-  {_likeness_sql("own", "edited")} AS near_edited, {_likeness_sql("own", "next")} AS near_next
-FROM rooted"""
+  SELECT doc_id, n_chars, sha256(edited_text) AS edited_sha256, {_tree_sql("text")} AS own,
+    {_tree_sql("edited_text")} AS edited, {_tree_sql("next_text")} AS following
+  FROM edited),
+leafs AS (
+  SELECT doc_id, 'own' AS kind, unnest(own.leaves) AS leaf FROM rooted
+  UNION ALL SELECT doc_id, 'edited', unnest(edited.leaves) FROM rooted
+  UNION ALL SELECT doc_id, 'next', unnest(following.leaves) FROM rooted),
+counted AS (SELECT doc_id, kind, leaf, count(*) AS n FROM leafs GROUP BY ALL),
+common AS (
+  SELECT x.doc_id, y.kind, sum(least(x.n, y.n)) AS n FROM counted x JOIN counted y ON x.doc_id = y.doc_id AND x.leaf = y.leaf
+  WHERE x.kind = 'own' AND y.kind <> 'own' GROUP BY ALL),
+placed AS (SELECT *, {_differs_sql("own.sections", "edited.sections")} AS edit_section FROM rooted),
+near AS (
+  SELECT p.*, coalesce(2.0::DOUBLE * e.n / nullif(len(own.leaves) + len(edited.leaves), 0), 0.0) AS to_edited,
+    coalesce(2.0::DOUBLE * f.n / nullif(len(own.leaves) + len(following.leaves), 0), 0.0) AS to_next,
+    coalesce(own.paragraphs[edit_section + 1], []) AS own_lines, coalesce(edited.paragraphs[edit_section + 1], []) AS edited_lines
+  FROM placed p LEFT JOIN common e ON e.doc_id = p.doc_id AND e.kind = 'edited'
+  LEFT JOIN common f ON f.doc_id = p.doc_id AND f.kind = 'next')
+SELECT doc_id, n_chars, edited_sha256, own.print AS fingerprint, edited.print AS edited_fingerprint,
+  CASE WHEN own.root = edited.root THEN 1.0 ELSE to_edited END::DOUBLE AS near_edited,
+  CASE WHEN own.root = following.root THEN 1.0 ELSE to_next END::DOUBLE AS near_next, edit_section,
+  CASE WHEN edit_section < 0 THEN -1 ELSE {_differs_sql("own_lines", "edited_lines")} END::BIGINT AS edit_paragraph
+FROM near"""
 
 _TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 

@@ -164,8 +164,10 @@ def scan_licences(
     (ids of its lines that are in ``known`` or ``notices``, in order and without repeats, joined by commas; empty if none).
 
     Null texts count as empty; an empty text, and one of copyright lines only, has the digest of no words, and is a licence
-    only if the list has such a one. Every row of ``docs`` gives a row. The lists' digests are broadcast: the lists are
-    given by the caller and don't grow with the documents. Only lines that are known are shuffled.
+    only if the list has such a one. Of several licences with one digest the first id in order is named. Every row of
+    ``docs`` gives a row, repeated ones each; an empty table gives none; other columns aren't read, whatever their names; texts
+    of any length are digested whole. The lists' digests are broadcast: the lists are given by the caller and don't grow
+    with the documents. Only lines that are known are shuffled.
     """
     spark = docs.sparkSession
     table = known_digests(spark, known)

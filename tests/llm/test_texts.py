@@ -1,5 +1,6 @@
 """Main text, licences, fingerprints and token counts against plain versions."""
 
+import collections
 import hashlib
 import re
 from pathlib import Path
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer, models
 
 from keepwell.llm.html_text import extract_main_text, main_text
 from keepwell.llm.licences import KNOWN, NOTICES, SHIPPED, scan_licences
-from keepwell.llm.merkle import changed_paragraphs, fingerprint_edits, likeness, root, tree, with_next
+from keepwell.llm.merkle import changed_paragraphs, fingerprint, fingerprint_edits, first_edit, likeness, tree, with_next
 from keepwell.llm.token_counts import Counter, count_tokens, read_vocabulary
 from pyspark.sql import functions as F
 
@@ -76,26 +77,54 @@ def test_pages_keep_their_rows(spark):
     assert extract_main_text(pages.limit(0)).collect() == []
 
 
-def plain_root(text):
-    def sha(x):
-        return hashlib.sha256(x.encode()).hexdigest()
+SPACE = r"\x20\x09-\x0D"
 
-    return sha(",".join(sha(",".join(sha(line) for line in part.split("\n"))) for part in text.split("\n\n")))
 
+def plain_leaves(line):
+    out, run = [], ""
+    for word in re.findall(rf"[{SPACE}]*[^{SPACE}]+[{SPACE}]*|[{SPACE}]+", line):
+        run += word
+        if hashlib.md5(word.encode()).hexdigest() < "4":
+            out, run = [*out, run], ""
+    return [hashlib.md5(r.encode()).hexdigest()[:8] for r in [*out, run] if r]
 
-def plain_sketch(text):
-    runs = [r for line in text.split("\n") for r in re.findall(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,3}|[\x20\x09-\x0D]+", line)]
-    return sorted({hashlib.md5(r.encode()).hexdigest()[:8] for r in runs})[:64]
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_tree(text):
+    return [(sha(",".join(map(sha, part.split("\n")))), [(sha(line), plain_leaves(line)) for line in part.split("\n")]) for part in text.split("\n\n")]
+
+
+def plain_print(text):
+    sections = [f"{own[:16]}={','.join(h[:8] + ''.join(ls) for h, ls in lines)}" for own, lines in plain_tree(text)]
+    return f"{sha(','.join(own for own, _ in plain_tree(text)))}:{';'.join(sections)}"
+
+
+def plain_likeness(a, b):
+    one, two = (collections.Counter(leaf for line in t.split("\n") for leaf in plain_leaves(line)) for t in (a, b))
+    total = one.total() + two.total()
+    return 1.0 if a == b else 2 * (one & two).total() / total if total else 0.0
+
+
+def plain_edit(a, b):
+    one, two = plain_tree(a), plain_tree(b)
+    for i in range(max(len(one), len(two))):
+        x, y = ([h for h, _ in t[i][1]] if i < len(t) else [] for t in (one, two))
+        for j in range(max(len(x), len(y))):
+            if x[j : j + 1] != y[j : j + 1]:
+                return i, j
+    return -1, -1
 
 
 def test_fingerprints_of_edits(spark, odd_docs):
     rows = odd_docs.select("doc_id", "text").collect()
     got = fingerprint_edits(odd_docs).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and fingerprint_edits(odd_docs.limit(0)).collect() == []
     own = {}
     for row in rows:
-        text = row["text"] or ""
-        own.setdefault(row["doc_id"], set()).add(f"{plain_root(text)}:{','.join(plain_sketch(text))}")
+        own.setdefault(row["doc_id"], set()).add(plain_print(row["text"] or ""))
     assert all(r["fingerprint"] in own[r["doc_id"]] for r in got)
     texts = {r["doc_id"]: r["text"] or "" for r in rows if r["doc_id"] is not None}
     order = sorted(texts, reverse=True)
@@ -104,12 +133,46 @@ def test_fingerprints_of_edits(spark, odd_docs):
             text, after = texts[r["doc_id"]], texts[order[order.index(r["doc_id"]) + 1]]
             third = len(text) // 3
             edited = text[: len(text) - third] + after[:third]
-            assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-            assert r["edited_fingerprint"] == f"{plain_root(edited)}:{','.join(plain_sketch(edited))}"
+            assert r["n_chars"] == len(text) and r["edited_sha256"] == sha(edited)
+            assert r["edited_fingerprint"] == plain_print(edited)
+            assert r["near_edited"] == pytest.approx(plain_likeness(text, edited)) and r["near_next"] == pytest.approx(plain_likeness(text, after))
+            assert (r["edit_section"], r["edit_paragraph"]) == plain_edit(text, edited)
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert {r["near_edited"] for r in got if r["doc_id"] in (3, 4)} == {1.0}
 
 
+LINES = [f"the {i} quick brown fox jumps over {i % 3} lazy dogs and on" for i in range(60)]
+PAIRS = [
+    ("", "a"), ("a", "a"), ("a b", "a\nb"), ("a\n\nb", "a\n\n\nb"), ("x y z", "p q r"), ("\n\n", "\n"), (" ", "  "), ("a;b,c=d#1", "a;b,c=d#2"),
+    ("same\nsame\nsame", "same"), ("same\n\nsame\n\nother", "same\n\nother\n\nother"), ("w " * 500, "w " * 300),
+    ("\n".join(LINES), "\n".join(LINES[:30] + ["new line"] + LINES[30:])), ("\n\n".join(LINES), "\n\n".join(LINES[::-1])),
+    ("\n".join(LINES), "\n".join(x.replace("fox", "cat") if i == 7 else x for i, x in enumerate(LINES))),
+    ("\n".join(LINES), "\n".join(f"well {x}" for x in LINES)), ("\n".join(LINES), "\n".join(LINES + LINES)),
+]
+
+
+def test_likeness_down_the_branches_is_that_of_all_leaves(spark):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "i int, a string, b string")
+    prints = df.select("i", fingerprint(F.col("a")).alias("a"), fingerprint(F.col("b")).alias("b"))
+    prints = prints.select("*", likeness(F.col("a"), F.col("b")).alias("near"), likeness(F.col("b"), F.col("a")).alias("back"), first_edit(F.col("a"), F.col("b")).alias("edit"))
+    for r in prints.collect():
+        a, b = PAIRS[r["i"]]
+        assert (r["a"], r["b"]) == (plain_print(a), plain_print(b))
+        assert r["near"] == r["back"] == pytest.approx(plain_likeness(a, b)), (a, b)
+        assert (r["edit"]["section"], r["edit"]["paragraph"]) == plain_edit(a, b), (a, b)
+
+
+def test_one_word_lowers_likeness_by_its_share(spark):
+    """A thousand paragraphs: one of them changed is neither nothing nor all, and a word before each leaves most alike."""
+    lines = [" ".join(f"w{(i * 37 + j * j) % 997}" for j in range(40)) for i in range(1000)]
+    one = "\n".join(["changed as a whole"] + lines[1:])
+    each = "\n".join(f"so {x}" for x in lines)
+    df = spark.createDataFrame([("\n".join(lines), one, each)], "a string, one string, each string")
+    a = fingerprint(F.col("a"))
+    row = df.select(likeness(a, fingerprint(F.col("one"))).alias("one"), likeness(a, fingerprint(F.col("each"))).alias("each")).first()
+    assert 0.998 < row["one"] < 1 and 0.8 < row["each"] < 0.97
+
+
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_every_document_has_the_next_one(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -130,9 +193,9 @@ def test_every_document_has_the_next_one(spark, partitions):
 def test_trees_locate_edits(spark):
     rows = [("a b c d\ne f\n\ng h\n\ni", "a b c d\ne X\n\ng h\n\ni\nnew")]
     df = spark.createDataFrame(rows, "x string, y string").select("x", "y", tree(F.col("x")).alias("t"), tree(F.col("y")).alias("u"))
-    row = df.select(changed_paragraphs(F.col("t"), F.col("u")).alias("c"), root(F.col("x")).alias("r")).first()
+    row = df.select(changed_paragraphs(F.col("t"), F.col("u")).alias("c"), fingerprint(F.col("x")).alias("r")).first()
     assert [(c["section"], c["paragraph"]) for c in row["c"]] == [(0, 1), (2, 1)]
-    assert row["r"] == plain_root(rows[0][0])
+    assert row["r"] == plain_print(rows[0][0])
     same = df.select(F.size(changed_paragraphs(F.col("t"), F.col("t"))).alias("n"), likeness(F.lit("r:"), F.lit("s:aa")).alias("l")).first()
     assert same["n"] == 0 and same["l"] == 0.0
 
