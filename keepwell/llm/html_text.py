@@ -56,6 +56,17 @@ ALONE, BESIDE = 0.999, 0.55
 NAMED, SHARE, LINKED, MOST = 1.5, 0.2, 0.5, 0.8
 #: Words in class or id of an ``article`` that is a reader's.
 READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: A heading of readers' comments, and what short texts at an article's edges are notices by.
+READERS_HEADING = re.compile(
+    r"(?:\d+\s+)?(?:comments?|replies|responses|leave a (?:reply|comment)|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I
+)
+NOTICE = re.compile(
+    r"\bcookies?\b|\bprivacy\b|all rights reserved|©|\bcopyright\b|\bterms of (?:use|service)\b|datenschutz|alle rechte vorbehalten|"
+    r"tous droits réservés|todos los derechos reservados|\bnewsletter\b", re.I
+)
+#: Characters that a notice has at most.
+BRIEF = 200
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def markup(page: str) -> Iterator[tuple[str, str, str]]:
@@ -117,11 +128,11 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
             yield "start", word, page[start:end]
 
 
-def outside(name: str, attributes: str) -> bool | set[str]:
+def outside(name: str, attributes: str, own: bool = False) -> bool | set[str]:
     """Whether an element isn't part of an article, by its name or role, or because it is hidden; or the words in its class
-    or id that hint at it."""
+    or id that hint at it. ``own``: it is the article's own header, or the source of a quotation, whatever its name."""
     hints: set[str] = set()
-    if name in DROPPED:
+    if name in DROPPED and not own:
         return True
     if not attributes or name in ("html", "body"):
         return hints
@@ -187,7 +198,8 @@ class Page:
         self.open.append(len(self.name) - 1)
         self.count[name] = self.count.get(name, 0) + 1
         self.in_link += name == "a"
-        if not self.out and (found := outside(name, attributes)):
+        own = name == "header" and self.count.get("article") or name == "footer" and self.count.get("blockquote")
+        if not self.out and (found := outside(name, attributes, bool(own))):
             here = self.open.pop()
             self._flush()
             self.open.append(here)
@@ -244,12 +256,53 @@ class Page:
         out = [False] * len(self.name)
         for i in range(1, len(self.name)):
             out[i] = i in void or out[self.parent[i]]
-        return [block for block in self.blocks if not out[block[0]]]
+        kept = [not out[owner] for owner, _, _ in self.blocks]
+        for i, (owner, text, _) in enumerate(self.blocks[:-1]):  # the heading of comments that are left out goes with them
+            if self.name[owner] in HEADINGS and not kept[i + 1] and READERS_HEADING.fullmatch(text):
+                kept[i] = False
+        return [block for block, keep in zip(self.blocks, kept) if keep]
 
     def article(self) -> list[str]:
         """The blocks of the best container and of its siblings that are kept, in page order; without regard to hints, if
-        they leave none."""
-        return self._best(self._unhinted()) or self._best(self.blocks)
+        they leave none; and if nothing earns points, all text of the largest article, or of the page."""
+        some = self._unhinted()
+        return self._best(some) or self._best(self.blocks) or self._visible(some or self.blocks)
+
+    def _visible(self, blocks: list[tuple[int, str, int]]) -> list[str]:
+        chars: dict[int, int] = {}
+        for owner, text, _ in blocks:
+            chars[owner] = chars.get(owner, 0) + len(text)
+        total = self._inside(chars)
+        named = [i for i, name in enumerate(self.name) if name in ("article", "main") and total[i]]
+        largest = max(named, key=total.__getitem__, default=0)
+
+        def inside(i: int) -> bool:
+            while i > largest:
+                i = self.parent[i]
+            return i == largest
+
+        return [text for owner, text, _ in blocks if inside(owner)]
+
+    def _notices(self, blocks: list[tuple[int, str, int]], best: int, weight: list[float]) -> set[int]:
+        """Brief notices without any mark of their own: beside the best container or in it, before the first or after the last
+        element that counts there."""
+        found: set[int] = set()
+        for up in {self.parent[best], best} - {-1}:
+            if up == best and self.name[best] in ("article", "main"):
+                continue
+            within = [i for i in range(1, len(self.name)) if self.parent[i] == up and i != best]
+            texts: dict[int, list[str]] = {i: [] for i in within if self.name[i] not in PARAGRAPHS}
+            for owner, text, _ in blocks if texts else ():
+                while owner > 0 and self.parent[owner] != up:
+                    owner = self.parent[owner]
+                if owner in texts:
+                    texts[owner].append(text)
+            brief = {i for i, own in texts.items() if sum(map(len, own)) <= BRIEF and any(map(NOTICE.search, own))}
+            least = 1 if up == best else SHARE * weight[best]
+            counts = [i for i in within if weight[i] >= least and i not in brief] + [best] * (up != best)
+            if counts:
+                found |= {i for i in brief if i < min(counts) or i > max(counts)}
+        return found
 
     def _best(self, blocks: list[tuple[int, str, int]]) -> list[str]:
         size = len(self.name)
@@ -281,8 +334,10 @@ class Page:
         for owner, text, links in blocks:
             chars[owner], linked[owner] = chars.get(owner, 0) + len(text), linked.get(owner, 0) + links
         chars, linked = self._inside(chars), self._inside(linked)
-        kept = [False] * size
+        kept, notices = [False] * size, self._notices(blocks, best, [max(a, b) for a, b in zip(points, own)])
         for i in range(size):
+            if i in notices:
+                continue
             if i == best or i and kept[self.parent[i]]:
                 kept[i] = True
             elif best and self.parent[i] == self.parent[best]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 from pathlib import Path
 
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models
 
-from keepwell.llm.html_text import extract_main_text, main_text
+from keepwell.llm.html_text import PARAGRAPHS, Page, extract_main_text, main_text
 from keepwell.llm.licences import KNOWN, NOTICES, SHIPPED, scan_licences
 from keepwell.llm.merkle import changed_paragraphs, fingerprint, fingerprint_edits, first_edit, likeness, tree, with_next
 from keepwell.llm.token_counts import Counter, count_tokens, read_vocabulary
@@ -35,6 +36,73 @@ def test_the_article_and_nothing_else(page):
     assert main_text(page) == WANT
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div>We value your privacy, and use cookies.</div><div id=content>{BODY}</div><div>© 2020. All rights reserved.</div></body>", WANT),
+        (f"<body><div>Our cookies, your privacy.</div>{BODY}<div><p>Copyright 2021, all of us</p></div></body>", WANT),
+        (f"<article><header><h1>Headline</h1><p>A lead.</p></header>{BODY}</article><header><h1>Site</h1></header>", f"Headline\n\nA lead.\n\n{WANT}"),
+        (f"<article>{BODY}<blockquote><p>Said, long ago, so.</p><footer>Somebody, a book</footer></blockquote></article><footer>Foot</footer>", f"{WANT}\n\nSaid, long ago, so.\n\nSomebody, a book"),
+        (f"<body><div>{BODY}<h2>3 Comments</h2><div class=comments><p>I think, really, this is long, so long.</p></div></div></body>", WANT),
+        (f"<body><div>{BODY}<h2>Comments</h2><p>About comments, in the article.</p></div></body>", f"{WANT}\n\nComments\n\nAbout comments, in the article."),
+        ("<body><nav><a href=a>Menu</a></nav><article><p><a href=x>The whole story, of one long link, is here</a></p></article></body>", "The whole story, of one long link, is here"),
+        (f"<body><div>{BODY}<div>Cookies are baked, says the privacy of the oven.</div>{BODY}</div></body>", f"{WANT}\n\nCookies are baked, says the privacy of the oven.\n\n{WANT}"),
+        ("<body><p><a href=x>One</a></p><p><a href=y>Two</a></p></body>", "One\n\nTwo"),
+    ],
+)
+def test_edges_of_an_article(page, want):
+    assert main_text(page) == want
+
+
+def plain_scores(page):
+    """Points of containers from blocks, by asking every block for all its ancestors."""
+    parsed = Page(page)
+    holders = []
+    for owner, text, links in parsed.blocks:
+        earned = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+        if earned > 0:
+            holders.append((parsed.parent[owner] if parsed.name[owner] in PARAGRAPHS else owner, earned))
+    children = {}
+    for i in range(1, len(parsed.name)):
+        children.setdefault(parsed.parent[i], []).append(i)
+
+    def has(i):
+        return any(h == i for h, _ in holders) or any(map(has, children.get(i, [])))
+
+    def points(i):
+        own = [e for h, e in holders if h == i]
+        below = [c for c in children.get(i, []) if has(c)]
+        part = 0.999 if len(own) + len(below) == 1 else 0.55
+        return sum(own) + part * sum(map(points, below))
+
+    return {i: points(i) * (1.5 if parsed.name[i] in ("article", "main") else 1) for i in range(len(parsed.name))}, parsed
+
+
+def test_the_best_container_is_that_of_a_plain_scorer():
+    rng = random.Random(6)
+
+    def block(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join(rng.choices(["word", "comma,", "<a href=x>link text</a>", "more"], k=rng.randrange(1, 12)))
+            return f"<p>{words}</p>"
+        name = rng.choice(["div", "section", "div", "article"])
+        return f"<{name}>{''.join(block(depth - 1) for _ in range(rng.randrange(1, 4)))}</{name}>"
+
+    for _ in range(150):
+        page = f"<body>{block(4)}{block(3)}</body>"
+        worth, parsed = plain_scores(page)
+        best = max(worth, key=lambda i: (round(worth[i], 9), -i))
+        if worth[best] <= 0:
+            continue
+        inside, kept = [], parsed.article()
+        for owner, text, _ in parsed.blocks:
+            while owner > 0 and owner != best:
+                owner = parsed.parent[owner]
+            if owner == best:
+                inside.append(text)
+        assert not (collections.Counter(inside) - collections.Counter(kept)), page  # all of the best container is kept
+
+
 LONG = "".join(f"<p>Paragraph {i} of the article, {'with many words, ' * 12}and an end.</p>" for i in range(5))
 
 
