@@ -134,8 +134,8 @@ def label_comments(
 ) -> DataFrame:
     """Labels from ``labeler``, which gets Arrow batches of ``comments`` as pandas frames.
 
-    It returns the same rows with the three label columns added; another number of
-    rows is an error. Without one, the keyword labels apply. Store the result before
+    It returns the same rows with the three label columns added; rows that are lost, doubled, swapped or changed
+    are an error. Without one, the keyword labels apply. Store the result before
     using it twice, or the labeller runs twice.
     """
     if labeler is None:
@@ -146,9 +146,13 @@ def label_comments(
 
     def label_batches(batches):
         for batch in batches:
+            given = batch.copy()
             labelled = labeler(batch)[columns]
-            if len(labelled) != len(batch):
-                raise ValueError(f"the labeller returned {len(labelled)} rows for {len(batch)}")
+            if len(labelled) != len(given):
+                raise ValueError(f"the labeller returned {len(labelled)} rows for {len(given)}")
+            same = labelled[given.columns].reset_index(drop=True).astype(object)
+            if not same.equals(given.reset_index(drop=True).astype(object)):
+                raise ValueError("the labeller returned other rows than it was given")
             yield labelled
 
     return comments.mapInPandas(label_batches, schema)

@@ -122,3 +122,20 @@ def test_a_labeller_sees_each_comment_once(spark, tmp_path):
 
     batch = ingest.label_batch(comments, "order_id", counting)
     assert ingest.update_feedback(ingest.empty_feedback(spark), batch, "order_id").count() == 20 and seen.value == 20
+
+
+def test_a_labeller_may_not_change_rows(spark):
+    rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(6)], "customer_id string, raw_text string").coalesce(1)
+
+    def label(batch, frame):
+        return frame.assign(feedback_category="pricing", sentiment="neutral", complaint_intensity=1)
+
+    good = labels.label_comments(rows, lambda b: label(b, b)).collect()
+    assert len(good) == 6
+    for wrong in (
+        lambda b: label(b, b.assign(raw_text=list(b["raw_text"])[::-1])),
+        lambda b: label(b, b.iloc[[0, 0, 2, 3, 4, 5]]),
+        lambda b: label(b, b.iloc[:5]),
+    ):
+        with pytest.raises(Exception, match="labeller returned"):
+            labels.label_comments(rows, wrong).collect()

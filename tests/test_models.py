@@ -208,3 +208,17 @@ def test_exact_area_of_a_model(run, test):
     scores = ml.holdout_scores(run[0].trained, test).filter("model = 'logreg'")
     exact = metrics.exact_area(scores)
     assert metrics.roc_auc(scores).first().auc == pytest.approx(exact, abs=0.002)
+
+
+def test_a_regression_that_stopped_early_is_found_out(spark):
+    rows = [(str(i), float(i % 13), float((i * i) % 101), "xyz"[i % 3], int(i % 13 + (i * i) % 101 / 9 + i % 5 > 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "customer_id string, a double, b double, state string, churn int")
+    prepared = ml.preprocessing(df)
+    train = ml.training_rows(prepared, df).cache()
+    learner = ml.logistic_regression(400)
+    whole, early = learner.fit(train), learner.copy({learner.maxIter: 3}).fit(train)
+    gaps = [ml.newton_gap(train, m.coefficients.toArray().tolist(), m.intercept)[0] for m in (whole, early)]
+    assert 0 <= gaps[0] <= 1e-8 < gaps[1]
+    wrong = whole.coefficients.toArray() + [0.1, 0, 0]
+    gap, step = ml.newton_gap(train, wrong.tolist(), whole.intercept)
+    assert gap > 1e-8 and abs(step[0] - 0.1) < 0.03
