@@ -221,4 +221,4 @@ def test_a_regression_that_stopped_early_is_found_out(spark):
     assert 0 <= gaps[0] <= 1e-8 < gaps[1]
     wrong = whole.coefficients.toArray() + [0.1, 0, 0]
     gap, step = ml.newton_gap(train, wrong.tolist(), whole.intercept)
-    assert gap > 1e-8 and abs(step[0] - 0.1) < 0.03
+    assert gap > 1e-8 and step[0] > 0.05  # towards the optimum
