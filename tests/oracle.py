@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import tempfile
 
 import duckdb
 
@@ -14,6 +15,8 @@ TABLES = (
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='run-')}'")
+    con.execute("SET max_temp_directory_size = '4GB'")  # a twin that spills more is written wrongly
     con.execute("SET TimeZone = 'UTC'")
     for name in TABLES:
         if os.path.exists(f"{sf_dir}/{name}.parquet"):
