@@ -12,7 +12,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keepwell.llm.common import small_batches, whole_text
+from keepwell.llm.common import resident, small_batches, whole_text
 
 #: The rules of the tokenizer files that this module reads.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -268,9 +267,8 @@ class Bpe:
         return [(n, ids.hexdigest(), text.hexdigest()) for n, ids, text in own]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Bpe:
-    return Bpe(path)
+    return resident(("bpe", path), lambda: Bpe(path))
 
 
 def _with(docs: DataFrame, keep: Sequence[str], given: str, made: str, make) -> DataFrame:

@@ -74,6 +74,20 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+#: What this worker keeps between tasks.
+KEPT: dict = {}
+
+
+def resident(key, make):
+    """What ``make`` returns, kept in the worker between tasks until another key comes: workers go on from one operator to
+    the next, and what each of them has learned wouldn't fit in memory together."""
+    if key not in KEPT:
+        KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
 class Generations(dict):
     """A cache of bounded size: a full generation becomes the old one, from which what is still used moves on."""
 

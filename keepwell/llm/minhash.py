@@ -20,10 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import runs, small_batches, utf8
+from keepwell.llm.common import resident, runs, small_batches, utf8
 from keepwell.llm.components import components
 from keepwell.session import materialize
 
@@ -157,6 +157,7 @@ def sketches(rows: DataFrame, width: int, bands: int, per_band: int) -> DataFram
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("near", dict)  # nothing of another operator's is kept from here on
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             for first, last in runs(offsets, 1 << 20):
@@ -186,6 +187,7 @@ def whole_sets(rows: DataFrame, width: int) -> DataFrame:
     """``slot`` and ``shingles``, the whole set, of each row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("near", dict)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for first, last in runs(offsets, 1 << 20):
@@ -255,26 +257,32 @@ def crossing(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: in
     sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     # at the first shingle that two sets have in common, only what is behind it in both can be common too
     enough = (100 + percent) * (1 + F.least("after_a", "after_b")) >= percent * (F.col("n_a") + F.col("n_b"))
-    pairs = meeting(rows).filter(sized & enough)
+    pairs = meeting(rows, sized & enough)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """All pairs of rows (rep, n, component, after, shingle) with one shingle and different components, each once.
+def meeting(rows: DataFrame, condition: Column) -> DataFrame:
+    """The pairs of rows (rep, n, component, after, shingle) with one shingle and different components that satisfy the
+    condition, each once.
 
-    Components are paired per shingle first, and rows by their components then, so rows of one component are never paired,
-    however many share a shingle: there are as many pairs as could be links.
+    The components of a shingle are numbered, and two of them meet at the highest binary digit in which their numbers differ:
+    rows with the same digits above it, a 0 there and a 1. So rows of one component are never compared, however many share a
+    shingle; a row is looked up as often as the largest number has digits.
     """
     several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = materialize(rows.join(several.filter("low <> high").select("shingle"), "shingle"), "near-meeting")
-    groups = open_.select("shingle", "component").distinct()
-    one, two = (groups.select("shingle", F.col("component").alias(f"component_{name}")) for name in "ab")
-    met = one.join(two, "shingle").filter("component_a < component_b")
-
-    def side(name: str) -> DataFrame:
-        return open_.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "after")])
-
-    return met.join(side("a"), ["shingle", "component_a"]).join(side("b"), ["shingle", "component_b"])
+    own = Window.partitionBy("shingle")
+    numbered = open_.select("shingle", "component").distinct().withColumn("place", F.row_number().over(own.orderBy("component")) - 1)
+    digits = F.length(F.bin(F.max("place").over(own.orderBy("component").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    placed = open_.join(numbered.withColumn("digits", digits), ["shingle", "component"])
+    placed = placed.withColumn("digit", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)))
+    placed = placed.withColumn("above", F.expr("shiftright(place, digit + 1)")).withColumn("bit", F.expr("shiftright(place, digit) & 1"))
+
+    def side(name: str, bit: int) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "after")]
+        return placed.filter(F.col("bit") == bit).select("shingle", "digit", "above", *columns)
+
+    return side("a", 0).join(side("b", 1), ["shingle", "digit", "above"]).filter(condition).drop("digit", "above")
 
 
 def near_duplicates(

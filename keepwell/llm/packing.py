@@ -11,7 +11,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import Generations, small_batches, whole_text
+from keepwell.llm.common import Generations, resident, small_batches, whole_text
 from keepwell.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -79,9 +78,8 @@ class Tokens:
             start = end
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return resident(("tokens", path), lambda: Tokens(path))
 
 
 def pieces(parts: Iterable[bytes], most: int) -> Iterator[tuple[int, int, int]]:

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import Generations, small_batches, whole_text
+from keepwell.llm.common import Generations, resident, small_batches, whole_text
 
 #: The sign that stands for a space, and how far below the least score an unknown sign is.
 SPACE, PENALTY = "▁", 10.0
@@ -85,17 +84,17 @@ class Counter:
         return total % UNKNOWN, total // UNKNOWN
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(read_vocabulary(path))
+    return resident(("counter", path), lambda: Counter(read_vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``n_unknown`` (signs that no piece covers) of each whole text by the unigram
     ``vocabulary``, a sentencepiece file. The text is taken as it is but for a space before it and the sign for spaces.
 
-    A null or empty text has no tokens. Every row of ``docs`` gives a row, and nothing is shuffled. What a task
-    remembers of words is bounded.
+    A null or empty text has no tokens. Every row of ``docs`` gives a row, repeated ones each, and nothing is shuffled; an
+    empty table gives none; other columns aren't read, whatever their names. Texts of any length are counted whole. What a
+    task remembers of words is bounded.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepwell.llm.common import numbered, small_batches, whole_text
+from keepwell.llm.common import numbered, resident, small_batches, whole_text
 from keepwell.llm.scoring import with_scores
 from keepwell.operators.ranking import position_in_group
 from keepwell.session import materialize
@@ -39,7 +39,7 @@ OFTEN = (2, 3)
 #: More than the error of a similarity that was added up in single precision.
 SLACK = 1e-4
 #: Queries that are looked up at a time, and their postings; one query may have more, at most all there are.
-AT_ONCE, POSTINGS = 64, 4_000_000
+AT_ONCE, POSTINGS = 64, 1_000_000
 
 
 def count_terms(text: str) -> Counter:
@@ -80,6 +80,7 @@ def with_terms(found: DataFrame) -> DataFrame:
     """``slot``, ``doc_id``, ``label``, ``weight``, ``family`` and ``terms``, a map from term to count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("toxicity", dict)  # nothing of another operator's is kept from here on
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -229,11 +230,11 @@ class Index:
         owner, column = np.repeat(np.arange(many), np.diff(rows.begin)), self.column[rows.term]
         often = np.zeros((many, self.columns.shape[1]), np.float32)
         often[owner[column >= 0], column[column >= 0]] = rows.value[column >= 0]
-        term, value, owner = (x[column < 0] for x in (rows.term, rows.value, owner))
+        term, value, owner = (x[column < 0] for x in (rows.term, rows.value.astype(np.float32), owner))
         sizes = self.begin[term + 1] - self.begin[term]
         place = _spans(self.begin[term], sizes)
         key = self.at[place] + np.repeat(owner * n, sizes)
-        near = np.bincount(key, self.rare[place] * np.repeat(value.astype(np.float32), sizes), many * n).astype(np.float32).reshape(many, n)
+        near = np.bincount(key, self.rare[place] * np.repeat(value, sizes), many * n).astype(np.float32).reshape(many, n)
         if without is not None:
             near[np.arange(many), without] = -9
 
@@ -293,10 +294,6 @@ class Index:
         return found
 
 
-#: The last index that this worker has built, by its digest.
-BUILT: dict[str, Index] = {}
-
-
 @dataclass
 class Packed:
     """What an index is built of, as workers get it: arrays of the examples' entries, nothing built."""
@@ -311,12 +308,12 @@ class Packed:
 
     def index(self) -> Index:
         """Built once in a worker and kept between tasks."""
-        if self.digest not in BUILT:
-            BUILT.clear()
-            names, weight, begin, steps, n, *rest = pickle.loads(zlib.decompress(self.data))
-            rows = weighed(begin, np.cumsum(steps, dtype=np.int64), n.astype(np.int64), weight)
-            BUILT[self.digest] = Index(names, weight, rows, *rest)
-        return BUILT[self.digest]
+        return resident(("toxicity", self.digest), self.build)
+
+    def build(self) -> Index:
+        names, weight, begin, steps, n, *rest = pickle.loads(zlib.decompress(self.data))
+        rows = weighed(begin, np.cumsum(steps, dtype=np.int64), n.astype(np.int64), weight)
+        return Index(names, weight, rows, *rest)
 
 
 def calibrate(shares: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

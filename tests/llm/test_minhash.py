@@ -121,6 +121,16 @@ def test_rows_of_one_component_are_never_paired(spark):
         "id AS rep", "100L AS n", "CASE WHEN id < 8000 THEN 0 ELSE id END AS component", "50L AS after", "shingle"
     )
     only_copies = rows.filter("rep < 8000").withColumn("shingle", F.col("shingle") + 100)
-    met = meeting(rows.unionByName(only_copies))
+    met = meeting(rows.unionByName(only_copies), F.lit(True))
     assert met.count() == 20 * (8000 * 3 + 3)
     assert met.filter("component_a = component_b").isEmpty() and met.dropDuplicates(["shingle", "rep_a", "rep_b"]).count() == met.count()
+
+
+def test_different_components_meet_once_per_shingle(spark):
+    from keepwell.llm.minhash import meeting
+
+    rng = random.Random(4)
+    rows = [(rep, 10, rng.choice([1, 1, 1, 2, 3, 5, 8, 13, 21, 40 + rep]), 5, rng.randrange(12)) for rep in range(300)]
+    frame = spark.createDataFrame(rows, "rep long, n long, component long, after long, shingle long")
+    got = sorted((r["shingle"], *sorted((r["rep_a"], r["rep_b"]))) for r in meeting(frame, F.lit(True)).collect())
+    assert got == sorted((a[4], a[0], b[0]) for a, b in combinations(rows, 2) if a[4] == b[4] and a[2] != b[2])
