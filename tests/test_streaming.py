@@ -186,6 +186,30 @@ def test_current_rows_equal_the_batch(spark, tmp_path):
     assert len(folders) == 1  # after 20 micro-batches: the sink's log
 
 
+def test_current_rows_of_many_keys_in_few_calls(spark, tmp_path):
+    """Keys share buckets, of which each is one call; each key is still on its own, nulls and blanks included."""
+    source, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    schema = FEEDBACK + ", seq long"
+    keys = [(None, "x"), ("", "x"), ("null", None), ("a", '","raw_text":"b'), ("a\",\"raw_text\":\"", "b"), *((f"k{i}", "x") for i in range(300))]
+    calls, order = [], ["created_at", "seq"]
+
+    def run():
+        rows = jobs.current_changes(stream(spark, source, schema), order, buckets=2)
+        writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        calls.append(max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators))
+        return spark.read.parquet(out).groupBy("change").count().collect()
+
+    add(spark, source, [(*k, "s", hours(1), i) for i, k in enumerate(keys)], schema)
+    assert {r["change"]: r["count"] for r in run()} == {"insert": len(keys)}
+    add(spark, source, [(*k, "t", hours(i % 2), 1000 + i) for i, k in enumerate(keys)], schema)  # every second one is older
+    later = len(keys) // 2
+    assert {r["change"]: r["count"] for r in run()} == {"insert": len(keys), "update": later}
+    got = {(r.customer_id, r.raw_text): r.seq for r in jobs.current_of_changes(spark.read.parquet(out), order).collect()}
+    assert got == {k: 1000 + i if i % 2 else i for i, k in enumerate(keys)} and max(calls) == 2
+
+
 RECORDS = "customer_id string, n int, recorded_at timestamp"
 LABELS = "customer_id string, raw_text string, feedback_category string, sentiment string, complaint_intensity int, created_at timestamp"
 
