@@ -42,11 +42,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> list[int]:
     """Per bucket the log ratio of its smoothed shares, in parts of ``SCALE``; all 0 without trusted texts.
 
-    One pass over all documents, of which all trusted ones count for the target. Trusted ids are joined as Spark finds fit: sent
-    to all tasks while they are small, else both sides are dealt by id. The driver gets one row per bucket.
+    One pass over all documents, of which all trusted ones count for the target. Texts and trusted ids are both dealt by id at
+    any size: each text moves once, so disk grows as the texts do, and no task holds all ids. The driver gets one row per bucket.
     """
     trusted = trusted_ids(labels).withColumn("trusted", F.lit(1))
-    texts = docs.select("doc_id", whole_text().alias("text")).join(trusted, "doc_id", "left")
+    texts = docs.select("doc_id", whole_text().alias("text")).join(trusted.hint("merge"), "doc_id", "left")
     rows = texts.select("trusted", F.regexp_extract_all("text", F.lit(UNIT), F.lit(0)).alias("units"))
     counts = (
         rows.select("trusted", F.explode(grams(F.col("units"), buckets)).alias("bucket"))

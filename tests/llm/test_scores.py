@@ -72,6 +72,16 @@ def test_weights_are_the_ratio_of_smoothed_shares(spark):
     assert all(r["kept"] == (r["score"] >= 0) for r in scored.values())
 
 
+def test_texts_are_dealt_by_id_however_few_labels(spark, monkeypatch):
+    """The plan, and so the disk that a text takes, is the same for few labels and for many."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    labels, plans = spark.createDataFrame([(1, 1)], "doc_id long, quality int"), []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or collect(df))
+    bucket_weights(docs, labels, 64, 1.0)
+    assert any("rightHint=(strategy=merge)" in p for p in plans)
+
+
 def test_rules_on_odd_documents(odd_docs, odd_labels, no_docs):
     got = quality_rules(odd_docs, odd_labels).collect()
     assert len(got) == odd_docs.count()
