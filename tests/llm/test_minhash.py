@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keepwell.llm import minhash
 from keepwell.llm.components import components
 from keepwell.llm.minhash import near_duplicates, shingle_sets, word_hashes
 
@@ -134,3 +135,25 @@ def test_different_components_meet_once_per_shingle(spark):
     frame = spark.createDataFrame(rows, "rep long, n long, component long, after long, shingle long")
     got = sorted((r["shingle"], *sorted((r["rep_a"], r["rep_b"]))) for r in meeting(frame, F.lit(True)).collect())
     assert got == sorted((a[4], a[0], b[0]) for a, b in combinations(rows, 2) if a[4] == b[4] and a[2] != b[2])
+
+
+def test_a_group_of_near_copies_gives_few_pairs(spark, monkeypatch):
+    """Links inside a group are found with a few of its texts; only what stays apart is paired with all others."""
+    rng, base, pairs, rows = random.Random(5), [f"w{i}" for i in range(200)], [], []
+    for i in range(250):  # those with two changes are linked with all such, others with the few that have one in common
+        words = list(base)
+        for place in rng.sample(range(5, 200, 6), 2 if i % 5 > 2 else 3):
+            words[place] = f"n{i}x{place}"
+        rows.append((i, " ".join(words)))
+    crossing = minhash.crossing
+
+    def counted(*given):
+        found = crossing(*given)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "crossing", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()]
+    want = brute_force(rows, 5, 80)
+    assert sorted(got) == sorted(want) and sum(pairs) < 5 * len(rows)
