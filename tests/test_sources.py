@@ -217,3 +217,15 @@ def test_first_lines_of_many_files(spark, tmp_path, monkeypatch):
     (tmp_path / "empty.csv").write_text("")
     rows = readers.read_csv(spark, str(tmp_path / "*.csv"))
     assert sorted(map(tuple, rows.collect())) == [("a", 1)] * 5 + [("b", 0)] * 3
+
+
+def test_small_files_are_looked_up_together(spark, tmp_path, monkeypatch):
+    """No job of its own for a small file, whatever stands before its header."""
+    monkeypatch.setattr(readers, "_first_line", lambda *_: pytest.fail("a small file was looked up alone"))
+    for i in range(40):
+        before, header = ("", "\r\n\n", "\ufeff", "\n\ufeff")[i % 4], ("customer_id,churn", "churn,customer_id")[i % 2]
+        row = f"c{i},1" if i % 2 == 0 else f"1,c{i}"
+        (tmp_path / f"f {i}.csv").write_text(f"{before}{header}\r\n{row}\r\n", encoding="utf-8", newline="")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    rows = readers.read_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted(map(tuple, rows.collect())) == sorted((f"c{i}", 1) for i in range(40))
