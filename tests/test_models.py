@@ -222,3 +222,33 @@ def test_a_regression_that_stopped_early_is_found_out(spark):
     wrong = whole.coefficients.toArray() + [0.1, 0, 0]
     gap, step = ml.newton_gap(train, wrong.tolist(), whole.intercept)
     assert gap > 1e-8 and step[0] > 0.05  # towards the optimum
+
+
+def test_searches_share_their_fits(spark, train, monkeypatch):
+    """Trials of a shorter learner come from the first trees of a longer one with equal parameters, and equal ones are fitted once."""
+    lengths, whole = [], ml.boosted_trees
+
+    class Counted:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def __getattr__(self, name):
+            return getattr(self.learner, name)
+
+        def fit(self, rows):
+            lengths.append(self.learner.getMaxIter())
+            return self.learner.fit(rows)
+
+    monkeypatch.setattr(ml, "boosted_trees", lambda **params: Counted(whole(**params)))
+    spaces = {"one": {"maxDepth": (3,), "maxIter": (2,)}, "two": {"maxDepth": (3,), "maxIter": (5,)}, "three": {"maxDepth": (3,), "maxIter": (5,)}}
+    monkeypatch.setattr(ml, "SPACES", spaces)
+    trained = ml.train_models(train, names=list(spaces), n=1, folds=2)
+    assert sorted(lengths) == [2, 5, 5, 5]  # two folds for all three, a refit of each length
+    trials = {name: [r.auc for r in trained.trials[name].orderBy("fold").collect()] for name in spaces}
+    assert trials["two"] == trials["three"] and len(trials["one"]) == 2
+    assert [len(trained.models[name].trees) for name in spaces] == [2, 5, 5]
+    rows = ml.training_rows(trained.prepared, train)
+    alone, longer = whole(maxDepth=3, maxIter=2).fit(rows), whole(maxDepth=3, maxIter=5).fit(rows)
+    first = {r.customer_id: r.p for r in ml.first_trees_probability(longer, rows, 2).collect()}
+    for r in alone.transform(rows).select("customer_id", ml.probability_column("p")).collect():
+        assert first[r.customer_id] == pytest.approx(r.p, abs=1e-12)
