@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keepwell.operators.labels import DEFAULT_LABELS
+from keepwell.session import materialize
 
 WORD = r"[\p{L}\p{N}]+"
+SMALL = 8 << 20  # bytes of phrases that Spark may send to every task
+MOST_BITS = 27  # of a bitmap, by their logarithm: 16 MB
 
 
 def words(text: Column) -> Column:
@@ -26,6 +33,29 @@ def phrases(text: Column, lengths: list[int]) -> Column:
     return F.get(every, F.lit(0))
 
 
+def _places(phrase: Column, bits: int) -> list[Column]:
+    """Two bits of a phrase in a bitmap of 2 ** ``bits``."""
+    digest = F.xxhash64(phrase)
+    return [F.pmod(h, F.lit(1 << bits)) for h in (digest, F.shiftrightunsigned(digest, 32))]
+
+
+def may_be_among(known: DataFrame, phrase: str, bits: int) -> Column:
+    """Whether ``phrase`` may be one of ``known`` (_phrase): always for one that is, rarely for another, by a bitmap of hashes."""
+    at = known.select(F.explode(F.array(*_places(F.col("_phrase"), bits))).alias("at")).selectExpr("at + 1 AS at")  # bitmaps count from 1
+    built = at.groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bitmap"))
+    bitmap = np.zeros(max((1 << bits) // 8, 1 << 12), np.uint8)
+    for row in built.toLocalIterator():
+        own, first = np.frombuffer(bytes(row["bitmap"]), np.uint8), (row["bucket"] - 1) << 12
+        bitmap[first : first + len(own)] = own
+    sent = known.sparkSession.sparkContext.broadcast(bitmap)
+
+    def found(one: pd.Series, two: pd.Series) -> pd.Series:
+        a, b = one.to_numpy(), two.to_numpy()
+        return pd.Series(((sent.value[a >> 3] >> (a & 7)) & (sent.value[b >> 3] >> (b & 7)) & 1) == 1)
+
+    return F.pandas_udf(found, "boolean")(*_places(F.col(phrase), bits))
+
+
 def lexicon_join(
     comments: DataFrame, lexicon: DataFrame, key: str, text: str = "raw_text", default: str = DEFAULT_LABELS["feedback_category"]
 ) -> DataFrame:
@@ -33,19 +63,35 @@ def lexicon_join(
 
     Of the phrases whose words come in a text one after another, the one of least ``priority`` decides, then of least phrase; a
     text with none gets ``default`` and a null phrase. A phrase is compared by its words; one without words is never found.
-    ``key`` is unique among the comments. Only keys and word sequences move, and of those only as long as the lexicon's are; the
-    lexicon goes to every task if it is small, else both sides are dealt by phrase, and Spark splits frequent ones.
+    ``key`` is unique among the comments. Only keys and word sequences move, and of those only as long as the lexicon's are. The
+    lexicon's shortest phrases, as far as they are few, go to every task. Others are dealt by phrase, and Spark splits
+    frequent ones; of the texts' word sequences only those that may be among them move, which a bitmap of bounded size tells.
     """
     known = lexicon.withColumn("_words", words(F.col("phrase"))).filter(F.size("_words") > 0)
     known = known.groupBy(F.array_join("_words", " ").alias("_phrase"), F.size("_words").alias("_n")).agg(
         F.min(F.struct("priority", "category")).alias("_best")
     )
-    lengths = sorted(r["_n"] for r in known.select("_n").distinct().collect())  # of the longest phrase's words, at most
-    if not lengths:
+    known = materialize(known, "lexicon")
+    size = F.sum(F.octet_length("_phrase") + 24).alias("size")
+    sizes = sorted((r["_n"], r["size"], r["n"]) for r in known.groupBy("_n").agg(size, F.count("*").alias("n")).collect())  # of the longest phrase's words, at most
+    if not sizes:
         return comments.withColumns({"feedback_category": F.lit(default), "matched_phrase": F.lit(None).cast("string")})
-    each = comments.select(F.col(key).alias("_key"), F.explode(phrases(F.col(text), lengths)).alias("_phrase"))
+    sums = np.cumsum([size for _, size, _ in sizes])
+    few = [s for s, so_far in zip(sizes, sums) if so_far <= SMALL]
+    matches = []
+    for some in (few, sizes[len(few) :]):
+        if not some:
+            continue
+        lengths = [n for n, _, _ in some]
+        own = known.filter(F.col("_n").isin(lengths)).select("_phrase", "_best")
+        own = materialize(own, "lexicon-part")  # so that Spark sees the size of each part
+        each = comments.select(F.col(key).alias("_key"), F.explode(phrases(F.col(text), lengths)).alias("_phrase"))
+        if some is not few:
+            bits = min(MOST_BITS, (16 * sum(n for _, _, n in some)).bit_length())
+            each = each.filter(may_be_among(own, "_phrase", bits))
+        matches.append(each.join(own, "_phrase"))
     first = F.min(F.struct("_best.priority", "_phrase", "_best.category")).alias("_first")
-    found = each.join(known, "_phrase").groupBy("_key").agg(first)
+    found = reduce(DataFrame.unionByName, matches).groupBy("_key").agg(first)
     joined = comments.join(found, F.col(key).eqNullSafe(F.col("_key")), "left")
     kept = [c for c in comments.columns if c not in ("feedback_category", "matched_phrase")]
     return joined.select(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.operators import bootstrap, calibration, drift, metrics, rescoring
+from keepwell.operators import bootstrap, calibration, drift, lexicon, metrics, rescoring
 from keepwell.operators import labels as lb
 from keepwell.operators import models as ml
 from keepwell.operators import reputation as rep
@@ -185,3 +185,28 @@ def test_only_changed_rows_are_scored_again(spark):
     whole = {r["customer_id"]: r["churn_probability"] for r in ml.score(model, changed).collect()}
     assert {r["customer_id"]: r["churn_probability"] for r in got} == whole
     assert rescoring.rescore_changed(df, log, model, "v2").filter("rescored").count() == 60
+
+
+def test_of_a_large_lexicon_only_what_may_match_moves(spark, monkeypatch):
+    chance = random.Random(7)
+    texts = [(i, " ".join(chance.choice("abcdefgh") + str(chance.randrange(40)) for _ in range(chance.randrange(60)))) for i in range(150)]
+    texts += [(150, None), (151, "")]
+    comments = spark.createDataFrame(texts, "id int, raw_text string")
+    entries = [(" ".join(chance.choice("abcdefgh") + str(chance.randrange(40)) for _ in range(n)), chance.choice("xyz"), chance.randrange(9)) for n in (1, 2, 2, 2, 3, 3) for _ in range(60)]
+    table = spark.createDataFrame(entries, "phrase string, category string, priority int")
+
+    def run():
+        return {r["id"]: (r["feedback_category"], r["matched_phrase"]) for r in lexicon_join(comments, table, "id").collect()}
+
+    whole = run()
+    assert len(whole) == 152 and len({found for found in whole.values()}) > 20
+    for small in (0, 60 * 28):  # nothing goes to every task, and the single words only
+        monkeypatch.setattr(lexicon, "SMALL", small)
+        assert run() == whole
+    plan = lexicon_join(comments, table, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan  # the bitmap is asked before anything is dealt by phrase
+    known = table.select(F.col("phrase").alias("_phrase")).distinct()
+    others = spark.range(20_000).select(F.concat(F.lit("other "), F.col("id").cast("string")).alias("_phrase"))
+    bits = (16 * known.count()).bit_length()
+    assert known.filter(lexicon.may_be_among(known, "_phrase", bits)).count() == known.count()
+    assert others.filter(lexicon.may_be_among(known, "_phrase", bits)).count() < 1_000
