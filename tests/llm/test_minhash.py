@@ -114,6 +114,33 @@ def test_components_of_a_long_path_a_star_and_a_ring(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_a_small_graph_needs_no_shuffle(spark, monkeypatch):
+    """Its rounds are a task each, however many partitions its edges have; a larger one is dealt out, to the same components."""
+    from keepwell.llm import components as graph
+
+    rng, stored, plans = random.Random(5), graph.materialize, []
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a long, b long").repartition(20)
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(graph, "materialize", planned)
+    own = spark.conf
+    before = own.get("spark.sql.autoBroadcastJoinThreshold")
+    own.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = stored(edges, "edges")
+        small = sorted(map(tuple, components(edges).collect()))
+        assert plans and not any("Exchange" in plan for plan in plans)
+        plans.clear()
+        monkeypatch.setattr(graph, "SMALL", 0)
+        assert sorted(map(tuple, components(edges).collect())) == small
+        assert all("Exchange hashpartitioning" in plan for plan in plans)
+    finally:
+        own.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rows_of_one_component_are_never_paired(spark):
     """8,000 near copies and three texts that almost match them: pairs in proportion to rows, not to their square."""
     from keepwell.llm.minhash import meeting
