@@ -252,3 +252,29 @@ def test_searches_share_their_fits(spark, train, monkeypatch):
     first = {r.customer_id: r.p for r in ml.first_trees_probability(longer, rows, 2).collect()}
     for r in alone.transform(rows).select("customer_id", ml.probability_column("p")).collect():
         assert first[r.customer_id] == pytest.approx(r.p, abs=1e-12)
+
+
+def test_refits_use_all_parts(spark, train, monkeypatch):
+    """Refits run last and few at a time: one is dealt to as many tasks as its rows have, not to a share of them."""
+    parts, whole = [], ml.boosted_trees
+
+    class Watched:
+        def __init__(self, learner):
+            self.learner = learner
+
+        def __getattr__(self, name):
+            return getattr(self.learner, name)
+
+        def fit(self, rows):
+            parts.append((rows.count(), rows.rdd.getNumPartitions()))
+            return self.learner.fit(rows)
+
+    monkeypatch.setattr(ml, "boosted_trees", lambda **params: Watched(whole(**params)))
+    prepared = ml.preprocessing(train)
+    rows = ml.training_rows(prepared, train)
+    many, small = ml.folded_rows(rows, 3, per_partition=50), ml.folded_rows(rows, 3)
+    for folded in (many, small):
+        ml.random_search(folded, {"maxDepth": (2,), "maxIter": (2,)}, n=1)
+    refits = [n for size, n in parts if size == 600]
+    assert refits == [many.rdd.getNumPartitions(), 1] and refits[0] > 4
+    assert all(n <= refits[0] // 2 for size, n in parts if size < 600)
