@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from keepwell.catalog import streams
 from keepwell.operators import models as ml
 from keepwell.operators import reputation as rep
 from keepwell.streaming import jobs
@@ -254,3 +255,15 @@ def test_each_export_is_loaded_once(spark, tmp_path):
     last.unlink()  # as after a crash between the write and the commit
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     assert run() == (["a", "b"], ["{broken"])
+
+
+def test_a_micro_batch_has_a_file_for_every_core(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame([(str(i), f"t{i}", None, hours(i)) for i in range(400)], FEEDBACK)
+    records = streams._stored(spark, rows, "many-records")
+    writer = records.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    given = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(given) == 4 and sum(given) == 400
+    assert len(spark.read.parquet(str(tmp_path / "out")).inputFiles()) >= 4 * min(cores, 4)  # batches were written by several tasks
