@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keepwell.catalog import streams
+from keepwell.catalog import load_all, streams
 from keepwell.operators import models as ml
 from keepwell.operators import reputation as rep
 from keepwell.streaming import jobs
@@ -267,3 +267,26 @@ def test_a_micro_batch_has_a_file_for_every_core(spark, tmp_path):
     given = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
     assert len(given) == 4 and sum(given) == 400
     assert len(spark.read.parquet(str(tmp_path / "out")).inputFiles()) >= 4 * min(cores, 4)  # batches were written by several tasks
+
+
+def test_a_side_of_a_join_has_a_file_for_every_core_and_one_late_row(spark):
+    rows = spark.createDataFrame([(str(i), f"t{i}", None, hours(i)) for i in range(400)], FEEDBACK)
+    path = streams._with_late_row(spark, rows, "many-sides", "created_at")
+    assert len(spark.read.parquet(path).inputFiles()) == spark.sparkContext.defaultParallelism + 1
+    late = spark.read.parquet(path).filter("customer_id = ''").collect()
+    assert len(late) == 1 and late[0]["created_at"] > hours(400) and late[0]["raw_text"] is None
+
+
+def test_the_aggregates_behind_records_run_once(spark, sf_dir, monkeypatch):
+    class Written(Exception):
+        pass
+
+    def side(spark, rows, label, time):
+        assert label == "records" and "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        raise Written
+
+    monkeypatch.setattr(streams, "champion_path", lambda spark, sf_dir: "")
+    monkeypatch.setattr(streams.ml, "load_pipeline", lambda path: None)
+    monkeypatch.setattr(streams, "_with_late_row", side)
+    with pytest.raises(Written):
+        load_all()["stream_enriched_scores"].run(spark, sf_dir)
